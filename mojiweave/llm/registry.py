@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
 from mojiweave.llm.packing import op4_packing
 from mojiweave.llm.quality_rules import op2_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_decontamination": OP10_SQL,
+}
