@@ -89,11 +89,15 @@ FILTER_BITS = 1 << 26
 _CHUNK_BITS = 8 * 4096  # what bitmap_construct_agg holds in a row
 
 
-def key_bits(df: DataFrame, key: Column) -> bytes:
-    """A one-hash Bloom filter over a bigint column, built with map-side bitmaps; at most FILTER_BITS / 8 bytes reach the driver."""
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def key_slot(key: Column) -> Column:
+    """The place of a key in the filter."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def slot_bits(df: DataFrame, slot: Column) -> bytes:
+    """A one-hash Bloom filter over a column of places, built with map-side bitmaps; at most FILTER_BITS / 8 bytes reach the driver."""
     rows = (
-        df.select(slot.alias("slot"))
+        df.select(slot.cast("long").alias("slot"))
         .groupBy(F.floor(F.col("slot") / _CHUNK_BITS).cast("int").alias("chunk"))
         .agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), F.lit(_CHUNK_BITS))).alias("bits"))
         .collect()
@@ -104,13 +108,8 @@ def key_bits(df: DataFrame, key: Column) -> bytes:
     return bytes(out)
 
 
-def key_slot(key: Column) -> Column:
-    """The place of a key in the filter, to be computed on the JVM beside the row."""
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-
-
 def slot_test(bits: bytes):
-    """numpy test of key_slot() values against key_bits()."""
+    """numpy test of places against slot_bits()."""
     import numpy as np
 
     held = np.frombuffer(bits, dtype=np.uint8)

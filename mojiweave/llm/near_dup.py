@@ -160,7 +160,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFra
 
     A filter of fixed size lets few others pass; the join with nodes drops those.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(common.key_bits(nodes, F.col("node")))
+    bits = docs.sparkSession.sparkContext.broadcast(common.slot_bits(nodes, common.key_slot(F.col("node"))))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
+from mojiweave.llm.line_dedup import op5_line_dedup
 from mojiweave.llm.near_dup import op9_minhash
 from mojiweave.llm.packing import op4_packing
 from mojiweave.llm.quality_rules import op2_quality_rules
@@ -14,6 +15,7 @@ from mojiweave.llm.quality_rules import op2_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
 }
