@@ -73,6 +73,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _doc, the doc_id (null: the least number), and _dig, a digest that tells rows of one doc_id apart."""
+    return docs.select("*", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_dig"))
+
+
 def worker_store(name: str, make):
     """A value that lives as long as the Python worker process, over all its tasks."""
     home = sys.modules.setdefault("_mojiweave_worker", types.ModuleType("_mojiweave_worker"))

@@ -29,7 +29,6 @@ from mojiweave.llm import common
 
 MIN_CHARS = 20
 _CLASS, _BLOCKS = 16, 4
-_NO_ID = -(1 << 63)
 
 
 def normal(line: str) -> str:
@@ -50,11 +49,6 @@ def coarse_spans(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the order's first two parts."""
-    return docs.select("*", F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_dig"))
-
-
 def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
     """A row for each line that counts: its place, its 128-bit digest and its coarse keys."""
 
@@ -191,7 +185,7 @@ def removed_lines(keyed: DataFrame, min_chars: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the remaining lines as text, and n_lines and n_removed (of the text as it was)."""
-    keyed = _keyed(docs)
+    keyed = common.keyed(docs)
     gone = removed_lines(keyed, min_chars)
     joined = keyed.join(gone, ["_doc", "_dig"], "left").select(*docs.columns, F.col("gone").alias("_gone"))
     out = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

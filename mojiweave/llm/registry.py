@@ -11,11 +11,13 @@ from mojiweave.llm.line_dedup import op5_line_dedup
 from mojiweave.llm.near_dup import op9_minhash
 from mojiweave.llm.packing import op4_packing
 from mojiweave.llm.quality_rules import op2_quality_rules
+from mojiweave.llm.substring_dedup import op8_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
 }
