@@ -12,9 +12,11 @@ from mojiweave.llm.near_dup import op9_minhash
 from mojiweave.llm.packing import op4_packing
 from mojiweave.llm.quality_rules import op2_quality_rules
 from mojiweave.llm.substring_dedup import op8_substring_dedup
+from mojiweave.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
