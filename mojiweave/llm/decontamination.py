@@ -62,9 +62,12 @@ def fingerprints(rows: DataFrame, short: list[int]) -> DataFrame:
     rows = rows.select(*names, "_h", "_g", F.when(F.col("_g").isNotNull(), kept).alias("_kept"))
     none = F.array().cast("array<struct<n:int,fp:bigint,at:int>>")
     parts = [F.coalesce(F.transform("_kept", lambda i: F.struct(F.lit(0).alias("n"), F.get(F.col("_g"), i).alias("fp"), i.alias("at"))), none)]
-    for n in short:
-        each = F.transform(F.sequence(F.lit(0), F.size("_h") - n), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.xxhash64(*_at(F.col("_h"), i, n)).alias("fp"), i.alias("at")))
-        parts.append(F.when(F.size("_h") >= n, each).otherwise(none))
+
+    def all_grams(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size("_h") - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*_at(F.col("_h"), i, n)).alias("fp"), i.alias("at")))
+        return F.when(F.size("_h") >= n, each).otherwise(none)
+
+    parts += map(all_grams, short)
     return rows.select(*names, F.concat(*parts).alias("fps"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mojiweave.llm.chat import op1_chat
 from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
 from mojiweave.llm.line_dedup import op5_line_dedup
 from mojiweave.llm.near_dup import op9_minhash
@@ -15,6 +16,7 @@ from mojiweave.llm.substring_dedup import op8_substring_dedup
 from mojiweave.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
