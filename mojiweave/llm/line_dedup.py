@@ -4,10 +4,11 @@ A line (lower-cased, runs of white space as one space, MIN_CHARS characters or m
 earlier line, in the order (doc_id, text digest, line number), is equal or one edit away: one
 character inserted, deleted or replaced. Every occurrence of a line that goes for a near line goes.
 
-Equal lines are counted once, by a 128-bit digest. For the rest, the neighbourhood is joined twice:
+Equal lines are counted once, by a 128-bit digest. For the rest, the neighbourhood is joined thrice:
 1. coarse: a line without one of its four blocks is a key. Two lines one edit apart share the key
    of the block that holds the edit, so lines whose keys are all their own have no near line.
-2. fine: of the lines that are left, and only inside the blocks that matched, all variants with one
+2. middle: of the lines that are left, the same with the eighths of the blocks that matched.
+3. fine: of what is left, and only inside the eighths that matched, all variants with one
    character deleted are keys. Lines with equal variant and place differ in that character alone;
    a line equal to another's variant lacks one character. In either group the earliest line is the
    one that stays, found by an aggregate, so no pairs are listed. The edit distance to it is
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from mojiweave.llm import common
 
 MIN_CHARS = 20
-_CLASS, _BLOCKS = 16, 4
+_CLASS, _BLOCKS, _PARTS = 16, 4, 8
 
 
 def normal(line: str) -> str:
@@ -49,6 +50,15 @@ def coarse_spans(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def part_spans(n: int, k: int) -> list[tuple[int, int, int]]:
+    """The same for the parts of the k-th coarse key: only what that key left out is divided."""
+    seed, a, b = coarse_spans(n)[k]
+    c, j = divmod(seed, _BLOCKS)
+    least = c * _CLASS
+    step = -(-(least // _BLOCKS) // _PARTS)
+    return [(seed * _PARTS + i, min(a + i * step, n), b if i == _PARTS - 1 else max(b, least - a - (i + 1) * step)) for i in range(_PARTS)]
+
+
 def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
     """A row for each line that counts: its place, its 128-bit digest and its coarse keys."""
 
@@ -111,29 +121,56 @@ def _texts(keyed: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("text").mapInArrow(run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """Each line itself (at = -1) and with one character deleted at each place inside its matched blocks."""
+def _part_keys(lines: DataFrame) -> DataFrame:
+    """The keys of the parts of each line's matched blocks; part numbers both, block * _PARTS + part."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            row, at, v = [], [], []
+            row, part, key = [], [], []
+            for i, (line, blocks) in enumerate(zip(batch.column("line"), batch.column("blocks"), strict=True)):
+                line = line.as_py()
+                n = len(line)
+                for k in blocks.as_py():
+                    for p, (seed, a, b) in enumerate(part_spans(n, k)):
+                        row.append(i)
+                        part.append(k * _PARTS + p)
+                        key.append(xxh3_64_intdigest((line[:a] + "\0" + line[n - b :]).encode("utf-8", "surrogatepass"), seed))
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take), pa.array(part, pa.int32()), pa.array(np.asarray(key, dtype=np.uint64).view(np.int64))], ["h1", "h2", "part", "key"])
+
+    return lines.select("line", "blocks", "h1", "h2").mapInArrow(run, "h1 long, h2 long, part int, key long")
+
+
+def _shared(keys: DataFrame, what: str, name: str) -> DataFrame:
+    """(h1, h2, name) of the lines with a key that another line has too; name: which of the line's keys."""
+    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key")
+    return keys.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set(what).alias(name))  # no more than a line has keys
 
-            def made():
-                import numpy as np
 
-                take = pa.array(row, pa.int64())
-                return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, dtype=np.uint64).view(np.int64)), pa.array(at, pa.int32()), *(batch.column(c).take(take) for c in ("h1", "h2", "first"))], ["v", "at", "h1", "h2", "first"])
+def _variants(lines: DataFrame) -> DataFrame:
+    """Each line itself (at = -1) and with one character deleted at each place inside its matched parts."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+
+        def made(batch, row, at, v):
+            take = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, dtype=np.uint64).view(np.int64)), pa.array(at, pa.int32()), *(batch.column(c).take(take) for c in ("h1", "h2", "first"))], ["v", "at", "h1", "h2", "first"])
 
-            for i, (line, seeds) in enumerate(zip(batch.column("line"), batch.column("seeds"), strict=True)):
+        for batch in batches:
+            row, at, v = [], [], []
+            for i, (line, parts) in enumerate(zip(batch.column("line"), batch.column("parts"), strict=True)):
                 line = line.as_py()
-                n, held = len(line), set(seeds.as_py())
-                places: set[int] = set()
-                for k, (_, a, b) in enumerate(coarse_spans(n)):
-                    if k in held:
-                        places.update(range(a, n - b))
+                n, places = len(line), set()
+                for x in parts.as_py():
+                    _, a, b = part_spans(n, x // _PARTS)[x % _PARTS]
+                    places.update(range(a, n - b))
                 row += [i] * (len(places) + 1)
                 at.append(-1)
                 v.append(xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
@@ -141,21 +178,21 @@ def _variants(lines: DataFrame) -> DataFrame:
                     at.append(p)
                     v.append(xxh3_64_intdigest((line[:p] + line[p + 1 :]).encode("utf-8", "surrogatepass")))
                 if len(v) > 500_000:
-                    yield made()
+                    yield made(batch, row, at, v)
                     row, at, v = [], [], []
-            yield made()
+            yield made(batch, row, at, v)
 
     first = "struct<doc:bigint,dig:bigint,no:int>"
-    return lines.select("line", "seeds", "h1", "h2", "first").mapInArrow(run, f"v long, at int, h1 long, h2 long, first {first}")
+    return lines.select("line", "parts", "h1", "h2", "first").mapInArrow(run, f"v long, at int, h1 long, h2 long, first {first}")
 
 
 def near_lines(keyed: DataFrame, lines: DataFrame, unique: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2) of the lines that have an earlier line one edit away. unique: (h1, h2, first, keys)."""
-    keys = unique.select("h1", "h2", F.posexplode("keys").alias("seed", "key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key")
-    seeds = keys.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set("seed").alias("seeds"))  # at most 2 * _BLOCKS
-    seeds = common.materialize(seeds.join(unique.select("h1", "h2", "first"), ["h1", "h2"]), "near_seeds")
-    texts = common.materialize(_texts(keyed, seeds, min_chars), "near_texts")
+    keys = unique.select("h1", "h2", F.posexplode("keys").alias("block", "key"))
+    near = _shared(keys, "block", "blocks").join(unique.select("h1", "h2", "first"), ["h1", "h2"])
+    texts = common.materialize(_texts(keyed, common.materialize(near, "near_blocks"), min_chars), "near_texts")
+    parts = _shared(_part_keys(texts), "part", "parts")
+    texts = common.materialize(texts.drop("blocks").join(parts, ["h1", "h2"]), "near_parts")
     variants = common.materialize(_variants(texts), "variants")
 
     line = F.struct("first", "h1", "h2")
