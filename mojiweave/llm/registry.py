@@ -13,6 +13,7 @@ from mojiweave.llm.near_dup import op9_minhash
 from mojiweave.llm.packing import op4_packing
 from mojiweave.llm.quality_rules import op2_quality_rules
 from mojiweave.llm.substring_dedup import op8_substring_dedup
+from mojiweave.llm.toxicity import op6_toxicity
 from mojiweave.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
