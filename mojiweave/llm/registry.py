@@ -11,6 +11,7 @@ from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
 from mojiweave.llm.line_dedup import op5_line_dedup
 from mojiweave.llm.near_dup import op9_minhash
 from mojiweave.llm.packing import op4_packing
+from mojiweave.llm.quality_knn import op7_quality_knn
 from mojiweave.llm.quality_rules import op2_quality_rules
 from mojiweave.llm.substring_dedup import op8_substring_dedup
 from mojiweave.llm.toxicity import op6_toxicity
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality_knn": op7_quality_knn,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
