@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from mojiweave.llm.chat import op1_chat
 from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
 from mojiweave.llm.line_dedup import op5_line_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
