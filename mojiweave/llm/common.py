@@ -123,3 +123,22 @@ def slot_test(bits: bytes):
         return (held[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
     return test
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (doc_id, each once); a null doc_id is a value like any other.
+
+    Only rows that pass a filter of fixed size (a broadcast of FILTER_BITS / 8 bytes at most) meet gone
+    in a join, so texts that stay are not shuffled.
+    """
+    key = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
+    slot, bits = F.pmod(key, F.lit(FILTER_BITS)), F.lit(_CHUNK_BITS)
+    chunks = gone.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / bits).alias("_chunk")).agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), bits)).alias("_bits"))
+    place = F.pmod(slot, bits).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), F.pmod(place, F.lit(8)) + 1)) != 0, F.lit(False))
+    marked = docs.withColumn("_chunk", F.floor(slot / bits)).join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe)
+    kept = marked.filter("not _maybe").select(*docs.columns)
+    ids = gone.select(F.col("doc_id").alias("_gone"))
+    open_ = marked.filter("_maybe").select(*docs.columns)
+    return kept.unionByName(open_.join(ids, open_["doc_id"].eqNullSafe(ids["_gone"]), "left_anti"))

@@ -120,8 +120,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROAD
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold any window of the benchmark; all rows of such a doc_id go."""
-    bad = find_hits(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]), "left_anti")
+    bad = find_hits(docs, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct()
+    return common.drop_ids(docs, common.materialize(bad, "contaminated"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

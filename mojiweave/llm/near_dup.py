@@ -368,8 +368,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] = ENOUGH) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component."""
-    gone = near_duplicates(docs, size, enough).filter("component_id != doc_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_doc"], "left_anti")
+    gone = near_duplicates(docs, size, enough).filter("component_id != doc_id").select("doc_id").distinct()
+    return common.drop_ids(docs, common.materialize(gone, "gone"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,9 +75,10 @@ def text_counts(text: str) -> tuple[int, ...]:
     )
 
 
-def count_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the numbers of COUNTS, a row per row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_counts(docs: DataFrame) -> DataFrame:
+    """docs with _counts, a struct of COUNTS, a row per row of docs."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -85,9 +86,10 @@ def count_table(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = np.asarray([text_counts(x.as_py() or "") for x in batch.column("text")], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
+            counts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(COUNTS))], list(COUNTS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), counts], [*names, "_counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.mapInArrow(run, f"{schema}, _counts struct<{', '.join(f'{c}: long' for c in COUNTS)}>")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -154,35 +156,43 @@ def fit_em(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: in
     return p_good, p_bad, prior, q
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the counts, vote_<rule>, base_failed, p_good and kept, a row per row of docs."""
-    counted = common.materialize(count_table(docs), "rule_counts")
-    made = rules()
-    names = [f"vote_{r.name}" for r in made]
-    voted = counted.select("*", *(r.vote().alias(v) for r, v in zip(made, names, strict=True)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = voted.filter(~failed).groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _votes() -> dict[str, Column]:
+    return {f"vote_{r.name}": r.vote() for r in rules()}
+
+
+def fit(counted: DataFrame) -> DataFrame:
+    """(vote_<rule>..., p_good) of every pattern of votes among the rows of counted (COUNTS) that pass the base rules."""
+    names = list(_votes())
+    rows = counted.filter(~_failed()).select(*(v.alias(k) for k, v in _votes().items())).groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
     rows.sort(key=lambda r: tuple(r)[:-1])
     *_, prob = fit_em([(tuple(r)[:-1], r["count"]) for r in rows], len(names))
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(*tuple(r)[:-1], float(p)) for r, p in zip(rows, prob, strict=True)], ", ".join(f"{v} int" for v in names) + ", p_good double")
-    return (
-        voted.join(F.broadcast(table), names, "left")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("p_good"), F.lit(1.0)) >= threshold))
-    )
+    return counted.sparkSession.createDataFrame([(*tuple(r)[:-1], float(p)) for r, p in zip(rows, prob, strict=True)], ", ".join(f"{v} int" for v in names) + ", p_good double")
+
+
+def _judged(counted: DataFrame, verdicts: DataFrame, threshold: float) -> DataFrame:
+    """counted (COUNTS, ...) with vote_<rule>, p_good, base_failed and kept."""
+    voted = counted.withColumns(_votes()).join(F.broadcast(verdicts), list(_votes()), "left").withColumn("base_failed", _failed())
+    return voted.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("p_good"), F.lit(1.0)) >= threshold))
+
+
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the counts, vote_<rule>, base_failed, p_good and kept, a row per row of docs."""
+    counted = common.materialize(with_counts(docs.select("doc_id", "text")).select("doc_id", "_counts.*"), "rule_counts")
+    return _judged(counted, fit(counted), threshold)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, all columns as they were.
 
-    The verdict is joined by doc_id and text digest, so rows that repeat a doc_id are told apart.
+    The texts are counted a second time where they are read, which costs less than to shuffle them.
     """
-    key = F.xxhash64("text")
-    keyed = docs.select(F.col("doc_id"), F.col("text"), key.alias("_key"))
-    counted = keyed.select(F.struct("doc_id", "_key").alias("doc_id"), "text")
-    kept = judge(counted).filter("kept").select(F.col("doc_id.doc_id").alias("_doc"), F.col("doc_id._key").alias("_key")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & key.eqNullSafe(kept["_key"]), "left_semi")
+    counted = common.materialize(with_counts(docs.select("text")).select("_counts.*"), "rule_counts")
+    rows = with_counts(docs).select(F.struct(*docs.columns).alias("_row"), "_counts.*")
+    return _judged(rows, fit(counted), threshold).filter("kept").select("_row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
