@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic, syntax
-from mojiweave.operators import dictionary, lattice, oov, orthography, profile, quality
+from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, profile, quality
 from mojiweave.sources import export
 from mojiweave.sources.fixed import LatticeParameters
 from mojiweave.sources.tables import document_words, kana_table, lexicon, profile_words, table
@@ -318,3 +318,24 @@ def glued_controls(spark, sf_dir):
 @query
 def particle_collisions(spark, sf_dir):
     return oov.particle_collisions(document_words(spark, sf_dir))
+
+
+def consensus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands and types of parts between Japanese words, letters only."""
+    t = F.concat(F.lit("kyouha"), F.regexp_replace(syntax.normalize(F.col("p_type")), "[^a-z]", ""), F.lit("desu"))
+    return table(spark, sf_dir, "part").select(t.alias("text")).distinct()
+
+
+@query
+def consensus_frames(spark, sf_dir):
+    return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[0]
+
+
+@query
+def consensus_boundaries(spark, sf_dir):
+    return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[1]
+
+
+@query
+def consensus_segments(spark, sf_dir):
+    return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[2]
