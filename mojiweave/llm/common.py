@@ -17,9 +17,21 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the word contracts name it: \x20 and \x09-\x0D.
 WHITE = " \t\n\v\f\r"
 
+#: Bytes of an Arrow batch that goes to a Python worker, at most (beyond a single row): what a worker and
+#: the JVM beside it hold at once does not depend on how long texts are.
+BATCH_BYTES = 8 << 20
+
 _made: list[list[str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_BYTES; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name, "0").rstrip("b") or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -45,6 +57,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: its lineage is cut, and no executor holds the only copy."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -70,6 +83,7 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -90,7 +90,7 @@ def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
                     spans = coarse_spans(n)
                     sizes.append(len(spans))
                     keys += [xxh3_64_intdigest((line[:a] + "\0" + line[n - b :]).encode("utf-8", "surrogatepass"), seed) for seed, a, b in spans]
-                if len(row) > 200_000:
+                if len(row) > 50_000:
                     yield made(batch, row, no, digests, keys, sizes)
                     row, no, digests, keys, sizes = [], [], [], [], []
             yield made(batch, row, no, digests, keys, sizes)
@@ -177,7 +177,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                 for p in sorted(places):
                     at.append(p)
                     v.append(xxh3_64_intdigest((line[:p] + line[p + 1 :]).encode("utf-8", "surrogatepass")))
-                if len(v) > 500_000:
+                if len(v) > 100_000:
                     yield made(batch, row, at, v)
                     row, at, v = [], [], []
             yield made(batch, row, at, v)

@@ -41,7 +41,7 @@ BINS, BAND = 252, 7
 FLOOR = int(BINS * 0.72)
 BLOCK = 512
 #: Shingles that are sketched at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 _STEP, _MUL1, _MUL2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 

@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Pieces in a hash bucket of one length, on average, at most.
 BUCKET_ROWS = 100_000
 

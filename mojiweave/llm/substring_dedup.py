@@ -103,7 +103,7 @@ def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFram
                     digests.append(d)
                     again.append(d in seen)
                     seen.add(d)
-                if len(row) > 200_000:
+                if len(row) > 50_000:
                     yield made(batch, row, at, size, digests, again)
                     row, at, size, digests, again = [], [], [], [], []
             yield made(batch, row, at, size, digests, again)
