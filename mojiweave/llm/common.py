@@ -27,8 +27,8 @@ _made: list[list[str]] = []
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to BATCH_BYTES; a lower setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name, "0").rstrip("b") or 0)
-    if not 0 < now <= BATCH_BYTES:
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
