@@ -135,6 +135,7 @@ ORACLES: dict[str, str] = {
     + "SELECT whole AS text, s AS start, e AS \"end\", output, round(length(cut.text) - 0.55 + 0.42 * greatest(-2.5, least(2.5, ja - en)), 6) AS local_score FROM cut JOIN reads USING (text) JOIN priced USING (text)",
     "binding_runs": f"SELECT text, CAST(place AS BIGINT) AS place, run FROM (SELECT text, unnest(runs) AS run, unnest(range(0, len(runs))) AS place FROM (SELECT text, list_filter(regexp_extract_all(text, '[A-Za-z0-9._\\-+#@/:]+'), lambda r: regexp_matches(r, '[._\\-+#@/:]')) AS runs FROM (SELECT DISTINCT {_lenient('url')} AS text FROM pages)))",
     "session_work": "SELECT '' AS text, CAST(0 AS BIGINT) AS step WHERE false",
+    "phonetic_violations": "SELECT '' AS text, CAST(0 AS BIGINT) AS step WHERE false",
     "path_violations": "SELECT '' AS text, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS place WHERE false",
     "keystroke_sessions": "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n, count(*) AS steps FROM events GROUP BY user_id",
     "suffix_shape": _with(WORDS) + f"SELECT text AS word, {LATIN.format('text')} AS latin_ending FROM words",

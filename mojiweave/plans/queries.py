@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic, syntax
-from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, profile, quality
+from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, phonetic_sessions, profile, quality
 from mojiweave.sources import export
 from mojiweave.sources.fixed import LatticeParameters
 from mojiweave.sources.tables import document_words, kana_table, lexicon, profile_words, table
@@ -339,3 +339,39 @@ def consensus_boundaries(spark, sf_dir):
 @query
 def consensus_segments(spark, sf_dir):
     return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[2]
+
+
+def phonetic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, and addresses followed by Japanese."""
+    return phrases(spark, sf_dir).unionByName(urls(spark, sf_dir).select(F.concat("text", F.lit("wotukau")).alias("text"))).distinct()
+
+
+@query
+def phonetic_session_results(spark, sf_dir):
+    s = phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir)))
+    return s.select("text", "output", "committed_raw_length", "hard_committed_raw_length", "total_analyzed")
+
+
+@query
+def freeze_transitions(spark, sf_dir):
+    return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "freeze_transitions")
+
+
+@query
+def ripple_events(spark, sf_dir):
+    return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "ripple_events")
+
+
+@query
+def thaw_events(spark, sf_dir):
+    return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "thaw_events")
+
+
+@query
+def phonetic_segments(spark, sf_dir):
+    return phonetic_sessions.events(phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir))), "segments")
+
+
+@query
+def phonetic_violations(spark, sf_dir):
+    return phonetic_sessions.broken_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir))).select("text", F.col("step").cast("long").alias("step"))
