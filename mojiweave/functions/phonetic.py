@@ -27,7 +27,8 @@ def units(text: Column) -> Column:
     def unit(t: Column, i: Column) -> Column:
         following, last = F.get(tokens, i + 1), i == F.size(tokens) - 1
         double = t.rlike("^[b-df-hj-mp-tv-z]$") & F.coalesce(F.startswith(following, t), F.lit(False))
-        kana = F.when(double, "っ").otherwise(F.try_element_at(known, t))
+        stray = (t == "n") & F.coalesce(F.startswith(following, F.lit("y")), F.lit(False))  # ny without its vowel
+        kana = F.when(double, "っ").when(~stray, F.try_element_at(known, t))
         kind = F.when(~t.rlike("^[a-z]"), "Symbol").when(kana.isNotNull(), "Kana").when(last & F.array_contains(ends, t), "Ambiguous").otherwise("Pending")
         return F.struct(t.alias("raw"), kana.alias("kana"), kind.alias("kind"))
 

@@ -57,8 +57,8 @@ walk AS (
 ),
 u AS (
   SELECT text, beg, token, sokuon, v,
-         CASE WHEN sokuon = 'y' OR token IN ('nn', 'n') OR v IS NOT NULL THEN 'Kana' WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN 'Ambiguous' ELSE 'Pending' END AS kind,
-         CASE WHEN sokuon = 'y' THEN 'っ' WHEN token IN ('nn', 'n') THEN 'ん' WHEN v IS NOT NULL THEN v WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN '{{' || token || '…}}' ELSE '{{' || token || '?}}' END AS preview
+         CASE WHEN sokuon = 'y' OR token = 'nn' OR (token = 'n' AND substr(text, beg + 1, 1) <> 'y') OR v IS NOT NULL THEN 'Kana' WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN 'Ambiguous' ELSE 'Pending' END AS kind,
+         CASE WHEN sokuon = 'y' THEN 'っ' WHEN token = 'nn' OR (token = 'n' AND substr(text, beg + 1, 1) <> 'y') THEN 'ん' WHEN v IS NOT NULL THEN v WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN '{{' || token || '…}}' ELSE '{{' || token || '?}}' END AS preview
   FROM walk LEFT JOIN kana_keys ON k = token AND sokuon = '' WHERE beg > 0
 )"""
 
