@@ -87,9 +87,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column, row, beside columns of the caller's own: no name of theirs can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _doc, the doc_id (null: the least number), and _dig, a digest that tells rows of one doc_id apart."""
-    return docs.select("*", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_dig"))
+    """row, text, _doc, the doc_id (null: the least number), and _dig, a digest that tells rows of one doc_id apart."""
+    return packed(docs, F.col("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_dig"))
+
+
+def ddl(docs: DataFrame, *without: str) -> str:
+    """The columns of docs as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in without)
 
 
 def worker_store(name: str, make):
@@ -149,10 +159,8 @@ def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     slot, bits = F.pmod(key, F.lit(FILTER_BITS)), F.lit(_CHUNK_BITS)
     chunks = gone.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / bits).alias("_chunk")).agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), bits)).alias("_bits"))
     place = F.pmod(slot, bits).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), F.pmod(place, F.lit(8)) + 1)) != 0, F.lit(False))
-    marked = docs.withColumn("_chunk", F.floor(slot / bits)).join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe)
-    kept = marked.filter("not _maybe").select(*docs.columns)
-    ids = gone.select(F.col("doc_id").alias("_gone"))
-    open_ = marked.filter("_maybe").select(*docs.columns)
-    return kept.unionByName(open_.join(ids, open_["doc_id"].eqNullSafe(ids["_gone"]), "left_anti"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), F.pmod(F.col("_place"), F.lit(8)) + 1)) != 0, F.lit(False))
+    marked = packed(docs, F.col("doc_id"), F.floor(slot / bits).alias("_chunk"), place.alias("_place")).join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe)
+    open_ = marked.filter("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.filter("not _maybe").select("row.*").unionByName(open_.select("row.*"))

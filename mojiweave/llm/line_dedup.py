@@ -224,29 +224,29 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the remaining lines as text, and n_lines and n_removed (of the text as it was)."""
     keyed = common.keyed(docs)
     gone = removed_lines(keyed, min_chars)
-    joined = keyed.join(gone, ["_doc", "_dig"], "left").select(*docs.columns, F.col("gone").alias("_gone"))
-    out = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in out) + ", n_lines long, n_removed long"
-    joined = joined.select(*out, "_gone")
+    joined = keyed.join(gone, ["_doc", "_dig"], "left").select("row", "gone")
+    own = ("n_lines", "n_removed")
+    out = [c for c in docs.columns if c not in own]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for batch in batches:
-            text = batch.column("text")
+            row, gone = batch.column("row"), batch.column("gone")
+            columns = {c: row.field(c) for c in out}
+            text = columns["text"]
             n = pc.add(pc.count_substring(text, "\n"), pa.scalar(1, pa.int32())).cast(pa.int64()).fill_null(0)
-            lost = pc.list_value_length(batch.column("_gone")).cast(pa.int64()).fill_null(0)
-            some = pc.indices_nonzero(lost)
+            lost = pc.list_value_length(gone).cast(pa.int64()).fill_null(0)
             kept = []
-            for i in some.to_pylist():
-                drop = set(batch.column("_gone")[i].as_py())
+            for i in pc.indices_nonzero(lost).to_pylist():
+                drop = set(gone[i].as_py())
                 kept.append("\n".join(x for k, x in enumerate(text[i].as_py().split("\n")) if k not in drop))
             if kept:
-                text = pc.replace_with_mask(text, pc.greater(lost, 0), pa.array(kept, text.type))
-            yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch.column(c) for c in out), n, lost], [*out, "n_lines", "n_removed"])
+                columns["text"] = pc.replace_with_mask(text, pc.greater(lost, 0), pa.array(kept, text.type))
+            yield pa.RecordBatch.from_arrays([*columns.values(), n, lost], [*out, *own])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, common.ddl(docs, *own) + ", n_lines long, n_removed long")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -84,7 +84,7 @@ def sketches(sets: list):
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full((len(sets), BINS), full, dtype=np.uint64)
     flat = out.reshape(-1)
-    sizes = np.asarray([len(s) for s in sets])
+    sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
     x, owner = np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), sizes)
     low, at = np.uint64(0xFFFFFFFF), np.uint64(32)
     for i in range(2 * BINS):

@@ -76,20 +76,19 @@ def text_counts(text: str) -> tuple[int, ...]:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with _counts, a struct of COUNTS, a row per row of docs."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """row, a struct of the columns of docs, and counts, a struct of COUNTS, a row per row of docs."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            rows = np.asarray([text_counts(x.as_py() or "") for x in batch.column("text")], dtype=np.int64).reshape(-1, len(COUNTS))
+            rows = np.asarray([text_counts(x.as_py() or "") for x in batch.column("row").field("text")], dtype=np.int64).reshape(-1, len(COUNTS))
             counts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(COUNTS))], list(COUNTS))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), counts], [*names, "_counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), counts], ["row", "counts"])
 
-    return docs.mapInArrow(run, f"{schema}, _counts struct<{', '.join(f'{c}: long' for c in COUNTS)}>")
+    rows = common.packed(docs)
+    return rows.mapInArrow(run, f"{common.ddl(rows)}, counts struct<{', '.join(f'{c}: long' for c in COUNTS)}>")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -181,7 +180,7 @@ def _judged(counted: DataFrame, verdicts: DataFrame, threshold: float) -> DataFr
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the counts, vote_<rule>, base_failed, p_good and kept, a row per row of docs."""
-    counted = common.materialize(with_counts(docs.select("doc_id", "text")).select("doc_id", "_counts.*"), "rule_counts")
+    counted = common.materialize(with_counts(docs.select("doc_id", "text")).select("row.doc_id", "counts.*"), "rule_counts")
     return _judged(counted, fit(counted), threshold)
 
 
@@ -190,9 +189,9 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     The texts are counted a second time where they are read, which costs less than to shuffle them.
     """
-    counted = common.materialize(with_counts(docs.select("text")).select("_counts.*"), "rule_counts")
-    rows = with_counts(docs).select(F.struct(*docs.columns).alias("_row"), "_counts.*")
-    return _judged(rows, fit(counted), threshold).filter("kept").select("_row.*")
+    counted = common.materialize(with_counts(docs.select("text")).select("counts.*"), "rule_counts")
+    rows = with_counts(docs).select("row", "counts.*")
+    return _judged(rows, fit(counted), threshold).filter("kept").select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

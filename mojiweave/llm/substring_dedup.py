@@ -139,16 +139,17 @@ def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the sentences that stay as text, and n_sentences and n_removed (of the text as it was)."""
     keyed = common.keyed(docs)
-    out = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in out) + ", n_sentences long, n_removed long"
-    joined = keyed.join(covered(keyed, min_sentences, min_words), ["_doc", "_dig"], "left").select(*out, F.col("gone").alias("_gone"))
+    joined = keyed.join(covered(keyed, min_sentences, min_words), ["_doc", "_dig"], "left").select("row", "gone")
+    own = ("n_sentences", "n_removed")
+    out = [c for c in docs.columns if c not in own]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts, total, lost = [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("_gone"), strict=True):
+            row, texts, total, lost = batch.column("row"), [], [], []
+            columns = {c: row.field(c) for c in out}
+            for text, gone in zip(columns["text"], batch.column("gone"), strict=True):
                 text, gone = text.as_py(), gone.as_py()
                 starts, words = sentences(text or "")
                 drop = {k for g in gone or () for k in range(g["at"], g["at"] + g["size"])}
@@ -157,9 +158,10 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
                 texts.append(text)
                 total.append(len(words))
                 lost.append(len(drop))
-            yield pa.RecordBatch.from_arrays([*(pa.array(texts, batch.column("text").type) if c == "text" else batch.column(c) for c in out), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*out, "n_sentences", "n_removed"])
+            columns["text"] = pa.array(texts, columns["text"].type)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*out, *own])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, common.ddl(docs, *own) + ", n_sentences long, n_removed long")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
