@@ -9,7 +9,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +110,33 @@ def worker_store(name: str, make):
     return getattr(home, name)
 
 
+def tidy_worker(*keep: str) -> None:
+    """Drops what worker_store() holds under other names and gives freed memory back: workers live through many stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    home = sys.modules.get("_mojiweave_worker")
+    for name in [n for n in vars(home or object) if not n.startswith("__") and n not in keep] if home else ():
+        delattr(home, name)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, *keep: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in a worker that starts and ends tidy, but for the named stores."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        tidy_worker(*keep)
+        yield from run(batches)
+        tidy_worker(*keep)
+
+    return df.mapInArrow(tidied, schema)
+
+
 # --- a filter of fixed size over 64-bit keys -------------------------------------------------
 
 #: Bits of the filter: 8 MB, whatever the number of keys. Beyond some 10^7 keys it lets more

@@ -95,7 +95,7 @@ def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
                     row, no, digests, keys, sizes = [], [], [], [], []
             yield made(batch, row, no, digests, keys, sizes)
 
-    return keyed.select("_doc", "_dig", "text").mapInArrow(run, "doc long, dig long, no int, h1 long, h2 long, keys array<long>")
+    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, "doc long, dig long, no int, h1 long, h2 long, keys array<long>")
 
 
 def _texts(keyed: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
             good = test(h[:, 0] % common.FILTER_BITS) if len(h) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(list(found.values()), pa.string())], ["h1", "h2", "line"]).filter(pa.array(good, pa.bool_()))
 
-    return keyed.select("text").mapInArrow(run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
+    return common.map_arrow(keyed.select("text"), run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
 
 
 def _part_keys(lines: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _part_keys(lines: DataFrame) -> DataFrame:
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take), pa.array(part, pa.int32()), pa.array(np.asarray(key, dtype=np.uint64).view(np.int64))], ["h1", "h2", "part", "key"])
 
-    return lines.select("line", "blocks", "h1", "h2").mapInArrow(run, "h1 long, h2 long, part int, key long")
+    return common.map_arrow(lines.select("line", "blocks", "h1", "h2"), run, "h1 long, h2 long, part int, key long")
 
 
 def _shared(keys: DataFrame, what: str, name: str) -> DataFrame:
@@ -183,7 +183,7 @@ def _variants(lines: DataFrame) -> DataFrame:
             yield made(batch, row, at, v)
 
     first = "struct<doc:bigint,dig:bigint,no:int>"
-    return lines.select("line", "parts", "h1", "h2", "first").mapInArrow(run, f"v long, at int, h1 long, h2 long, first {first}")
+    return common.map_arrow(lines.select("line", "parts", "h1", "h2", "first"), run, f"v long, at int, h1 long, h2 long, first {first}")
 
 
 def near_lines(keyed: DataFrame, lines: DataFrame, unique: DataFrame, min_chars: int) -> DataFrame:
@@ -246,7 +246,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 columns["text"] = pc.replace_with_mask(text, pc.greater(lost, 0), pa.array(kept, text.type))
             yield pa.RecordBatch.from_arrays([*columns.values(), n, lost], [*out, *own])
 
-    return joined.mapInArrow(run, common.ddl(docs, *own) + ", n_lines long, n_removed long")
+    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_lines long, n_removed long")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

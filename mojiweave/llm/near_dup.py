@@ -154,7 +154,7 @@ def sketch_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             if sets:
                 yield rows(batch.column("doc_id").slice(start, len(sets)), sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SKETCHED}")
+    return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, {SKETCHED}")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "members"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), common.key_slot(F.col("doc_id")).alias("slot"), "text")
-    return common.materialize(rows.mapInArrow(run, "node long, members binary").join(nodes, "node", "left_semi"), name)
+    return common.materialize(common.map_arrow(rows, run, "node long, members binary").join(nodes, "node", "left_semi"), name)
 
 
 def _linked(a, b, enough) -> bool:
@@ -202,7 +202,7 @@ def _with_estimate(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(axis=1).astype(np.int32))], ["a", "b", "equal"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, equal int")
+    return common.map_arrow(joined.select("a", "b", "sa", "sb"), run, "a long, b long, equal int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, enough) -> DataFrame:
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, enough) -> DataFrame:
             good = [_linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), enough) for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
+    return common.map_arrow(joined.select("a", "b", "ma", "mb"), run, "a long, b long").distinct()
 
 
 def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -248,7 +248,7 @@ def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from work(rest)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, schema)
+    return common.map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys).select(*names), run, schema)
 
 
 def _open_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Pieces in a hash bucket of one length, on average, at most.
 BUCKET_ROWS = 100_000
 
@@ -88,6 +88,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if kept, ids."""
     path = tokenizer or default_tokenizer()
+    store = f"words_{zlib.crc32(path.encode())}"
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = PIECES.replace("doc_id long", f"doc_id {kind}") + (", ids array<int>" if keep_ids else "")
 
@@ -95,7 +96,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         import numpy as np
         import pyarrow as pa
 
-        encode = common.worker_store("words_" + str(zlib.crc32(path.encode())), lambda: WordEncoder(path))
+        encode = common.worker_store(store, lambda: WordEncoder(path))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
@@ -119,7 +120,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return common.map_arrow(docs.select("doc_id", "text"), run, schema, store)
 
 
 def best_two_fit(counts, capacity: int):
@@ -213,7 +214,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset = s[at, 4] + rest % np.maximum(s[at, 2], 1) * size
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    return common.map_arrow(ranked.select(*names, "_rank"), run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:

@@ -109,7 +109,7 @@ def inverse_frequencies(docs: DataFrame):
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["place", "df"])
 
-    rows = docs.select("text").mapInArrow(run, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()  # at most PLACES + 1
+    rows = common.map_arrow(docs.select("text"), run, "place long, df long", "knn_places").groupBy("place").agg(F.sum("df").alias("df")).collect()  # at most PLACES + 1
     df, n = np.zeros(PLACES), 0
     for r in rows:
         if r["place"] < 0:
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Voters:
             at, count = pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([c for _, c in made], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), at, count], ["doc_id", "y", "at", "n"])
 
-    got = sample.mapInArrow(run, "doc_id long, y int, at array<long>, n array<long>").toArrow()
+    got = common.map_arrow(sample, run, "doc_id long, y int, at array<long>, n array<long>", "knn_places").toArrow()
     got = got.sort_by("doc_id")
     rows = [weighted(np.asarray(a.values), np.asarray(n.values), idf) for a, n in zip(got.column("at"), got.column("n"), strict=True)]
     rows = [(np.asarray(a.values), w) for a, w in zip(got.column("at"), rows, strict=True)]
@@ -209,7 +209,7 @@ def score_documents(docs: DataFrame, voters: Voters) -> DataFrame:
                 out.append(v.vote([(at, weighted(at, n, v.idf)) for at, n in made]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double", "knn_places")
 
 
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

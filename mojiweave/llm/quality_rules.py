@@ -88,7 +88,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), counts], ["row", "counts"])
 
     rows = common.packed(docs)
-    return rows.mapInArrow(run, f"{common.ddl(rows)}, counts struct<{', '.join(f'{c}: long' for c in COUNTS)}>")
+    return common.map_arrow(rows, run, f"{common.ddl(rows)}, counts struct<{', '.join(f'{c}: long' for c in COUNTS)}>")
 
 
 def _share(part: str, whole: str) -> Column:

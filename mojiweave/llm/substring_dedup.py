@@ -108,7 +108,7 @@ def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFram
                     row, at, size, digests, again = [], [], [], [], []
             yield made(batch, row, at, size, digests, again)
 
-    return keyed.select("_doc", "_dig", "text").mapInArrow(run, "doc long, dig long, at int, size int, h1 long, h2 int, again boolean")
+    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, "doc long, dig long, at int, size int, h1 long, h2 int, again boolean")
 
 
 def _picked(table: DataFrame, bits) -> DataFrame:
@@ -121,7 +121,7 @@ def _picked(table: DataFrame, bits) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(test(batch.column("h1").to_numpy() % common.FILTER_BITS)))
 
-    return table.mapInArrow(run, table.schema)
+    return common.map_arrow(table, run, table.schema)
 
 
 def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
             columns["text"] = pa.array(texts, columns["text"].type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*out, *own])
 
-    return joined.mapInArrow(run, common.ddl(docs, *own) + ", n_sentences long, n_removed long")
+    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_sentences long, n_removed long")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

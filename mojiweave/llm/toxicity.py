@@ -104,7 +104,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
                 n, zero = [terms[t] for t in part], [0] * len(part)
                 yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.string()), "fold": pa.array([fold] * len(part), pa.int64()), "bad": pa.array(n if y else zero, pa.int64()), "good": pa.array(zero if y else n, pa.int64())})
 
-    each = rows.mapInArrow(run, "term string, fold long, bad long, good long")
+    each = common.map_arrow(rows, run, "term string, fold long, bad long, good long")
     sums = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("bad", "good")]
     sums += [F.sum(c).alias(f"{c}{FOLDS}") for c in ("bad", "good")]
     terms = common.materialize(each.groupBy("term").agg(*sums), "terms")
@@ -240,7 +240,7 @@ def fit(sample: DataFrame) -> Model:
             x = np.asarray([features(t.as_py(), lexicons[k.as_py()]) for t, k in zip(batch.column("text"), batch.column("fold"), strict=True)], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(FEATURES)))], ["fold", "y", *FEATURES])
 
-    got = rows.mapInArrow(run, "fold long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    got = common.map_arrow(rows, run, "fold long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     got = got.sort_values(list(got.columns))
     x, y, fold = got[list(FEATURES)].to_numpy(), got["y"].to_numpy().astype(float), got["fold"].to_numpy()
     prior = float(y.mean()) if len(y) else 0.0
@@ -265,7 +265,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(known.value.score([t.as_py() or "" for t in batch.column("text")]), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

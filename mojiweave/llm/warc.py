@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
         if out:
             out.close()
 
-    return common.materialize(joined.sortWithinPartitions("page_id", "url", F.xxhash64("html")).mapInArrow(run, CAPTURES), "captures")
+    return common.materialize(common.map_arrow(joined.sortWithinPartitions("page_id", "url", F.xxhash64("html")), run, CAPTURES), "captures")
 
 
 def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str]]:
@@ -194,7 +194,7 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str]]:
             out.close()
             yield pa.RecordBatch.from_pydict({"first": [first], "file": [out.path.rpartition("/")[2]]})
 
-    return sorted((r["first"].encode(), r["file"]) for r in rows.mapInArrow(run, "first string, file string").collect())
+    return sorted((r["first"].encode(), r["file"]) for r in common.map_arrow(rows, run, "first string, file string").collect())
 
 
 class Index:
@@ -291,7 +291,7 @@ def fetch(entries: DataFrame, folder: str, shards: list[tuple[bytes, str]], payl
                     found, held = [], 0
             yield pa.RecordBatch.from_pylist(found, schema)
 
-    return entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(run, RECORDS)
+    return common.map_arrow(entries.repartitionByRange("entry").sortWithinPartitions("entry"), run, RECORDS)
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"entry": pa.array([entry_key(u.as_py(), p.as_py()) for p, u in zip(batch.column("page_id"), batch.column("url"), strict=True)], pa.string())})
 
-    return pages.select("page_id", "url").mapInArrow(run, "entry string").distinct()
+    return common.map_arrow(pages.select("page_id", "url"), run, "entry string").distinct()
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> list[tuple[bytes, str]]:
