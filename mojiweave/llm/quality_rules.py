@@ -24,7 +24,7 @@ from mojiweave.llm import common
 
 SYMBOLS = "#*$%&|<>"
 #: The method takes rules that condemn at most this share of the good documents they vote on.
-MOST_FALSE = 0.05
+MOST_FALSE = 0.01
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha", "n_distinct", "n_shout", "n_adjacent", "n_stops")
 
 
@@ -145,7 +145,7 @@ def fit_em(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: in
         before = q
         a, b = n * q, n * (1 - q)
         p_good = np.clip((a @ good + 1.96) / (a @ (good + bad) + 2), 1 - MOST_FALSE, 0.9995)
-        p_bad = np.clip((b @ good + 1.6) / (b @ (good + bad) + 2), 0.01, p_good - 0.0004)
+        p_bad = np.clip((b @ good + 1.8) / (b @ (good + bad) + 2), 0.01, p_good - 0.0004)
         prior = float(np.clip((a.sum() + 1.8) / (n.sum() + 2), 0.05, 0.99))
         x = np.log(prior) + good @ np.log(p_good) + bad @ np.log(1 - p_good)
         y = np.log(1 - prior) + good @ np.log(p_bad) + bad @ np.log(1 - p_bad)
