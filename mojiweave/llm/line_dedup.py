@@ -260,4 +260,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")

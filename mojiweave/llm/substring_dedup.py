@@ -165,4 +165,5 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+    found = remove_repeats(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")
