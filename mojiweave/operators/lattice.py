@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mojiweave.functions.phonetic import converts, kana
+from mojiweave.functions.syntax import char_class, char_set
 from mojiweave.operators.dictionary import hits
 from mojiweave.operators.profile import advantage, scores
 from mojiweave.plans import lattice as L
-from mojiweave.sources.fixed import LatticeParameters
+from mojiweave.sources.fixed import BINDING, LatticeParameters
 
 EDGE = "struct<start:int,end:int,raw:string,output:string,language:string,kind:string,local_score:double,japanese_profile:double,english_profile:double,evidence:string>"
 PATH = f"struct<score:double,relative_score:double,segmentation:string,output:string,edges:array<{EDGE}>>"
@@ -136,6 +137,68 @@ def phonetic_edges(texts: DataFrame, profile_words: DataFrame, parameters: Latti
     return spans.join(priced, "raw").select("text", "start", "end", "raw", "output", F.lit("Japanese").alias("language"), F.lit("JapanesePhonetic").alias("kind"), score.alias("local_score"), F.lit("phonetic-lattice").alias("evidence"))
 
 
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(text, "[^a-z]", "")
+
+
+def structural_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
+    """The same of Latin tokens around each binding symbol: word characters on both sides, or a closing # or +.
+
+    A symbol makes at most latin_side squared spans. Their parts are scored once per distinct run of letters.
+    """
+    side = (parameters or LatticeParameters()).latin_side
+    chars = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("at", "c")).filter(F.col("c").isin(*BINDING))
+    left = F.length(F.regexp_extract(F.substr("text", F.lit(1), F.col("at")), f"[a-z0-9]{{0,{side}}}$", 0))
+    right = F.length(F.regexp_extract(F.substr("text", F.col("at") + 2, F.lit(side)), "^[a-z0-9]*", 0))
+    plus = F.when(F.col("c") == "+", F.length(F.regexp_extract(F.substr("text", F.col("at") + 2, F.length("text")), r"^\+*", 0))).otherwise(0)
+    marked = chars.withColumn("l", left).withColumn("r", right).withColumn("p", plus).filter((F.col("l") > 0) & ((F.col("r") > 0) | F.col("c").isin("#", "+")))
+    ends = F.when(F.col("r") > 0, F.sequence(F.col("at") + 2, F.col("at") + 1 + F.col("r"))).otherwise(F.array(F.col("at") + 1 + F.col("p")))
+    spans = marked.select("text", F.explode(F.sequence(F.col("at") - F.col("l"), F.col("at") - 1)).alias("start"), ends.alias("ends")).select("text", "start", F.explode("ends").alias("end")).distinct()
+    spans = spans.withColumn("raw", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))).filter(F.col("raw").rlike("[a-z]"))
+    cut = f"[{char_set(BINDING)}]"
+    head = F.regexp_extract("raw", f"^(.*?){cut}", 1)
+    parts = {"span": F.col("raw"), "head": head, "tail": F.substr("raw", F.length(head) + 2, F.length("raw"))}
+    spans = spans.withColumns({f"_{k}": _letters(v) for k, v in parts.items()}).withColumn("head", head)
+    words = spans.select(F.explode(F.array(*(f"_{k}" for k in parts))).alias("word")).distinct()
+    priced = scores(words, profile_words).select("word", advantage(F.col("english"), F.col("japanese")).alias("lean"))
+    for k in parts:
+        spans = spans.join(priced.select(F.col("word").alias(f"_{k}"), F.col("lean").alias(f"lean_{k}")), f"_{k}")
+    follows = hits(texts.select("text").distinct(), lexicon).filter("language = 'Japanese' and weight >= 5.1").select("text", F.col("start").alias("end"), F.lit(1.80).alias("bonus")).distinct()
+    n, h = F.length("raw"), F.length("head")
+    light = F.when(F.col("head").rlike("^[a-z]*$"), F.when(h <= 2, 2.60).when(h == 3, 0.45).otherwise(0.0)).otherwise(0.0)
+    binders = n - F.length(F.regexp_replace("raw", cut, ""))
+    score = n - 0.65 + 1.75 + 0.55 * binders + 0.25 * F.col("lean_span") + 0.95 * F.col("lean_head") + 0.65 * F.col("lean_tail") + F.coalesce("bonus", F.lit(0.0)) - light - 0.35 * F.greatest(F.lit(0), n - 12)
+    return spans.join(follows, ["text", "end"], "left").select("text", "start", "end", "raw", F.col("raw").alias("output"), F.lit("English").alias("language"), F.lit("LatinStructural").alias("kind"), score.alias("local_score"), F.lit("orthographic-lattice").alias("evidence"))
+
+
+def symbol_edges(texts: DataFrame) -> DataFrame:
+    """The same of symbols, and of characters that are neither symbol nor word."""
+    c = F.col("raw")
+    kind = char_class(c)
+    named = F.when(kind == "hard", "HardBoundary").when(kind == "binding", "BindingSymbol").when(kind == "neutral", "NeutralSymbol").otherwise("Unknown")
+    score = F.when(kind == "hard", 1.0).when(kind == "binding", 0.10).when(kind == "neutral", 0.45).otherwise(-3.2)
+    why = F.when(kind == "hard", "hard-boundary").when(kind == "binding", "standalone-binding-symbol").when(kind == "neutral", "neutral-symbol").otherwise("unknown-character")
+    rows = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter((F.length(c) > 0) & (kind != "word"))
+    return rows.select("text", "start", (F.col("start") + 1).alias("end"), "raw", c.alias("output"), F.lit("Unknown").alias("language"), named.alias("kind"), score.alias("local_score"), why.alias("evidence"))
+
+
+def unknown_edges(texts: DataFrame, others: DataFrame) -> DataFrame:
+    """The same of word characters at which none of the other edges starts."""
+    rows = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter(F.col("raw").rlike("^[a-z0-9]$"))
+    alone = rows.join(others.select("text", "start").distinct(), ["text", "start"], "left_anti")
+    return alone.select("text", "start", (F.col("start") + 1).alias("end"), "raw", F.col("raw").alias("output"), F.lit("Unknown").alias("language"), F.lit("Unknown").alias("kind"), F.lit(-3.2).alias("local_score"), F.lit("unknown-character").alias("evidence"))
+
+
+def candidate_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
+    """All edges of the distinct texts, of equal ones the best, with their order in the text: start, longest, best."""
+    named = lexical_edges(texts, lexicon, profile_words).unionByName(phonetic_edges(texts, profile_words, parameters)).unionByName(structural_edges(texts, lexicon, profile_words, parameters))
+    rows = named.unionByName(unknown_edges(texts, named)).unionByName(symbol_edges(texts))
+    same = Window.partitionBy("text", "start", "end", "output", "language", "kind").orderBy(F.desc("local_score"))
+    best = rows.withColumn("_r", F.row_number().over(same)).filter("_r = 1").drop("_r")
+    order = Window.partitionBy("text").orderBy("start", F.desc(F.col("end") - F.col("start")), F.desc("local_score"), "kind", "output")
+    return best.withColumn("place", F.row_number().over(order))
+
+
 def explode_edges(decoded: DataFrame) -> DataFrame:
     """Paths taken apart: a row per edge with its place in the path."""
     return decoded.select("text", "rank", F.posexplode("edges").alias("place", "edge")).select("text", "rank", "place", "edge.*")

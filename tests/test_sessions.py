@@ -175,3 +175,13 @@ def test_lattice_edges_agree_with_the_decoder(spark):
     got = {tuple(r) for r in lexical.unionByName(spans).collect()}
     edges = {(t, e.start, e.end, e.output, e.kind, round(e.score, 9)) for t in ("kyouhacommit", "repoha", "a.bc") for e in L.candidate_edges(t, LatticeParameters())}
     assert got == {e for e in edges if e[4] in ("JapaneseLexical", "EnglishLexical", "JapanesePhonetic")}
+
+
+def test_all_edges_agree_with_the_decoder(spark):
+    from mojiweave.sources.tables import profile_words
+
+    texts = sorted({t for t in fuzz(120)} | {"node.jswotukau", "c++wo", "c#wo", "a.b.c", "v2.0", "1.2", "averyverylongname12.js", "x+y+", ""})
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = lattice.candidate_edges(df, lexicon(spark), profile_words(spark)).select("text", "start", "end", "output", "language", "kind", F.round("local_score", 9), "evidence").collect()
+    expected = {(t, e.start, e.end, e.output, e.language, e.kind, round(e.score, 9), e.evidence) for t in texts for e in L.candidate_edges(t, LatticeParameters())}
+    assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
