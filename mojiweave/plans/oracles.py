@@ -106,7 +106,30 @@ def _spans(source: str) -> str:
 )"""
 
 
+_URLS = f"words AS (SELECT DISTINCT {_lenient('url')} AS text FROM pages)"
+_BINDER = "[._\\-+#@/:]"
+_CHARS = "chars AS (SELECT text, i AS at0, substr(text, i + 1, 1) AS c FROM (SELECT text, unnest(range(0, length(text))) AS i FROM words))"
+_MARKED = f"""marked AS (
+  SELECT text, at0, c, length(regexp_extract(substr(text, 1, at0), '[a-z0-9]{{0,12}}$')) AS l, length(regexp_extract(substr(text, at0 + 2, 12), '^[a-z0-9]*')) AS r,
+         CASE WHEN c = '+' THEN length(regexp_extract(substr(text, at0 + 2), '^\\+*')) ELSE 0 END AS p
+  FROM chars WHERE regexp_matches(c, '{_BINDER}')
+), cuts AS (
+  SELECT DISTINCT text, s, e, substr(text, s + 1, e - s) AS raw FROM (
+    SELECT text, s, unnest(CASE WHEN r > 0 THEN range(at0 + 2, at0 + 2 + r) ELSE range(at0 + 1 + p, at0 + 2 + p) END) AS e
+    FROM (SELECT *, unnest(range(at0 - l, at0)) AS s FROM marked WHERE l > 0 AND (r > 0 OR c IN ('#', '+'))))
+), tokens AS (
+  SELECT text AS whole, s, e, raw, head, regexp_replace(raw, '[^a-z]', '', 'g') AS la, regexp_replace(head, '[^a-z]', '', 'g') AS lh, regexp_replace(substr(raw, length(head) + 2), '[^a-z]', '', 'g') AS lt
+  FROM (SELECT *, regexp_extract(raw, '^(.*?){_BINDER}', 1) AS head FROM cuts WHERE regexp_matches(raw, '[a-z]'))
+), runs AS (SELECT la AS text FROM tokens UNION SELECT lh FROM tokens UNION SELECT lt FROM tokens)"""
+_LEANS = "leans AS (SELECT text AS k, CASE WHEN text = '' THEN 0 ELSE greatest(-2.5, least(2.5, en - ja)) END AS v FROM priced)"
+_PLAIN = "CASE WHEN k = 'hard' THEN 1.0 WHEN k = 'binding' THEN 0.1 WHEN k = 'neutral' THEN 0.45 ELSE -3.2 END"
+
 ORACLES: dict[str, str] = {
+    "structural_edges": _with(PROFILE_WORDS, GRAMS, LEX, _URLS, HITS, _CHARS, _MARKED, _priced("runs"), _LEANS, "follows AS (SELECT DISTINCT text, start FROM hits WHERE language = 'Japanese' AND weight >= 5.1)")
+    + f"SELECT whole AS text, s AS start, e AS \"end\", raw AS output, 'LatinStructural' AS kind, round(CAST(length(raw) - 0.65 + 1.75 + 0.55 * (length(raw) - length(regexp_replace(raw, '{_BINDER}', '', 'g'))) AS DOUBLE) + 0.25 * a.v + 0.95 * h.v + 0.65 * t.v + CASE WHEN follows.text IS NULL THEN 0 ELSE 1.8 END - CASE WHEN NOT regexp_matches(head, '^[a-z]*$') THEN 0 WHEN length(head) <= 2 THEN 2.6 WHEN length(head) = 3 THEN 0.45 ELSE 0 END - 0.35 * greatest(0, length(raw) - 12), 6) AS local_score FROM tokens JOIN leans a ON a.k = la JOIN leans h ON h.k = lh JOIN leans t ON t.k = lt LEFT JOIN follows ON follows.text = whole AND follows.start = e",
+    "symbol_edges": _with(_URLS, _CHARS) + f"SELECT text, at0 AS start, at0 + 1 AS \"end\", c AS output, CASE WHEN k = 'hard' THEN 'HardBoundary' WHEN k = 'binding' THEN 'BindingSymbol' WHEN k = 'neutral' THEN 'NeutralSymbol' ELSE 'Unknown' END AS kind, CAST({_PLAIN} AS DOUBLE) AS local_score FROM (SELECT *, {_CLASS} AS k FROM chars) WHERE k <> 'word'",
+    "unknown_edges": _with(KANAS, LEX, WORDS, HITS, _CHARS, "cut AS (SELECT text AS whole, s, substr(text, s + 1, e - s) AS text FROM (SELECT text, s, unnest(range(s + 1, least(s + 24, length(text)) + 1)) AS e FROM (SELECT text, unnest(range(0, length(text))) AS s FROM words)))", "spans AS (SELECT DISTINCT text FROM cut)", _units("spans"), "reads AS (SELECT text FROM u GROUP BY text HAVING bool_and(kind = 'Kana'))", "held AS (SELECT text, start FROM hits UNION SELECT whole, s FROM cut JOIN reads USING (text))", recursive=True)
+    + "SELECT text, at0 AS start, at0 + 1 AS \"end\", c AS output, 'Unknown' AS kind, CAST(-3.2 AS DOUBLE) AS local_score FROM chars WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.text = chars.text AND held.start = at0)",
     "char_class_counts": f"SELECT {_CLASS} AS class, CAST(sum(n) AS BIGINT) AS n, count(*) AS kinds FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c) GROUP BY 1",
     "normalize_text": f"SELECT conv_id, turn, {_NORM.format('text')} AS text FROM conversations",
     "input_validity": f"SELECT page_id, NOT regexp_matches(url, '{_BAD}') AS allowed, NOT regexp_matches(url, '[^A-Za-z]') AS letters FROM pages",

@@ -375,3 +375,30 @@ def phonetic_segments(spark, sf_dir):
 @query
 def phonetic_violations(spark, sf_dir):
     return phonetic_sessions.broken_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir))).select("text", F.col("step").cast("long").alias("step"))
+
+
+def _edge_view(e: DataFrame) -> DataFrame:
+    return e.select("text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "output", "kind", F.round("local_score", 6).alias("local_score"))
+
+
+@query
+def structural_edges(spark, sf_dir):
+    return _edge_view(lattice.structural_edges(urls(spark, sf_dir), lexicon(spark), profile_words(spark)))
+
+
+@query
+def symbol_edges(spark, sf_dir):
+    return _edge_view(lattice.symbol_edges(urls(spark, sf_dir)))
+
+
+@query
+def candidate_edges(spark, sf_dir):
+    return lattice.candidate_edges(urls(spark, sf_dir), lexicon(spark), profile_words(spark))
+
+
+@query
+def unknown_edges(spark, sf_dir):
+    """Characters at which nothing else starts; the words of documents have no symbols, so entries and spans decide."""
+    t = words(spark, sf_dir)
+    named = lattice.lexical_edges(t, lexicon(spark), profile_words(spark)).unionByName(lattice.phonetic_edges(t, profile_words(spark)))
+    return _edge_view(lattice.unknown_edges(t, named))
