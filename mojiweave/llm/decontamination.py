@@ -90,16 +90,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROAD
     fps, windows, short = _item_tables(benchmark)
     small = fps.count() <= broadcast_rows and windows.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda x: x)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    # rows are told apart by what they hold, not by a number, which would change if a task ran again elsewhere
+    docs = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"), "doc_id", words_of(F.col("text")).alias("words"))
     whole = F.array(F.struct(F.lit(-1).alias("n"), F.lit(None).cast("bigint").alias("fp"), F.lit(None).cast("int").alias("at")))  # one row for each document
-    keys = fingerprints(docs, short).select("row", "doc_id", "words", F.inline_outer(F.concat("fps", whole)))
+    keys = fingerprints(docs, short).select("dig", "doc_id", "words", F.inline_outer(F.concat("fps", whole)))
 
     def around(rows: DataFrame, *more: str) -> DataFrame:
         first = F.when(F.col("n") == 0, F.greatest(F.col("at") - (W - 1), F.lit(0))).otherwise(F.col("at"))
         last = F.when(F.col("n") == 0, F.least(F.col("at"), F.size("words") - WINDOW)).otherwise(F.col("at"))
         m = F.when(F.col("n") == 0, F.lit(WINDOW)).when(F.col("n") > 0, F.col("n"))
         near = F.when(F.col("n") >= 0, F.slice("words", first + 1, last - first + m))
-        return rows.select("row", "doc_id", *more, F.when(F.col("n") < 0, F.size("words")).alias("n_words"), m.alias("m"), first.alias("first"), last.alias("last"), near.alias("near"))
+        return rows.select("dig", "doc_id", *more, F.when(F.col("n") < 0, F.size("words")).alias("n_words"), m.alias("m"), first.alias("first"), last.alias("last"), near.alias("near"))
 
     fps = hint(fps.withColumn("_known", F.lit(True)))
     wanted = (F.col("n") < 0) | F.col("_known")
@@ -112,9 +113,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROAD
     hits = each.join(hint(windows), ["m", "window"], "left").filter(F.col("items").isNotNull() | F.col("n_words").isNotNull())
     span = F.when(F.col("items").isNotNull(), F.struct("start", F.col("m").alias("length")))
     return (
-        hits.groupBy("row", "doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("items"))
-        .select("doc_id", "n_words", "spans", F.array_distinct(F.flatten("items")).alias("items"))
+        hits.groupBy("dig", "doc_id")
+        .agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("items"))
+        .select("doc_id", "n_words", "spans", F.array_distinct(F.flatten("items")).alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .drop("copy")
     )
 
 
