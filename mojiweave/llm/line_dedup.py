@@ -1,8 +1,10 @@
 """Line deduplication with an edit bound of one character, by a deletion-neighbourhood join.
 
-A line (lower-cased, runs of white space as one space, MIN_CHARS characters or more) goes if an
-earlier line, in the order (doc_id, text digest, line number), is equal or one edit away: one
-character inserted, deleted or replaced. Every occurrence of a line that goes for a near line goes.
+A line (lower-cased, runs of white space as one space) goes if an earlier line, in the order
+(doc_id, text digest, line number), is equal or, for two lines of MIN_CHARS characters or more, one
+edit away: one character inserted, deleted or replaced. Every occurrence of a line that goes for a
+near line goes. Equal lines go from EXACT_CHARS characters on in the query and the pipeline, which is
+every line with a word; dedup_lines by itself takes min_chars for both unless told otherwise.
 
 Equal lines are counted once, by a 128-bit digest. For the rest, the neighbourhood is joined thrice:
 1. coarse: a line without one of its four blocks is a key. Two lines one edit apart share the key
@@ -14,7 +16,7 @@ Equal lines are counted once, by a 128-bit digest. For the rest, the neighbourho
    one that stays, found by an aggregate, so no pairs are listed. The edit distance to it is
    verified on the texts.
 
-Defined cases: a null text stays null with no line; shorter lines always stay; a null doc_id comes
+Defined cases: a null text stays null with no line; lines without a word always stay; a null doc_id comes
 first in the order; rows that repeat a doc_id and its text are one document and lose the same lines;
 an empty table gives an empty result; other columns pass unchanged.
 """
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 
 from mojiweave.llm import common
 
-MIN_CHARS = 20
+#: Least length of two lines that are compared for one edit, and of lines that go as exact repeats.
+MIN_CHARS, EXACT_CHARS = 20, 1
+#: What normal() takes as white space.
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _CLASS, _BLOCKS, _PARTS = 16, 4, 8
 
 
@@ -59,8 +64,9 @@ def part_spans(n: int, k: int) -> list[tuple[int, int, int]]:
     return [(seed * _PARTS + i, min(a + i * step, n), b if i == _PARTS - 1 else max(b, least - a - (i + 1) * step)) for i in range(_PARTS)]
 
 
-def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line that counts: its place, its 128-bit digest and its coarse keys."""
+def line_table(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """A row for each line that counts: its place, its 128-bit digest and its coarse keys (none under min_chars)."""
+    least = max(1, min(min_chars, exact_chars))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -78,16 +84,14 @@ def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
             row, no, digests, keys, sizes = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
-                    if len(line) < min_chars:
-                        continue
                     line = normal(line)
                     n = len(line)
-                    if n < min_chars:
+                    if n < least:
                         continue
                     row.append(i)
                     no.append(k)
                     digests.append(xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
-                    spans = coarse_spans(n)
+                    spans = coarse_spans(n) if n >= min_chars else []
                     sizes.append(len(spans))
                     keys += [xxh3_64_intdigest((line[:a] + "\0" + line[n - b :]).encode("utf-8", "surrogatepass"), seed) for seed, a, b in spans]
                 if len(row) > 50_000:
@@ -112,7 +116,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
             found: dict[bytes, str] = {}
             for text in batch.column("text"):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= min_chars and len(line := normal(line)) >= min_chars:
+                    if len(line := normal(line)) >= min_chars:
                         found[xxh3_128_digest(line.encode("utf-8", "surrogatepass"))] = line
             h = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
             good = test(h[:, 0] % common.FILTER_BITS) if len(h) else np.zeros(0, bool)
@@ -208,9 +212,9 @@ def near_lines(keyed: DataFrame, lines: DataFrame, unique: DataFrame, min_chars:
     return pairs.filter(F.levenshtein("a", "b", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def removed_lines(keyed: DataFrame, min_chars: int) -> DataFrame:
+def removed_lines(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """(_doc, _dig, gone): the numbers of the lines that go, for documents that lose any."""
-    lines = common.materialize(line_table(keyed, min_chars), "lines")
+    lines = common.materialize(line_table(keyed, min_chars, exact_chars), "lines")
     place = F.struct("doc", "dig", "no")
     unique = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
     unique = common.materialize(unique, "unique_lines")
@@ -220,10 +224,13 @@ def removed_lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the remaining lines as text, and n_lines and n_removed (of the text as it was)."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """docs with the remaining lines as text, and n_lines and n_removed (of the text as it was).
+
+    min_chars: of lines compared for one edit; exact_chars: of exact repeats, min_chars if None.
+    """
     keyed = common.keyed(docs)
-    gone = removed_lines(keyed, min_chars)
+    gone = removed_lines(keyed, min_chars, min_chars if exact_chars is None else exact_chars)
     joined = keyed.join(gone, ["_doc", "_dig"], "left").select("row", "gone")
     own = ("n_lines", "n_removed")
     out = [c for c in docs.columns if c not in own]
@@ -249,10 +256,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_lines long, n_removed long")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """The rows of docs with their remaining lines; a document that lost lines and has no word left goes. n_chars follows the text."""
-    found = dedup_lines(docs, min_chars)
-    blank: Column = (F.col("n_removed") > 0) & (F.trim(F.translate("text", common.WHITE, " ")) == "")
+    found = dedup_lines(docs, min_chars, exact_chars)
+    blank: Column = (F.col("n_removed") > 0) & (F.trim(F.translate("text", _BLANK, "")) == "")
     found = found.filter(~F.coalesce(blank, F.lit(False)))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -260,4 +267,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")
+    return dedup_lines(common.table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS).select("doc_id", "n_lines", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")

@@ -88,3 +88,36 @@ def test_emptied_documents_go(docs_of):
     line = "a line of more than twenty characters"
     out = D.drop_repeated_lines(docs_of([line, line, f"{line}\nand one of its own here", "", None])).collect()
     assert {r.doc_id: (r.text, r.n_chars) for r in out} == {0: (line, len(line)), 2: ("and one of its own here", 23), 3: ("", 0), 4: (None, None)}
+
+
+def brute_exact(texts):
+    """The lines left if those of 20 characters or more go by brute() and shorter ones with a word as exact repeats."""
+    seen, out = set(), []
+    for t, left in zip(texts, brute(list(enumerate(texts))), strict=True):
+        lines = []
+        for x in (left or "").split("\n"):
+            n = D.normal(x)
+            if len(n) >= 20 or not n or n not in seen:
+                lines.append(x)
+            seen.add(n)
+        out.append(None if t is None else "\n".join(lines))
+    return out
+
+
+def test_short_lines_go_as_exact_repeats(spark, docs_of, tmp_path):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30))).strip() for _ in range(40)] + ["", "un.", " \t", "İ" * 19, "İ" * 18 + "j"]
+    texts = ["\n".join(rng.choice((x, x.upper(), f" {x} ")) for x in rng.choices(base, k=rng.randrange(6))) for _ in range(80)] + [None, "", "Un.", "un!"]
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in D.op5_line_dedup(spark, str(tmp_path)).collect()}
+    want = brute_exact(texts)
+    assert [got[i].text for i in range(len(texts))] == want
+    assert got[len(texts) - 2].n_removed == 1 and got[len(texts) - 1].n_removed == 0
+    kept = {r.doc_id: r.text for r in D.drop_repeated_lines(docs_of(texts)).collect()}
+    assert kept == {i: want[i] for i in range(len(texts)) if want[i] == texts[i] or want[i].strip()}
+
+
+def test_copy_with_short_lines_goes(docs_of):
+    text = "a line of more than twenty characters\nles.\n\u3000\nun."
+    out = D.drop_repeated_lines(docs_of([text, text, "un.\nles.", "les.\nown"])).collect()
+    assert {r.doc_id: r.text for r in out} == {0: text, 3: "own"}
