@@ -21,6 +21,9 @@ from mojiweave.llm.near_dup import drop_near_duplicates
 from mojiweave.llm.packing import pack_documents
 from mojiweave.llm.quality_rules import keep_good
 
+#: Jaccard similarity of five-word shingles from which documents are near duplicates here.
+SIMILAR = (80, 100)
+
 _scratch: list[str] = []
 
 
@@ -42,7 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, lambda: drop_near_duplicates(docs))
+    return _stage(spark, lambda: drop_near_duplicates(docs, enough=SIMILAR))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Sketch (Dahlgaard, Knudsen and Thorup, 2017): in round i every shingle is hashed
 value; a bin keeps the least (round, value). Rounds go on until every bin of the document is
 filled, and from round BINS on round i fills bin i - BINS, so that 2 * BINS rounds always suffice.
 
-Documents with the same shingle set form a class (one node). Bands of BAND coordinates put nodes
-into buckets. Then, without ever listing the pairs of a bucket:
+Documents with the same shingle set form a class (one node). Bands of coordinates put nodes into
+buckets. Then, without ever listing the pairs of a bucket:
 1. every node is compared with the least node of each of its buckets, and its best match by sketch
    is verified on full sets; these links give first components.
 2. Buckets that still hold nodes of more than one component are dealt out in pairs of blocks of
@@ -14,8 +14,9 @@ into buckets. Then, without ever listing the pairs of a bucket:
    compared across components; nodes of a pair that may link go, with their full sets, to a second
    comparison, which yields a spanning set of verified links. No pair of different components in a
    bucket is left out, whatever the bucket's size.
-A link missed: at a similarity of 0.85 two sketches share no band with probability 9e-7, and fall
-under the sketch's floor with 3e-9.
+A link missed: band width and floor follow from the similarity asked for. At 0.85 (bands of 7) two
+sketches share no band with probability 9e-7, at 0.8 (bands of 5) with 2e-9; they fall under the
+sketch's floor with 3e-8 at most.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is kept; fewer than
 SHINGLE words are one shingle; a row with a null doc_id is kept as it is and links with nothing;
@@ -25,6 +26,7 @@ result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +38,9 @@ from mojiweave.llm.components import connected_components
 SHINGLE = 5
 #: Similarity from which documents are linked, as a fraction.
 ENOUGH = (85, 100)
-BINS, BAND = 252, 7
-#: Matching coordinates of a pair that is verified; 0.85 - 5.8 standard deviations.
-FLOOR = int(BINS * 0.72)
+BINS = 252
+#: Probabilities, at most, that a pair just similar enough shares no band, and that it falls under the floor.
+NO_BAND, UNDER_FLOOR = 1e-6, 3e-8
 BLOCK = 512
 #: Shingles that are sketched at once.
 CHUNK = 500_000
@@ -46,6 +48,22 @@ CHUNK = 500_000
 _STEP, _MUL1, _MUL2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def band_width(enough: tuple[int, int]) -> int:
+    """Coordinates of a band: the most with which a pair just similar enough is missed with NO_BAND at most."""
+    s = enough[0] / enough[1]
+    return max((w for w in range(1, BINS + 1) if (1 - s**w) ** (BINS // w) <= NO_BAND), default=1)
+
+
+def floor_of(enough: tuple[int, int]) -> int:
+    """Matching coordinates of a pair that is verified: the most under which a pair just similar enough falls with UNDER_FLOOR at most."""
+    s, under = enough[0] / enough[1], 0.0
+    for k in range(BINS + 1):
+        under += math.comb(BINS, k) * s**k * (1 - s) ** (BINS - k)
+        if under > UNDER_FLOOR:
+            return k
+    return BINS
+
+
 def _mix(x):
     """The splitmix64 finaliser on an array of uint64; x is overwritten."""
     import numpy as np
@@ -104,13 +122,14 @@ def sketches(sets: list):
     return out
 
 
-def band_keys(table):
-    """Bucket keys of sketches, BINS // BAND for each."""
+def band_keys(table, width: int):
+    """Bucket keys of sketches, BINS // width for each."""
     import numpy as np
 
-    parts = table.reshape(len(table), BINS // BAND, BAND)
-    total = np.broadcast_to(np.arange(1, BINS // BAND + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for i in range(BAND):
+    n = BINS // width
+    parts = table[:, : n * width].reshape(len(table), n, width)
+    total = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for i in range(width):
         total *= np.uint64(_STEP)
         total += parts[:, :, i]
         total ^= total >> np.uint64(32)
@@ -120,8 +139,9 @@ def band_keys(table):
 SKETCHED = "n_shingles long, sig_a long, sig_b long, sketch binary, bands array<long>"
 
 
-def sketch_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def sketch_table(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] = ENOUGH) -> DataFrame:
     """doc_id, set size, 128-bit digest of the set, sketch (low bytes) and band keys (none for an empty set)."""
+    width = band_width(enough)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -132,7 +152,7 @@ def sketch_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         def rows(ids, sets):
             some = [i for i, s in enumerate(sets) if len(s)]
             made = sketches([sets[i] for i in some])
-            keys = band_keys(made).view(np.int64) if len(some) else np.zeros((0, 1), np.int64)
+            keys = band_keys(made, width).view(np.int64) if len(some) else np.zeros((0, 1), np.int64)
             low = made.astype(np.uint8)
             sketch, bands = [None] * len(sets), [None] * len(sets)
             for k, i in enumerate(some):
@@ -273,7 +293,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
-def _maybe(sketch, component, own, same_block: bool):
+def _maybe(sketch, component, own, same_block: bool, floor: int):
     """Rows of a block pair that may link with one of another component: boolean mask."""
     import numpy as np
 
@@ -286,7 +306,7 @@ def _maybe(sketch, component, own, same_block: bool):
             apart &= own[other] != own[k]
         if apart.any():
             at = np.flatnonzero(apart) + k + 1
-            good = at[(sketch[at] == sketch[k]).sum(axis=1) >= FLOOR]
+            good = at[(sketch[at] == sketch[k]).sum(axis=1) >= floor]
             if len(good):
                 hit[k] = True
                 hit[good] = True
@@ -295,6 +315,7 @@ def _maybe(sketch, component, own, same_block: bool):
 
 def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame, sketch: DataFrame, size: int, enough) -> DataFrame:
     """A spanning set of the links between nodes of different components in one bucket."""
+    floor = floor_of(enough)
     members = _open_buckets(buckets, components)
     pairs = _block_pairs(members).join(sketch.select(F.col("doc_id").alias("node"), "sketch"), "node")
     columns = ["key", "i", "j", "own", "node", "component"]
@@ -304,7 +325,7 @@ def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame,
         import pyarrow as pa
 
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        hit = _maybe(s, t.column("component").to_numpy(), t.column("own").to_numpy(), t.column("i")[0] == t.column("j")[0])
+        hit = _maybe(s, t.column("component").to_numpy(), t.column("own").to_numpy(), t.column("i")[0] == t.column("j")[0], floor)
         if hit.any():
             yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
@@ -325,7 +346,7 @@ def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame,
         a, b = [], []
         for k in range(len(node) - 1):
             at = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-            at = at[(s[at] == s[k]).sum(axis=1) >= FLOOR]
+            at = at[(s[at] == s[k]).sum(axis=1) >= floor]
             for x in at:
                 if comp[x] != comp[k] and _linked(m[k], m[x], enough):
                     a.append(node[k])
@@ -339,7 +360,7 @@ def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame,
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] = ENOUGH) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id must be a bigint)."""
-    made = common.materialize(sketch_table(docs, size), "sketches")
+    made = common.materialize(sketch_table(docs, size, enough), "sketches")
     some = made.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = common.materialize(classes, "classes")
@@ -351,7 +372,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int
 
     pairs = buckets.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     sketch = some.select("doc_id", "sketch")
-    guess = _with_estimate(pairs, sketch).filter(F.col("equal") >= FLOOR)
+    guess = _with_estimate(pairs, sketch).filter(F.col("equal") >= floor_of(enough))
     best = guess.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
     best = common.materialize(best, "best")
     nodes = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node"))).distinct()

@@ -108,3 +108,14 @@ def test_odd_rows(odd_docs, docs_of):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
     assert N.drop_near_duplicates(odd_docs).columns == odd_docs.columns
     assert N.near_duplicates(docs_of([])).count() == 0
+
+
+def test_bands_and_floor_follow_the_similarity():
+    assert (N.band_width((85, 100)), N.floor_of((85, 100))) == (7, 181)
+    for enough in ((85, 100), (80, 100), (1, 2)):
+        s, w = enough[0] / enough[1], N.band_width(enough)
+        assert (1 - s**w) ** (N.BINS // w) <= 1e-6
+        rng = np.random.default_rng(6)
+        equal = rng.binomial(N.BINS, s, 100_000)
+        assert (equal >= N.floor_of(enough)).all()
+        assert N.band_keys(np.zeros((2, N.BINS), np.uint64), w).shape == (2, N.BINS // w)

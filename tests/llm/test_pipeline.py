@@ -49,3 +49,30 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_link_from_four_fifths(spark):
+    rng = random.Random(80)
+
+    def base():
+        return [f"w{rng.randrange(10**6)}" for _ in range(104)]
+
+    def changed(words, places):
+        return [f"new{rng.randrange(10**6)}" if k in places else w for k, w in enumerate(words)]
+
+    texts = []
+    for _ in range(12):
+        w = base()
+        texts += [w, changed(w, {20, 60})]  # 10 of 100 shingles: 90 / 110
+        w = base()
+        texts += [w, changed(w, {102, *range(97, 100), 9, 10})]  # 18 shingles or so: under 0.8
+        w = base()[:94]
+        texts += [w, changed(w, {30, 33, 36})]  # 11 of 90 shingles: 79 / 101
+        w = base()[:49]
+        texts += [w, changed(w, {20})]  # 5 of 45 shingles: 40 / 50, just enough
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert any(0.8 <= x < 0.85 for x in alike) and 0.8 in alike and any(0.7 < x < 0.8 for x in alike)
+    gone = {j for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(range(len(texts))) - gone
