@@ -27,8 +27,9 @@ _made: list[list[str]] = []
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to BATCH_BYTES; a lower setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
+    now = spark.conf.get(name).lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(now[-1:], 1)
+    if int(now.rstrip("kmgt")) * unit > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
@@ -93,8 +94,17 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """row, text, _doc, the doc_id (null: the least number), and _dig, a digest that tells rows of one doc_id apart."""
-    return packed(docs, F.col("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_dig"))
+    """row, text, _doc, the doc_id (null: the least value), and _dig, a digest that tells rows of one doc_id apart.
+
+    Whole numbers are kept as longs; a doc_id of another type is taken as text.
+    """
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    doc = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long") if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return packed(docs, F.col("text"), doc.alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_dig"))
+
+
+def doc_type(keyed_docs: DataFrame) -> str:
+    return keyed_docs.schema["_doc"].dataType.simpleString()
 
 
 def ddl(docs: DataFrame, *without: str) -> str:
@@ -137,57 +147,66 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, *keep:
     return df.mapInArrow(tidied, schema)
 
 
-# --- a filter of fixed size over 64-bit keys -------------------------------------------------
+# --- filters over 64-bit keys, sized by their number -------------------------------------------
 
-#: Bits of the filter: 8 MB, whatever the number of keys. Beyond some 10^7 keys it lets more
-#: pass than it need; what passes is joined exactly afterwards, so only work grows.
-FILTER_BITS = 1 << 26
 _CHUNK_BITS = 8 * 4096  # what bitmap_construct_agg holds in a row
 
 
-def key_slot(key: Column) -> Column:
-    """The place of a key in the filter."""
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n keys: 16 for each, between 2**22 and 2**29 (64 MB), a power of two.
+
+    Beyond some 10**8 keys more passes than need be; what passes is joined exactly afterwards, so only work grows.
+    """
+    return 1 << min(29, max(22, (16 * n - 1).bit_length()))
+
+
+def _chunks(keys: DataFrame, key: Column, size: int) -> DataFrame:
+    """(_chunk, _bits) of a one-hash filter, combined before the shuffle."""
+    slot, bits = F.pmod(F.coalesce(key, F.lit(0)), F.lit(size)), F.lit(_CHUNK_BITS)
+    return keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / bits).alias("_chunk")).agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), bits)).alias("_bits"))
 
 
-def slot_bits(df: DataFrame, slot: Column) -> bytes:
-    """A one-hash Bloom filter over a column of places, built with map-side bitmaps; at most FILTER_BITS / 8 bytes reach the driver."""
-    rows = (
-        df.select(slot.cast("long").alias("slot"))
-        .groupBy(F.floor(F.col("slot") / _CHUNK_BITS).cast("int").alias("chunk"))
-        .agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), F.lit(_CHUNK_BITS))).alias("bits"))
-        .collect()
-    )
-    out = bytearray(FILTER_BITS // 8)
-    for r in rows:
-        out[r.chunk * 4096 : (r.chunk + 1) * 4096] = r.bits
+def key_bits(keys: DataFrame, key: Column) -> bytes:
+    """The filter of a column of longs, for key_test() in Python workers; keys must be a written table. At most 64 MB reach the driver."""
+    size = filter_bits(keys.count())
+    out = bytearray(size // 8)
+    for r in _chunks(keys, key, size).toLocalIterator():
+        out[r["_chunk"] * 4096 : (r["_chunk"] + 1) * 4096] = r["_bits"]
     return bytes(out)
 
 
-def slot_test(bits: bytes):
-    """numpy test of places against slot_bits()."""
+def key_test(bits: bytes):
+    """numpy test of longs against key_bits(); a false answer is certain."""
     import numpy as np
 
     held = np.frombuffer(bits, dtype=np.uint8)
 
-    def test(slots):
+    def test(keys):
+        slots = keys % (8 * len(held))
         return (held[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
     return test
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone (doc_id, each once); a null doc_id is a value like any other.
+def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """df with _maybe: whether key may be among the values of keys' one column; a false answer is certain.
 
-    Only rows that pass a filter of fixed size (a broadcast of FILTER_BITS / 8 bytes at most) meet gone
-    in a join, so texts that stay are not shuffled.
+    The filter is broadcast: its size follows the number of keys up to the bound of filter_bits().
     """
-    key = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    slot, bits = F.pmod(key, F.lit(FILTER_BITS)), F.lit(_CHUNK_BITS)
-    chunks = gone.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / bits).alias("_chunk")).agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), bits)).alias("_bits"))
-    place = F.pmod(slot, bits).cast("int")
+    size, bits = filter_bits(keys.count()), F.lit(_CHUNK_BITS)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     maybe = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), F.pmod(F.col("_place"), F.lit(8)) + 1)) != 0, F.lit(False))
-    marked = packed(docs, F.col("doc_id"), F.floor(slot / bits).alias("_chunk"), place.alias("_place")).join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe)
-    open_ = marked.filter("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return marked.filter("not _maybe").select("row.*").unionByName(open_.select("row.*"))
+    placed = df.withColumn("_slot", F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(size)))
+    placed = placed.withColumn("_chunk", F.floor(F.col("_slot") / bits)).withColumn("_place", F.pmod(F.col("_slot"), bits).cast("int"))
+    chunks = _chunks(keys, F.xxhash64(keys.columns[0]), size)
+    return placed.join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe).drop("_slot", "_chunk", "_place", "_bits")
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (doc_id, each once; a written table); a null doc_id is a value like any other.
+
+    Only rows that pass a filter sized by the number of ids meet gone in a join, so texts that stay are not shuffled.
+    """
+    rows = marked(packed(docs, F.col("doc_id").alias("_id")), F.col("_id"), gone.select("doc_id"))
+    open_ = rows.filter("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.filter("not _maybe").select("row.*").unionByName(open_.select("row.*"))

@@ -1,10 +1,10 @@
 """Line deduplication with an edit bound of one character, by a deletion-neighbourhood join.
 
 A line (lower-cased, runs of white space as one space) goes if an earlier line, in the order
-(doc_id, text digest, line number), is equal or, for two lines of MIN_CHARS characters or more, one
-edit away: one character inserted, deleted or replaced. Every occurrence of a line that goes for a
-near line goes. Equal lines go from EXACT_CHARS characters on in the query and the pipeline, which is
-every line with a word; dedup_lines by itself takes min_chars for both unless told otherwise.
+(doc_id, text digest, line number), is within the edit bound of it. The bound is a rule of the
+line's length: nothing below MIN_CHARS characters, so equal lines go whatever their length, and from
+there on one character inserted, deleted or replaced, which in a shorter line often makes another
+word. Every occurrence of a line that goes for a near line goes.
 
 Equal lines are counted once, by a 128-bit digest. For the rest, the neighbourhood is joined thrice:
 1. coarse: a line without one of its four blocks is a key. Two lines one edit apart share the key
@@ -13,8 +13,9 @@ Equal lines are counted once, by a 128-bit digest. For the rest, the neighbourho
 3. fine: of what is left, and only inside the eighths that matched, all variants with one
    character deleted are keys. Lines with equal variant and place differ in that character alone;
    a line equal to another's variant lacks one character. In either group the earliest line is the
-   one that stays, found by an aggregate, so no pairs are listed. The edit distance to it is
-   verified on the texts.
+   one that stays, found by an aggregate, so no pairs are listed. The edit to it is verified on
+   the texts at the place it was found, in time linear in their length. A group has no more lines
+   than there are characters to put in one place, so none is hot.
 
 Defined cases: a null text stays null with no line; lines without a word always stay; a null doc_id comes
 first in the order; rows that repeat a doc_id and its text are one document and lose the same lines;
@@ -32,6 +33,8 @@ from mojiweave.llm import common
 
 #: Least length of two lines that are compared for one edit, and of lines that go as exact repeats.
 MIN_CHARS, EXACT_CHARS = 20, 1
+#: From so many copies on a line is a hot key: its copies are dealt over SALTS parts.
+HOT_COPIES, SALTS = 2_000, 64
 #: What normal() takes as white space.
 _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _CLASS, _BLOCKS, _PARTS = 16, 4, 8
@@ -64,6 +67,73 @@ def part_spans(n: int, k: int) -> list[tuple[int, int, int]]:
     return [(seed * _PARTS + i, min(a + i * step, n), b if i == _PARTS - 1 else max(b, least - a - (i + 1) * step)) for i in range(_PARTS)]
 
 
+class Hashes:
+    """Hashes of lines, and of lines without one character, from sums over prefixes: constant time for each.
+
+    Two polynomials over mixed characters, one modulo 2**64 and one modulo a prime, are mixed into
+    64 bits: equal texts have equal hashes, whichever line they were cut from.
+    """
+
+    BASE, PRIME, BASE2 = 0x9E3779B97F4A7C15, 2**31 - 1, 48271
+    BACK, BACK2 = pow(BASE, -1, 1 << 64), pow(BASE2, -1, PRIME)
+
+    def __init__(self, lines: list[str]):
+        import numpy as np
+
+        c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        size = np.asarray([len(x) for x in lines], dtype=np.int64)
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        at = np.arange(len(c)) - np.repeat(self.start, size)
+        most = int(size.max(initial=0))
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(c + np.uint64(1)) * self._powers(most)[at])])
+        self._sums2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * self._powers2(most)[at] % np.uint64(self.PRIME))])
+
+    def _powers(self, n: int):
+        import numpy as np
+
+        out = np.full(n, self.BASE, dtype=np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def _powers2(self, n: int):
+        import numpy as np
+
+        out = np.ones(1, dtype=np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(self.BASE2, len(out), self.PRIME)) % np.uint64(self.PRIME)])
+        return out[:n]
+
+    def whole(self, rows):
+        a, b = self.start[rows], self.end[rows]
+        return self._joined(self._sums[b] - self._sums[a], (self._sums2[b] - self._sums2[a]) % self.PRIME)
+
+    def without(self, rows, at):
+        """The hashes of the lines `rows` without their characters at `at`."""
+        import numpy as np
+
+        a, b = self.start[rows], self.end[rows]
+        p, prime = a + at, np.uint64(self.PRIME)
+        one = self._sums[p] - self._sums[a] + (self._sums[b] - self._sums[p + 1]) * np.uint64(self.BACK)
+        two = self._sums2[p] - self._sums2[a] + (self._sums2[b] - self._sums2[p + 1]) % prime * np.uint64(self.BACK2) % prime
+        return self._joined(one, two % prime)
+
+    @staticmethod
+    def _joined(one, two):
+        import numpy as np
+
+        return _mix(one + _mix(two + np.uint64(1))).view(np.int64)
+
+
+def _mix(x):
+    """The splitmix64 finaliser."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def line_table(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """A row for each line that counts: its place, its 128-bit digest and its coarse keys (none under min_chars)."""
     least = max(1, min(min_chars, exact_chars))
@@ -99,19 +169,19 @@ def line_table(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
                     row, no, digests, keys, sizes = [], [], [], [], []
             yield made(batch, row, no, digests, keys, sizes)
 
-    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, "doc long, dig long, no int, h1 long, h2 long, keys array<long>")
+    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, f"doc {common.doc_type(keyed)}, dig long, no int, h1 long, h2 long, keys array<long>")
 
 
 def _texts(keyed: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """wanted (h1, h2, ...) with the lines' texts, from a second reading; a filter of fixed size lets few others pass."""
-    bits = keyed.sparkSession.sparkContext.broadcast(common.slot_bits(wanted, F.pmod(F.col("h1"), F.lit(common.FILTER_BITS))))
+    """wanted (h1, h2, ...) with the lines' texts, from a second reading; a filter lets few others pass."""
+    bits = keyed.sparkSession.sparkContext.broadcast(common.key_bits(wanted, F.col("h1")))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        test = common.slot_test(bits.value)
+        test = common.key_test(bits.value)
         for batch in batches:
             found: dict[bytes, str] = {}
             for text in batch.column("text"):
@@ -119,7 +189,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
                     if len(line := normal(line)) >= min_chars:
                         found[xxh3_128_digest(line.encode("utf-8", "surrogatepass"))] = line
             h = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            good = test(h[:, 0] % common.FILTER_BITS) if len(h) else np.zeros(0, bool)
+            good = test(h[:, 0]) if len(h) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(list(found.values()), pa.string())], ["h1", "h2", "line"]).filter(pa.array(good, pa.bool_()))
 
     return common.map_arrow(keyed.select("text"), run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
@@ -161,32 +231,26 @@ def _variants(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
-
-        def made(batch, row, at, v):
-            take = pa.array(row, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, dtype=np.uint64).view(np.int64)), pa.array(at, pa.int32()), *(batch.column(c).take(take) for c in ("h1", "h2", "first"))], ["v", "at", "h1", "h2", "first"])
 
         for batch in batches:
-            row, at, v = [], [], []
-            for i, (line, parts) in enumerate(zip(batch.column("line"), batch.column("parts"), strict=True)):
-                line = line.as_py()
-                n, places = len(line), set()
-                for x in parts.as_py():
+            lines = batch.column("line").to_pylist()
+            row, at = [np.arange(len(lines))], [np.full(len(lines), -1)]
+            for i, (line, parts) in enumerate(zip(lines, batch.column("parts").to_pylist(), strict=True)):
+                n, places = len(line), []
+                for x in parts:
                     _, a, b = part_spans(n, x // _PARTS)[x % _PARTS]
-                    places.update(range(a, n - b))
-                row += [i] * (len(places) + 1)
-                at.append(-1)
-                v.append(xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
-                for p in sorted(places):
-                    at.append(p)
-                    v.append(xxh3_64_intdigest((line[:p] + line[p + 1 :]).encode("utf-8", "surrogatepass")))
-                if len(v) > 100_000:
-                    yield made(batch, row, at, v)
-                    row, at, v = [], [], []
-            yield made(batch, row, at, v)
-
-    first = "struct<doc:bigint,dig:bigint,no:int>"
+                    places.append(np.arange(a, max(a, n - b)))
+                at.append(np.unique(np.concatenate(places)))
+                row.append(np.full(len(at[-1]), i))
+            hashes = Hashes(lines)
+            row, at = np.concatenate(row), np.concatenate(at)
+            for k in range(0, len(row), 100_000):
+                r, p = row[k : k + 100_000], at[k : k + 100_000]
+                v = np.where(p < 0, hashes.whole(r), hashes.without(r, np.maximum(p, 0)))
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(p.astype(np.int32)), *(batch.column(c).take(take) for c in ("h1", "h2", "first"))], ["v", "at", "h1", "h2", "first"])
+
+    first = lines.schema["first"].dataType.simpleString()
     return common.map_arrow(lines.select("line", "parts", "h1", "h2", "first"), run, f"v long, at int, h1 long, h2 long, first {first}")
 
 
@@ -202,35 +266,52 @@ def near_lines(keyed: DataFrame, lines: DataFrame, unique: DataFrame, min_chars:
     line = F.struct("first", "h1", "h2")
     swaps = variants.filter("at >= 0")
     least = swaps.groupBy("v", "at").agg(F.min(line).alias("lead"), F.max(line).alias("last")).filter("lead != last").drop("last")
-    replaced = swaps.join(least, ["v", "at"]).select("h1", "h2", "first", "lead")
+    replaced = swaps.join(least, ["v", "at"]).select("h1", "h2", "first", "lead", "at", F.lit("both").alias("cut"))
     whole, part = F.col("at") < 0, F.col("at") >= 0
-    both = variants.groupBy("v").agg(F.min(F.when(whole, line)).alias("w"), F.min(F.when(part, line)).alias("p")).filter("w is not null and p is not null")
-    longer = variants.join(both, "v").select("h1", "h2", "first", F.when(whole, F.col("p")).otherwise(F.col("w")).alias("lead"))
-    pairs = replaced.unionByName(longer).filter(F.col("first") > F.col("lead.first")).select("h1", "h2", F.col("lead.h1").alias("g1"), F.col("lead.h2").alias("g2")).distinct()
+    both = variants.groupBy("v").agg(F.min(F.when(whole, line)).alias("w"), F.min(F.when(part, F.struct("first", "h1", "h2", "at"))).alias("p")).filter("w is not null and p is not null")
+    lead = F.when(whole, F.struct("p.first", "p.h1", "p.h2")).otherwise(F.col("w"))
+    longer = variants.join(both, "v").select("h1", "h2", "first", lead.alias("lead"), F.when(whole, F.col("p.at")).otherwise(F.col("at")).alias("at"), F.when(whole, "lead").otherwise("own").alias("cut"))
+    pairs = replaced.unionByName(longer).filter(F.col("first") > F.col("lead.first")).groupBy("h1", "h2", F.col("lead.h1").alias("g1"), F.col("lead.h2").alias("g2"), "cut").agg(F.min("at").alias("at"))
     pairs = pairs.join(texts.select("h1", "h2", F.col("line").alias("a")), ["h1", "h2"])
     pairs = pairs.join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("b")), ["g1", "g2"])
-    return pairs.filter(F.levenshtein("a", "b", 1).between(0, 1)).select("h1", "h2").distinct()
+
+    def without(x: str) -> Column:
+        return F.concat(F.substr(x, F.lit(1), F.col("at")), F.substr(x, F.col("at") + 2, F.length(x)))
+
+    a, b = F.when(F.col("cut") == "lead", F.col("a")).otherwise(without("a")), F.when(F.col("cut") == "own", F.col("b")).otherwise(without("b"))
+    return pairs.filter(a == b).select("h1", "h2").distinct()
+
+
+def _met(lines: DataFrame, suspects: DataFrame) -> DataFrame:
+    """lines joined with suspects on (h1, h2); suspects of many copies, and what shares their places in a filter, in salted parts."""
+    hot = suspects.filter(F.col("copies") >= HOT_COPIES)
+    marked, held = (common.marked(x, F.col("h1"), hot.select("h1")) for x in (lines, suspects))
+    salt = F.pmod(F.xxhash64("doc", "no"), F.lit(SALTS)).cast("int")
+    dealt = held.filter("_maybe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = marked.filter("_maybe").withColumn("salt", salt).join(dealt.drop("_maybe"), ["h1", "h2", "salt"]).drop("salt", "_maybe")
+    rest = marked.filter("not _maybe").join(held.filter("not _maybe").drop("_maybe"), ["h1", "h2"]).drop("_maybe")
+    return some.unionByName(rest)
 
 
 def removed_lines(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """(_doc, _dig, gone): the numbers of the lines that go, for documents that lose any."""
     lines = common.materialize(line_table(keyed, min_chars, exact_chars), "lines")
     place = F.struct("doc", "dig", "no")
-    unique = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
+    unique = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     unique = common.materialize(unique, "unique_lines")
     near = near_lines(keyed, lines, unique, min_chars).withColumn("near", F.lit(True))
-    suspects = unique.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left").filter("near or first != last").select("h1", "h2", "first", "near")
-    gone = lines.drop("keys").join(suspects, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
+    suspects = unique.select("h1", "h2", "first", "last", "copies").join(near, ["h1", "h2"], "left").filter("near or first != last").select("h1", "h2", "first", "near", "copies")
+    gone = _met(lines.drop("keys"), common.materialize(suspects, "suspects")).filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with the remaining lines as text, and n_lines and n_removed (of the text as it was).
 
-    min_chars: of lines compared for one edit; exact_chars: of exact repeats, min_chars if None.
+    min_chars: of lines compared for one edit; exact_chars: of exact repeats.
     """
     keyed = common.keyed(docs)
-    gone = removed_lines(keyed, min_chars, min_chars if exact_chars is None else exact_chars)
+    gone = removed_lines(keyed, min_chars, exact_chars)
     joined = keyed.join(gone, ["_doc", "_dig"], "left").select("row", "gone")
     own = ("n_lines", "n_removed")
     out = [c for c in docs.columns if c not in own]
@@ -267,4 +348,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(common.table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS).select("doc_id", "n_lines", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")
+    return dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")

@@ -180,20 +180,21 @@ def sketch_table(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] =
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
     """(node, members) for at least the given nodes: their full sets, from a second reading of the texts.
 
-    A filter of fixed size lets few others pass; the join with nodes drops those.
+    A filter lets few others pass; the join with nodes drops those.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(common.slot_bits(nodes, common.key_slot(F.col("node"))))
+    nodes = common.materialize(nodes, f"{name}_nodes")
+    bits = docs.sparkSession.sparkContext.broadcast(common.key_bits(nodes, F.xxhash64("node")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        wanted = common.slot_test(bits.value)
+        wanted = common.key_test(bits.value)
         for batch in batches:
             batch = batch.filter(pa.array(wanted(batch.column("slot").to_numpy())))
             sets = [shingle_set(t.as_py() or b"", size).tobytes() for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "members"])
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), common.key_slot(F.col("doc_id")).alias("slot"), "text")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), F.xxhash64("doc_id").alias("slot"), "text")
     return common.materialize(common.map_arrow(rows, run, "node long, members binary").join(nodes, "node", "left_semi"), name)
 
 

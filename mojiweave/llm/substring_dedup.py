@@ -10,7 +10,7 @@ so run-on text has comparable pieces too. What is kept stays as it was, characte
 
 Spans that repeat inside a text are found while it is read, so the global step has one row for each
 span and document. Its aggregate keeps the least doc_id of each hash, combined before the shuffle;
-the rows of repeated hashes are then picked by a filter of fixed size and joined exactly.
+the rows of repeated hashes are then picked by a filter and joined exactly.
 
 Defined cases: a null text stays null with no sentence; a text of too few words has no span; a null
 doc_id comes first in the order; rows that repeat a doc_id count as one document: none loses a
@@ -108,7 +108,7 @@ def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFram
                     row, at, size, digests, again = [], [], [], [], []
             yield made(batch, row, at, size, digests, again)
 
-    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, "doc long, dig long, at int, size int, h1 long, h2 int, again boolean")
+    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, f"doc {common.doc_type(keyed)}, dig long, at int, size int, h1 long, h2 int, again boolean")
 
 
 def _picked(table: DataFrame, bits) -> DataFrame:
@@ -117,9 +117,9 @@ def _picked(table: DataFrame, bits) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        test = common.slot_test(bits.value)
+        test = common.key_test(bits.value)
         for batch in batches:
-            yield batch.filter(pa.array(test(batch.column("h1").to_numpy() % common.FILTER_BITS)))
+            yield batch.filter(pa.array(test(batch.column("h1").to_numpy())))
 
     return common.map_arrow(table, run, table.schema)
 
@@ -130,7 +130,7 @@ def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     firsts = table.filter("not again")
     repeated = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead != last").drop("last")
     repeated = common.materialize(repeated, "repeated_spans")
-    bits = keyed.sparkSession.sparkContext.broadcast(common.slot_bits(repeated, F.pmod(F.col("h1"), F.lit(common.FILTER_BITS))))
+    bits = keyed.sparkSession.sparkContext.broadcast(common.key_bits(repeated, F.col("h1")))
     later = _picked(firsts.select("doc", "dig", "at", "size", "h1", "h2"), bits).join(repeated, ["h1", "h2"]).filter("doc != lead")
     gone = later.select("doc", "dig", "at", "size").unionByName(table.filter("again").select("doc", "dig", "at", "size"))
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))

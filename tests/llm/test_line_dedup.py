@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,7 +72,7 @@ def test_against_brute_force(docs_of, seed):
         return x
 
     texts = ["\n".join(variant() for _ in range(rng.randrange(6))) for _ in range(60)] + [None, ""]
-    got = {r.doc_id: r.text for r in D.dedup_lines(docs_of(texts)).collect()}
+    got = {r.doc_id: r.text for r in D.dedup_lines(docs_of(texts), exact_chars=20).collect()}
     assert [got[i] for i in range(len(texts))] == brute(list(enumerate(texts)))
 
 
@@ -121,3 +123,38 @@ def test_copy_with_short_lines_goes(docs_of):
     text = "a line of more than twenty characters\nles.\n\u3000\nun."
     out = D.drop_repeated_lines(docs_of([text, text, "un.\nles.", "les.\nown"])).collect()
     assert {r.doc_id: r.text for r in out} == {0: text, 3: "own"}
+
+
+def test_hashes_are_those_of_the_cut_lines():
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("ab\u3042\U0001f600 ") for _ in range(rng.randrange(1, 40))) for _ in range(50)] + ["", "a" * 3000]
+    h = D.Hashes(lines)
+    for i, x in enumerate(lines):
+        for p in range(len(x)):
+            cut = x[:p] + x[p + 1 :]
+            assert h.without(np.asarray([i]), np.asarray([p]))[0] == D.Hashes([cut]).whole(np.asarray([0]))[0]
+    whole = h.whole(np.arange(len(lines)))
+    assert len(set(whole.tolist())) == len(set(lines))
+
+
+def test_two_long_lines_in_linear_time(docs_of):
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(900_000)).strip()
+    texts = [line, line[:500_000] + "Z" + line[500_001:], line[:77] + line[78:], line[:-1] + "yy", line[::-1]]
+    start = time.monotonic()
+    got = {r.doc_id: r.n_removed for r in D.dedup_lines(docs_of(texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0} and time.monotonic() - start < 60
+
+
+def test_a_very_common_line(docs_of, monkeypatch):
+    monkeypatch.setattr(D, "HOT_COPIES", 5)
+    texts = [f"own line number {k} of this text {k * k}\nthe line that all texts have in common\nok" for k in range(40)]
+    got = {r.doc_id: r.text for r in D.dedup_lines(docs_of(texts)).collect()}
+    assert got[0] == texts[0] and all(got[k] == texts[k].split("\n")[0] for k in range(1, 40))
+
+
+def test_string_ids(docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(["the same line of text in both\nx1", "the same line of text in both\nx2"]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id: r.text for r in D.dedup_lines(docs).collect()} == {"d0": "the same line of text in both\nx1", "d1": "x2"}
