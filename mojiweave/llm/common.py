@@ -202,11 +202,20 @@ def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe).drop("_slot", "_chunk", "_place", "_bits")
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone (doc_id, each once; a written table); a null doc_id is a value like any other.
+def drop_matching(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are not among the rows of gone (each once; a written table); null is a value like any other.
 
-    Only rows that pass a filter sized by the number of ids meet gone in a join, so texts that stay are not shuffled.
+    Only rows that pass a filter sized by the number of gone meet it in a join, so texts that stay are not shuffled.
     """
-    rows = marked(packed(docs, F.col("doc_id").alias("_id")), F.col("_id"), gone.select("doc_id"))
-    open_ = rows.filter("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    own, other = [f"_k{i}" for i in range(len(keys))], [f"_g{i}" for i in range(len(keys))]
+    rows = marked(packed(docs, *(k.alias(n) for k, n in zip(keys, own, strict=True))), F.xxhash64(*own), gone.select(F.xxhash64(*(f"`{c}`" for c in gone.columns)).alias("h")))
+    same = None
+    for a, b in zip(own, other, strict=True):
+        same = F.col(a).eqNullSafe(F.col(b)) if same is None else same & F.col(a).eqNullSafe(F.col(b))
+    open_ = rows.filter("_maybe").join(gone.toDF(*other), same, "left_anti")
     return rows.filter("not _maybe").select("row.*").unionByName(open_.select("row.*"))
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (doc_id, each once; a written table)."""
+    return drop_matching(docs, [F.col("doc_id")], gone.select("doc_id"))

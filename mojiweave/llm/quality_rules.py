@@ -5,11 +5,12 @@ all documents that pass the base rules (none of the others needs a verdict) are
 pattern (at most 3 ** len(rules()) rows, whatever the corpus), and
 expectation-maximisation over those counts estimates, for each class, how often each rule votes
 for it when it votes at all. A document's posterior probability of being good then takes the place
-of passing every rule. Nothing is sampled.
+of passing every rule. Nothing is sampled, and no estimate is bounded: the Beta priors below are
+worth a stated number of votes, so a rule whose votes the others do not bear out loses its weight.
 
 Defined cases: a null text has no words and fails the base rules; so does an empty one; a null
 doc_id is kept as null; repeated rows are judged one by one; an empty table gives an empty result
-(the prior accuracies hold); columns other than doc_id and text are not read.
+(the prior accuracies hold); a posterior at the threshold keeps; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from mojiweave.llm import common
 
 SYMBOLS = "#*$%&|<>"
-#: The method takes rules that condemn at most this share of the good documents they vote on.
-MOST_FALSE = 0.01
+#: Beta priors, as (good, bad) votes that are added to what is counted: of a rule's votes on good documents (it is
+#: taken to be right), of its votes on bad ones (it knows nothing of most kinds of junk) and of the share of good documents.
+ON_GOOD, ON_BAD, SHARE = (49.0, 1.0), (0.9, 0.1), (9.0, 1.0)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha", "n_distinct", "n_shout", "n_adjacent", "n_stops")
 
 
@@ -114,7 +116,7 @@ def rules() -> list[Rule]:
     shouts, dup, mean, near = _share("n_shout", "n_words"), _share("n_dup_lines", "n_lines"), _share("word_chars", "n_words"), _share("n_adjacent", "n_words")
     alpha, kinds = _share("n_alpha", "word_chars"), _share("n_distinct", "n_words")
     return [
-        Rule("length", words < 20, words >= 80),
+        Rule("length", None, words >= 80),
         Rule("symbols", symbols > 0.15, symbols < 0.05),
         Rule("capitals", upper > 0.35, upper < 0.12),
         Rule("repeats", repeats > 0.35, repeats < 0.10),
@@ -127,12 +129,12 @@ def rules() -> list[Rule]:
     ]
 
 
-def fit_em(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200):
+def fit_em(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 500):
     """Per class the share of good votes among a rule's votes, the share of good documents, and each pattern's posterior.
 
-    patterns: votes (-1, 0, 1) with their count. Kinds of junk hardly overlap, so the first guess is
-    that one bad vote speaks for a bad document; the rounds then find how far each rule can be
-    trusted. A rule that often votes bad where the others see nothing wrong loses its weight.
+    patterns: votes (-1, 0, 1) with their count. The first guess is that one bad vote speaks for a
+    bad document; the rounds then find how far each rule can be trusted. A rule that often votes
+    bad where the others see nothing wrong is found to vote alike on both classes and decides nothing.
     """
     import numpy as np
 
@@ -140,13 +142,13 @@ def fit_em(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: in
     n = np.asarray([c for _, c in patterns], dtype=np.float64)
     good, bad = (votes == 1).astype(float), (votes == -1).astype(float)
     q = np.where(bad.any(axis=1), 0.02, 0.98)
-    p_good, p_bad, prior = np.full(n_rules, 0.98), np.full(n_rules, 0.8), 0.9
+    p_good, p_bad, prior = np.full(n_rules, ON_GOOD[0] / sum(ON_GOOD)), np.full(n_rules, ON_BAD[0] / sum(ON_BAD)), SHARE[0] / sum(SHARE)
     for _ in range(rounds if len(n) else 0):
         before = q
         a, b = n * q, n * (1 - q)
-        p_good = np.clip((a @ good + 1.96) / (a @ (good + bad) + 2), 1 - MOST_FALSE, 0.9995)
-        p_bad = np.clip((b @ good + 1.8) / (b @ (good + bad) + 2), 0.01, p_good - 0.0004)
-        prior = float(np.clip((a.sum() + 1.8) / (n.sum() + 2), 0.05, 0.99))
+        p_good = (a @ good + ON_GOOD[0]) / (a @ (good + bad) + sum(ON_GOOD))
+        p_bad = np.minimum(p_good, (b @ good + ON_BAD[0]) / (b @ (good + bad) + sum(ON_BAD)))  # at worst a rule says nothing
+        prior = float((a.sum() + SHARE[0]) / (n.sum() + sum(SHARE)))
         x = np.log(prior) + good @ np.log(p_good) + bad @ np.log(1 - p_good)
         y = np.log(1 - prior) + good @ np.log(p_bad) + bad @ np.log(1 - p_bad)
         q = 1 / (1 + np.exp(np.clip(y - x, -700, 700)))
@@ -187,11 +189,15 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, all columns as they were.
 
-    The texts are counted a second time where they are read, which costs less than to shuffle them.
+    A verdict depends on the text alone: texts are counted once, under a 128-bit digest, and rows
+    whose digest was rejected go. Rows that stay are not shuffled.
     """
-    counted = common.materialize(with_counts(docs.select("text")).select("counts.*"), "rule_counts")
-    rows = with_counts(docs).select("row", "counts.*")
-    return _judged(rows, fit(counted), threshold).filter("kept").select("row.*")
+    text = F.coalesce("text", F.lit(""))
+    digest = [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+    counted = with_counts(docs.select("text", *(d.alias(f"d{i}") for i, d in enumerate(digest)))).select("row.d0", "row.d1", "counts.*")
+    counted = common.materialize(counted, "rule_counts")
+    gone = _judged(counted, fit(counted), threshold).filter("not kept").select("d0", "d1").distinct()
+    return common.drop_matching(docs, digest, common.materialize(gone, "rejected"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from mojiweave.llm import quality_rules as Q
 
 
@@ -54,3 +57,54 @@ def test_em_trusts_a_rule_by_what_others_say():
     patterns = [((1, 1, 1), 900), ((-1, 1, 1), 3), ((-1, -1, 1), 50), ((-1, -1, -1), 30), ((0, 0, 0), 5)]
     p_good, p_bad, prior, q = Q.fit_em(patterns, 3)
     assert q[0] > 0.95 and q[2] < 0.1 and q[3] < 0.1 and 0.8 < prior < 0.99
+
+
+def simulated(noise=None, n=100_000):
+    rng = np.random.default_rng(1)
+    truth = rng.random(n) < 0.95
+    known = [(0.99, 0.10, 0.1), (0.98, 0.20, 0.2), (0.97, 0.15, 0.1), (0.995, 0.30, 0.3)]
+    votes = [np.where(rng.random(n) < silent, 0, np.where(rng.random(n) < np.where(truth, good, bad), 1, -1)) for good, bad, silent in known]
+    if noise is not None:
+        votes.append(np.where(rng.random(n) < noise, -1, 1))
+    rows = list(zip(*(v.tolist() for v in votes), strict=True))
+    patterns = sorted(Counter(rows).items())
+    p_good, p_bad, prior, q = Q.fit_em(patterns, len(votes))
+    kept = dict(zip((p for p, _ in patterns), q >= 0.5, strict=True))
+    return truth, known, p_good, p_bad, prior, np.asarray([kept[r] for r in rows])
+
+
+def test_em_recovers_known_accuracies():
+    truth, known, p_good, p_bad, prior, kept = simulated()
+    assert np.abs(p_good - [k[0] for k in known]).max() < 0.02 and np.abs(p_bad - [k[1] for k in known]).max() < 0.02
+    assert abs(prior - truth.mean()) < 0.01 and (kept == truth).mean() > 0.99
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.2, 0.4])
+def test_a_noisy_rule_changes_nothing(noise):
+    *_, without = simulated()
+    _, _, p_good, p_bad, _, kept = simulated(noise)
+    assert abs(p_good[-1] - (1 - noise)) < 0.02 and abs(p_bad[-1] - (1 - noise)) < 0.02
+    assert (kept != without).mean() < 0.01
+
+
+def test_a_posterior_at_the_threshold_keeps(docs_of):
+    rows = Q.judge(docs_of([prose(random.Random(1), 90)] * 3))
+    p = rows.first().p_good
+    assert {r.kept for r in Q.judge(docs_of([prose(random.Random(1), 90)] * 3), threshold=p).collect()} == {True}
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    out = Q.op2_quality_rules(spark, sf)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema][:8] == [("doc_id", "bigint"), *((c, "bigint") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", "boolean"), ("kept", "boolean")]
+    rows = {r.doc_id: r for r in out.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert set(rows) == {d.doc_id for d in docs}
+    for d in docs:
+        r, want = rows[d.doc_id], brute(d.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [(rows[i].kept, y) for i, y in labels.items() if i in rows and y is not None and not rows[i].base_failed]
+    assert sum(k == bool(y) for k, y in judged) > 0.95 * len(judged)
+    assert {r.doc_id for r in Q.keep_good(spark.read.parquet(f"{sf}/documents.parquet")).collect()} == {i for i, r in rows.items() if r.kept}
