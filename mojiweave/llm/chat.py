@@ -1,17 +1,20 @@
 """Chat formatting into budgeted, turn-aligned windows, in DataFrame functions only.
 
-A conversation's turns are put in order (turn, then role and text; null turns first) and their
-tokens summed up from the start. The place of a turn on that line chooses its span: the line is cut
-into cells of half of what the budget leaves for new turns, and a span is the turns that begin in a
-cell; a turn longer than a cell is a span of its own. So a window's new turns never exceed the
-budget, and no window is found by walking through the conversation. Each window has, in order: the
-system turn if it has room, the turns before the span that lie within the history budget, and the
-span. Repeated turns are masked: the loss covers the texts of the span's assistant turns only, so
-every assistant text is a target once. A turn that alone is over the budget keeps its whole text in
-a window marked over_budget.
-
-The sums are taken in two levels, in blocks of BLOCK turns and over blocks, so a very long
-conversation is not one task. A window's turns are bounded by its budget.
+A conversation's turns are put in order (turn, then role and text by a digest; null turns first) and
+their tokens summed up from the start. These prefix sums deal the turns into blocks of BLOCK_WINDOWS
+budgets, and in each block, which is bounded by its tokens, spans are filled greedily up to what the
+budget leaves for new turns: only a block's last window may stay partly empty. Each window has, in
+order: the system turn, the turns before the span that lie within the history budget, and the span.
+Repeated turns are masked: the loss covers the texts of the span's assistant turns only, so every
+assistant text is a target once. The system turn stays in every window, whatever its size: history
+shrinks first, so that a quarter of the budget is left for new turns where that is possible. A
+window that is over the budget even so (a long turn, which is never cut, or a long system turn) is
+marked over_budget.
+
+Tokens are those of `tokens`, a Column function of the text; without one, of token_bound(), which is
+meant never to be too low. Rows are ordered and summed without their texts, in range partitions cut
+inside long conversations too, so neither a conversation nor a turn number that many rows share is
+one task. A window's turns are bounded by its budget.
 
 Template: `<|im_start|>role`, a line feed, the text, `<|im_end|>`, a line feed. In texts and roles
 each `<`, any backslashes and `|` get one more backslash after `<`; a role's line feeds and
@@ -30,13 +33,19 @@ from pyspark.sql import functions as F
 
 from mojiweave.llm import common
 
-BUDGET, HISTORY, BLOCK = 2048, 256, 512
+BUDGET, HISTORY, BLOCK_WINDOWS = 2048, 256, 16
+#: Tokens of the markup and the role of a turn.
+MARKUP = 8
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def piece_count(text: Column) -> Column:
-    """A native estimate of a text's tokens: runs of up to four letters or digits, and every other visible character."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]"))
+def token_bound(text: Column) -> Column:
+    """A native upper estimate of a text's tokens: one for each two letters A-Z of a run, for each digit and other visible ASCII sign, and for each byte of any other character.
+
+    No byte-level vocabulary needs more for digits, signs and other scripts; for runs of letters the
+    half is an estimate, tested against real tokenizers. Exact counts can be given to format_windows().
+    """
+    return F.regexp_count(text, F.lit(r"[A-Za-z]{1,2}|[\x21-\x40\x5B-\x60\x7B-\x7E]")) + F.octet_length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
 
 
 def escape(text: Column) -> Column:
@@ -55,84 +64,116 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
-def placed_turns(turns: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """conv_id, role, text, size (tokens with markup), begin and seq (tokens and turns before it in the conversation)."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("size", (tokens(F.col("text")) + 5).cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    local = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("_begin", F.coalesce(F.sum("size").over(local), F.lit(0))).withColumn("_seq", F.count(F.lit(1)).over(local))
-    before = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("conv_id", "block").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-    blocks = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
-    joined = inner.join(blocks, inner["conv_id"].eqNullSafe(blocks["_c"]) & inner["block"].eqNullSafe(blocks["_b"]))
-    return joined.select("conv_id", "role", "text", "size", (F.col("_begin") + F.col("_s")).alias("begin"), (F.col("_seq") + F.col("_n")).alias("seq"))
-
-
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = piece_count) -> DataFrame:
-    """A row per window: conv_id, window, formatted, loss array<struct<start, length>> (characters of formatted), n_turns, n_repeated (leading turns seen before), n_tokens, over_budget."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """conv_id, id, size, is_system and begin (tokens before the turn in its conversation), with sys_begin, sys_id and sys_size of its first system turn; rows: those without texts.
+
+    Sums are taken in two levels: inside the parts of a range partitioning, and over parts.
+    """
+    order = ["conv_id", "turn", "tie", "id"]
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = common.materialize(parts.select("conv_id", "id", "size", "is_system", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "ordered_turns")
+    local = Window.partitionBy("conv_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    inner = parts.withColumn("_begin", F.coalesce(F.sum("size").over(local), F.lit(0)))
+    sums = inner.groupBy("conv_id", "part").agg(F.sum("size").alias("s"), F.min(F.when(F.col("is_system"), F.struct("_begin", "id", "size"))).alias("x"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    first = F.min(F.when(F.col("x").isNotNull(), F.struct((F.col("x._begin") + F.col("_base")).alias("begin"), "x.id", "x.size"))).over(Window.partitionBy("conv_id"))
+    sums = sums.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "_base", first.alias("system"))
+    joined = inner.join(sums, inner["conv_id"].eqNullSafe(sums["_c"]) & (inner["part"] == sums["_p"]))
+    return joined.select("conv_id", "id", "size", (F.col("_begin") + F.col("_base")).alias("begin"), "system")
+
+
+def _planned(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv_id, id, window, place, begin, size, repeated): the turns of every window; window is the tokens before its first new turn."""
+    width = BLOCK_WINDOWS * budget
+    own = placed.withColumn("block", F.floor(F.col("begin") / width)).withColumn("ghost", F.lit(False))
+    # turns near a block's end may be history of the next one
+    ghosts = own.filter(F.pmod(F.col("begin"), F.lit(width)) >= width - history).withColumn("block", F.col("block") + 1).withColumn("ghost", F.lit(True))
+    blocks = own.unionByName(ghosts).groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("begin", "id", "size", "ghost"))).alias("t"), F.first("system").alias("system"))
+    used = F.coalesce(F.col("system.size"), F.lit(0))
+    back = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget - budget // 4) - used))
+    blocks = blocks.withColumn("back", back).withColumn("room", F.greatest(F.lit(0), F.lit(budget) - used - back)).withColumn("new", F.filter("t", lambda x: ~x["ghost"]))
+
+    def fill(a: Column, x: Column) -> Column:
+        full = (F.size(a["starts"]) == 0) | (a["used"] + x["size"] > F.col("room"))
+        return F.when(full, F.struct(x["size"].alias("used"), F.concat(a["starts"], F.array(x["begin"])).alias("starts"))).otherwise(F.struct((a["used"] + x["size"]).alias("used"), a["starts"].alias("starts")))
+
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("starts"))
+    blocks = blocks.withColumn("starts", F.aggregate("new", none, fill)["starts"])
+
+    def turn(window: Column, place: int, x: Column, repeated: bool) -> Column:
+        return F.struct(x["id"].alias("id"), window.alias("window"), F.lit(place).alias("place"), x["begin"].alias("begin"), x["size"].alias("size"), F.lit(repeated).alias("repeated"))
+
+    fresh = F.transform("new", lambda x: turn(F.array_max(F.filter("starts", lambda s: s <= x["begin"])), 2, x, False))
+    system = F.col("system")
+    kept = F.transform(F.filter("starts", lambda s: system.isNotNull() & (system["begin"] < s)), lambda s: turn(s, 0, system, True))
+    past = F.flatten(F.transform("starts", lambda s: F.transform(F.filter("t", lambda x: (x["begin"] < s) & (x["begin"] >= s - F.col("back")) & ~F.coalesce(x["id"] == system["id"], F.lit(False))), lambda x: turn(s, 1, x, True))))
+    return blocks.select("conv_id", F.inline(F.concat(fresh, kept, past)))
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = token_bound) -> DataFrame:
+    """A row per window: conv_id, window, formatted, loss array<struct<start, length>> (characters of formatted), n_turns, n_repeated (leading turns seen before), n_tokens, over_budget.
+
+    tokens is called with the text's Column; it may return another column of turns that holds exact counts.
+    """
     if not 0 <= history < budget // 2:
         raise ValueError("history must be under half of the budget")
-    rows = common.materialize(placed_turns(turns, tokens), "turns")
-    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("seq", "size", "role", "text"), "seq").alias("x"))
-    system = system.select(F.col("conv_id").alias("_c"), F.when(F.col("x.size") < budget // 2, F.col("x")).alias("system"))
-    spans = rows.join(system, rows["conv_id"].eqNullSafe(system["_c"]), "left").drop("_c")
-    room = F.lit(budget - history) - F.coalesce(F.col("system.size"), F.lit(0))
-    cell = F.greatest(F.floor(room / 2), F.lit(1))
-    spans = spans.withColumn("window", F.floor(F.col("begin") / cell) * 2 + (F.col("size") > cell).cast("long"))
-
-    heads = spans.groupBy("conv_id", "window").agg(F.min("begin").alias("at"), F.min("seq").alias("head"), F.any_value("system").alias("system")).filter("at > 0")
-    heads = heads.select(F.col("conv_id").alias("_c"), "window", "at", "head", "system")
-    shown = ["conv_id", "window", "place", "seq", "role", "text", "size", "repeated"]
-    own = spans.select("conv_id", "window", F.lit(2).alias("place"), "seq", "role", "text", "size", F.lit(False).alias("repeated"))
-    kept = heads.filter("system is not null and system.seq < head").select(F.col("_c").alias("conv_id"), "window", F.lit(0).alias("place"), "system.seq", "system.role", "system.text", "system.size", F.lit(True).alias("repeated"))
-    out = own.select(*shown).unionByName(kept.select(*shown))
-    if history:
-        # turns within `history` before a window share one of two cells of that size with its start
-        reach = heads.withColumn("slot", F.explode(F.array_distinct(F.array(F.floor((F.col("at") - 1) / history), F.floor(F.greatest(F.col("at") - history, F.lit(0)) / history)))))
-        past = rows.withColumn("slot", F.floor(F.col("begin") / history))
-        met = past.join(reach, past["conv_id"].eqNullSafe(reach["_c"]) & (past["slot"] == reach["slot"]))
-        met = met.filter("seq < head and begin >= at - %d and not (system is not null and seq = system.seq)" % history)
-        out = out.unionByName(met.select("conv_id", "window", F.lit(1).alias("place"), "seq", "role", "text", "size", F.lit(True).alias("repeated")))
-
-    out = out.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("body", escape(F.col("text")))
-    out = out.withColumn("turn_text", F.concat("head", "body", F.lit(END)))
-    order = Window.partitionBy("conv_id", "window").orderBy("place", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("start", F.coalesce(F.sum(F.length("turn_text")).over(order), F.lit(0)) + F.length("head"))
-    span = F.when((F.col("role") == "assistant") & ~F.col("repeated") & (F.length("body") > 0), F.struct("start", F.length("body").cast("long").alias("length")))
+    counted = tokens(F.coalesce("text", F.lit(""))).cast("long") + MARKUP
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(counted, F.lit(MARKUP)).alias("size"))
+    rows = common.materialize(rows.withColumn("id", F.monotonically_increasing_id()), "turns")
+    narrow = rows.select("conv_id", "turn", F.xxhash64("role", "text").alias("tie"), "id", "size", (F.col("role") == "system").alias("is_system"))
+    plan = _planned(_placed(narrow), budget, history)
+    out = plan.join(rows.select("id", "role", "text"), "id")
     parts = out.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("place", "seq", "turn_text"))).alias("t"),
-        F.array_sort(F.collect_list(span)).alias("loss"),
-        F.count(F.lit(1)).alias("n_turns"),
-        F.count_if("repeated").alias("n_repeated"),
-        F.sum("size").alias("n_tokens"),
+        F.array_sort(F.collect_list(F.struct("place", "begin", "repeated", "role", "text"))).alias("t"), F.count(F.lit(1)).alias("n_turns"), F.count_if("repeated").alias("n_repeated"), F.sum("size").alias("n_tokens")
     )
-    return parts.select("conv_id", "window", F.array_join(F.transform("t", lambda x: x["turn_text"]), "").alias("formatted"), "loss", "n_turns", "n_repeated", "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"))
+    shown = F.transform("t", lambda x: F.struct(F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), ((x["role"] == "assistant") & ~x["repeated"]).alias("target")))
+    parts = parts.withColumn("t", shown)
 
+    def masked(a: Column, x: Column) -> Column:
+        at, size = a["at"] + F.length(x["head"]), F.length(x["body"]).cast("long")
+        span = F.array(F.struct(at.alias("start"), size.alias("length")))
+        return F.struct((at + size + len(END)).alias("at"), F.when(x["target"] & (size > 0), F.concat(a["loss"], span)).otherwise(a["loss"]).alias("loss"))
 
-def read_turns(windows: DataFrame) -> DataFrame:
-    """Windows with turns array<struct<role, text>>, read back from the formatted text: those that the window does not repeat."""
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
+    text = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
+    return parts.select("conv_id", "window", text.alias("formatted"), F.aggregate("t", none, masked)["loss"].alias("loss"), "n_turns", "n_repeated", "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"))
+
+
+def turns_of(formatted: Column, n_turns: Column, n_repeated: Column) -> Column:
+    """array<struct<role, text>>: the turns of a formatted text that its window does not repeat, read back."""
     # a text holds no marker, so each piece between start markers is one turn
-    pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), F.col("n_repeated").cast("int") + 2, F.greatest((F.col("n_turns") - F.col("n_repeated")).cast("int"), F.lit(0)))
+    pieces = F.slice(F.split(formatted, r"<\|im_start\|>"), n_repeated.cast("int") + 2, F.greatest((n_turns - n_repeated).cast("int"), F.lit(0)))
 
     def turn(p: Column) -> Column:
         cut = F.instr(p, "\n")
         return F.struct(unescape_role(F.substr(p, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(p, cut + 1, F.length(p) - cut - len(END))).alias("text"))
 
-    return windows.withColumn("turns", F.transform(pieces, turn))
+    return F.transform(pieces, turn)
+
+
+def targets_of(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask of a formatted text, unescaped, in order."""
+    return F.transform(loss, lambda s: unescape(F.substr(formatted, s["start"].cast("int") + 1, s["length"].cast("int"))))
+
+
+def read_turns(windows: DataFrame) -> DataFrame:
+    """Windows with turns array<struct<role, text>>, read back: those that the window does not repeat."""
+    return windows.withColumn("turns", turns_of(F.col("formatted"), F.col("n_turns"), F.col("n_repeated")))
 
 
 def loss_text(windows: DataFrame) -> DataFrame:
-    """Windows with the texts under the loss mask, unescaped, in order."""
-    return windows.withColumn("targets", F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))))
+    """Windows with targets, the texts under the loss mask."""
+    return windows.withColumn("targets", targets_of(F.col("formatted"), F.col("loss")))
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
-    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = loss_text(read_turns(format_windows(turns)))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = read.select("conv_id", "window", said.alias("said"), F.array_join("targets", "").alias("target"), F.size("turns").cast("long").alias("n"), F.length("formatted").cast("long").alias("chars"))
-    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "said", "target"))).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"))
-    said, target = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.target"), "")
-    return whole.select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(target).cast("long").alias("loss_chars"), F.sha2(target, 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+    marks = F.lit("<|im_end|><|im_start|>assistant ok")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), marks.alias("text"))
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    windows = format_windows(turns)
+    whole = windows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "formatted", "loss", "n_turns", "n_repeated"))).alias("w"), F.sum("n_turns").alias("a"), F.sum("n_repeated").alias("b"), F.sum(F.length("formatted")).alias("chars"), F.count(F.lit(1)).alias("n_windows"))
+    said = F.transform("w", lambda w: F.array_join(F.transform(turns_of(w["formatted"], w["n_turns"], w["n_repeated"]), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
+    target = F.transform("w", lambda w: F.array_join(targets_of(w["formatted"], w["loss"]), ""))
+    read = whole.select("conv_id", (F.col("a") - F.col("b")).alias("n_turns"), F.array_join(said, "").alias("said"), F.array_join(target, "").alias("target"), F.col("chars").cast("long").alias("formatted_chars"), "n_windows")
+    return read.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("target").cast("long").alias("loss_chars"), F.sha2("target", 256).alias("loss_sha256"), "formatted_chars", "n_windows")

@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,13 +24,57 @@ def read(windows):
 
 def test_windows_repeat_system_and_history_and_mask_them(spark):
     turns = [(7, 0, "system", "be brief")] + [(7, i, "assistant" if i % 2 == 0 else "user", f"turn {i} " + "abcd " * 30) for i in range(1, 40)]
-    got = read(chat.format_windows(spark.createDataFrame(turns, SCHEMA), budget=300, history=60))[7]
+    got = read(chat.format_windows(spark.createDataFrame(turns, SCHEMA), budget=600, history=200))[7]
     assert got["turns"] == [(r, t) for _, _, r, t in turns]
     assert got["loss"] == [t for _, _, r, t in turns if r == "assistant"]
     assert len(got["windows"]) > 5
     for w in got["windows"][1:]:
         assert w.formatted.startswith("<|im_start|>system\nbe brief<|im_end|>\n") and w.n_repeated >= 2
-        assert w.n_tokens <= 300 and not w.over_budget
+        assert w.n_tokens <= 600 and not w.over_budget
+
+
+def test_a_long_system_turn_stays_and_is_marked(spark):
+    for words, over in ((300, False), (1200, True)):
+        turns = [(7, 0, "system", "rule " * words)] + [(7, i, "user", f"turn {i} " + "abcd " * 60) for i in range(1, 30)]
+        got = read(chat.format_windows(spark.createDataFrame(turns, SCHEMA)))[7]
+        assert len(got["windows"]) > 3 and got["turns"] == [(r, t) for _, _, r, t in turns]
+        for w in got["windows"]:
+            assert w.formatted.count("rule rule") >= 1 and w.over_budget == over
+
+
+def test_windows_are_filled(spark):
+    rng = random.Random(4)
+    turns = [(c, i, rng.choice(("user", "assistant")), "some words " * rng.randrange(1, 40)) for c in range(3) for i in range(900)]
+    got = chat.format_windows(spark.createDataFrame(turns, SCHEMA)).collect()
+    assert sum(w.n_tokens for w in got) > 0.85 * chat.BUDGET * len(got) and not any(w.over_budget for w in got)
+
+
+def test_turn_numbers_that_say_nothing(spark):
+    rows = [(1, None if i % 2 else 3, "user", f"text {i} " * 20) for i in range(400)]
+    got = read(chat.format_windows(spark.createDataFrame(rows, SCHEMA)))[1]
+    assert Counter(t for _, t in got["turns"]) == Counter(t for *_, t in rows) and not any(w.over_budget for w in got["windows"])
+
+
+def test_no_window_is_over_budget_by_real_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    scripts = ["日本語の文章をここに書きます。", "Привет, как дела? Это проверка.", "مرحبا كيف حالك اليوم", "नमस्ते दुनिया", "Größe über Straße, naïve façade", "안녕하세요 세계", "👍🏽🎉 ok 12345 !!??"]
+    rows = [(-2 - k, i, ("user", "assistant")[i % 2], x * (3 + i % 5)) for k, x in enumerate(scripts) for i in range(60)]
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(spark.createDataFrame(rows, SCHEMA))
+    windows = chat.format_windows(turns).collect()
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        bodies = [[p.split("\n", 1)[1] for p in w.formatted.split("<|im_start|>")[1:]] for w in windows]
+        for w, b in zip(windows, bodies, strict=True):
+            real = sum(len(e.ids) + chat.MARKUP for e in t.encode_batch([x.removesuffix("<|im_end|>\n") for x in b], add_special_tokens=False))
+            assert real <= chat.BUDGET or w.over_budget, (name, real, w.n_tokens)
+
+
+def test_exact_counts_can_be_given(spark):
+    df = spark.createDataFrame([(1, i, "user", "word", 500) for i in range(9)], SCHEMA + ", n int")
+    got = chat.format_windows(df, budget=1100, history=0, tokens=lambda text: F.col("n")).collect()
+    assert sorted(w.n_turns for w in got) == [1, 2, 2, 2, 2] and {w.n_tokens for w in got} == {508, 1016}
 
 
 def test_long_turn_stands_alone_whole(spark):
