@@ -202,6 +202,23 @@ def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(chunks), "_chunk", "left").withColumn("_maybe", maybe).drop("_slot", "_chunk", "_place", "_bits")
 
 
+#: From so many rows on a key is hot for meet(): its rows are dealt over SALTS parts.
+HOT_ROWS, SALTS = 2_000, 64
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], *spread: str) -> DataFrame:
+    """rows joined with keys (a written table, each key once, copies: how many rows have it) on the longs `on`.
+
+    Keys of HOT_ROWS copies or more, and what shares their places in a filter, are dealt over SALTS
+    parts by the columns `spread` of rows, so a key that a third of all rows have is not one task.
+    """
+    hot = keys.filter(F.col("copies") >= HOT_ROWS).select(F.xxhash64(*on).alias("h"))
+    known, held = (marked(x, F.xxhash64(*on), hot) for x in (rows, keys.drop("copies")))
+    dealt = held.filter("_maybe").drop("_maybe").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = known.filter("_maybe").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(dealt, [*on, "_salt"]).drop("_salt", "_maybe")
+    return some.unionByName(known.filter("not _maybe").join(held.filter("not _maybe").drop("_maybe"), on).drop("_maybe"))
+
+
 def drop_matching(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
     """The rows of docs whose keys are not among the rows of gone (each once; a written table); null is a value like any other.
 

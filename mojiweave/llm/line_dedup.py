@@ -33,8 +33,6 @@ from mojiweave.llm import common
 
 #: Least length of two lines that are compared for one edit, and of lines that go as exact repeats.
 MIN_CHARS, EXACT_CHARS = 20, 1
-#: From so many copies on a line is a hot key: its copies are dealt over SALTS parts.
-HOT_COPIES, SALTS = 2_000, 64
 #: What normal() takes as white space.
 _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _CLASS, _BLOCKS, _PARTS = 16, 4, 8
@@ -282,17 +280,6 @@ def near_lines(keyed: DataFrame, lines: DataFrame, unique: DataFrame, min_chars:
     return pairs.filter(a == b).select("h1", "h2").distinct()
 
 
-def _met(lines: DataFrame, suspects: DataFrame) -> DataFrame:
-    """lines joined with suspects on (h1, h2); suspects of many copies, and what shares their places in a filter, in salted parts."""
-    hot = suspects.filter(F.col("copies") >= HOT_COPIES)
-    marked, held = (common.marked(x, F.col("h1"), hot.select("h1")) for x in (lines, suspects))
-    salt = F.pmod(F.xxhash64("doc", "no"), F.lit(SALTS)).cast("int")
-    dealt = held.filter("_maybe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    some = marked.filter("_maybe").withColumn("salt", salt).join(dealt.drop("_maybe"), ["h1", "h2", "salt"]).drop("salt", "_maybe")
-    rest = marked.filter("not _maybe").join(held.filter("not _maybe").drop("_maybe"), ["h1", "h2"]).drop("_maybe")
-    return some.unionByName(rest)
-
-
 def removed_lines(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """(_doc, _dig, gone): the numbers of the lines that go, for documents that lose any."""
     lines = common.materialize(line_table(keyed, min_chars, exact_chars), "lines")
@@ -301,7 +288,7 @@ def removed_lines(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFra
     unique = common.materialize(unique, "unique_lines")
     near = near_lines(keyed, lines, unique, min_chars).withColumn("near", F.lit(True))
     suspects = unique.select("h1", "h2", "first", "last", "copies").join(near, ["h1", "h2"], "left").filter("near or first != last").select("h1", "h2", "first", "near", "copies")
-    gone = _met(lines.drop("keys"), common.materialize(suspects, "suspects")).filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
+    gone = common.meet(lines.drop("keys"), common.materialize(suspects, "suspects"), ["h1", "h2"], "doc", "no").filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set("no").alias("gone"))
 
 

@@ -1,8 +1,10 @@
 """Substring deduplication over sliding spans of sentences.
 
-From every sentence of a text a span starts: the fewest consecutive sentences, MIN_SENTENCES or
-more, that have MIN_WORDS words together. Where it ends depends only on what follows its start, so
-a passage that documents share gives the same spans in each. Spans (lower-cased, runs of white
+From every sentence of a text a span starts, and at every sentence one ends: the fewest consecutive
+sentences, MIN_SENTENCES or more, that have MIN_WORDS words together. Where it ends (or starts)
+depends only on what follows (or comes before), so a passage that documents share gives the same
+spans in each, up to its last sentence. A text that is too short for such a span is one span as a
+whole, so equal short texts are found too. Spans (lower-cased, runs of white
 space as one space) are hashed and joined globally; sentences covered by a span that is not the
 first of its kind, in the order (doc_id, place), are removed. Sentences end after . ! ? and white
 space, or at a line's end; one of over LONG words also ends after the words whose hash says so,
@@ -10,11 +12,12 @@ so run-on text has comparable pieces too. What is kept stays as it was, characte
 
 Spans that repeat inside a text are found while it is read, so the global step has one row for each
 span and document. Its aggregate keeps the least doc_id of each hash, combined before the shuffle;
-the rows of repeated hashes are then picked by a filter and joined exactly.
+the rows of repeated hashes are then picked by a filter and joined exactly, very common ones in
+salted parts.
 
-Defined cases: a null text stays null with no sentence; a text of too few words has no span; a null
-doc_id comes first in the order; rows that repeat a doc_id count as one document: none loses a
-span to the other; an empty table gives an empty result; other columns pass unchanged.
+Defined cases: a null text stays null with no sentence, and one without a word has no span; a null
+doc_id comes first in the order; rows that repeat a doc_id count as one document, whether their texts
+are equal or not: none loses a span to the other, and all lose what an earlier document has; an empty table gives an empty result; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -65,16 +68,27 @@ def spans(words: list[list[str]], min_sentences: int, min_words: int) -> list[tu
     from xxhash import xxh3_128_digest
 
     digests = [xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
-    n, out, j, held = len(words), [], 0, 0
-    for i in range(n):
+    n, sizes = len(words), [len(w) for w in words]
+    found, j, held = set(), 0, 0
+    for i in range(n):  # from sentence i on
         while j < n and (held < min_words or j - i < min_sentences):
-            held += len(words[j])
+            held += sizes[j]
             j += 1
         if held < min_words or j - i < min_sentences:
             break
-        out.append((i, j - i, xxh3_128_digest(b"".join(digests[i:j]))))
-        held -= len(words[i])
-    return out
+        found.add((i, j))
+        held -= sizes[i]
+    i, held = 0, 0
+    for j in range(1, n + 1):  # up to sentence j
+        held += sizes[j - 1]
+        while held - sizes[i] >= min_words and j - i > min_sentences:
+            held -= sizes[i]
+            i += 1
+        if held >= min_words and j - i >= min_sentences:
+            found.add((i, j))
+    if n and not found:
+        found.add((0, n))
+    return [(i, j - i, xxh3_128_digest(b"".join(digests[i:j]))) for i, j in sorted(found)]
 
 
 def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
@@ -128,10 +142,10 @@ def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     """(_doc, _dig, gone array<struct<at, size>>): the spans to remove, for documents that lose any."""
     table = common.materialize(span_table(keyed, min_sentences, min_words), "spans")
     firsts = table.filter("not again")
-    repeated = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead != last").drop("last")
+    repeated = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("copies")).filter("lead != last").drop("last")
     repeated = common.materialize(repeated, "repeated_spans")
     bits = keyed.sparkSession.sparkContext.broadcast(common.key_bits(repeated, F.col("h1")))
-    later = _picked(firsts.select("doc", "dig", "at", "size", "h1", "h2"), bits).join(repeated, ["h1", "h2"]).filter("doc != lead")
+    later = common.meet(_picked(firsts.select("doc", "dig", "at", "size", "h1", "h2"), bits), repeated, ["h1", "h2"], "doc", "dig").filter("doc != lead")
     gone = later.select("doc", "dig", "at", "size").unionByName(table.filter("again").select("doc", "dig", "at", "size"))
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))
 

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from mojiweave.llm import common
 from mojiweave.llm import line_dedup as D
 
 
@@ -147,7 +148,7 @@ def test_two_long_lines_in_linear_time(docs_of):
 
 
 def test_a_very_common_line(docs_of, monkeypatch):
-    monkeypatch.setattr(D, "HOT_COPIES", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     texts = [f"own line number {k} of this text {k * k}\nthe line that all texts have in common\nok" for k in range(40)]
     got = {r.doc_id: r.text for r in D.dedup_lines(docs_of(texts)).collect()}
     assert got[0] == texts[0] and all(got[k] == texts[k].split("\n")[0] for k in range(1, 40))

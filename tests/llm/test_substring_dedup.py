@@ -3,6 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from mojiweave.llm import common
 from mojiweave.llm import substring_dedup as S
 
 
@@ -24,12 +25,13 @@ def brute(texts):
     seen, gone = {}, [set() for _ in texts]
     for k, t in enumerate(texts):
         words = S.sentences(t or "")[1]
-        for i in range(len(words)):
-            j = i
-            while j < len(words) and (j - i < S.MIN_SENTENCES or sum(map(len, words[i:j])) < S.MIN_WORDS):
-                j += 1
-            if j - i < S.MIN_SENTENCES or sum(map(len, words[i:j])) < S.MIN_WORDS:
-                continue
+        n = len(words)
+
+        def enough(i, j):
+            return j - i >= S.MIN_SENTENCES and sum(map(len, words[i:j])) >= S.MIN_WORDS
+
+        spans = {(i, j) for i in range(n) for j in range(i + 1, n + 1) if enough(i, j) and not (enough(i, j - 1) and enough(i + 1, j))}
+        for i, j in sorted(spans) or ([(0, n)] if n else []):
             key = tuple(" ".join(w) for w in words[i:j])
             if key in seen:
                 gone[k].update(range(i, j))
@@ -46,7 +48,7 @@ def test_against_brute_force(docs_of):
         for p in rng.sample(shared, rng.randrange(3)):
             parts.insert(rng.randrange(len(parts) + 1), p)
         texts.append(rng.choice([" ", "\n", "  "]).join(parts))
-    texts += [None, "", "no end at all " * 30, "no end at all " * 30]
+    texts += [None, "", "no end at all " * 30, "no end at all " * 30, "Two words. And more.", "Two words. And more.", "One.", "Two words. And more. Yes.", "One."]
     got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
     for k, (t, gone) in enumerate(zip(texts, brute(texts), strict=True)):
         starts, words = S.sentences(t or "")
@@ -70,3 +72,32 @@ def test_odd_rows(odd_docs, docs_of):
     assert len(rows) == 8 and out.columns == [*odd_docs.columns, "n_sentences", "n_removed"]
     assert {r.text for r in rows if r.doc_id == 2} == {None}
     assert S.remove_repeats(docs_of([])).count() == 0
+
+
+def test_short_equal_texts_and_a_very_common_span(docs_of, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(8)
+    passage = " ".join(sentence(rng, 9) for _ in range(3))
+    own = [sentence(rng, 12) for _ in range(30)]
+    texts = [f"{x}\n{passage}" for x in own] + ["Short text. Said twice."] * 2
+    got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
+    assert got[0].n_removed == 0 and all(got[k].text == f"{own[k]}\n" for k in range(1, 30))
+    assert got[30].n_removed == 0 and (got[31].n_removed, got[31].text) == (2, "")
+
+
+def test_the_last_sentence_of_a_passage_goes_too(docs_of):
+    rng = random.Random(3)
+    passage = " ".join(sentence(rng, n) for n in (9, 9, 9, 5))
+    texts = [passage + " " + sentence(rng, 20), sentence(rng, 20) + " " + passage + " " + sentence(rng, 18)]
+    got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == 4
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    out = S.op8_substring_dedup(spark, sf)
+    assert {f.name: f.dataType.simpleString() for f in out.schema} == {"doc_id": "bigint", "n_sentences": "bigint", "n_removed": "bigint", "has_repeats": "boolean", "text": "string"}
+    docs = sorted(((d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=lambda d: d[0])
+    got = {r.doc_id: r for r in out.collect()}
+    for (i, _), gone in zip(docs, brute([t for _, t in docs]), strict=True):
+        assert got[i].n_removed == len(gone)
