@@ -4,7 +4,7 @@ A document longer than a sequence is cut into full pieces and a rest; no other o
 Lengths are at most `capacity`, so how many pieces have each length says all that packing needs:
 the driver packs that histogram (at most `capacity` numbers, whatever the corpus) and what it
 returns are bin patterns with a multiplicity. Pieces find their place by their rank among those
-of the same length, which is counted per (length, hash bucket), so no length forms one task.
+of the same length, which is counted per (length, hash bucket), as many buckets as the length needs.
 
 Best-two-fit: a bin is filled greedily, the longest piece that fits first. If a gap remains, its
 smallest piece s gives way to the two unpacked pieces whose sum is the largest that is above s
@@ -31,7 +31,17 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
 CACHE_WORDS = 600_000
 #: Pieces in a hash bucket of one length, on average, at most.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 1_000
+
+# --- fixed values: how the vocabulary that WordEncoder knows cuts texts into words, as its file says ---
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def default_tokenizer() -> str:
@@ -43,12 +53,14 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, the same as the tokenizer gives.
 
-    The vocabulary's pre-tokens are encoded independently, so their ids are remembered. That
-    path is taken for texts of characters whose case folding, normal form and class leave no
-    doubt; any other text goes through the tokenizer as a whole.
+    A word vocabulary's pre-tokens are encoded independently, so their ids are remembered. That
+    path is taken if the file cuts texts as WORD_NORMALIZER and WORD_CUTS say, for texts of
+    characters whose case folding, normal form and class leave no doubt; any other text, and any
+    text under another kind of file, goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
+        import json
         import os
         import re
 
@@ -58,6 +70,10 @@ class WordEncoder:
         import numpy as np
 
         self._np, self._tokenizer = np, Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # an added token is cut out before words are; texts that may hold one are told by these signs
+        self._by_word = spec["normalizer"] == WORD_NORMALIZER and spec["pre_tokenizer"] == WORD_CUTS and spec["post_processor"] is None and all("<|" in x["content"] for x in spec["added_tokens"])
         letters = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
         self._plain = re.compile(rf"[\t\n\r\x20-\x7e{letters}]*").fullmatch
         self._words = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[0-9]|[^\s{letters}0-9]+").findall
@@ -67,7 +83,7 @@ class WordEncoder:
         return self._np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self._plain(text) or "<|" in text:
+        if not self._by_word or "<|" in text or not self._plain(text):
             return self._slow(text)
         words, known = self._words(text.lower()), self._known
         try:
@@ -189,8 +205,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in histogram:
         counts[r["length"]] = r["count"]
     segments, _ = best_two_fit(counts, capacity)
-    buckets = max(1, sum(counts) // BUCKET_ROWS)
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = pieces.sparkSession.createDataFrame([(r["length"], 1 + r["count"] // BUCKET_ROWS) for r in histogram], "length int, _buckets long")  # at most `capacity` rows
+    rows = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_buckets")).drop("_buckets")
     per = rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
