@@ -119,7 +119,12 @@ class _Output:
         return at
 
     def close(self) -> None:
+        """The name may stand there already, from an attempt that was lost after its last step; not every store moves over it."""
+        from pyarrow.fs import FileType
+
         self._out.close()
+        if self._fs.get_file_info(self.path).type != FileType.NotFound:
+            self._fs.delete_file(self.path)
         self._fs.move(self._part, self.path)
 
 
@@ -131,10 +136,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("hash", F.sha2(F.col("html").cast("binary"), 256))
     equal = rows.filter(F.octet_length("html") >= min_bytes).groupBy("hash").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("n"))
-    equal = equal.filter("n > 1 and lead is not null").drop("n")
-    revisits = rows.select("page_id", "hash").join(equal, "hash").filter("not (page_id <=> lead)").distinct()
-    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("hash").alias("_hash"), "lead")
-    joined = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["_id"]) & (rows["hash"] == revisits["_hash"]), "left").select("page_id", "url", "html", "lead")
+    equal = common.materialize(equal.filter("n > 1 and lead is not null").withColumnRenamed("n", "copies"), "equal_payloads")
+    revisits = common.meet(rows.select("page_id", "hash"), equal, ["hash"], "page_id").filter("not (page_id <=> lead)").distinct()
+    revisits = common.materialize(revisits.select(F.col("page_id").alias("_id"), F.col("hash").alias("_hash"), "lead"), "revisits")
+    # only pages that may be revisits are shuffled to meet their response's page_id
+    known = common.marked(rows, F.xxhash64("page_id", "hash"), revisits.select(F.xxhash64("_id", "_hash").alias("h")))
+    maybe = known.filter("_maybe")
+    met = maybe.join(revisits, maybe["page_id"].eqNullSafe(revisits["_id"]) & (maybe["hash"] == revisits["_hash"]), "left").select("page_id", "url", "html", "lead")
+    joined = known.filter("not _maybe").select("page_id", "url", "html", F.lit(None).cast("long").alias("lead")).unionByName(met)
 
     def run(batches: Iterator) -> Iterator:
         import base64

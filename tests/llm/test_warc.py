@@ -71,3 +71,24 @@ def test_damage_is_noticed():
     assert warc.parse_record(data)["payload"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse_record(data.replace(b"payload", b"payl0ad"))
+
+
+def test_a_file_that_stands_there_is_replaced(tmp_path):
+    for text in (b"first", b"second"):
+        out = warc._Output(f"file://{tmp_path}", "part")
+        out.write(text)
+        out.close()
+    assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("part", b"second")]
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    out = warc.op3_warc(spark, sf)
+    assert {f.name: f.dataType.simpleString() for f in out.schema} == {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
+    pages = sorted(spark.read.parquet(f"{sf}/pages.parquet").collect(), key=lambda p: p.page_id)
+    lead, want = {}, {}
+    for p in pages:
+        data = (p.html or "").encode()
+        first = lead.setdefault(data, p.page_id)
+        want[p.page_id] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first == p.page_id else "revisit", None if first == p.page_id else first)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()} == want
