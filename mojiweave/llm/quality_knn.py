@@ -4,9 +4,11 @@ A text is a bag of terms: its words and their shapes, each hashed to a fixed num
 grades: terms that stand for the share of words that repeat the one before, hold symbols, shout or
 have no letter, as that share passes each of GRADES. Document frequencies are counted over all documents.
 A bounded sample of labelled documents gives the latent space (a truncated singular value
-decomposition of its weighted term rows) and, projected, the labelled vectors. These are broadcast:
-MOST_LABELLED x RANK numbers at most. Every document is then projected, its exact cosines with all
-labelled vectors are computed in blocks, and the NEIGHBOURS nearest vote with their similarity.
+decomposition of its weighted term rows, by subspace iteration whose products are computed in Spark)
+and, projected, the labelled vectors. These are broadcast: MOST_LABELLED x RANK numbers at most. Every
+document is then projected, its exact cosines with all labelled vectors are computed in blocks, and
+the NEIGHBOURS nearest vote with their similarity; labelled vectors that tie for the last places
+share them.
 
 Labels, lang, source and doc_id are no input of a score. Defined cases: a null or empty text has no
 direction, so it gets the share of good labels, as does every text if there are no labelled rows
@@ -26,6 +28,8 @@ from mojiweave.llm import common
 from mojiweave.llm.labelled import labelled_sample, remainder
 
 MOST_LABELLED, RANK, NEIGHBOURS = 6000, 64, 16
+#: Rounds of the subspace iteration, and parts that each send PLACES x (RANK + 8) numbers to the driver in a round.
+ROUNDS, PARTS = 4, 8
 #: Places for words and for shapes; the last ones are for grades of four traits.
 WORD_PLACES, SHAPE_PLACES = 1 << 14, 1 << 10
 GRADES, TRAITS = (0.05, 0.15, 0.3, 0.6), 4
@@ -37,13 +41,13 @@ SHAPE_WEIGHT, GRADE_WEIGHT = 3.0, 6.0
 
 
 def _shape(word: str) -> str:
-    """Runs of capitals, other letters and digits as one sign each, anything else as it is, no sign twice in a row; at most eight."""
+    """Runs of capitals, other letters and digits as one sign each, anything else as it is, no sign twice in a row."""
     out: list[str] = []
     for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class _Places(dict):
@@ -69,14 +73,12 @@ def term_counts(text: str, places: dict):
     n = len(words)
     got = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=n)
     both, traits = got // 8, got % 8
-    count = np.zeros(PLACES, dtype=np.int64)
-    count[:WORD_PLACES] = np.bincount(both // SHAPE_PLACES, minlength=WORD_PLACES)
-    count[WORD_PLACES : WORD_PLACES + SHAPE_PLACES] = np.bincount(both % SHAPE_PLACES, minlength=SHAPE_PLACES)
+    at, count = np.unique(np.concatenate([both // SHAPE_PLACES, both % SHAPE_PLACES + WORD_PLACES]), return_counts=True)
     if n:
         shares = np.asarray([(both[1:] == both[:-1]).sum(), (traits & 1).sum(), (traits & 2).sum() / 2, (traits & 4).sum() / 4]) / n
-        count[WORD_PLACES + SHAPE_PLACES :] = (shares[:, None] > np.asarray(GRADES)).ravel()
-    at = np.flatnonzero(count)
-    return at, count[at]
+        grades = np.flatnonzero((shares[:, None] > np.asarray(GRADES)).ravel()) + WORD_PLACES + SHAPE_PLACES
+        at, count = np.concatenate([at, grades]), np.concatenate([count, np.ones(len(grades), dtype=count.dtype)])
+    return at, count
 
 
 def weighted(at, count, idf):
@@ -119,20 +121,16 @@ def inverse_frequencies(docs: DataFrame):
     return np.log((n + 1) / (df + 1)) + 0.1
 
 
-def latent_space(rows: list, rank: int = RANK):
-    """Right singular vectors (PLACES x rank) of weighted rows [(places, weights)], by subspace iteration with a fixed start."""
+def latent_space(multiply, rank: int = RANK):
+    """Right singular vectors (PLACES x rank) of a matrix W by subspace iteration; multiply(basis) is W' W basis."""
     import numpy as np
 
-    rank = min(rank, max(1, len(rows)))
-    basis = np.random.default_rng(7).standard_normal((PLACES, rank + 8)).astype(np.float32)
-    for _ in range(4):
-        left = np.stack([w @ basis[at] for at, w in rows]) if rows else np.zeros((0, rank + 8), np.float32)
-        left = np.linalg.qr(left)[0].astype(np.float32)
-        basis = np.zeros((PLACES, left.shape[1]), np.float32)
-        for (at, w), y in zip(rows, left, strict=True):
-            basis[at] += w[:, None] * y
-    u, _, _ = np.linalg.svd(basis, full_matrices=False)
-    return np.ascontiguousarray(u[:, :rank], dtype=np.float32)
+    basis = np.random.default_rng(7).standard_normal((PLACES, rank + 8))
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(multiply(basis.astype(np.float32)))[0]
+    # the strongest directions inside the subspace come first
+    values, turn = np.linalg.eigh(basis.T @ multiply(basis.astype(np.float32)))
+    return np.ascontiguousarray((basis @ turn[:, ::-1])[:, :rank], dtype=np.float32)
 
 
 @dataclass
@@ -156,39 +154,73 @@ class Voters:
 
         if not len(self.labels):
             return np.full(len(rows), self.prior)
-        q = self.project(rows)
-        near = q @ self.vectors.T
+        near = self.project(rows) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(float)
-        total = weight.sum(axis=1)
-        return np.where(total > 0, (weight * self.labels[at]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        above, tied = near > last[:, None], near == last[:, None]
+        weight = np.where(above, np.maximum(near, 0), 0).astype(float)
+        rest = (k - above.sum(axis=1)) * np.maximum(last, 0).astype(float)
+        total = weight.sum(axis=1) + rest
+        good = weight @ self.labels + rest * (tied @ self.labels) / tied.sum(axis=1)
+        return np.where(total > 0, good / np.where(total > 0, total, 1), self.prior)
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Voters:
-    """The space and the labelled vectors; the driver gets the term rows of a bounded sample."""
+    """The space and the labelled vectors of a bounded sample; its term rows stay in a written table, the driver gets products."""
     import numpy as np
 
     idf = inverse_frequencies(docs)
 
-    def run(batches: Iterator) -> Iterator:
+    def terms(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         places = common.worker_store("knn_places", _Places)
         for batch in batches:
             made = [term_counts(t.as_py(), places) for t in batch.column("text")]
-            at, count = pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([c for _, c in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), at, count], ["doc_id", "y", "at", "n"])
-
-    got = common.map_arrow(sample, run, "doc_id long, y int, at array<long>, n array<long>", "knn_places").toArrow()
-    got = got.sort_by("doc_id")
-    rows = [weighted(np.asarray(a.values), np.asarray(n.values), idf) for a, n in zip(got.column("at"), got.column("n"), strict=True)]
-    rows = [(np.asarray(a.values), w) for a, w in zip(got.column("at"), rows, strict=True)]
-    y = got.column("y").to_numpy().astype(float)
-    prior = float(y.mean()) if len(y) else 0.0
-    voters = Voters(idf, latent_space(rows), np.zeros((0, RANK), np.float32), y[:0], prior)
-    if len(y):
-        voters.vectors, voters.labels = voters.project(rows), y
+            at, w = [a.astype(np.int32) for a, _ in made], [weighted(a, c, idf) for a, c in made]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32()))], ["doc_id", "y", "at", "w"])
+
+    rows = common.map_arrow(sample, terms, "doc_id long, y int, at array<int>, w array<float>", "knn_places")
+    rows = common.materialize(rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "y", F.xxhash64("at", "w")), "labelled_terms")
+
+    def parts(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at, w in zip(batch.column("at"), batch.column("w"), strict=True):
+                yield at.values.to_numpy(), w.values.to_numpy()
+
+    def multiply(basis):
+        known = rows.sparkSession.sparkContext.broadcast(basis)
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            out = np.zeros(known.value.shape, dtype=np.float32)
+            for at, w in parts(batches):
+                out[at] += w[:, None] * (w @ known.value[at])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([out.tobytes()], pa.binary())})
+
+        total = np.zeros(basis.shape)
+        for r in common.map_arrow(rows.select("at", "w").coalesce(PARTS), run, "part binary").toLocalIterator():
+            total += np.frombuffer(r["part"], dtype=np.float32).reshape(basis.shape)
+        known.destroy()
+        return total
+
+    voters = Voters(idf, latent_space(multiply), np.zeros((0, RANK), np.float32), np.zeros(0), 0.0)
+    known = rows.sparkSession.sparkContext.broadcast(voters.space)
+
+    def projected(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            vectors = [w @ known.value[at] for at, w in parts([batch])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([v.tobytes() for v in vectors], pa.binary())], ["doc_id", "y", "vector"])
+
+    got = common.map_arrow(rows, projected, "doc_id long, y int, vector binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("vector", "ascending")])
+    if got.num_rows:
+        q = np.stack([np.frombuffer(v.as_py(), dtype=np.float32) for v in got.column("vector")])
+        n = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        voters.vectors, voters.labels = q / np.where(n > 0, n, 1), got.column("y").to_numpy().astype(float)
+        voters.prior = float(voters.labels.mean())
     return voters
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -96,3 +97,54 @@ def test_sample_is_bounded_and_repeatable(spark, docs_of):
     docs, labels = docs_of([f"text {i}" for i in range(50)]), labels_of(spark, [i % 2 for i in range(50)], "toxic")
     a, b = (sorted(map(tuple, labelled_sample(docs, labels.repartition(k), "toxic", remainder(F.col("doc_id"), 4) != 2, 12).collect())) for k in (1, 5))
     assert a == b and len(a) == 12
+
+
+def test_space_is_nearly_that_of_a_plain_decomposition(spark, docs_of):
+    texts, _, good = corpus(150)
+    docs = docs_of(texts)
+    voters = quality_knn.fit(docs, labelled_sample(docs, labels_of(spark, good, "quality"), "quality", F.lit(True), 1000))
+    places = quality_knn._Places()
+    dense, df = np.zeros((len(texts), quality_knn.PLACES)), np.zeros(quality_knn.PLACES)
+    for t in texts:
+        df[quality_knn.term_counts(t, places)[0]] += 1
+    assert np.allclose(voters.idf, np.log((len(texts) + 1) / (df + 1)) + 0.1)
+    for k, t in enumerate(texts):
+        at, n = quality_knn.term_counts(t, places)
+        dense[k, at] = quality_knn.weighted(at, n, voters.idf)
+    best = (np.linalg.svd(dense, compute_uv=False)[: quality_knn.RANK] ** 2).sum()
+    q = dense @ voters.space
+    assert (q**2).sum() > 0.97 * best and np.allclose(voters.space.T @ voters.space, np.eye(quality_knn.RANK), atol=1e-4)
+    assert np.allclose(voters.vectors, q / np.linalg.norm(q, axis=1, keepdims=True), atol=1e-4)
+
+
+def test_a_tie_for_the_last_place_is_shared():
+    space = np.eye(quality_knn.PLACES, 2, dtype=np.float32)
+    y = np.asarray([1.0] * 10 + [0.0] * 30)
+    v = quality_knn.Voters(None, space, np.tile(np.asarray([[1.0, 0.0]], np.float32), (40, 1)), y, 0.5)
+    row = (np.asarray([0]), np.asarray([1.0], np.float32))
+    assert v.vote([row])[0] == 0.25
+    v.labels = y[::-1]
+    assert v.vote([row])[0] == 0.25
+
+
+def test_a_long_shape_is_hashed_whole():
+    assert quality_knn._shape("a-1" * 9) == "a-0" * 9
+
+
+def check_query(spark, op, label, n, least):
+    sf = "/root/testdata/sf0.01"
+    out = op(spark, sf)
+    assert {f.name: f.dataType.simpleString() for f in out.schema} == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = {r.doc_id: r for r in out.collect()}
+    assert set(rows) == {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % n == (2 if n == 4 else 0)) for i, r in rows.items())
+    labels = [(r[label], rows[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r[label] is not None and rows[r.doc_id].held_out]
+    assert len(labels) > 50 and sum(r.predicted == y for y, r in labels) >= least * len(labels)
+
+
+def test_toxicity_query(spark):
+    check_query(spark, toxicity.op6_toxicity, "toxic", 4, 0.95)
+
+
+def test_quality_query(spark):
+    check_query(spark, quality_knn.op7_quality_knn, "quality", 5, 0.93)
