@@ -75,6 +75,11 @@ def scratch_paths() -> Iterator[list[str]]:
         _made.remove(paths)
 
 
+def collecting() -> bool:
+    """Whether someone collects the scratch tables that are made now."""
+    return bool(_made)
+
+
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for p in paths:

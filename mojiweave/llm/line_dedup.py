@@ -33,6 +33,8 @@ from mojiweave.llm import common
 
 #: Least length of two lines that are compared for one edit, and of lines that go as exact repeats.
 MIN_CHARS, EXACT_CHARS = 20, 1
+#: Share of a document's characters that must be left by drop_repeated_lines() for it to stay.
+LEAST_LEFT = (1, 2)
 #: What normal() takes as white space.
 _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _CLASS, _BLOCKS, _PARTS = 16, 4, 8
@@ -293,14 +295,14 @@ def removed_lines(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFra
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
-    """docs with the remaining lines as text, and n_lines and n_removed (of the text as it was).
+    """docs with the remaining lines as text, and n_lines, n_removed (of the text as it was) and n_removed_chars (without white space).
 
     min_chars: of lines compared for one edit; exact_chars: of exact repeats.
     """
     keyed = common.keyed(docs)
     gone = removed_lines(keyed, min_chars, exact_chars)
     joined = keyed.join(gone, ["_doc", "_dig"], "left").select("row", "gone")
-    own = ("n_lines", "n_removed")
+    own = ("n_lines", "n_removed", "n_removed_chars")
     out = [c for c in docs.columns if c not in own]
 
     def run(batches: Iterator) -> Iterator:
@@ -313,22 +315,28 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int =
             text = columns["text"]
             n = pc.add(pc.count_substring(text, "\n"), pa.scalar(1, pa.int32())).cast(pa.int64()).fill_null(0)
             lost = pc.list_value_length(gone).cast(pa.int64()).fill_null(0)
-            kept = []
+            kept, chars = [], [0] * batch.num_rows
             for i in pc.indices_nonzero(lost).to_pylist():
-                drop = set(gone[i].as_py())
-                kept.append("\n".join(x for k, x in enumerate(text[i].as_py().split("\n")) if k not in drop))
+                drop, lines = set(gone[i].as_py()), text[i].as_py().split("\n")
+                kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+                chars[i] = sum(len("".join(lines[k].split())) for k in drop)
             if kept:
                 columns["text"] = pc.replace_with_mask(text, pc.greater(lost, 0), pa.array(kept, text.type))
-            yield pa.RecordBatch.from_arrays([*columns.values(), n, lost], [*out, *own])
+            yield pa.RecordBatch.from_arrays([*columns.values(), n, lost, pa.array(chars, pa.int64())], [*out, *own])
 
-    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_lines long, n_removed long")
+    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_lines long, n_removed long, n_removed_chars long")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
-    """The rows of docs with their remaining lines; a document that lost lines and has no word left goes. n_chars follows the text."""
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS, least_left: tuple[int, int] = LEAST_LEFT) -> DataFrame:
+    """The rows of docs with their remaining lines; n_chars follows the text.
+
+    A document that lost lines goes if no word is left, or less than least_left (a fraction) of its
+    characters without white space: what is left of a copy whose other lines went is a fragment.
+    """
     found = dedup_lines(docs, min_chars, exact_chars)
-    blank: Column = (F.col("n_removed") > 0) & (F.trim(F.translate("text", _BLANK, "")) == "")
-    found = found.filter(~F.coalesce(blank, F.lit(False)))
+    left, lost = F.length(F.translate("text", _BLANK, "")), F.col("n_removed_chars")
+    poor = (F.col("n_removed") > 0) & ((left == 0) | (least_left[1] * left < least_left[0] * (left + lost)))
+    found = found.filter(~F.coalesce(poor, F.lit(False)))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

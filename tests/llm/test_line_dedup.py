@@ -80,7 +80,7 @@ def test_against_brute_force(docs_of, seed):
 def test_odd_rows(odd_docs, docs_of):
     out = D.dedup_lines(odd_docs)
     rows = out.collect()
-    assert len(rows) == 8 and out.columns == [*odd_docs.columns, "n_lines", "n_removed"]
+    assert len(rows) == 8 and out.columns == [*odd_docs.columns, "n_lines", "n_removed", "n_removed_chars"]
     assert [r.n_removed for r in rows if r.doc_id == 1] == [0, 0]  # a repeated row is the same document
     assert [r.text for r in rows if r.doc_id == 2] == [None]
     assert next(r for r in rows if r.doc_id == 6).n_removed == 2
@@ -89,8 +89,12 @@ def test_odd_rows(odd_docs, docs_of):
 
 def test_emptied_documents_go(docs_of):
     line = "a line of more than twenty characters"
-    out = D.drop_repeated_lines(docs_of([line, line, f"{line}\nand one of its own here", "", None])).collect()
-    assert {r.doc_id: (r.text, r.n_chars) for r in out} == {0: (line, len(line)), 2: ("and one of its own here", 23), 3: ("", 0), 4: (None, None)}
+    own = "and one of its own here, longer than that line is"
+    docs = docs_of([line, line, f"{line}\n{own}", "", None, f"{line}\na bit of its own"])
+    out = D.drop_repeated_lines(docs).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in out} == {0: (line, len(line)), 2: (own, len(own)), 3: ("", 0), 4: (None, None)}
+    out = D.drop_repeated_lines(docs, least_left=(0, 1)).collect()
+    assert {r.doc_id: r.text for r in out} == {0: line, 2: own, 3: "", 4: None, 5: "a bit of its own"}
 
 
 def brute_exact(texts):
@@ -107,6 +111,11 @@ def brute_exact(texts):
     return out
 
 
+def stays(text, left):
+    """Whether a document stays of which this is left: some word, and half of its characters."""
+    return left == text or 0 < len("".join(text.split())) <= 2 * len("".join(left.split()))
+
+
 def test_short_lines_go_as_exact_repeats(spark, docs_of, tmp_path):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30))).strip() for _ in range(40)] + ["", "un.", " \t", "İ" * 19, "İ" * 18 + "j"]
@@ -117,13 +126,13 @@ def test_short_lines_go_as_exact_repeats(spark, docs_of, tmp_path):
     assert [got[i].text for i in range(len(texts))] == want
     assert got[len(texts) - 2].n_removed == 1 and got[len(texts) - 1].n_removed == 0
     kept = {r.doc_id: r.text for r in D.drop_repeated_lines(docs_of(texts)).collect()}
-    assert kept == {i: want[i] for i in range(len(texts)) if want[i] == texts[i] or want[i].strip()}
+    assert kept == {i: want[i] for i in range(len(texts)) if stays(texts[i], want[i])}
 
 
 def test_copy_with_short_lines_goes(docs_of):
     text = "a line of more than twenty characters\nles.\n\u3000\nun."
-    out = D.drop_repeated_lines(docs_of([text, text, "un.\nles.", "les.\nown"])).collect()
-    assert {r.doc_id: r.text for r in out} == {0: text, 3: "own"}
+    out = D.drop_repeated_lines(docs_of([text, text, "un.\nles.", "les.\nits own"])).collect()
+    assert {r.doc_id: r.text for r in out} == {0: text, 3: "its own"}
 
 
 def test_hashes_are_those_of_the_cut_lines():
@@ -159,3 +168,13 @@ def test_string_ids(docs_of):
 
     docs = docs_of(["the same line of text in both\nx1", "the same line of text in both\nx2"]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     assert {r.doc_id: r.text for r in D.dedup_lines(docs).collect()} == {"d0": "the same line of text in both\nx1", "d1": "x2"}
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    out = D.op5_line_dedup(spark, sf)
+    assert {f.name: f.dataType.simpleString() for f in out.schema} == {"doc_id": "bigint", "n_lines": "bigint", "n_removed": "bigint", "has_repeats": "boolean", "text": "string"}
+    docs = sorted(((d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=lambda d: d[0])
+    got = {r.doc_id: r for r in out.collect()}
+    for (i, t), left in zip(docs, brute_exact([t for _, t in docs]), strict=True):
+        assert got[i].text == left and got[i].n_lines == (0 if t is None else t.count("\n") + 1)

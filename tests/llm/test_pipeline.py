@@ -2,9 +2,13 @@
 
 import random
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from mojiweave.llm import packing
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_line_dedup import brute as lines
+from tests.llm.test_line_dedup import stays
 from tests.llm.test_near_dup import brute as groups
 
 
@@ -32,7 +36,7 @@ def test_pipeline(spark, tmp_path):
     short = len(texts) - 8
     assert set(seen["quality_rules"]) == set(range(short))
     left = lines([(i, texts[i]) for i in range(short)])
-    kept = [i for i in range(short) if left[i].strip() or left[i] == texts[i]]
+    kept = [i for i in range(short) if stays(texts[i], left[i])]
     assert {i: r.text for i, r in seen["line_dedup"].items()} == {i: left[i] for i in kept}
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"].values())
     component, _ = groups([left[i] for i in kept])
@@ -45,6 +49,27 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.length) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.length) for r in at.collect())
 
 
+def test_the_last_stage_gives_ids_that_make_up_sequences(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(2, 9))) + ("." if k % 11 == 10 else "") for k in range(120)) for _ in range(12)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    placed = corpus_pipeline.run(spark, str(tmp_path))
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rows = {r.doc_id: r for r in placed.collect()}
+    assert all(rows[i].ids == [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts))
+    made = packing.sequences(placed).collect()
+    assert all(len(s.ids) == sum(s.lengths) <= packing.CAPACITY for s in made) and sum(len(s.ids) for s in made) == sum(len(r.ids) for r in rows.values())
+
+
+def test_a_lazy_result_outlives_the_next_stage(spark, docs_of):
+    docs = docs_of(["one line of text that stands here", "one line of text that stands here", "and another line of text, its own"])
+    first = corpus_pipeline.lines(spark, docs, "a")
+    second = corpus_pipeline.near_duplicates(spark, first, "a")  # built on what was not written
+    assert {r.doc_id for r in second.collect()} == {0, 2} and {r.doc_id for r in first.collect()} == {0, 2}
+    assert corpus_pipeline.lines(spark, docs, "b").count() == 2 and second.count() == 2
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
