@@ -1,14 +1,16 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 quality rules (rejected documents go) -> line dedup (repeated lines go, and documents of which
-nothing is left) -> near duplicates (the least doc_id of each group stays) -> decontamination
-(documents that hold a benchmark window go) -> packing (the last; a row per piece with its place).
+less than half is left) -> near duplicates (the least doc_id of each group stays) -> decontamination
+(documents that hold a benchmark window go) -> packing (the last; a row per piece with its token ids
+and its place: packing.sequences() puts them together).
 Each stage works on all that its predecessor kept; all but the last return the columns of documents.
 Nulls, empty and long texts, repeated rows and empty tables: as each operator defines.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,36 +26,46 @@ from mojiweave.llm.quality_rules import keep_good
 #: Jaccard similarity of five-word shingles from which documents are near duplicates here.
 SIMILAR = (80, 100)
 
-_scratch: list[str] = []
-
-
-def _stage(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's result. What the stage before kept as scratch goes first: its result was written meanwhile."""
-    common.drop_paths(spark, _scratch)
-    with common.scratch_paths() as made:
+#: Scratch tables of the last stage, by thread and folder of tables.
+_scratch: dict[tuple[int, str], list[str]] = {}
+
+
+def _stage(spark: SparkSession, docs: DataFrame, sf_dir: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's result. What the stage before kept as scratch goes, unless docs still reads it: its result was written meanwhile."""
+    if common.collecting():
+        return work()
+    key = threading.get_ident(), sf_dir
+    before = _scratch.pop(key, [])
+    folders = [p.rpartition("/")[0].partition("://")[2] or p for p in before]
+    if before and any(f in name for name in docs.inputFiles() for f in folders):
+        made = before
+    else:
+        common.drop_paths(spark, before)
+        made = []
+    with common.scratch_paths() as new:
         out = work()
-    _scratch.extend(made)
+    _scratch[key] = made + new
     return out
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, lambda: keep_good(docs))
+    return _stage(spark, docs, sf_dir, lambda: keep_good(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, lambda: drop_repeated_lines(docs))
+    return _stage(spark, docs, sf_dir, lambda: drop_repeated_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, lambda: drop_near_duplicates(docs, enough=SIMILAR))
+    return _stage(spark, docs, sf_dir, lambda: drop_near_duplicates(docs, enough=SIMILAR))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, lambda: drop_contaminated(docs, common.table(spark, sf_dir, "benchmark")))
+    return _stage(spark, docs, sf_dir, lambda: drop_contaminated(docs, common.table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, lambda: pack_documents(docs, keep_ids=False).withColumn("length", F.col("length").cast("long")))
+    return _stage(spark, docs, sf_dir, lambda: pack_documents(docs).withColumn("length", F.col("length").cast("long")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -70,9 +82,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; what each keeps is written in the shared folder and read by the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        out = common.materialize(stage(spark, docs, sf_dir), f"stage_{name}")
-        docs = out
-    common.drop_paths(spark, _scratch)
+        with common.scratch_paths() as made:
+            docs = common.materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        common.drop_paths(spark, before + made[:-1])  # the last path is the stage's own result
+        before = made[-1:]
     return docs
