@@ -22,33 +22,34 @@ def _kana_map() -> Column:
 def units(text: Column) -> Column:
     """array<struct<start, end, raw, preview, kind, confidence>> of a normalised text."""
     tokens = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-    known, ends = _kana_map(), F.array(*(F.lit(p) for p in PREFIXES))
-
-    def unit(t: Column, i: Column) -> Column:
-        following, last = F.get(tokens, i + 1), i == F.size(tokens) - 1
-        double = t.rlike("^[b-df-hj-mp-tv-z]$") & F.coalesce(F.startswith(following, t), F.lit(False))
-        stray = (t == "n") & F.coalesce(F.startswith(following, F.lit("y")), F.lit(False))  # ny without its vowel
+    following = F.slice(F.concat(tokens, F.array(F.lit(None).cast("string"))), F.lit(2), F.size(tokens))
+    # where each token ends; lambdas below see their own element only, so the text is cut into tokens outside of them
+    ends = F.aggregate(tokens, F.array().cast("array<int>"), lambda a, t: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(t)))
+    known, open_ = _kana_map(), F.array(*(F.lit(p) for p in PREFIXES))
+
+    def unit(x: Column) -> Column:
+        t, after, end = x["raw"], x["after"], x["end"]
+        double = t.rlike("^[b-df-hj-mp-tv-z]$") & F.coalesce(F.startswith(after, t), F.lit(False))
+        stray = (t == "n") & F.coalesce(F.startswith(after, F.lit("y")), F.lit(False))  # ny without its vowel
         kana = F.when(double, "っ").when(~stray, F.try_element_at(known, t))
-        kind = F.when(~t.rlike("^[a-z]"), "Symbol").when(kana.isNotNull(), "Kana").when(last & F.array_contains(ends, t), "Ambiguous").otherwise("Pending")
-        return F.struct(t.alias("raw"), kana.alias("kana"), kind.alias("kind"))
-
-    cut = F.transform(tokens, unit)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,raw:string,preview:string,kind:string,confidence:double>>").alias("out"))
-
-    def add(acc: Column, u: Column) -> Column:
-        end = acc["at"] + F.length(u["raw"])
-        preview = F.when(u["kind"] == "Kana", u["kana"]).when(u["kind"] == "Symbol", u["raw"]).when(u["kind"] == "Ambiguous", F.concat(F.lit("{"), u["raw"], F.lit("…}"))).otherwise(F.concat(F.lit("{"), u["raw"], F.lit("?}")))
-        sure = F.when(u["kind"] == "Kana", 1.0).when(u["kind"] == "Ambiguous", 0.35).when(u["kind"] == "Pending", 0.05).when(u["raw"].isin(*SYMBOLS), 1.0).otherwise(0.65)
-        made = F.struct(acc["at"].alias("start"), end.alias("end"), u["raw"].alias("raw"), preview.alias("preview"), u["kind"].alias("kind"), sure.cast("double").alias("confidence"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], made).alias("out"))
+        symbol, is_open = ~t.rlike("^[a-z]"), after.isNull() & F.array_contains(open_, t)
+        kind = F.when(symbol, "Symbol").when(kana.isNotNull(), "Kana").when(is_open, "Ambiguous").otherwise("Pending")
+        shown = F.when(symbol, t).when(kana.isNotNull(), kana).when(is_open, F.concat(F.lit("{"), t, F.lit("…}"))).otherwise(F.concat(F.lit("{"), t, F.lit("?}")))
+        sure = F.when(symbol, F.when(t.isin(*SYMBOLS), 1.0).otherwise(0.65)).when(kana.isNotNull(), 1.0).when(is_open, 0.35).otherwise(0.05)
+        return F.struct((end - F.length(t)).alias("start"), end.alias("end"), t.alias("raw"), shown.alias("preview"), kind.alias("kind"), sure.cast("double").alias("confidence"))
 
-    return F.aggregate(cut, zero, add, lambda acc: acc["out"])
+    return F.transform(F.arrays_zip(tokens.alias("raw"), following.alias("after"), ends.alias("end")), unit)
 
 
 def preview(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda u: u["preview"]), "")
 
 
+def preview_range(found: Column, start: Column, end: Column) -> Column:
+    """The preview of the units that lie wholly in [start, end)."""
+    return preview(F.filter(found, lambda u: (u["start"] >= start) & (u["end"] <= end)))
+
+
 def converts(text: Column) -> Column:
     """Whether all of a text reads as kana: one regex that never goes back on a token."""
     return text.rlike(rf"^(?>{TOKEN})++\z")

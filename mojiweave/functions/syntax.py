@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mojiweave.sources.fixed import BINDING, HARD, NEUTRAL
@@ -42,6 +42,13 @@ def strict(text: Column) -> Column:
     return F.when(is_allowed(text), normalize(text)).otherwise(F.raise_error(F.lit("input has a character that is not allowed")))
 
 
+def quarantine(rows: DataFrame, column: str) -> DataFrame:
+    """rows with text (normalised, null where a character is not allowed), rejected (the first such character) and rejected_at: bad rows stay beside good ones and end nothing."""
+    bad = F.regexp_extract(column, f"[^{ALLOWED}]", 0)
+    rejected = F.when(F.length(bad) > 0, bad)
+    return rows.withColumn("text", F.when(rejected.isNull(), normalize(F.col(column)))).withColumn("rejected", rejected).withColumn("rejected_at", F.when(rejected.isNotNull(), F.instr(column, rejected) - 1))
+
+
 def char_class(c: Column) -> Column:
     """word, binding, hard (a space too), neutral or other, of a single character."""
     return (

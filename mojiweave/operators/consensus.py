@@ -96,7 +96,8 @@ def ranked(hyps: DataFrame, bounds: DataFrame) -> DataFrame:
     unknown = F.size(F.filter("segments", lambda s: s["language"] == "Unknown"))
     out = hyps.join(agreed, ["text", "step", "hypothesis"], "left").withColumn("boundary_agreement", F.coalesce("boundary_agreement", F.lit(0.5))).withColumn("lexical_agreement", lexical)
     out = out.withColumn("ensemble", F.log(F.greatest(F.col("probability"), F.lit(1e-12))) + 1.45 * F.col("boundary_agreement") + 0.90 * F.col("lexical_agreement") - 0.55 * unknown)
-    order = Window.partitionBy("text", "step").orderBy(F.desc("ensemble"), F.desc("probability"), "hypothesis")
+    # what differs in the last bits only is equal
+    order = Window.partitionBy("text", "step").orderBy(F.desc(F.round("ensemble", 9)), F.desc(F.round("probability", 9)), "hypothesis")
     return out.withColumn("rank", F.row_number().over(order))
 
 

@@ -91,7 +91,7 @@ def decode(texts: DataFrame, parameters: LatticeParameters | None = None, top: i
 def session_frames(texts: DataFrame, parameters: LatticeParameters | None = None, nested: bool = False) -> DataFrame:
     """A row per distinct text and keystroke, as if it was typed."""
     p = parameters or LatticeParameters()
-    return _map_texts(texts, FRAME, lambda text: (frame_row(f, nested) for f in L.Session(p).update(text)))
+    return _map_texts(texts, FRAME, lambda text: (frame_row(f, nested) for f in L.Session(p, nested=nested).update(text)))
 
 
 def session_results(texts: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def session_results(texts: DataFrame, parameters: LatticeParameters | None = Non
     p = parameters or LatticeParameters()
 
     def work(text: str) -> Iterator[dict]:
-        session = L.Session(p)
+        session = L.Session(p, nested=False)
         frames = session.update(text)
         last = frames[-1] if frames else None
         yield {"output": last.output if last else "", "committed_raw_length": session.done, "committed_output": last.committed_output if last else "", "total_expanded_edges": session.total, "n_commits": sum(len(f.commits) for f in frames)}

@@ -12,11 +12,12 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mojiweave.sources.fixed import ENDINGS, ENTRIES, GLUE, OOV_WORDS, PHONETIC_WORDS, STUDY_PARTICLES, STUDY_PREFIXES
+from mojiweave.sources.fixed import ENDINGS, ENTRIES, GLUE, OOV_WORDS, PHONETIC_WORDS, STUDY_PARTICLES, STUDY_PREFIXES, STUDY_STOP
 
 ORDER, SMOOTH, ALPHABET = 3, 0.25, 27
 SHORTEST, LONGEST = 7, 24
-STOP = ("japanese", "tokyo", "ime", "node", "monitor", "customer")
+#: Buckets of the splits: English words in the first of 100 are development words; of 17, Japanese ones train in the first 11 and are tested in the last 3.
+ENGLISH_PARTS, JAPANESE_PARTS = 100, 17
 
 
 def japanese_words(spark: SparkSession) -> DataFrame:
@@ -31,7 +32,7 @@ def study_words(spark: SparkSession) -> DataFrame:
 
 def english_words(words: DataFrame) -> DataFrame:
     """words (word) that may train the English model: 3 to 24 letters, none of the study's or the dictionary's."""
-    known = sorted({e.raw for e in ENTRIES if e.language == "Japanese"} | set(OOV_WORDS) | set(PHONETIC_WORDS) | set(STOP))
+    known = sorted({e.raw for e in ENTRIES if e.language == "Japanese"} | set(OOV_WORDS) | set(PHONETIC_WORDS) | set(STUDY_STOP))
     stop = words.sparkSession.createDataFrame([(w,) for w in known], "word string")
     return words.select(F.lower("word").alias("word")).filter(F.col("word").rlike("^[a-z]{3,24}$")).distinct().join(F.broadcast(stop), "word", "left_anti")
 
@@ -81,23 +82,88 @@ def differences(words: DataFrame, english: DataFrame, japanese: DataFrame) -> Da
 
 def choose_threshold(dev: DataFrame) -> DataFrame:
     """One row (recall, threshold): of the development values (language, difference), rounded to 5, and 0, the one with the best recall of English at no more than 5 % of Japanese above it; of equals the lowest."""
-    values = dev.select(F.round("difference", 5).alias("threshold")).unionByName(dev.sparkSession.createDataFrame([(0.0,)], "threshold double")).distinct()
-    # how many lie above each value: a running count over the merged order, not a pair for each
-    marks = dev.select(F.col("difference").alias("v"), F.lit(0).alias("probe"), "language").unionByName(values.select(F.col("threshold").alias("v"), F.lit(1).alias("probe"), F.lit(None).cast("string").alias("language")))
+    # a value lies above m / 10**5 if its ceiling in these units does: counts per ceiling say all, and there
+    # are no more of them than differences of mean log-likelihoods have steps of 10**-5 (some two million)
+    unit = F.lit(100_000)
+    above = dev.groupBy(F.ceil(F.col("difference") * unit).alias("at")).agg(F.count_if(F.col("language") == "Japanese").alias("ja"), F.count_if(F.col("language") == "English").alias("en"))
+    zero = dev.sparkSession.range(1).select(F.lit(0).cast("long").alias("at"))
+    probes = dev.select(F.round(F.col("difference") * unit).cast("long").alias("at")).unionByName(zero).distinct()
+    marks = above.withColumn("probe", F.lit(0)).unionByName(probes.select("at", F.lit(0).cast("long").alias("ja"), F.lit(0).cast("long").alias("en"), F.lit(1).alias("probe")))
     from pyspark.sql import Window
 
-    # development words are a few hundred
-    above = Window.orderBy(F.desc("v"), F.desc("probe")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marks.withColumn("ja", F.count_if(F.col("language") == "Japanese").over(above)).withColumn("en", F.count_if(F.col("language") == "English").over(above)).filter("probe = 1")
+    over = Window.orderBy(F.desc("at"), F.desc("probe")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.withColumn("ja", F.sum("ja").over(over)).withColumn("en", F.sum("en").over(over)).filter("probe = 1")
     sums = dev.agg(F.count_if(F.col("language") == "Japanese").alias("n_ja"), F.count_if(F.col("language") == "English").alias("n_en"))
     eligible = counted.join(F.broadcast(sums)).filter(F.col("ja") <= F.floor(F.col("n_ja") * 0.05))
-    return eligible.select((F.col("en") / F.col("n_en")).alias("recall"), F.col("v").alias("threshold")).orderBy(F.desc("recall"), "threshold").limit(1)
+    return eligible.select(F.coalesce(F.try_divide("en", "n_en"), F.lit(0.0)).alias("recall"), (F.col("at") / unit).alias("threshold")).orderBy(F.desc("recall"), "threshold").limit(1)
 
 
-def confusion(predictions: DataFrame) -> DataFrame:
-    """One row from (language, predicted boolean)."""
+def bucket(word: Column, n: int) -> Column:
+    """A word's part of n, by a digest: takes the place of a seeded shuffle and does not depend on the other words."""
+    return F.conv(F.substr(F.md5(word.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % n
+
+
+def split(english: DataFrame, japanese: DataFrame) -> DataFrame:
+    """(word, language, part) of the words: train, dev or test."""
+    e, j = bucket(F.col("word"), ENGLISH_PARTS), bucket(F.col("word"), JAPANESE_PARTS)
+    parts = english.select("word", F.lit("English").alias("language"), F.when(e == 0, "dev").otherwise("train").alias("part"))
+    return parts.unionByName(japanese.select("word", F.lit("Japanese").alias("language"), F.when(j < 11, "train").when(j < 14, "dev").otherwise("test").alias("part")))
+
+
+def models(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gram counts of both languages' training words, and one row (recall, threshold) from the development words."""
+    e, j = (gram_counts(parts.filter((F.col("part") == "train") & (F.col("language") == k))) for k in ("English", "Japanese"))
+    dev = parts.filter("part = 'dev'")
+    return e, j, choose_threshold(differences(dev, e, j).join(dev.select("word", "language"), "word"))
+
+
+def tested(words: DataFrame, english: DataFrame, japanese: DataFrame, threshold: DataFrame) -> DataFrame:
+    """words (word, ...) with difference and the three tests: shape, model and either. threshold: one row."""
+    scored = words.join(differences(words, english, japanese), "word").join(F.broadcast(threshold.select("threshold")))
+    scored = scored.withColumn("shape", ends_like_latin(F.col("word"))).withColumn("model", F.col("difference") > F.col("threshold")).drop("threshold")
+    return scored.withColumn("either", F.col("shape") | F.col("model"))
+
+
+def negatives(parts: DataFrame) -> DataFrame:
+    """(word, ord): Japanese words of the test part in order of declaration, then those that are only phonetic."""
+    spark = parts.sparkSession
+    test = parts.filter("language = 'Japanese' and part = 'test'").join(japanese_words(spark), "word").select("word", F.col("ord").alias("key"))
+    rows = test.unionByName(study_words(spark).filter("language = 'Japanese'").select("word", (F.col("ord") + len(ENTRIES)).alias("key")))
+    from pyspark.sql import Window
+
+    return rows.select("word", (F.row_number().over(Window.orderBy("key")) - 1).alias("ord"))  # some thirty words
+
+
+def by_test(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows of tested() once for each test: keep, test, predicted."""
+    tests = F.array(*(F.struct(F.lit(k).alias("test"), F.col(k).alias("predicted")) for k in ("shape", "model", "either")))
+    return rows.select(*keep, F.inline(tests))
+
+
+def localized(streams: DataFrame, spans: DataFrame) -> DataFrame:
+    """(test, positive_cases, gold_recovered, positive_spans, negative_cases, negative_with_any, negative_spans).
+
+    streams: (text, start, end, positive boolean), start and end of the word inside; spans: proposed spans
+    (text, start, end) with the three tests.
+    """
+    cases = streams.groupBy("positive").agg(F.count(F.lit(1)).alias("cases"))
+    found = by_test(spans, "text", "start", "end").filter("predicted")
+    gold = streams.select("text", "positive", F.col("start").alias("s"), F.col("end").alias("e"))
+    per_case = found.join(gold, "text").groupBy("test", "positive", "text").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("start") == F.col("s")) & (F.col("end") == F.col("e"))).alias("gold"))
+    sums = per_case.groupBy("test", "positive").agg(F.sum("n").alias("spans"), F.count(F.lit(1)).alias("any"), F.count_if("gold").alias("gold"))
+    names = streams.sparkSession.createDataFrame([(k,) for k in ("shape", "model", "either")], "test string")
+    out = names.join(F.broadcast(cases)).join(sums, ["test", "positive"], "left").na.fill(0, ["spans", "any", "gold"])
+    pick = lambda c, positive: F.coalesce(F.max(F.when(F.col("positive") == positive, F.col(c))), F.lit(0)).cast("long")
+    return out.groupBy("test").agg(
+        pick("cases", True).alias("positive_cases"), pick("gold", True).alias("gold_recovered"), pick("spans", True).alias("positive_spans"),
+        pick("cases", False).alias("negative_cases"), pick("any", False).alias("negative_with_any"), pick("spans", False).alias("negative_spans"),
+    )
+
+
+def confusion(predictions: DataFrame, *keys: str) -> DataFrame:
+    """A row for each of keys (one without any) from (keys, language, predicted boolean)."""
     pos, neg = F.col("language") == "English", F.col("language") == "Japanese"
-    n = predictions.agg(F.count_if(pos).alias("positive"), F.count_if(pos & F.col("predicted")).alias("positive_detected"), F.count_if(neg).alias("negative"), F.count_if(neg & F.col("predicted")).alias("negative_detected"))
+    n = predictions.groupBy(*keys).agg(F.count_if(pos).alias("positive"), F.count_if(pos & F.col("predicted")).alias("positive_detected"), F.count_if(neg).alias("negative"), F.count_if(neg & F.col("predicted")).alias("negative_detected"))
     return n.select("*", F.round(F.try_divide("positive_detected", "positive"), 4).alias("recall"), F.round(F.try_divide("negative_detected", "negative"), 4).alias("false_positive_rate"))
 
 
@@ -135,4 +201,4 @@ def discordance(pairs: DataFrame) -> DataFrame:
     r = pairs.agg(F.count_if(F.col("first") & ~F.col("second")).alias("a"), F.count_if(F.col("second") & ~F.col("first")).alias("b")).first()
     a, b = r["a"], r["b"]
     p = min(1.0, 2 * sum(comb(a + b, k) for k in range(min(a, b) + 1)) / 2 ** (a + b))
-    return pairs.sparkSession.createDataFrame([(a, b, p)], "first_only long, second_only long, p_two_sided double")
+    return pairs.sparkSession.createDataFrame([(a, b, round(p, 9))], "first_only long, second_only long, p_two_sided double")

@@ -45,6 +45,20 @@ def phonetic_steps(texts: DataFrame, p: P.PhoneticParameters | None = None) -> D
     return _map_texts(texts, STEP, work)
 
 
+def anchors(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
+    """(text, start, end, raw, score, readability, kind) of the Latin words and tokens of each distinct text."""
+    p = p or P.PhoneticParameters()
+    names = ("start", "end", "raw", "score", "readability", "kind")
+    return _map_texts(texts, "start int, end int, raw string, score double, readability double, kind string", lambda text: (dict(zip(names, a, strict=True)) for a in P.anchors(text, P.symbols_of(text), p)))
+
+
+def resolved(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
+    """(text, start, end, raw, output, language, confidence, reason): each distinct text read as a whole."""
+    p = p or P.PhoneticParameters()
+    names = ("start", "end", "raw", "output", "language", "confidence", "reason")
+    return _map_texts(texts, "start int, end int, raw string, output string, language string, confidence double, reason string", lambda text: (dict(zip(names, s, strict=False)) for s in P.resolve(text, p)[0]))
+
+
 def last_steps(steps: DataFrame) -> DataFrame:
     """Of each text the step after its last keystroke."""
     return steps.filter(F.col("step") == F.length("text"))
@@ -55,11 +69,20 @@ def events(steps: DataFrame, which: str) -> DataFrame:
     return steps.select("text", F.col("step"), F.inline(which))
 
 
-def broken_steps(steps: DataFrame) -> DataFrame:
-    """(text, step) of steps whose active segments leave a gap, are not the input's characters, or do not make up the output; or that turned hard into active."""
+def checked_steps(steps: DataFrame) -> DataFrame:
+    """Steps with bad: the active segments leave a gap, are not the input's characters, are not active, or do not make up the output; what was frozen
+    is not soft, not sure enough or not committed; hard turned into active; or the lengths are out of order.
+    """
     own = F.concat(F.col("committed_output"), F.array_join(F.transform("segments", lambda s: s["output"]), "")) != F.col("output")
     raw = F.array_join(F.transform("segments", lambda s: s["raw"]), "") != F.col("active_raw")
     gap = F.exists(F.transform("segments", lambda s, i: s["start"] != F.when(i == 0, F.col("committed_raw_length")).otherwise(F.try_element_at(F.col("segments"), i)["end"])), lambda b: b)
     back = F.exists("freeze_transitions", lambda t: (t["from"] == "HardFrozen") & (t["to"] == "Active"))
     hard = F.col("hard_committed_raw_length") > F.col("committed_raw_length")
-    return steps.withColumn("bad", own | raw | F.coalesce(gap, F.lit(False)) | back | hard).filter("bad").select("text", "step")
+    short = F.col("committed_raw_length") + F.length("active_raw") != F.length("input")
+    firm = F.exists("frozen", lambda s: (s["freeze_state"] != "SoftFrozen") | (s["confidence"] < P.PhoneticParameters().freeze) | (s["end"] > F.col("committed_raw_length")))
+    loose = F.exists("segments", lambda s: s["freeze_state"] != "Active")
+    return steps.withColumn("bad", own | raw | F.coalesce(gap, F.lit(False)) | back | hard | short | firm | loose)
+
+
+def broken_steps(steps: DataFrame) -> DataFrame:
+    return checked_steps(steps).filter("bad").select("text", "step")

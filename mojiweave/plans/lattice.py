@@ -31,9 +31,6 @@ class Edge(NamedTuple):
     def key(self) -> tuple:
         return self.start, self.end, self.output, self.language, self.kind
 
-    def moved(self, by: int) -> Edge:
-        return self._replace(start=self.start + by, end=self.end + by)
-
 
 class Path(NamedTuple):
     score: float
@@ -62,11 +59,11 @@ def lexical_edge(at: int, e) -> Edge:
         short = 2.35 if n < 5 and R.to_kana(e.raw) else 0.0
         score = n - 0.45 + (1.80 if n >= 5 else 0.20) + 0.10 * e.weight + 0.50 * R.lean(e.raw, True) - short
         kind = "EnglishLexical"
-    return Edge(at, at + n, e.raw, e.output, e.language, kind, score, *R.profile_scores(e.raw), e.evidence)
+    return Edge(at, at + n, e.raw, e.output, e.language, kind, round(score, 9), *R.profile_scores(e.raw), e.evidence)
 
 
 def phonetic_edge(at: int, span: str, kana: str) -> Edge:
-    return Edge(at, at + len(span), span, kana, "Japanese", "JapanesePhonetic", len(span) - 0.55 + 0.42 * R.lean(span, False), *R.profile_scores(span), "phonetic-lattice")
+    return Edge(at, at + len(span), span, kana, "Japanese", "JapanesePhonetic", round(len(span) - 0.55 + 0.42 * R.lean(span, False), 9), *R.profile_scores(span), "phonetic-lattice")
 
 
 def structural_edge(text: str, start: int, end: int) -> Edge | None:
@@ -84,31 +81,31 @@ def structural_edge(text: str, start: int, end: int) -> Edge | None:
     if all(c in R.LETTERS for c in left):
         score -= 2.60 if len(left) <= 2 else 0.45 if len(left) == 3 else 0.0
     score -= 0.35 * max(0, len(span) - 12)
-    return Edge(start, end, span, span, "English", "LatinStructural", score, *R.profile_scores(span), "orthographic-lattice")
+    return Edge(start, end, span, span, "English", "LatinStructural", round(score, 9), *R.profile_scores(span), "orthographic-lattice")
+
+
+def binder_edges(text: str, at: int, p: LatticeParameters) -> list[Edge]:
+    """The Latin tokens around the binding symbol at a place."""
+    n, c, first = len(text), text[at], at
+    while first > max(0, at - p.latin_side) and text[first - 1] in R.WORD:
+        first -= 1
+    last = at + 1
+    while last < min(n, at + 1 + p.latin_side) and text[last] in R.WORD:
+        last += 1
+    if last > at + 1:
+        ends = range(at + 2, last + 1)
+    elif c in "#+":
+        stop = at + 1
+        while c == "+" and text[stop : stop + 1] == "+":
+            stop += 1
+        ends = range(stop, stop + 1)
+    else:
+        return []
+    return [e for s in range(first, at) for x in ends if (e := structural_edge(text, s, x))]
 
 
 def structural_edges(text: str, p: LatticeParameters) -> list[Edge]:
-    out, n = [], len(text)
-    for at, c in enumerate(text):
-        if c not in R.BINDERS:
-            continue
-        first = at
-        while first > max(0, at - p.latin_side) and text[first - 1] in R.WORD:
-            first -= 1
-        last = at + 1
-        while last < min(n, at + 1 + p.latin_side) and text[last] in R.WORD:
-            last += 1
-        if last > at + 1:
-            ends = range(at + 2, last + 1)
-        elif c in "#+":
-            stop = at + 1
-            while c == "+" and text[stop : stop + 1] == "+":
-                stop += 1
-            ends = range(stop, stop + 1)
-        else:
-            continue
-        out += [e for s in range(first, at) for x in ends if (e := structural_edge(text, s, x))]
-    return out
+    return [e for at, c in enumerate(text) if c in R.BINDERS for e in binder_edges(text, at, p)]
 
 
 def candidate_edges(text: str, p: LatticeParameters) -> list[Edge]:
@@ -158,57 +155,141 @@ class Decoded(NamedTuple):
     expanded: int
 
 
+def _unknown(at: int, c: str) -> Edge:
+    return Edge(at, at + 1, c, c, "Unknown", "Unknown", -3.2, -8.0, -8.0, "unknown-character")
+
+
+def _walk(state) -> tuple[Edge, ...]:
+    out = []
+    while state[1] is not None:
+        out.append(state[1])
+        state = state[2]
+    return tuple(reversed(out))
+
+
+class Window:
+    """A text's beam, kept between keystrokes.
+
+    A character added at the end gives edges that end there, and may change Latin tokens shortly
+    before it; places before the first edge that changed keep their paths. What a keystroke costs
+    so depends on how far back readings reach, not on how long the text is.
+    """
+
+    def __init__(self, p: LatticeParameters, text: str = ""):
+        self.p, self.text = p, ""
+        self._entries: list[list[Edge]] = []
+        self._spans: list[list[Edge]] = []
+        self._tokens: dict[int, list[Edge]] = {}  # by binding symbol
+        self._ready: list[list[Edge]] = []
+        self._work: list[int] = []
+        # a path is (score, its last edge, the path before it), at the place where it ends, in order of arrival
+        self._arriving: list[list] = [[(0.0, None, None)]]
+        for c in text:
+            self._grow(c)
+        self._read(0)
+
+    def add(self, c: str) -> None:
+        self._read(self._grow(c))
+
+    def _grow(self, c: str) -> int:
+        """The edges of one more character; the first place whose edges are not what they were."""
+        at = len(self.text)
+        self.text += c
+        n, text, changed = at + 1, self.text, {at}
+        self._entries.append([])
+        self._spans.append([])
+        self._ready.append([])
+        self._work.append(0)
+        self._arriving.append([])
+        if c in R.WORD:
+            for size in R.SIZES:
+                if size <= n and (e := R.BY_RAW.get(text[n - size :])) is not None:
+                    self._entries[n - size].insert(0, lexical_edge(n - size, e))  # longest first
+                    changed.add(n - size)
+        if c in R.LETTERS:
+            for s in range(at, max(0, n - self.p.phonetic_span) - 1, -1):
+                if text[s] not in R.LETTERS:
+                    break
+                if kana := R.to_kana(text[s:]):
+                    self._spans[s].append(phonetic_edge(s, text[s:], kana))
+                    changed.add(s)
+        low = max(0, n - R.SIZES[0] - self.p.latin_side - 2)
+        while low and text[low - 1] == "+":
+            low -= 1
+        for k in range(low, n):
+            if text[k] in R.BINDERS:
+                before, now = self._tokens.get(k, []), binder_edges(text, k, self.p)
+                if before != now:
+                    self._tokens[k] = now
+                    changed |= {e.start for e in set(before) ^ set(now)}
+        for s in changed:
+            self._ready[s] = sorted(self._at(s), key=lambda e: -e.score)
+        return min(changed)
+
+    def _at(self, s: int) -> list[Edge]:
+        """The edges that start at a place, of equal ones the first of the best; longest first, then best."""
+        found = [e for k in range(s + 1, min(len(self.text), s + self.p.latin_side + 1)) for e in self._tokens.get(k, ()) if e.start == s]
+        c = self.text[s]
+        if c not in R.WORD:
+            found.append(_plain(s, c))
+        elif own := self._entries[s] + self._spans[s]:
+            found += own
+        elif not found:
+            found.append(_unknown(s, c))
+        best: dict[tuple, Edge] = {}
+        for e in found:
+            if e.key not in best or e.score > best[e.key].score:
+                best[e.key] = e
+        return sorted(best.values(), key=lambda e: (-(e.end - e.start), -e.score))
+
+    def _read(self, first: int) -> None:
+        """Paths anew from the place `first` on."""
+        for paths in self._arriving[first + 1 :]:
+            while paths and paths[-1][1].start >= first:
+                paths.pop()
+        for at in range(first, len(self.text)):
+            kept = sorted(self._arriving[at], key=lambda s: -s[0])[: self.p.beam]
+            ready = self._ready[at]
+            self._work[at] = len(kept) * len(ready)
+            for state in kept:
+                score, before, _ = state
+                for e in ready:
+                    self._arriving[e.end].append((score + e.score + transition(before, e, self.p), e, state))
+
+    @property
+    def expanded(self) -> int:
+        return sum(self._work)
+
+    def finals(self) -> list:
+        """The best paths of the whole text; of equal scores the path that came first."""
+        return sorted(self._arriving[-1], key=lambda s: -s[0])[: self.p.beam] if self.text else []
+
+    def decoded(self) -> Decoded:
+        edges = [e for s in range(len(self.text)) for e in self._at(s)]
+        return Decoded(edges, [Path(s[0], _walk(s)) for s in self.finals()], self.expanded)
+
+
 def decode(text: str, p: LatticeParameters) -> Decoded:
-    """The best `beam` paths, left to right; of equal scores the path that came first."""
-    edges = candidate_edges(text, p)
-    if not text:
-        return Decoded([], [], 0)
-    starting: dict[int, list[Edge]] = {}
-    for e in edges:
-        starting.setdefault(e.start, []).append(e)
-    # a path is (score, its last edge, the path before it); equal scores keep their order
-    arriving: list[list] = [[] for _ in range(len(text) + 1)]
-    arriving[0].append((0.0, None, None))
-    expanded = 0
-    for at in range(len(text)):
-        kept = sorted(arriving[at], key=lambda s: -s[0])[: p.beam]
-        arriving[at] = []
-        if not kept:
-            continue
-        ready = sorted(starting.get(at, ()), key=lambda e: -e.score)
-        expanded += len(kept) * len(ready)
-        for state in kept:
-            score, before, _ = state
-            for e in ready:
-                arriving[e.end].append((score + e.score + transition(before, e, p), e, state))
-
-    def walk(state) -> Path:
-        score, out = state[0], []
-        while state[1] is not None:
-            out.append(state[1])
-            state = state[2]
-        return Path(score, tuple(reversed(out)))
-
-    finals = [walk(s) for s in sorted(arriving[-1], key=lambda s: -s[0])[: p.beam]]
-    if not finals:
-        lone = tuple(Edge(i, i + 1, c, c, "Unknown", "Unknown", -3.2, -8.0, -8.0, "unknown-character") for i, c in enumerate(text))
-        finals = [Path(sum(e.score for e in lone), lone)]
-    return Decoded(edges, finals, expanded)
-
-
-def consensus(paths: list[Path], p: LatticeParameters) -> list[Edge]:
+    """All edges and the best `beam` paths, left to right."""
+    return Window(p, text).decoded()
+
+
+def competing(scores: list[float], p: LatticeParameters) -> int:
+    """How many of the best paths compete: those within the window, but two if there are two."""
+    near = sum(scores[0] - x <= p.score_window for x in scores[: p.consensus_paths])
+    return max(near, min(2, len(scores)))
+
+
+def consensus(states: list, p: LatticeParameters) -> tuple[Edge, ...]:
     """The edges that all competing paths begin with; none without competition."""
-    near = [x for x in paths if paths[0].score - x.score <= p.score_window][: p.consensus_paths]
-    if len(near) < 2:
-        near = paths[:2]
+    near = states[: competing([s[0] for s in states], p)] if states else []
     if len(near) < 2:
-        return []
-    out = []
-    for level in zip(*(x.edges for x in near), strict=False):
-        if any(e.key != level[0].key for e in level):
-            break
-        out.append(level[0])
-    return out
+        return ()
+    while any(s is not near[0] for s in near):
+        # a path is one object, so what all begin with is where they meet: the farthest step back
+        far = max(s[1].end if s[1] else 0 for s in near)
+        near = [s[2] if s[1] and s[1].end == far else s for s in near]
+    return _walk(near[0])
 
 
 class Frame(NamedTuple):
@@ -234,14 +315,22 @@ class Frame(NamedTuple):
 
 @dataclass
 class Session:
-    """The incremental form: what is committed is not read again. Frames are returned, not kept."""
+    """The incremental form: what is committed is not read again. Frames are returned, not kept.
+
+    nested: whether frames hold edges and paths.
+    """
 
     p: LatticeParameters = field(default_factory=LatticeParameters)
     input: str = ""
-    committed: list[Edge] = field(default_factory=list)
+    done: int = 0
+    said: str = ""
     signature: str = ""
     stable: int = 0
     total: int = 0
+    nested: bool = True
+
+    def __post_init__(self):
+        self._window = Window(self.p, self.input[self.done :])
 
     def update(self, text: str) -> list[Frame]:
         """The frames of the characters that text adds; of all of them, marked rebuilt, if it does not continue the input."""
@@ -250,31 +339,23 @@ class Session:
             raise ValueError(f"not allowed: {bad[0]!r}")
         again = not text.startswith(self.input)
         if again:
-            self.input, self.committed, self.signature, self.stable, self.total = "", [], "", 0, 0
+            self.input, self.done, self.said, self.signature, self.stable, self.total = "", 0, "", "", 0, 0
+            self._window = Window(self.p)
         return [self._step(c, again) for c in text[len(self.input) :]]
 
-    @property
-    def done(self) -> int:
-        return self.committed[-1].end if self.committed else 0
-
-    def _commit(self, edges: list[Edge], why: str) -> list[tuple[int, int, str, str, str]]:
-        out, base = [], self.done
-        for e in (x.moved(base) for x in edges):
-            if e.start != self.done:
-                break
-            self.committed.append(e)
-            out.append((e.start, e.end, e.raw, e.output, why))
+    def _commit(self, edges, why: str) -> list[tuple[int, int, str, str, str]]:
+        base = self.done
+        self.done, self.said = base + edges[-1].end, self.said + "".join(e.output for e in edges)
         self.signature, self.stable = "", 0
-        return out
+        return [(base + e.start, base + e.end, e.raw, e.output, why) for e in edges]
 
     def _step(self, c: str, rebuilt: bool) -> Frame:
         self.input += c
-        before = self.done
-        active = self.input[before:]
-        got = decode(active, self.p)
-        work, commits = got.expanded, []
-        common = consensus(got.paths, self.p)
-        ready = next((e for e in common if e.end <= len(active) - self.p.lookahead), None)
+        window, commits = self._window, []
+        window.add(c)
+        active, states, work = window.text, window.finals(), window.expanded
+        common = consensus(states, self.p)
+        ready = common[0] if common and common[0].end <= len(active) - self.p.lookahead else None
         signature = ":".join(map(str, ready.key)) if ready else ""
         if signature and signature == self.signature:
             self.stable += 1
@@ -282,16 +363,17 @@ class Session:
             self.signature, self.stable = signature, int(bool(signature))
         cut = 1 + max((i for i, x in enumerate(active) if x in R.BREAKS), default=-1)
         if cut:
-            whole = [e for e in got.paths[0].edges if e.end <= cut]
+            whole = [e for e in _walk(states[0]) if e.end <= cut]
             if whole and whole[-1].end == cut:
                 commits = self._commit(whole, "hard-boundary")
         elif ready and self.stable >= self.p.stable_frames:
             commits = self._commit([ready], "multi-hypothesis-prefix-consensus")
-        if self.done != before:
+        if commits:
             active = self.input[self.done :]
-            got = decode(active, self.p)
-            work += got.expanded
+            self._window = window = Window(self.p, active)
+            states = window.finals()
+            work += window.expanded
         self.total += work
-        said = "".join(e.output for e in self.committed)
-        shown = "".join(e.output for e in got.paths[0].edges) if got.paths else ""
-        return Frame(len(self.input), self.input, self.done, said, active, R.preview(active), got.edges, got.paths, common[-1].end if common else 0, self.signature, self.stable, commits, said + shown, work, self.total, rebuilt)
+        shown = "".join(e.output for e in _walk(states[0])) if states else ""
+        edges, paths, _ = window.decoded() if self.nested else ([], [], 0)
+        return Frame(len(self.input), self.input, self.done, self.said, active, R.preview(active), edges, paths, common[-1].end if common else 0, self.signature, self.stable, commits, self.said + shown, work, self.total, rebuilt)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mojiweave.sources.fixed import ENDINGS, ENGLISH_SEEDS, ENTRIES, GLUE, JAPANESE_SEEDS, KANA, OOV_WORDS, PHONETIC_WORDS, PREFIXES, STUDY_PARTICLES, STUDY_PREFIXES
+from mojiweave.sources.fixed import ENDINGS, ENGLISH_SEEDS, ENTRIES, GLUE, JAPANESE_SEEDS, KANA, OOV_WORDS, PHONETIC_WORDS, PREFIXES, STUDY_PARTICLES, STUDY_PREFIXES, STUDY_STOP
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BINDING, _HARD, _NEUTRAL = "._-+#@/:", ",;!?。、！？ ", "()[]{}\"'"
@@ -35,7 +35,7 @@ KANAS = "kana_keys AS (SELECT * FROM " + _values(list(KANA.items())) + " t(k, v)
 PROFILE_WORDS = "pw AS (SELECT * FROM " + _values([(e.language, e.raw) for e in ENTRIES] + [("Japanese", w) for w in JAPANESE_SEEDS] + [("English", w) for w in ENGLISH_SEEDS]) + " t(language, word))"
 STUDY = "study AS (SELECT * FROM " + _values([(w, "English", i) for i, w in enumerate(OOV_WORDS)] + [(w, "Japanese", i) for i, w in enumerate(PHONETIC_WORDS)]) + " t(word, language, ord))"
 LATIN = f"(length({{0}}) BETWEEN 7 AND 24 AND regexp_matches({{0}}, '({'|'.join(ENDINGS)})$'))"
-_STOP = sorted({e.raw for e in ENTRIES if e.language == "Japanese"} | set(OOV_WORDS) | set(PHONETIC_WORDS) | {"japanese", "tokyo", "ime", "node", "monitor", "customer"})
+_STOP = sorted({e.raw for e in ENTRIES if e.language == "Japanese"} | set(OOV_WORDS) | set(PHONETIC_WORDS) | set(STUDY_STOP))
 
 
 def _units(source: str) -> str:
@@ -43,7 +43,7 @@ def _units(source: str) -> str:
     rest = "substr(text, pos)"
     c, d = "substr(text, pos, 1)", "substr(text, pos + 1, 1)"
     token = (
-        f"CASE WHEN {c} = {d} AND NOT contains('aiueon', {c}) THEN {c} WHEN substr(text, pos, 2) = 'nn' THEN 'nn' "
+        f"CASE WHEN {c} = {d} AND contains('bcdfghjklmpqrstvwxyz', {c}) THEN {c} WHEN substr(text, pos, 2) = 'nn' THEN 'nn' "
         f"WHEN {c} = 'n' AND ({d} = '' OR NOT contains('aiueoy', {d})) THEN 'n' "
         + " ".join(f"WHEN substr(text, pos, {n}) IN (SELECT k FROM kana_keys WHERE length(k) = {n}) THEN substr(text, pos, {n})" for n in (3, 2, 1))
         + f" WHEN list_contains({_list(PREFIXES)}, {rest}) THEN {rest} ELSE {c} END"
@@ -52,13 +52,13 @@ def _units(source: str) -> str:
 walk AS (
   SELECT text, 1 AS pos, '' AS token, 0 AS beg, '' AS sokuon FROM {source}
   UNION ALL
-  SELECT text, pos + length(t), t, pos, CASE WHEN length(t) = 1 AND t = {d} AND NOT contains('aiueon', t) THEN 'y' ELSE '' END
+  SELECT text, pos + length(t), t, pos, CASE WHEN length(t) = 1 AND t = {d} AND contains('bcdfghjklmpqrstvwxyz', t) THEN 'y' ELSE '' END
   FROM (SELECT text, pos, {token} AS t FROM walk WHERE pos <= length(text))
 ),
 u AS (
   SELECT text, beg, token, sokuon, v,
-         CASE WHEN sokuon = 'y' OR token = 'nn' OR (token = 'n' AND substr(text, beg + 1, 1) <> 'y') OR v IS NOT NULL THEN 'Kana' WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN 'Ambiguous' ELSE 'Pending' END AS kind,
-         CASE WHEN sokuon = 'y' THEN 'っ' WHEN token = 'nn' OR (token = 'n' AND substr(text, beg + 1, 1) <> 'y') THEN 'ん' WHEN v IS NOT NULL THEN v WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN '{{' || token || '…}}' ELSE '{{' || token || '?}}' END AS preview
+         CASE WHEN NOT regexp_matches(token, '^[a-z]') THEN 'Symbol' WHEN sokuon = 'y' OR token = 'nn' OR (token = 'n' AND substr(text, beg + 1, 1) <> 'y') OR v IS NOT NULL THEN 'Kana' WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN 'Ambiguous' ELSE 'Pending' END AS kind,
+         CASE WHEN NOT regexp_matches(token, '^[a-z]') THEN token WHEN sokuon = 'y' THEN 'っ' WHEN token = 'nn' OR (token = 'n' AND substr(text, beg + 1, 1) <> 'y') THEN 'ん' WHEN v IS NOT NULL THEN v WHEN beg + length(token) > length(text) AND list_contains({_list(PREFIXES)}, token) THEN '{{' || token || '…}}' ELSE '{{' || token || '?}}' END AS preview
   FROM walk LEFT JOIN kana_keys ON k = token AND sokuon = '' WHERE beg > 0
 )"""
 
@@ -106,6 +106,7 @@ def _spans(source: str) -> str:
 )"""
 
 
+GLUED = f"glue AS (SELECT i, word FROM (SELECT i, a.word || {_list(GLUE)}[i % 7 + 1] || b.word AS word FROM (SELECT unnest(range(0, 100)) AS i) JOIN {{words}} a ON a.ord = (i * 7) % {{n}} JOIN {{words}} b ON b.ord = (i * 11 + 3) % {{n}}) WHERE length(word) BETWEEN 7 AND 24)"
 _URLS = f"words AS (SELECT DISTINCT {_lenient('url')} AS text FROM pages)"
 _BINDER = "[._\\-+#@/:]"
 _CHARS = "chars AS (SELECT text, i AS at0, substr(text, i + 1, 1) AS c FROM (SELECT text, unnest(range(0, length(text))) AS i FROM words))"
@@ -145,7 +146,7 @@ ORACLES: dict[str, str] = {
     + "SELECT text, round(sum(c * length(token)) / sum(length(token)), 9) AS whole, round(coalesce(sum(c * o) / nullif(sum(o), 0), 0), 9) AS inner FROM (SELECT text, token, CAST(CASE kind WHEN 'Kana' THEN 1.0 WHEN 'Ambiguous' THEN 0.35 ELSE 0.05 END AS DOUBLE) AS c, greatest(0, least(beg - 1 + length(token), length(text) - 1) - greatest(beg - 1, 1)) AS o FROM u) GROUP BY text",
     "lexicon_hits": _with(LEX, WORDS, HITS) + 'SELECT text, start, "end", output, language, weight, evidence FROM hits',
     "lexicon_prefix_hits": _with(LEX, WORDS) + "SELECT text, raw, language FROM words JOIN lex ON starts_with(raw, text) AND length(raw) > length(text)",
-    "boundary_lexical_support": _with(LEX, WORDS, HITS, "conf AS (SELECT raw, greatest(0, least(1, (weight - 3.5) / 3.5)) AS c FROM lex)", "places AS (SELECT text, unnest(range(0, length(text) + 1)) AS position FROM words)", "l AS (SELECT text, \"end\" AS position, max(c) AS l FROM hits JOIN conf USING (raw) GROUP BY ALL)", "r AS (SELECT text, start AS position, max(c) AS r FROM hits JOIN conf USING (raw) GROUP BY ALL)", "p AS (SELECT text, position, 0.75 * max(c) AS p FROM places JOIN conf ON position > 0 AND position < length(text) AND starts_with(raw, substr(text, position + 1)) AND length(raw) > length(text) - position GROUP BY ALL)")
+    "boundary_lexical_support": _with(LEX, WORDS, HITS, "conf AS (SELECT raw, greatest(0, least(1, (weight - 3.5) / 3.5)) AS c FROM lex)", "places AS (SELECT text, unnest(range(0, length(text) + 1)) AS position FROM words)", "l AS (SELECT text, \"end\" AS position, max(c) AS l FROM hits JOIN conf USING (raw) GROUP BY ALL)", "r AS (SELECT text, start AS position, max(c) AS r FROM hits JOIN conf USING (raw) GROUP BY ALL)", "begun AS (SELECT substr(raw, 1, n) AS tail, 0.75 * max(c) AS p FROM (SELECT raw, c, unnest(range(1, length(raw))) AS n FROM conf) GROUP BY 1)", "p AS (SELECT text, position, p FROM places JOIN begun ON position > 0 AND tail = substr(text, position + 1))")
     + "SELECT text, position, round(CASE WHEN position = 0 OR position = length(text) THEN 0 WHEN coalesce(l, 0) > 0 AND greatest(coalesce(r, 0), coalesce(p, 0)) > 0 THEN sqrt(l * greatest(coalesce(r, 0), coalesce(p, 0))) ELSE 0.35 * greatest(coalesce(l, 0), coalesce(r, 0), coalesce(p, 0)) END, 9) AS support FROM places LEFT JOIN l USING (text, position) LEFT JOIN r USING (text, position) LEFT JOIN p USING (text, position)",
     "strong_boundary_semi": _with(LEX, WORDS, HITS)
     + "SELECT DISTINCT text, \"end\" AS position, 'before' AS side FROM hits WHERE language = 'Japanese' AND weight >= 5.2 UNION ALL SELECT DISTINCT text, start, 'after' FROM hits WHERE language = 'Japanese' AND weight >= 5.1 AND (evidence IN ('japanese-particle', 'japanese-verb-suffix', 'japanese-auxiliary', 'japanese-verb') OR length(raw) >= 3)",
@@ -157,10 +158,6 @@ ORACLES: dict[str, str] = {
     "phonetic_edges": _with(KANAS, PROFILE_WORDS, GRAMS, WORDS, "cut AS (SELECT text AS whole, s, e, substr(text, s + 1, e - s) AS text FROM (SELECT text, s, unnest(range(s + 1, least(s + 24, length(text)) + 1)) AS e FROM (SELECT text, unnest(range(0, length(text))) AS s FROM words)))", "spans AS (SELECT DISTINCT text FROM cut)", _units("spans"), "reads AS (SELECT text, string_agg(preview, '' ORDER BY beg) AS output FROM u GROUP BY text HAVING bool_and(kind = 'Kana'))", _priced("reads"), recursive=True)
     + "SELECT whole AS text, s AS start, e AS \"end\", output, round(length(cut.text) - 0.55 + 0.42 * greatest(-2.5, least(2.5, ja - en)), 6) AS local_score FROM cut JOIN reads USING (text) JOIN priced USING (text)",
     "binding_runs": f"SELECT text, CAST(place AS BIGINT) AS place, run FROM (SELECT text, unnest(runs) AS run, unnest(range(0, len(runs))) AS place FROM (SELECT text, list_filter(regexp_extract_all(text, '[A-Za-z0-9._\\-+#@/:]+'), lambda r: regexp_matches(r, '[._\\-+#@/:]')) AS runs FROM (SELECT DISTINCT {_lenient('url')} AS text FROM pages)))",
-    "session_work": "SELECT '' AS text, CAST(0 AS BIGINT) AS step WHERE false",
-    "phonetic_violations": "SELECT '' AS text, CAST(0 AS BIGINT) AS step WHERE false",
-    "path_violations": "SELECT '' AS text, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS place WHERE false",
-    "keystroke_sessions": "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n, count(*) AS steps FROM events GROUP BY user_id",
     "suffix_shape": _with(WORDS) + f"SELECT text AS word, {LATIN.format('text')} AS latin_ending FROM words",
     "markov_counts": _with(WORDS, _TRAIN, _COUNTS) + "SELECT gram, n FROM counts",
     "markov_totals": _with(LEX, "train AS (SELECT raw AS word FROM lex WHERE language = 'Japanese')", _COUNTS) + "SELECT context, CAST(total AS BIGINT) AS total FROM totals",
@@ -170,6 +167,6 @@ ORACLES: dict[str, str] = {
     "mixed_stream_builder": _with(STUDY, _MIXED) + 'SELECT word, language, text, start, "end" FROM mixed',
     "oov_spans": _with(STUDY, _MIXED, _spans("mixed")) + f'SELECT text, start, "end", word FROM spans WHERE {LATIN.format("word")}',
     "oov_all_spans": _with(WORDS, _spans("words")) + "SELECT text, count(*) AS n FROM spans GROUP BY text",
-    "glued_controls": _with(STUDY, "ja AS (SELECT word, ord FROM study WHERE language = 'Japanese')") + f"SELECT i, word, {LATIN.format('word')} AS shape FROM (SELECT i, a.word || {_list(GLUE)}[i % 7 + 1] || b.word AS word FROM (SELECT unnest(range(0, 100)) AS i) JOIN ja a ON a.ord = (i * 7) % {len(PHONETIC_WORDS)} JOIN ja b ON b.ord = (i * 11 + 3) % {len(PHONETIC_WORDS)}) WHERE length(word) BETWEEN 7 AND 24",
+    "glued_controls": _with(STUDY, "ja AS (SELECT word, ord FROM study WHERE language = 'Japanese')", GLUED.format(words="ja", n=len(PHONETIC_WORDS))) + f"SELECT i, word, {LATIN.format('word')} AS shape FROM glue",
     "particle_collisions": _with(WORDS) + f"SELECT text AS word, p AS particle FROM words, (SELECT unnest({_list(STUDY_PARTICLES)}) AS p) WHERE contains(text, p)",
 }

@@ -6,6 +6,7 @@ functions are pure; the session's state is its committed segments, its input and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -225,13 +226,18 @@ class PhoneticSession:
 
     def update(self, text: str) -> list[Step]:
         """The steps of the characters that text adds; of all of them, marked rebuilt, if it does not continue the input."""
+        return list(self.steps(text))
+
+    def steps(self, text: str) -> Iterator[Step]:
+        """The same, one by one."""
         text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
         if bad := [c for c in text if c not in R.ALLOWED]:
             raise ValueError(f"not allowed: {bad[0]!r}")
         again = not text.startswith(self.input)
         if again:
             self.input, self.committed, self.total = "", [], 0
-        return [self._step(c, again) for c in text[len(self.input) :]]
+        for c in text[len(self.input) :]:
+            yield self._step(c, again)
 
     @property
     def done(self) -> int:

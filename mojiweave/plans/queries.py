@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from mojiweave.functions import phonetic, syntax
 from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, phonetic_sessions, profile, quality
 from mojiweave.sources import export
-from mojiweave.sources.fixed import LatticeParameters
+from mojiweave.sources.fixed import STUDY_PROBES, LatticeParameters
 from mojiweave.sources.tables import document_words, kana_table, lexicon, profile_words, table
-from mojiweave.streaming.sessions import decode_batch
+from mojiweave.streaming.sessions import PhoneticFirst, decode_batch, results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,10 @@ def query(f: Query) -> Query:
     return f
 
 
+def _long(name: str):
+    return F.col(name).cast("long").alias(name)
+
+
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(syntax.lenient(F.coalesce("url", F.lit(""))).alias("text")).distinct()
 
@@ -155,17 +159,19 @@ def binding_runs(spark, sf_dir):
 
 @query
 def symbol_evidence(spark, sf_dir):
-    return orthography.symbol_evidence(urls(spark, sf_dir))
+    e = orthography.symbol_evidence(urls(spark, sf_dir))
+    return e.select("text", _long("start"), _long("end"), "raw", "kind", "confidence", "complete", "reason")
 
 
 @query
 def lattice_best_path(spark, sf_dir):
-    return lattice.decode(words(spark, sf_dir), top=1).select("text", "score", "segmentation", "output", "expanded")
+    return lattice.decode(words(spark, sf_dir), top=1).select("text", F.round("score", 9).alias("score"), "segmentation", "output", _long("expanded"))
 
 
 @query
 def lattice_top_paths(spark, sf_dir):
-    return export.top_paths(lattice.decode(phrases(spark, sf_dir)))
+    p = export.top_paths(lattice.decode(phrases(spark, sf_dir)))
+    return p.select("text", _long("rank"), F.round("score", 9).alias("score"), F.round("relative_score", 9).alias("relative_score"), "segmentation", "output")
 
 
 @query
@@ -175,39 +181,66 @@ def lattice_competitive_paths(spark, sf_dir):
 
 @query
 def lattice_path_edges(spark, sf_dir):
-    return lattice.explode_edges(lattice.decode(urls(spark, sf_dir), top=1))
+    e = lattice.explode_edges(lattice.decode(urls(spark, sf_dir), top=1))
+    return e.select("text", *map(_long, ("rank", "place", "start", "end")), "raw", "output", "language", "kind", "local_score", F.round("japanese_profile", 6).alias("japanese_profile"), F.round("english_profile", 6).alias("english_profile"), "evidence")
+
+
+@query
+def segments_by_language(spark, sf_dir):
+    """How many segments and characters of the best paths are of each language."""
+    e = lattice.explode_edges(lattice.decode(urls(spark, sf_dir), top=1))
+    return e.groupBy("language").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("raw")).alias("characters"))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.session_frames(phrases(spark, sf_dir))
 
 
 @query
 def session_frames(spark, sf_dir):
-    return lattice.session_frames(phrases(spark, sf_dir)).drop("candidate_edges", "top_paths", "commit_events")
+    f = _frames(spark, sf_dir).drop("candidate_edges", "top_paths", "commit_events")
+    return f.withColumns({c: F.col(c).cast("long") for c in ("step", "committed_raw_length", "consensus_end", "consensus_stable_frames", "expanded_edges_this_step")})
 
 
 @query
 def session_commit_events(spark, sf_dir):
-    return lattice.session_frames(phrases(spark, sf_dir)).select("text", "step", F.inline("commit_events"))
+    return _frames(spark, sf_dir).select("text", _long("step"), F.inline("commit_events")).select("text", "step", _long("start"), _long("end"), "raw", "output", "reason")
 
 
 @query
 def session_results(spark, sf_dir):
-    return lattice.session_results(phrases(spark, sf_dir))
+    return lattice.session_results(phrases(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("committed_raw_length", "n_commits")})
 
 
 @query
 def session_work(spark, sf_dir):
-    """Violations of the running work counter and of the other session invariants: none."""
-    return quality.broken_frames(lattice.session_frames(phrases(spark, sf_dir))).select("text", F.col("step").cast("long").alias("step"))
+    """Frames, the work of each and the running sum of each session, and how many frames break an invariant: none."""
+    f = quality.checked_frames(_frames(spark, sf_dir))
+    return f.groupBy("text").agg(F.count(F.lit(1)).alias("frames"), F.sum("expanded_edges_this_step").alias("work"), F.max("total_expanded_edges").alias("total"), F.count_if("bad").alias("broken"))
 
 
 @query
 def path_violations(spark, sf_dir):
-    edges = lattice.explode_edges(lattice.decode(urls(spark, sf_dir)))
-    return quality.broken_paths(edges).select("text", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+    """Paths and edges of each text, and how many edges break an invariant: none."""
+    e = quality.checked_paths(lattice.explode_edges(lattice.decode(urls(spark, sf_dir))))
+    return e.groupBy("text").agg(F.count_distinct("rank").alias("paths"), F.count(F.lit(1)).alias("edges"), F.count_if("bad").alias("broken"))
+
+
+@query
+def frame_counts(spark, sf_dir):
+    f = quality.frame_counts(_frames(spark, sf_dir))
+    return f.select("text", "frames", F.col("characters").cast("long").alias("characters"))
+
+
+@query
+def wide_beams(spark, sf_dir):
+    """The most paths a frame of each session held: the beam's width at most."""
+    return quality.beam_widths(lattice.session_frames(phrases(spark, sf_dir), nested=True)).select("text", _long("widest"))
 
 
 @query
 def session_signatures(spark, sf_dir):
-    return quality.signature(lattice.session_frames(phrases(spark, sf_dir)).select("text", "step", "output", "committed_output"), "text")
+    return quality.signature(_frames(spark, sf_dir).select("text", "step", "output", "committed_output"), "text")
 
 
 @query
@@ -217,20 +250,33 @@ def export_json(spark, sf_dir):
 
 
 def keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of a user as keystrokes: the first letter of each event's type, in order of time."""
+    """The events of a user as keystrokes: each event's type and a space after it, in order of time."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").cast("string").alias("session_id"), F.row_number().over(order).cast("long").alias("seq"), F.lit("append").alias("op"), F.substr("event_type", F.lit(1), F.lit(1)).alias("text"))
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.row_number().over(order).cast("long").alias("seq"), F.lit("append").alias("op"), F.concat("event_type", F.lit(" ")).alias("text"))
 
 
 @query
 def keystroke_sessions(spark, sf_dir):
-    """Of each user's stream of keystrokes, the input and how many frames it made."""
-    frames = decode_batch(keystrokes(spark, sf_dir))
-    # committed and active text together are the input
-    return frames.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("step").cast("long").alias("steps"))
+    """What each user's stream of keystrokes comes to."""
+    r = results(decode_batch(keystrokes(spark, sf_dir)))
+    return r.select("session_id", "frames", _long("committed_raw_length"), "output", F.col("total_work").alias("total_expanded_edges"))
+
+
+@query
+def phonetic_keystrokes(spark, sf_dir):
+    """The same of phonetic-first sessions: frames and how much of the input is frozen hard, all of it after a space."""
+    r = results(decode_batch(keystrokes(spark, sf_dir), PhoneticFirst()))
+    return r.select("session_id", "frames", _long("committed_raw_length"), "output")
+
+
+@query
+def quarantined_inputs(spark, sf_dir):
+    """Addresses with a character that sessions do not take, and which it is."""
+    bad = syntax.quarantine(table(spark, sf_dir, "pages").select("page_id", "url"), "url").filter("rejected is not null")
+    return bad.select("page_id", "url", "rejected", F.col("rejected_at").cast("long").alias("rejected_at"))
 
 
 @query
@@ -254,31 +300,75 @@ def markov_likelihood(spark, sf_dir):
     return oov.likelihoods(oov.study_words(spark), counts).select("word", F.round("likelihood", 6).alias("likelihood"))
 
 
-def study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
-    """The two models' counts and the chosen threshold. The development words are a fixed share of hash buckets."""
-    english, japanese = oov.english_words(document_words(spark, sf_dir)), oov.japanese_words(spark)
-    dev_e, dev_j = (F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(n)) == 0 for n in (100, 5))
-    e, j = oov.gram_counts(english.filter(~dev_e)), oov.gram_counts(japanese.filter(~dev_j))
-    dev = oov.differences(english.filter(dev_e), e, j).withColumn("language", F.lit("English")).unionByName(oov.differences(japanese.filter(dev_j), e, j).withColumn("language", F.lit("Japanese")))
-    chosen = oov.choose_threshold(dev).first()
-    return e, j, chosen["threshold"] if chosen else 0.0
+def study(spark: SparkSession, sf_dir: str):
+    """The split words, the two models' counts and the chosen threshold (one row)."""
+    parts = oov.split(oov.english_words(document_words(spark, sf_dir)), oov.japanese_words(spark))
+    return parts, *oov.models(parts)
+
+
+def study_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's words with the three tests: those no dictionary has, and Japanese ones that are held out or only phonetic."""
+    parts, e, j, threshold = study(spark, sf_dir)
+    own = oov.study_words(spark).filter("language = 'English'").unionByName(oov.negatives(parts).withColumn("language", F.lit("Japanese")))
+    return oov.tested(own, e, j, threshold)
+
+
+@query
+def oov_splits(spark, sf_dir):
+    """Words of each part of the split, and the threshold that the development words give."""
+    parts, _, _, threshold = study(spark, sf_dir)
+    n = parts.groupBy("language", "part").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    t = threshold.select(F.lit("").alias("language"), F.lit("threshold").alias("part"), F.round("threshold", 5).alias("value"))
+    return n.unionByName(t)
 
 
 @query
 def oov_predictions(spark, sf_dir):
-    e, j, threshold = study(spark, sf_dir)
-    d = oov.differences(oov.study_words(spark), e, j).join(oov.study_words(spark), "word")
-    return d.select("word", "language", F.round("difference", 6).alias("difference"), (F.col("difference") > threshold).alias("model"), oov.ends_like_latin(F.col("word")).alias("shape"))
+    d = study_tests(spark, sf_dir)
+    return d.select("word", "language", _long("ord"), F.round("difference", 6).alias("difference"), "model", "shape")
 
 
 @query
 def oov_confusion(spark, sf_dir):
-    p = oov_predictions(spark, sf_dir)
-    out = None
-    for name, test in (("shape", F.col("shape")), ("model", F.col("model")), ("either", F.col("shape") | F.col("model"))):
-        one = oov.confusion(p.select("language", test.alias("predicted"))).withColumn("test", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    p = oov.by_test(study_tests(spark, sf_dir), "language")
+    return oov.confusion(p, "test")
+
+
+@query
+def oov_lists(spark, sf_dir):
+    """Words that the model misses or takes wrongly, that only one test finds, and scores of the probe words."""
+    parts, e, j, threshold = study(spark, sf_dir)
+    d, probes = study_tests(spark, sf_dir), spark.createDataFrame([(w,) for w in STUDY_PROBES], "word string")
+    english, japanese = F.col("language") == "English", F.col("language") == "Japanese"
+    lists = {"missed": english & ~F.col("model"), "false-positive": japanese & F.col("model"), "model-only": english & F.col("model") & ~F.col("shape"), "suffix-only": english & F.col("shape") & ~F.col("model")}
+    named = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in lists.items())))
+    rows = d.select(F.explode(named).alias("list"), "word", F.round("difference", 3).alias("difference"), "shape", "model")
+    return rows.unionByName(oov.tested(probes, e, j, threshold).select(F.lit("probe").alias("list"), "word", F.round("difference", 3).alias("difference"), "shape", "model"))
+
+
+@query
+def oov_localized(spark, sf_dir):
+    """Of each test, how often a word set into a stream is among the proposed spans, and what else is proposed."""
+    parts, e, j, threshold = study(spark, sf_dir)
+    own = oov.study_words(spark).filter("language = 'English'").select("word", "ord", F.lit(True).alias("positive")).unionByName(oov.negatives(parts).withColumn("positive", F.lit(False)))
+    streams = oov.mixed_streams(own).select("text", "start", "end", "positive")
+    spans = oov.tested(oov.proposed_spans(streams.select("text")), e, j, threshold)
+    return oov.localized(streams, spans)
+
+
+@query
+def glued_counts(spark, sf_dir):
+    """Japanese words glued by a particle: how many each test takes for English."""
+    parts, e, j, threshold = study(spark, sf_dir)
+    g = oov.tested(oov.glued(oov.negatives(parts)), e, j, threshold)
+    return g.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(k).alias(k) for k in ("shape", "model", "either")))
+
+
+@query
+def oov_document(spark, sf_dir):
+    """The study as one JSON document."""
+    views = {"splits": oov_splits, "confusion": oov_confusion, "localized": oov_localized, "gluedControls": glued_counts, "discordance": oov_discordance, "lists": oov_lists}
+    return export.as_sections({name: view(spark, sf_dir) for name, view in views.items()})
 
 
 @query
@@ -288,7 +378,7 @@ def shape_confusion(spark, sf_dir):
 
 @query
 def oov_discordance(spark, sf_dir):
-    return oov.discordance(oov_predictions(spark, sf_dir).filter("language = 'English'").select(F.col("model").alias("first"), F.col("shape").alias("second")))
+    return oov.discordance(study_tests(spark, sf_dir).filter("language = 'English'").select(F.col("model").alias("first"), F.col("shape").alias("second")))
 
 
 @query
@@ -321,24 +411,38 @@ def particle_collisions(spark, sf_dir):
 
 
 def consensus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands and types of parts between Japanese words, letters only."""
-    t = F.concat(F.lit("kyouha"), F.regexp_replace(syntax.normalize(F.col("p_type")), "[^a-z]", ""), F.lit("desu"))
-    return table(spark, sf_dir, "part").select(t.alias("text")).distinct()
+    """The words of names and types of parts, alone and before a particle."""
+    w = F.explode(F.split(syntax.normalize(F.concat_ws(" ", "p_name", "p_type")), "[^a-z]+"))
+    w = table(spark, sf_dir, "part").select(w.alias("w")).filter("w <> ''").distinct()
+    return w.select(F.explode(F.array("w", F.concat("w", F.lit("ha")))).alias("text"))
+
+
+def _rounded(df: DataFrame, *longs: str) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(*(_long(c) if c in longs else F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
 
 
 @query
 def consensus_frames(spark, sf_dir):
-    return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[0]
+    return _rounded(consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[0], "step")
+
+
+@query
+def consensus_hypotheses(spark, sf_dir):
+    """Hypotheses of each frame: how many, the best's probability, and what they are made of."""
+    h = consensus.hypotheses(consensus_texts(spark, sf_dir), consensus.ConsensusParameters())
+    unknown = F.size(F.filter("segments", lambda s: s["language"] == "Unknown"))
+    return h.groupBy("text", _long("step")).agg(F.count(F.lit(1)).alias("hypotheses"), F.round(F.max("probability"), 9).alias("best"), F.sum(F.size("segments")).alias("segments"), F.sum(unknown).alias("unknown"))
 
 
 @query
 def consensus_boundaries(spark, sf_dir):
-    return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[1]
+    return _rounded(consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[1], "step", "position", "support")
 
 
 @query
 def consensus_segments(spark, sf_dir):
-    return consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[2]
+    return _rounded(consensus.analyze(consensus_texts(spark, sf_dir), lexicon(spark))[2], "step", "start", "end", "support")
 
 
 def phonetic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +456,16 @@ def phonetic_session_results(spark, sf_dir):
     return s.select("text", "output", "committed_raw_length", "hard_committed_raw_length", "total_analyzed")
 
 
+@query
+def anchors(spark, sf_dir):
+    return _rounded(phonetic_sessions.anchors(phonetic_texts(spark, sf_dir)), "start", "end")
+
+
+@query
+def gap_resolution(spark, sf_dir):
+    return _rounded(phonetic_sessions.resolved(phonetic_texts(spark, sf_dir)), "start", "end")
+
+
 @query
 def freeze_transitions(spark, sf_dir):
     return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "freeze_transitions")
@@ -374,7 +488,16 @@ def phonetic_segments(spark, sf_dir):
 
 @query
 def phonetic_violations(spark, sf_dir):
-    return phonetic_sessions.broken_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir))).select("text", F.col("step").cast("long").alias("step"))
+    """Steps and characters of each session, and how many steps break an invariant: none."""
+    c = phonetic_sessions.checked_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir)))
+    return c.groupBy("text").agg(F.count(F.lit(1)).alias("steps"), F.max(F.length("input")).cast("long").alias("characters"), F.count_if("bad").alias("broken"))
+
+
+@query
+def phonetic_work(spark, sf_dir):
+    """Of each session, whether it read less than four fifths of what reading every prefix anew would cost."""
+    s = phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir)))
+    return quality.spared_work(s).select("text", _long("naive"), (F.col("work") <= 3 * F.col("naive")).alias("bounded"))
 
 
 def _edge_view(e: DataFrame) -> DataFrame:
@@ -393,7 +516,8 @@ def symbol_edges(spark, sf_dir):
 
 @query
 def candidate_edges(spark, sf_dir):
-    return lattice.candidate_edges(urls(spark, sf_dir), lexicon(spark), profile_words(spark))
+    e = lattice.candidate_edges(urls(spark, sf_dir), lexicon(spark), profile_words(spark))
+    return e.select("text", _long("start"), _long("end"), "raw", "output", "language", "kind", F.round(F.round("local_score", 9), 6).alias("local_score"), "evidence", _long("place"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
@@ -28,9 +28,24 @@ def as_document(df: DataFrame, kind: str, version: str, parameters: dict, *keys:
     return df.select(*keys, F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
 
 
+def as_sections(sections: dict[str, DataFrame]) -> DataFrame:
+    """One row, json: a document with a list of rows for each of a few small views, in order of their columns."""
+    out = None
+    for name, view in sections.items():
+        one = view.agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(camel(c)) for c in view.columns)))).alias(name))
+        out = one if out is None else out.join(F.broadcast(one))
+    return out.select(F.to_json(F.struct(*sections), {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
-    """A UTF-8 file without a byte order mark per partition, a document per record."""
-    documents.select("json").write.mode("error").text(path)
+    """UTF-8 files without a byte order mark, a document per line: each record can be read on its own."""
+    one_line = F.regexp_replace("json", r"\n\s*", "")
+    documents.select(one_line.alias("value")).write.mode("error").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What write_documents() wrote, as rows."""
+    return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
 
 
 def top_paths(decoded: DataFrame, n: int = 12) -> DataFrame:

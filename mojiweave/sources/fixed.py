@@ -142,6 +142,9 @@ morning evening already quickly slowly carefully suddenly yesterday together imp
 possible available necessary beautiful wonderful terrible awesome amazing
 """.split()
 PHONETIC_WORDS = "kuru iku matsu aruku hanasu yomu kaku miseru akeru shimeru oyogu hashiru tsukuru nomu kiku utau odoru warau naku".split()
+#: Further words that may not train the English model, and words whose scores the study shows.
+STUDY_STOP = "japanese tokyo ime node monitor customer".split()
+STUDY_PROBES = "japanese tokyo ime node monitor customer strategy".split()
 ENDINGS = ("ology", "tion", "sion", "ment", "ness", "able", "ible", "ese")
 STUDY_PARTICLES = "ha ga wo ni de to mo no yo".split()
 STUDY_PREFIXES = "kyouha korega watashino imanode".split()

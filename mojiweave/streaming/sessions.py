@@ -1,10 +1,16 @@
 """Keystroke sessions as a stream: one state per session, one frame per keystroke.
 
 Input: session_id string, seq long, op string ('append' adds text, 'replace' replaces the whole
-input), text string. Within a micro-batch a session's rows are taken by seq; a seq that was seen is
-a duplicate and is dropped. The state is what the next keystroke needs (input, committed edges,
-consensus run, counters); frames are emitted, never kept. Characters that are not allowed are
-dropped, as in an editor.
+input), text string. A session's rows are taken by seq; of rows with one seq the first to arrive
+counts. The state is what the next keystroke needs (input, how far it is committed, the run of the
+consensus or the segments that may thaw) and a log of the keystrokes. A keystroke that arrives
+after later ones is put in its place: the session is read anew from its log, and all its frames are
+emitted again under a new version. Frames are emitted, never kept, and each holds only the text that
+its keystroke committed, so their size does not grow with the session. Characters that are not
+allowed are dropped, as in an editor.
+
+An edit that does not continue the input starts a new version too: the frames of a session's last
+version, in order of step, make up its result (results()).
 """
 
 from __future__ import annotations
@@ -13,79 +19,151 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mojiweave.plans import lattice as L
+from mojiweave.plans import phonetic_first as P
 from mojiweave.plans import reading as R
 from mojiweave.sources.fixed import LatticeParameters
 
-OUT = "session_id string, seq long, step int, committed_raw_length int, committed_output string, active_raw string, output string, total_expanded_edges long, rebuilt boolean"
+OUT = "session_id string, seq long, version int, step int, committed_raw_length int, committed string, active_raw string, shown string, work long, total_work long, rebuilt boolean"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
+LOG = "seq long, op string, text string"
 
 
-def save(s: L.Session) -> str:
-    return json.dumps([s.input, [list(e) for e in s.committed], s.signature, s.stable, s.total], ensure_ascii=False)
+def clean(text: str | None) -> str:
+    return "".join(c for c in (text or "").translate({i: i + 32 for i in range(65, 91)}) if c in R.ALLOWED)
 
 
-def load(text: str, p: LatticeParameters) -> L.Session:
-    i, committed, signature, stable, total = json.loads(text)
-    return L.Session(p, i, [L.Edge(*e) for e in committed], signature, stable, total)
+class Lattice:
+    """The evidence lattice; committed is the output of what the keystroke committed."""
 
+    def __init__(self, p: LatticeParameters | None = None):
+        self.p = p or LatticeParameters()
 
-def clean(text: str | None) -> str:
-    return "".join(c for c in (text or "").translate({i: i + 32 for i in range(65, 91)}) if c in R.ALLOWED)
+    def start(self):
+        return L.Session(self.p, nested=False)
+
+    def save(self, s: L.Session) -> list:
+        return [s.input, s.done, s.said, s.signature, s.stable, s.total]
+
+    def load(self, saved: list):
+        return L.Session(self.p, *saved, nested=False)
+
+    def rows(self, s: L.Session, text: str) -> Iterator[tuple]:
+        for f in s.update(text):
+            yield f.step, f.committed_raw_length, "".join(c[3] for c in f.commits), f.active_raw, f.output[len(f.committed_output) :], f.expanded_edges, f.total_expanded_edges, f.rebuilt
+
+
+class PhoneticFirst:
+    """The phonetic-first session; committed is the output of what has been frozen hard since the frame before, shown what may still change."""
 
+    def __init__(self, p: P.PhoneticParameters | None = None):
+        self.p = p or P.PhoneticParameters()
 
-def advance(session: L.Session, op: str, text: str) -> list[L.Frame]:
-    return session.update(clean(text) if op == "replace" else session.input + clean(text))
+    def start(self):
+        return P.PhoneticSession(self.p)
+
+    def save(self, s: P.PhoneticSession) -> list:
+        return [s.input, [list(x) for x in s.committed], s.total]
+
+    def load(self, saved: list):
+        return P.PhoneticSession(self.p, saved[0], [P.Segment(*x) for x in saved[1]], saved[2])
+
+    def rows(self, s: P.PhoneticSession, text: str) -> Iterator[tuple]:
+        def hard() -> str:
+            last = max((i for i, x in enumerate(s.committed) if x.state == P.HARD), default=-1)
+            return "".join(x.output for x in s.committed[: last + 1])
+
+        before = hard()
+        if not text.startswith(s.input):
+            before = ""
+        for f in s.steps(text):
+            now = hard()
+            yield f.step, f.hard_raw_length, now[len(before) :], s.input[f.hard_raw_length :], f.output[len(now) :], f.analyzed, f.total_analyzed, f.rebuilt
+            before = now
+
+
+def _advance(kind, session, version: int, op: str, text: str) -> tuple[int, list[tuple]]:
+    target = clean(text) if op == "replace" else session.input + clean(text)
+    version += not target.startswith(session.input)
+    return version, list(kind.rows(session, target))
 
 
 class KeystrokeProcessor(StatefulProcessor):
-    def __init__(self, p: LatticeParameters):
-        self._p = p
+    def __init__(self, kind):
+        self._kind = kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("session", "last long, saved string")
+        self._state = handle.getValueState("session", "last long, version int, saved string")
+        self._log = handle.getListState("log", LOG)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, session = -1, L.Session(self._p)
+        last, version, session = -1, 0, self._kind.start()
         if self._state.exists():
-            last, saved = self._state.get()
-            session = load(saved, self._p)
-        out = []
-        for seq, op, text in pd.concat(list(rows))[["seq", "op", "text"]].sort_values("seq", kind="stable").itertuples(index=False):
-            if seq <= last:
-                continue
-            last = int(seq)
-            out += [(key[0], last, f.step, f.committed_raw_length, f.committed_output, f.active_raw, f.output, f.total_expanded_edges, f.rebuilt) for f in advance(session, op, text)]
-        self._state.update((last, save(session)))
+            last, version, saved = self._state.get()
+            session = self._kind.load(json.loads(saved))
+        new: dict[int, tuple[str, str]] = {}
+        for part in rows:
+            for seq, op, text in part[["seq", "op", "text"]].itertuples(index=False):
+                new.setdefault(int(seq), (op, text))
+        late = [q for q in new if q <= last]
+        todo = new
+        if late:
+            known = {int(q): (op, text) for q, op, text in self._log.get()}
+            new = {q: x for q, x in new.items() if q not in known}
+            if any(q <= last for q in new):
+                todo, session, version = known | new, self._kind.start(), version + 1
+            else:
+                todo = new
+        out, again = [], todo is not new
+        for seq in sorted(todo):
+            version, frames = _advance(self._kind, session, version, *todo[seq])
+            out += [(key[0], seq, version, *f[:-1], f[-1] or again) for f in frames]
+        if new:
+            self._log.appendList([(q, op, text) for q, (op, text) in sorted(new.items())])
+        self._state.update((max([last, *new]), version, json.dumps(self._kind.save(session), ensure_ascii=False)))
         yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
         pass
 
 
-def decode_stream(keys: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
-    """Frames of a stream of keystrokes. Needs the RocksDB state store provider."""
-    return keys.groupBy("session_id").transformWithStateInPandas(statefulProcessor=KeystrokeProcessor(parameters or LatticeParameters()), outputStructType=OUT, outputMode="append", timeMode="none")
+def decode_stream(keys: DataFrame, kind=None) -> DataFrame:
+    """Frames of a stream of keystrokes, of a Lattice or a PhoneticFirst. Needs the RocksDB state store provider."""
+    return keys.groupBy("session_id").transformWithStateInPandas(statefulProcessor=KeystrokeProcessor(kind or Lattice()), outputStructType=OUT, outputMode="append", timeMode="none")
 
 
-def decode_batch(keys: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
+def decode_batch(keys: DataFrame, kind=None) -> DataFrame:
     """The same frames of a finished table of keystrokes; a session's rows are read in order from sorted partitions."""
-    p = parameters or LatticeParameters()
+    kind = kind or Lattice()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, session, last = None, L.Session(p), None
+        now, session, last, version = None, None, None, 0
         for batch in frames:
             out = []
             for sid, seq, op, text in batch[["session_id", "seq", "op", "text"]].itertuples(index=False):
-                if sid != now:
-                    now, session, last = sid, L.Session(p), None
+                if sid != now or session is None:
+                    now, session, last, version = sid, kind.start(), None, 0
                 if last is not None and seq <= last:
                     continue
                 last = seq
-                out += [(sid, int(seq), f.step, f.committed_raw_length, f.committed_output, f.active_raw, f.output, f.total_expanded_edges, f.rebuilt) for f in advance(session, op, text)]
+                version, made = _advance(kind, session, version, op, text)
+                out += [(sid, int(seq), version, *f) for f in made]
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=NAMES)
+                    out = []
             yield pd.DataFrame(out, columns=NAMES)
 
     return keys.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, OUT)
+
+
+def results(frames: DataFrame) -> DataFrame:
+    """(session_id, frames, committed_raw_length, output, total_work) of each session's last version."""
+    latest = frames.withColumn("_v", F.max("version").over(Window.partitionBy("session_id"))).filter("version = _v")
+    last = F.max_by(F.struct("committed_raw_length", "shown", "total_work"), "step")
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("committed") != "", F.struct("step", "committed")))), lambda x: x["committed"])
+    own = latest.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), said.alias("said"), last.alias("last"))
+    return own.select("session_id", "frames", F.col("last.committed_raw_length").alias("committed_raw_length"), F.concat(F.array_join("said", ""), F.col("last.shown")).alias("output"), F.col("last.total_work").alias("total_work"))

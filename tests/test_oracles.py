@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from mojiweave.plans.oracles import ORACLES
+from mojiweave.plans.sql import ORACLES
 from mojiweave.plans.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -1,20 +1,51 @@
-"""A stream of keystrokes gives the frames of the batch, however it is cut into micro-batches."""
+"""A stream of keystrokes gives the frames of the batch, however it is cut into micro-batches and however late keys are."""
 
-from mojiweave.streaming.sessions import decode_batch, decode_stream
+import pytest
 
+from mojiweave.plans import lattice as L
+from mojiweave.plans import phonetic_first as P
+from mojiweave.streaming.sessions import Lattice, PhoneticFirst, decode_batch, decode_stream, results
+
+SCHEMA = "session_id string, seq long, op string, text string"
 ROWS = [("a", i, "append", c) for i, c in enumerate("kyouhacommitsimasita")] + [("b", 0, "append", "node"), ("b", 1, "append", ".js=wo"), ("b", 2, "replace", "kyou"), ("b", 2, "append", "zzz"), ("b", 3, "append", "ha!")]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    schema = "session_id string, seq long, op string, text string"
-    whole = spark.createDataFrame(ROWS, schema)
-    for k, part in enumerate((ROWS[:7], ROWS[7:22], ROWS[22:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = decode_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+def streamed(spark, tmp_path, parts, kind):
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = decode_stream(source, kind).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
-    assert got == sorted(map(tuple, decode_batch(whole).collect()))
-    last = {s: o for s, q, step, *_, o, _, _ in got}
-    assert last["a"] == "今日はcommitしました" and last["b"] == "今日は!"
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("kind", [Lattice(), PhoneticFirst()], ids=["lattice", "phonetic"])
+def test_stream_equals_batch(spark, tmp_path, kind):
+    whole = decode_batch(spark.createDataFrame(ROWS, SCHEMA), kind)
+    frames = streamed(spark, tmp_path, (ROWS[:7], ROWS[7:22], ROWS[22:]), kind)
+    assert sorted(map(tuple, frames.collect())) == sorted(map(tuple, whole.collect()))
+    last = {r.session_id: r.output for r in results(frames).collect()}
+    assert last == {"a": "今日はcommitしました", "b": "今日は!"}
+
+
+@pytest.mark.parametrize("kind", [Lattice(), PhoneticFirst()], ids=["lattice", "phonetic"])
+def test_late_keystrokes_take_their_place(spark, tmp_path, kind):
+    keys = [r for r in ROWS if r[0] == "a"]
+    whole = decode_batch(spark.createDataFrame(keys, SCHEMA), kind)
+    frames = streamed(spark, tmp_path, (keys[:4] + keys[6:9], keys[4:6] + keys[:1], keys[9:]), kind)
+    want = sorted(tuple(r)[3:-1] for r in whole.collect())
+    newest = max(r.version for r in frames.collect())
+    assert sorted(tuple(r)[3:-1] for r in frames.collect() if r.version == newest) == want and newest == 1
+    assert [r.output for r in results(frames).collect()] == [r.output for r in results(whole).collect()] == ["今日はcommitしました"]
+
+
+def test_frames_hold_what_the_sessions_hold(spark):
+    text = "kyouhacommitsimasita. node.jswotukau"
+    rows = [("x", i, "append", c) for i, c in enumerate(text)]
+    got = decode_batch(spark.createDataFrame(rows, SCHEMA)).orderBy("step").collect()
+    frames = L.Session().update(text)
+    assert ["".join(r.committed for r in got[: k + 1]) + got[k].shown for k in range(len(got))] == [f.output for f in frames]
+    got = decode_batch(spark.createDataFrame(rows, SCHEMA), PhoneticFirst()).orderBy("step").collect()
+    steps = P.PhoneticSession().update(text)
+    assert ["".join(r.committed for r in got[: k + 1]) + got[k].shown for k in range(len(got))] == [s.output for s in steps]
