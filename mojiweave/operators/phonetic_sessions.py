@@ -27,6 +27,18 @@ def _fields(kind: str) -> list[str]:
     return [x.split(":")[0] for x in kind[len("struct<") : -1].replace("array<string>", "x").split(",")]
 
 
+def segment_names() -> list[str]:
+    return _fields(SEGMENT)
+
+
+def step_fields() -> str:
+    """STEP as the inside of a struct type."""
+    out = STEP
+    for name in NAMES:
+        out = out.replace(f"{name} ", f"{name}:", 1) if out.startswith(f"{name} ") else out.replace(f", {name} ", f", {name}:", 1)
+    return out
+
+
 def step_row(s: P.Step) -> dict:
     row = dict(zip(NAMES, s, strict=True))
     for name, kind in (("segments", SEGMENT), ("frozen", SEGMENT), ("symbol_evidence", MARK), ("thaw_events", THAW), ("freeze_transitions", MOVE)):

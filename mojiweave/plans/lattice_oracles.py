@@ -154,6 +154,11 @@ stable AS consensus_stable_frames, said || s.shown AS output, work AS expanded_e
         PHRASES,
         f"SELECT l.text, said || shown AS output, done AS committed_raw_length, said AS committed_output, total AS total_expanded_edges, n AS n_commits FROM {_LAST} l JOIN (SELECT text, CAST(sum(len(commits)) AS BIGINT) AS n FROM session GROUP BY text) USING (text)",
     ),
+    "exported_sessions": session(
+        PHRASES,
+        f"SELECT l.text, 'evidence-lattice-v1' AS format_version, l.text AS input, CAST(n AS BIGINT) AS committed_segments, step AS frames, said || shown AS output, done AS committed_raw_length, {P.beam}::BIGINT AS beam FROM {_LAST} l JOIN (SELECT text, sum(len(commits)) AS n FROM session GROUP BY text) USING (text)",
+    ),
+    "exported_phonetic": f"SELECT text, 'phonetic-first-rcr-v2' AS format_version, text AS input, length(text) AS frames FROM ({PHRASES})",
     "session_work": session(PHRASES, "SELECT text, count(*) AS frames, CAST(sum(work) AS BIGINT) AS work, max(total) AS total, 0::BIGINT AS broken FROM session WHERE step > 0 GROUP BY text"),
     "session_signatures": session(PHRASES, f"SELECT text, bit_xor({_HASH}) AS signature FROM (SELECT text, step, said || shown AS output, said AS committed_output FROM session WHERE step > 0) GROUP BY text"),
     "frame_counts": session(PHRASES, "SELECT text, count(*) AS frames, length(text) AS characters FROM session WHERE step > 0 GROUP BY text"),

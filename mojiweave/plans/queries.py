@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic, syntax
-from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, phonetic_sessions, profile, quality
+from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, phonetic_sessions, profile, quality, reports
 from mojiweave.sources import export
-from mojiweave.sources.fixed import STUDY_PROBES, LatticeParameters
+from mojiweave.sources.fixed import STUDY_PROBES
 from mojiweave.sources.tables import document_words, kana_table, lexicon, profile_words, table
 from mojiweave.streaming.sessions import PhoneticFirst, decode_batch, results
 
@@ -245,8 +245,41 @@ def session_signatures(spark, sf_dir):
 
 @query
 def export_json(spark, sf_dir):
-    p = LatticeParameters()
-    return export.as_document(lattice.session_results(phrases(spark, sf_dir)), "lattice-sessions-v1", "evidence-lattice", lattice.parameter_row(p), "text")
+    return reports.lattice_report(phrases(spark, sf_dir), at=F.lit("2026-01-01").cast("timestamp"))
+
+
+@query
+def export_phonetic_json(spark, sf_dir):
+    return reports.phonetic_report(phrases(spark, sf_dir), at=F.lit("2026-01-01").cast("timestamp"))
+
+
+@query
+def export_consensus_json(spark, sf_dir):
+    return reports.consensus_report(consensus_texts(spark, sf_dir), lexicon(spark), at=F.lit("2026-01-01").cast("timestamp"))
+
+
+def _read_back(documents: DataFrame, *more: str) -> DataFrame:
+    """Fields of documents, read back from their JSON."""
+    get = lambda path: F.get_json_object("json", f"$.{path}")
+    sizes = [F.size(F.from_json(F.get_json_object("json", f"$.{x}"), "array<string>")).cast("long").alias(x) for x in more]
+    return documents.select("text", get("formatVersion").alias("format_version"), get("input").alias("input"), *sizes)
+
+
+@query
+def exported_sessions(spark, sf_dir):
+    d = export_json(spark, sf_dir)
+    more = d.select("text", F.get_json_object("json", "$.output").alias("output"), F.get_json_object("json", "$.committedRawLength").cast("long").alias("committed_raw_length"), F.get_json_object("json", "$.parameters.beam").cast("long").alias("beam"))
+    return _read_back(d, "committedSegments", "frames").join(more, "text").withColumnRenamed("committedSegments", "committed_segments")
+
+
+@query
+def exported_phonetic(spark, sf_dir):
+    return _read_back(export_phonetic_json(spark, sf_dir), "frames")
+
+
+@query
+def exported_consensus(spark, sf_dir):
+    return _read_back(export_consensus_json(spark, sf_dir), "finalBoundaries", "frames").withColumnRenamed("finalBoundaries", "final_boundaries")
 
 
 def keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ def _renamed(kind: DataType) -> str:
 
 
 def as_document(df: DataFrame, kind: str, version: str, parameters: dict, *keys: str) -> DataFrame:
-    """keys and json: one indented document per row, camelCase, with format, algorithm version, parameters and the row's other columns."""
+    """keys and json: one indented document per row, camelCase, with format version, algorithm version, parameters and the row's other columns."""
     fields = [F.col(f.name).cast(_renamed(f.dataType)).alias(camel(f.name)) for f in df.schema if f.name not in keys]
     settings = F.struct(*(F.lit(v).alias(camel(k)) for k, v in parameters.items()))
-    body = F.struct(F.lit(kind).alias("format"), F.lit(version).alias("algorithmVersion"), settings.alias("parameters"), *fields)
+    body = F.struct(F.lit(kind).alias("formatVersion"), F.lit(version).alias("algorithmVersion"), settings.alias("parameters"), *fields)
     return df.select(*keys, F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
 
 
