@@ -12,8 +12,11 @@ buckets. Then, without ever listing the pairs of a bucket:
    about BLOCK nodes. The bucket's largest component has blocks of its own, which meet the others
    but not each other, so what is already connected is read once. In each pair sketches are
    compared across components; nodes of a pair that may link go, with their full sets, to a second
-   comparison, which yields a spanning set of verified links. No pair of different components in a
-   bucket is left out, whatever the bucket's size.
+   comparison, which yields a spanning set of verified links.
+   A bucket of more than WIDE blocks is first dealt out again: its nodes go to sub-buckets by bands of
+   FINE other coordinates each, as many as it takes for a pair just similar enough to share one but
+   with NO_BAND at most, so nodes that have only a template in common do not all meet. What is
+   still wide after that meets in blocks as above: no pair is left out for a bucket's size.
 A link missed: band width and floor follow from the similarity asked for. At 0.85 (bands of 7) two
 sketches share no band with probability 9e-7, at 0.8 (bands of 5) with 2e-9; they fall under the
 sketch's floor with 3e-8 at most.
@@ -29,7 +32,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.llm import common
@@ -42,6 +45,8 @@ BINS = 252
 #: Probabilities, at most, that a pair just similar enough shares no band, and that it falls under the floor.
 NO_BAND, UNDER_FLOOR = 1e-6, 3e-8
 BLOCK = 512
+#: Blocks from which on a bucket is dealt out again, and coordinates of the bands that do so.
+WIDE, FINE = 64, 10
 #: Shingles that are sketched at once.
 CHUNK = 500_000
 
@@ -211,33 +216,37 @@ def _linked(a, b, enough) -> bool:
     return enough[1] * both >= enough[0] * (len(a) + len(b) - both)
 
 
+def _paired(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b; a written table) with the values (node, value) of both as x and y; a node that very many pairs have as b is not one task."""
+    copies = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("copies"))
+    leads = common.materialize(values.select(F.col("node").alias("b"), F.col("value").alias("y")).join(copies, "b"), "leads")
+    return common.meet(pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("x")), "a"), leads, ["b"], "a").select("a", "b", "x", "y")
+
+
 def _with_estimate(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """pairs (a, b) with the number of equal sketch coordinates."""
-    joined = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(axis=1).astype(np.int32))], ["a", "b", "equal"])
 
-    return common.map_arrow(joined.select("a", "b", "sa", "sb"), run, "a long, b long, equal int")
+    return common.map_arrow(_paired(pairs, sketch.select(F.col("doc_id").alias("node"), F.col("sketch").alias("value"))), run, "a long, b long, equal int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, enough) -> DataFrame:
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            good = [_linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), enough) for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True)]
+            good = [_linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), enough) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return common.map_arrow(joined.select("a", "b", "ma", "mb"), run, "a long, b long").distinct()
+    return common.map_arrow(_paired(pairs, sets.withColumnRenamed("members", "value")), run, "a long, b long").distinct()
 
 
 def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -284,6 +293,35 @@ def _open_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return known.join(one.select(F.col("k.key").alias("key"), F.col("k.main.component").alias("main"), F.col("k.main.n").alias("n_main"), "n"), "key")
 
 
+def _blocks(count: str) -> Column:
+    return F.ceil(F.expr(count) / BLOCK)
+
+
+def _dealt(members: DataFrame, sketch: DataFrame, enough: tuple[int, int]) -> DataFrame:
+    """(key, node): the sub-buckets of the buckets of members (key, node), by bands of FINE coordinates drawn at random, the same for all."""
+    s = enough[0] / enough[1]
+    n = math.ceil(math.log(NO_BAND) / math.log(1 - s**FINE)) if s < 1 else 1
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        drawn = np.stack([np.random.default_rng(j).permutation(BINS)[:FINE] for j in range(n)])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                low = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+                total = part.column("key").to_numpy().view(np.uint64)[:, None] * np.uint64(_STEP) + np.arange(1, n + 1, dtype=np.uint64)
+                for i in range(FINE):
+                    total *= np.uint64(_STEP)
+                    total += low[:, drawn[:, i]]
+                    total ^= total >> np.uint64(32)
+                keys = _mix(total).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), n))], ["key", "node"])
+
+    return common.map_arrow(members.select("key", "node").join(sketch.select(F.col("doc_id").alias("node"), "sketch"), "node"), run, "key long, node long")
+
+
 def _block_pairs(members: DataFrame) -> DataFrame:
     """members with i, j: each pair of a bucket's blocks, but of two blocks of its main component, is a group; own is a node's block."""
     mains, rests = F.ceil(F.col("n_main") / BLOCK), F.ceil((F.col("n") - F.col("n_main")) / BLOCK)
@@ -317,7 +355,11 @@ def _maybe(sketch, component, own, same_block: bool, floor: int):
 def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame, sketch: DataFrame, size: int, enough) -> DataFrame:
     """A spanning set of the links between nodes of different components in one bucket."""
     floor = floor_of(enough)
-    members = _open_buckets(buckets, components)
+    members = common.materialize(_open_buckets(buckets, components), "open_buckets")
+    wide = _blocks("n_main") + _blocks("n - n_main") > WIDE
+    if not members.filter(wide).isEmpty():
+        dealt = common.materialize(_dealt(members.filter(wide), sketch, enough), "sub_buckets")
+        members = members.filter(~wide).unionByName(_open_buckets(dealt, components))
     pairs = _block_pairs(members).join(sketch.select(F.col("doc_id").alias("node"), "sketch"), "node")
     columns = ["key", "i", "j", "own", "node", "component"]
 
@@ -360,7 +402,10 @@ def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame,
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] = ENOUGH) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id must be a bigint)."""
+    """doc_id, n_shingles and component_id for each row of docs; doc_id must be a whole number and is given as a long."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be a whole number: components are named by the least one")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = common.materialize(sketch_table(docs, size, enough), "sketches")
     some = made.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -371,7 +416,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int
     shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key", "first")
     buckets = common.materialize(bands.join(shared, "key"), "buckets")
 
-    pairs = buckets.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = common.materialize(buckets.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "first_pairs")
     sketch = some.select("doc_id", "sketch")
     guess = _with_estimate(pairs, sketch).filter(F.col("equal") >= floor_of(enough))
     best = guess.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from mojiweave.llm import common
 from mojiweave.llm import near_dup as N
 from mojiweave.llm.components import connected_components
 
@@ -41,9 +42,11 @@ def family(rng, words, n, edits):
     return out
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 8)])
-def test_against_brute_force(docs_of, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,wide", [(1, 512, 64), (2, 8, 64), (3, 8, 2)])
+def test_against_brute_force(docs_of, monkeypatch, seed, block, wide):
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "WIDE", wide)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rng = random.Random(seed)
     texts = []
     for _ in range(8):
@@ -58,6 +61,35 @@ def test_against_brute_force(docs_of, monkeypatch, seed, block):
     assert kept == {i for i, c in enumerate(components) if i == c}
 
 
+def test_a_template_that_all_texts_share(docs_of, monkeypatch):
+    """Texts of one template whose own words differ share buckets but are not linked, save those that are alike."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "WIDE", 2)
+    rng = random.Random(13)
+    template = [f"t{k}" for k in range(90)]
+    texts = [" ".join([*template, *(f"w{rng.randrange(10**6)}" for _ in range(40))]) for _ in range(120)]
+    texts += [x + " more" for x in texts[:30]]
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(docs_of(texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts)[0]
+
+
+def test_kinds_of_ids(docs_of):
+    docs = docs_of(["a b c d e f"] * 2)
+    assert {r.component_id for r in N.near_duplicates(docs.withColumn("doc_id", docs["doc_id"].cast("int"))).collect()} == {0}
+    with pytest.raises(TypeError):
+        N.near_duplicates(docs.withColumn("doc_id", docs["doc_id"].cast("string")))
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    out = N.op9_minhash(spark, sf)
+    assert {f.name: f.dataType.simpleString() for f in out.schema} == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    docs = sorted(((d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=lambda d: d[0])
+    components, sizes = brute([t for _, t in docs])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()}
+    assert got == {i: (sizes[k], docs[components[k]][0], components[k] == k) for k, (i, _) in enumerate(docs)}
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 300, 5000):
