@@ -30,6 +30,8 @@ MOST_TERMS, PREFIX = 3000, 4
 LEAST_DOCS, LEAST_ODDS = 3, 1.5
 FOLDS = 5
 NEAR = 4
+#: Words that a worker remembers what they say of.
+CACHE_WORDS = 400_000
 #: Words that address the reader, in the languages of the corpus.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "ta", "vous", "votre", "tú", "ti", "tus", "usted", "ustedes", "vosotros")
 #: What disguises letters.
@@ -39,8 +41,11 @@ FEATURES = ("word_density", "word_hits", "word_most", "prefix_density", "prefix_
 
 @dataclass(frozen=True)
 class Lexicon:
+    """Terms with their log-odds; dropped: how many more were strong enough, beyond MOST_TERMS of a kind."""
+
     words: dict[str, float]
     prefixes: dict[str, float]
+    dropped: int = 0
 
 
 def _words(text: str) -> list[str]:
@@ -49,27 +54,42 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_][\w@$*!']*", text.lower())
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
+class Terms(dict):
+    """What a word says under a lexicon: (its weight, its prefix's, whether it addresses the reader, whether it is disguised, and as a word of the lexicon); PLAIN if nothing."""
+
+    PLAIN = (0.0, 0.0, False, False, False)
+
+    def __init__(self, lexicon: Lexicon):
+        import re
+
+        super().__init__()
+        self._lexicon, self._odd = lexicon, re.compile(r"[^\W\d_][0-9@$*!]+[^\W\d_]").search
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        known, odd = self._lexicon, bool(self._odd(word))
+        said = (known.words.get(word.rstrip("!*'"), 0.0), known.prefixes.get(word[:PREFIX], 0.0), word in SECOND_PERSON, odd, odd and word.translate(LEET) in known.words)
+        self[word] = said = said if any(said) else self.PLAIN
+        return said
+
+
+def features(text: str, terms: Terms) -> list[float]:
     """The numbers of FEATURES for a whole text."""
     import math
     import re
 
     words = _words(text)
-    n = max(1, len(words))
-    w = [lexicon.words.get(x.rstrip("!*'"), 0.0) for x in words]
-    p = [lexicon.prefixes.get(x[:PREFIX], 0.0) for x in words]
-    hits = [i for i, (a, b) in enumerate(zip(w, p, strict=True)) if a or b]
-    you = [i for i, x in enumerate(words) if x in SECOND_PERSON]
-    near = sum(any(abs(i - j) <= NEAR for j in _around(you, i)) for i in hits)
-    odd = [x for x in words if re.search(r"[^\W\d_][0-9@$*!]+[^\W\d_]", x)]
-    fixed = sum(x.translate(LEET) in lexicon.words for x in odd)
-    letters = max(1, sum(map(str.isalpha, text)) if not text.isascii() else len(re.findall("[A-Za-z]", text)))
-    upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
-    marks = len(re.findall(r"[^\w\s]", text))
+    n, plain = max(1, len(words)), Terms.PLAIN
+    said = [(i, x) for i, x in enumerate(map(terms.__getitem__, words)) if x is not plain]
+    w, p = [x[0] for _, x in said if x[0]], [x[1] for _, x in said if x[1]]
+    you = [i for i, x in said if x[2]]
+    near = sum(any(abs(i - j) <= NEAR for j in _around(you, i)) for i, x in said if x[0] or x[1])
+    odd, fixed = sum(x[3] for _, x in said), sum(x[4] for _, x in said)
+    size = lambda pattern: sum(map(len, re.findall(pattern, text)))
     return [
-        100 * sum(w) / n, float(sum(1 for x in w if x)), max(w, default=0.0), 100 * sum(p) / n, float(sum(1 for x in p if x)), max(p, default=0.0),
-        near / n * 100, len(you) / n, upper / letters, shouted / n, text.count("!") / n, marks / n, len(odd) / n, float(fixed), math.log1p(len(words)),
+        100 * sum(w) / n, float(len(w)), max(w, default=0.0), 100 * sum(p) / n, float(len(p)), max(p, default=0.0),
+        near / n * 100, len(you) / n, size(r"[A-ZÀ-ÖØ-Þ]+") / max(1, size(r"[^\W\d_]+")), len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text)) / n, text.count("!") / n, size(r"[^\w\s]+") / n, odd / n, float(fixed), math.log1p(len(words)),
     ]
 
 
@@ -111,6 +131,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     total, out = terms.filter("term = 'n'").first(), []
     for k in range(FOLDS + 1):
         found: dict[str, dict[str, float]] = {"w": {}, "p": {}}
+        held: list[int] = []
         if total is not None and total[f"bad{k}"] and total[f"good{k}"]:
             bad, good = F.col(f"bad{k}"), F.col(f"good{k}")
             odds = F.log((bad + 0.1) / (total[f"bad{k}"] + 0.2)) - F.log((good + 0.5) / (total[f"good{k}"] + 1.0))
@@ -118,7 +139,8 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
             for kind, into in found.items():
                 top = strong.filter(F.col("term").startswith(kind)).orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(MOST_TERMS)
                 into.update((r["term"][1:], float(r["odds"])) for r in top.collect())
-        out.append(Lexicon(found["w"], found["p"]))
+            held += [strong.count() - sum(map(len, found.values()))] if k == FOLDS else []
+        out.append(Lexicon(found["w"], found["p"], sum(held)))
     return out
 
 
@@ -216,13 +238,16 @@ class Model:
     knots: object = None
     values: object = None
     prior: float = 0.0
+    terms: Terms | None = None
 
     def score(self, texts: list[str]):
         import numpy as np
 
         if self.trees is None:
             return np.full(len(texts), self.prior)
-        x = np.asarray([features(t, self.lexicon) for t in texts], dtype=float).reshape(-1, len(FEATURES))
+        if self.terms is None:
+            self.terms = Terms(self.lexicon)
+        x = np.asarray([features(t, self.terms) for t in texts], dtype=float).reshape(-1, len(FEATURES))
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
@@ -236,8 +261,9 @@ def fit(sample: DataFrame) -> Model:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        terms = [Terms(x) for x in lexicons]
         for batch in batches:
-            x = np.asarray([features(t.as_py(), lexicons[k.as_py()]) for t, k in zip(batch.column("text"), batch.column("fold"), strict=True)], dtype=float).reshape(-1, len(FEATURES))
+            x = np.asarray([features(t.as_py(), terms[k.as_py()]) for t, k in zip(batch.column("text"), batch.column("fold"), strict=True)], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(FEATURES)))], ["fold", "y", *FEATURES])
 
     got = common.map_arrow(rows, run, "fold long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -148,3 +149,33 @@ def test_toxicity_query(spark):
 
 def test_quality_query(spark):
     check_query(spark, quality_knn.op7_quality_knn, "quality", 5, 0.93)
+
+
+def plain_features(text, lexicon):
+    """The features of a text, word by word."""
+    words = toxicity._words(text)
+    n = max(1, len(words))
+    w = [lexicon.words.get(x.rstrip("!*'"), 0.0) for x in words]
+    p = [lexicon.prefixes.get(x[: toxicity.PREFIX], 0.0) for x in words]
+    you = [i for i, x in enumerate(words) if x in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in range(len(words)) if w[i] or p[i])
+    odd = [x for x in words if re.search(r"[^\W\d_][0-9@$*!]+[^\W\d_]", x)]
+    fixed = sum(x.translate(toxicity.LEET) in lexicon.words for x in odd)
+    letters = sum(bool(re.fullmatch(r"[^\W\d_]", c)) for c in text)
+    upper = sum(bool(re.fullmatch("[A-ZÀ-ÖØ-Þ]", c)) for c in text)
+    marks = sum(bool(re.fullmatch(r"[^\w\s]", c)) for c in text)
+    shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
+    return [
+        100 * sum(w) / n, sum(x > 0 for x in w), max(w, default=0), 100 * sum(p) / n, sum(x > 0 for x in p), max(p, default=0), 100 * near / n, len(you) / n, upper / max(1, letters), shouted / n,
+        text.count("!") / n, marks / n, len(odd) / n, fixed, np.log1p(len(words)),
+    ]
+
+
+def test_features_are_those_of_a_plain_count():
+    rng = random.Random(14)
+    words = ["you", "DU", "snarl", "sn4rl", "snarling", "SNARL!!", "plain", "É", "gr*mble", "grumble,", "tú", "²", "1a", "_x", "a1b", ""]
+    lexicon = toxicity.Lexicon({"snarl": 2.0, "grumble": 1.5, "gramble": 1.6}, {"snar": 1.9, "grum": 3.0})
+    terms = toxicity.Terms(lexicon)
+    for _ in range(300):
+        text = rng.choice([" ", "\n", ", "]).join(rng.choice(words) for _ in range(rng.randrange(25)))
+        assert np.allclose(toxicity.features(text, terms), plain_features(text, lexicon)), text
