@@ -182,17 +182,25 @@ def symbol_edges(texts: DataFrame) -> DataFrame:
     return rows.select("text", "start", (F.col("start") + 1).alias("end"), "raw", c.alias("output"), F.lit("Unknown").alias("language"), named.alias("kind"), score.alias("local_score"), why.alias("evidence"))
 
 
+def _lone_characters(texts: DataFrame) -> DataFrame:
+    """The edge of each word character by itself."""
+    rows = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter(F.col("raw").rlike("^[a-z0-9]$"))
+    return rows.select("text", "start", (F.col("start") + 1).alias("end"), "raw", F.col("raw").alias("output"), F.lit("Unknown").alias("language"), F.lit("Unknown").alias("kind"), F.lit(-3.2).alias("local_score"), F.lit("unknown-character").alias("evidence"))
+
+
 def unknown_edges(texts: DataFrame, others: DataFrame) -> DataFrame:
     """The same of word characters at which none of the other edges starts."""
-    rows = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter(F.col("raw").rlike("^[a-z0-9]$"))
-    alone = rows.join(others.select("text", "start").distinct(), ["text", "start"], "left_anti")
-    return alone.select("text", "start", (F.col("start") + 1).alias("end"), "raw", F.col("raw").alias("output"), F.lit("Unknown").alias("language"), F.lit("Unknown").alias("kind"), F.lit(-3.2).alias("local_score"), F.lit("unknown-character").alias("evidence"))
+    return _lone_characters(texts).join(others.select("text", "start").distinct(), ["text", "start"], "left_anti")
 
 
 def candidate_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
     """All edges of the distinct texts, of equal ones the best, with their order in the text: start, longest, best."""
     named = lexical_edges(texts, lexicon, profile_words).unionByName(phonetic_edges(texts, profile_words, parameters)).unionByName(structural_edges(texts, lexicon, profile_words, parameters))
-    rows = named.unionByName(unknown_edges(texts, named)).unionByName(symbol_edges(texts))
+    certain = named.unionByName(symbol_edges(texts)).withColumn("_alone", F.lit(False))
+    # a text's edges come together once: all three windows are over them
+    rows = certain.unionByName(_lone_characters(texts).withColumn("_alone", F.lit(True))).repartition("text")
+    held = F.count_if(~F.col("_alone")).over(Window.partitionBy("text", "start"))
+    rows = rows.withColumn("_held", held).filter("not _alone or _held = 0").drop("_alone", "_held")
     same = Window.partitionBy("text", "start", "end", "output", "language", "kind").orderBy(F.desc("local_score"))
     best = rows.withColumn("_r", F.row_number().over(same)).filter("_r = 1").drop("_r")
     order = Window.partitionBy("text").orderBy("start", F.desc(F.col("end") - F.col("start")), F.desc("local_score"), "kind", "output")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mojiweave.functions import phonetic
 from mojiweave.operators.lattice import _map_texts
 from mojiweave.plans import phonetic_first as P
 
@@ -71,6 +72,14 @@ def resolved(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFra
     return _map_texts(texts, "start int, end int, raw string, output string, language string, confidence double, reason string", lambda text: (dict(zip(names, s, strict=False)) for s in P.resolve(text, p)[0]))
 
 
+def uncovered(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
+    """(text, start, end, preview, kind) of the phonetic units of each distinct text that no Latin segment of 0.90 or more covers."""
+    texts = texts.select("text").filter("text is not null").distinct()
+    units = texts.select("text", F.inline(phonetic.units(F.col("text"))))
+    latin = resolved(texts, p).filter("language = 'English' and confidence >= 0.90").select("text", F.col("start").alias("_a"), F.col("end").alias("_b"))
+    return units.join(latin, (units["text"] == latin["text"]) & (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b")), "left_anti").select("text", "start", "end", "preview", "kind")
+
+
 def last_steps(steps: DataFrame) -> DataFrame:
     """Of each text the step after its last keystroke."""
     return steps.filter(F.col("step") == F.length("text"))

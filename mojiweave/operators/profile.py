@@ -34,15 +34,15 @@ def scores(words: DataFrame, profile_words: DataFrame) -> DataFrame:
     A word's grams meet the profile in a broadcast join: the profile comes from a few hundred words.
     """
     grams = profile(profile_words)
-    sums = {r["language"]: r for r in totals(grams).collect()}  # two rows
+    below = (F.max(F.when(F.col("language") == k, F.col("total") + SMOOTH * F.col("vocabulary"))).alias(f"below_{k}") for k in ("Japanese", "English"))
+    sums = totals(grams).agg(*below)  # one row
     wide = grams.groupBy("gram").agg(*(F.coalesce(F.sum(F.when(F.col("language") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("Japanese", "English")))
 
     def mean(k: str) -> Column:
-        t = sums[k]
-        return F.avg(F.log((F.coalesce(F.col(k), F.lit(0)) + SMOOTH) / (t["total"] + SMOOTH * t["vocabulary"]))).alias(k.lower())
+        return F.avg(F.log((F.coalesce(F.col(k), F.lit(0)) + SMOOTH) / F.col(f"below_{k}"))).alias(k.lower())
 
     each = words.select("word").distinct().filter(F.length("word") > 0).select("word", F.explode(grams_of(F.col("word"))).alias("gram"))
-    scored = each.join(F.broadcast(wide), "gram", "left").groupBy("word").agg(mean("Japanese"), mean("English"))
+    scored = each.join(F.broadcast(wide), "gram", "left").crossJoin(F.broadcast(sums)).groupBy("word").agg(mean("Japanese"), mean("English"))
     return words.join(scored, "word", "left").withColumns({k: F.coalesce(k, F.lit(NO_LETTERS)) for k in ("japanese", "english")})
 
 

@@ -132,6 +132,10 @@ LATTICE_ORACLES: dict[str, str] = {
         edges(URL_TEXTS),
         """SELECT text, start, "end", raw, output, language, kind, round(score, 6) AS local_score, ev AS evidence, row_number() OVER (PARTITION BY text ORDER BY start, "end" - start DESC, round(score, 6) DESC, kind, output) AS place FROM edges""",
     ),
+    "ranked_edges": with_all(
+        edges(URL_TEXTS),
+        """SELECT text, start, "end", output, kind, round(score, 6) AS local_score, row_number() OVER (PARTITION BY text, start ORDER BY "end" - start DESC, round(score, 6) DESC, output, kind) AS rank FROM edges""",
+    ),
     "lattice_best_path": with_all([*edges(WORD_TEXTS), *beam(False)], "SELECT text, round(score, 9) AS score, seg AS segmentation, out AS output, expanded FROM finals JOIN work USING (text) WHERE rank = 1"),
     "lattice_top_paths": with_all(
         [*edges(PHRASES), *beam(False)],

@@ -486,7 +486,7 @@ def phonetic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def phonetic_session_results(spark, sf_dir):
     s = phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir)))
-    return s.select("text", "output", "committed_raw_length", "hard_committed_raw_length", "total_analyzed")
+    return s.select("text", "output", *map(_long, ("committed_raw_length", "hard_committed_raw_length", "total_analyzed")))
 
 
 @query
@@ -501,22 +501,25 @@ def gap_resolution(spark, sf_dir):
 
 @query
 def freeze_transitions(spark, sf_dir):
-    return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "freeze_transitions")
+    return _rounded(phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "freeze_transitions"), "step", "start", "end")
 
 
 @query
 def ripple_events(spark, sf_dir):
-    return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "ripple_events")
+    e = phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "ripple_events")
+    return _rounded(e, "step", "source_start", "source_end", "affected_start", "affected_end")
 
 
 @query
 def thaw_events(spark, sf_dir):
-    return phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "thaw_events")
+    e = phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "thaw_events")
+    return _rounded(e.withColumn("raw_segments", F.array_join("raw_segments", "|")), "step", "start", "end")
 
 
 @query
 def phonetic_segments(spark, sf_dir):
-    return phonetic_sessions.events(phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir))), "segments")
+    e = phonetic_sessions.events(phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir))), "segments")
+    return _rounded(e, "step", "start", "end")
 
 
 @query
@@ -553,6 +556,19 @@ def candidate_edges(spark, sf_dir):
     return e.select("text", _long("start"), _long("end"), "raw", "output", "language", "kind", F.round(F.round("local_score", 9), 6).alias("local_score"), "evidence", _long("place"))
 
 
+@query
+def ranked_edges(spark, sf_dir):
+    """The report of edges: those of each place, longest and best first."""
+    e = candidate_edges(spark, sf_dir)
+    return export.ranked_edges(e).select("text", "start", "end", "output", "kind", "local_score", _long("rank"))
+
+
+@query
+def uncovered_units(spark, sf_dir):
+    """Phonetic units that lie in no Latin segment of certainty: what may shake a session's neighbourhood."""
+    return phonetic_sessions.uncovered(phonetic_texts(spark, sf_dir)).select("text", _long("start"), _long("end"), "preview", "kind")
+
+
 @query
 def unknown_edges(spark, sf_dir):
     """Characters at which nothing else starts; the words of documents have no symbols, so entries and spans decide."""

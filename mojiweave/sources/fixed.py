@@ -30,91 +30,91 @@ a あ i い u う e え o お
 """
 # --- fixed values: dictionary (raw, output, weight, evidence), in order of declaration ---
 JAPANESE_TEXT = """
-kyou 今日 6.2 lexeme
-kore これ 5.8 lexeme
-nihongo 日本語 6.2 lexeme
-watashi 私 6.0 lexeme
-watasi 私 5.9 romaji-alias
-gakusei 学生 6.0 lexeme
-ashita 明日 6.0 lexeme
-asita 明日 5.9 romaji-alias
-ame 雨 5.4 lexeme
-samui 寒い 5.6 lexeme
-benkyou 勉強 6.0 lexeme
-tomodachi 友達 6.0 lexeme
-tomodati 友達 5.9 romaji-alias
-kaisha 会社 5.9 lexeme
-kaisya 会社 5.8 romaji-alias
-anime アニメ 5.4 lexeme
-sushi すし 5.4 lexeme
-susi すし 5.3 romaji-alias
-tomato トマト 5.2 lexeme
-miru みる 5.3 lexeme
-tsukau 使う 5.5 lexeme
-tukau 使う 5.4 romaji-alias
-okuru 送る 5.5 lexeme
-tateru たてる 5.4 lexeme
-tateta たてた 5.4 lexeme
-kakunin 確認 5.8 lexeme
-seido 精度 6.0 lexeme
-sugoku すごく 5.8 lexeme
-ii いい 5.3 lexeme
-kanji 感じ 5.9 lexeme
-kannzi 感じ 5.8 romaji-alias
-natta なった 5.8 verb
-konna こんな 5.7 lexeme
-konnna こんな 5.6 romaji-alias
-kamo かも 5.4 auxiliary
-gamenn 画面 5.9 romaji-alias
-gamen 画面 5.8 lexeme
-menndou 面倒 5.7 romaji-alias
-mendou 面倒 5.8 lexeme
-datta だった 5.6 auxiliary
-kou こう 5.3 lexeme
-motikosu 持ち越す 5.6 romaji-alias
-noyatsu のやつ 5.8 phrase
-noyatu のやつ 5.7 romaji-alias
-noyatsudayo のやつだよ 6.3 phrase
-noyatudayo のやつだよ 6.2 romaji-alias
-nado など 5.3 lexeme
-desu です 5.5 auxiliary
-dayo だよ 5.3 auxiliary
-ima 今 5.6 lexeme
-ikimasu 行きます 5.7 verb
-taberu 食べる 5.5 verb
-asobu 遊ぶ 5.5 verb
-simasita しました 6.5 verb-suffix
-simashita しました 6.5 verb-suffix
-shimasita しました 6.5 verb-suffix
-shimashita しました 6.5 verb-suffix
-simasu します 6.1 verb-suffix
-shimasu します 6.1 verb-suffix
-suru する 6.1 verb-suffix
-sita した 5.9 verb-suffix
-shita した 5.9 verb-suffix
-site して 5.8 verb-suffix
-shite して 5.8 verb-suffix
-shitai したい 5.9 verb-suffix
-sitai したい 5.8 romaji-alias
-sareta された 6.0 verb-suffix
-kunakatta くなかった 5.8 verb-suffix
-sityatta しちゃった 6.1 romaji-alias
-shichatta しちゃった 6.1 verb-suffix
-ha は 5.7 particle
-wa は 5.3 particle
-ga が 5.5 particle
-wo を 5.7 particle
-o を 4.5 particle
-ni に 5.5 particle
-de で 5.5 particle
-to と 5.3 particle
-mo も 5.3 particle
-he へ 5.0 particle
-no の 5.5 particle
-kara から 5.4 particle
-made まで 5.4 particle
-yori より 5.4 particle
-yo よ 5.1 particle
+kyou 今日 6.2 japanese-lexeme
+kore これ 5.8 japanese-lexeme
+nihongo 日本語 6.2 japanese-lexeme
+watashi 私 6.0 japanese-lexeme
+watasi 私 5.9 japanese-romaji-alias
+gakusei 学生 6.0 japanese-lexeme
+ashita 明日 6.0 japanese-lexeme
+asita 明日 5.9 japanese-romaji-alias
+ame 雨 5.4 japanese-lexeme
+samui 寒い 5.6 japanese-lexeme
+benkyou 勉強 6.0 japanese-lexeme
+tomodachi 友達 6.0 japanese-lexeme
+tomodati 友達 5.9 japanese-romaji-alias
+kaisha 会社 5.9 japanese-lexeme
+kaisya 会社 5.8 japanese-romaji-alias
+anime アニメ 5.4 japanese-lexeme
+sushi すし 5.4 japanese-lexeme
+susi すし 5.3 japanese-romaji-alias
+tomato トマト 5.2 japanese-lexeme
+miru みる 5.3 japanese-lexeme
+tsukau 使う 5.5 japanese-lexeme
+tukau 使う 5.4 japanese-romaji-alias
+okuru 送る 5.5 japanese-lexeme
+tateru たてる 5.4 japanese-lexeme
+tateta たてた 5.4 japanese-lexeme
+kakunin 確認 5.8 japanese-lexeme
+seido 精度 6.0 japanese-lexeme
+sugoku すごく 5.8 japanese-lexeme
+ii いい 5.3 japanese-lexeme
+kanji 感じ 5.9 japanese-lexeme
+kannzi 感じ 5.8 japanese-romaji-alias
+natta なった 5.8 japanese-verb
+konna こんな 5.7 japanese-lexeme
+konnna こんな 5.6 japanese-romaji-alias
+kamo かも 5.4 japanese-auxiliary
+gamenn 画面 5.9 japanese-romaji-alias
+gamen 画面 5.8 japanese-lexeme
+menndou 面倒 5.7 japanese-romaji-alias
+mendou 面倒 5.8 japanese-lexeme
+datta だった 5.6 japanese-auxiliary
+kou こう 5.3 japanese-lexeme
+motikosu 持ち越す 5.6 japanese-romaji-alias
+noyatsu のやつ 5.8 japanese-phrase
+noyatu のやつ 5.7 japanese-romaji-alias
+noyatsudayo のやつだよ 6.3 japanese-phrase
+noyatudayo のやつだよ 6.2 japanese-romaji-alias
+nado など 5.3 japanese-lexeme
+desu です 5.5 japanese-auxiliary
+dayo だよ 5.3 japanese-auxiliary
+ima 今 5.6 japanese-lexeme
+ikimasu 行きます 5.7 japanese-verb
+taberu 食べる 5.5 japanese-verb
+asobu 遊ぶ 5.5 japanese-verb
+simasita しました 6.5 japanese-verb-suffix
+simashita しました 6.5 japanese-verb-suffix
+shimasita しました 6.5 japanese-verb-suffix
+shimashita しました 6.5 japanese-verb-suffix
+simasu します 6.1 japanese-verb-suffix
+shimasu します 6.1 japanese-verb-suffix
+suru する 6.1 japanese-verb-suffix
+sita した 5.9 japanese-verb-suffix
+shita した 5.9 japanese-verb-suffix
+site して 5.8 japanese-verb-suffix
+shite して 5.8 japanese-verb-suffix
+shitai したい 5.9 japanese-verb-suffix
+sitai したい 5.8 japanese-romaji-alias
+sareta された 6.0 japanese-verb-suffix
+kunakatta くなかった 5.8 japanese-verb-suffix
+sityatta しちゃった 6.1 japanese-romaji-alias
+shichatta しちゃった 6.1 japanese-verb-suffix
+ha は 5.7 japanese-particle
+wa は 5.3 japanese-particle
+ga が 5.5 japanese-particle
+wo を 5.7 japanese-particle
+o を 4.5 japanese-particle
+ni に 5.5 japanese-particle
+de で 5.5 japanese-particle
+to と 5.3 japanese-particle
+mo も 5.3 japanese-particle
+he へ 5.0 japanese-particle
+no の 5.5 japanese-particle
+kara から 5.4 japanese-particle
+made まで 5.4 japanese-particle
+yori より 5.4 japanese-particle
+yo よ 5.1 japanese-particle
 """
 ENGLISH_TEXT = """
 commit 6.8 issue 6.6 reflect 6.5 invite 6.4 github 7.0 linux 6.7 kernel 6.6 build 6.4
@@ -177,7 +177,7 @@ def _entries() -> list[Entry]:
     rows = []
     for line in JAPANESE_TEXT.strip().splitlines():
         raw, output, weight, kind = line.split()
-        rows.append((raw, output, "Japanese", float(weight), f"japanese-{kind}"))
+        rows.append((raw, output, "Japanese", float(weight), kind))
     rows += [(raw, raw, "English", float(weight), "english-lexeme") for raw, weight in _pairs(ENGLISH_TEXT)]
     rows.sort(key=lambda r: (-len(r[0]), -r[3]))
     return [Entry(*r, i) for i, r in enumerate(rows)]

@@ -29,6 +29,6 @@ def profile_words(spark: SparkSession) -> DataFrame:
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct ASCII words of all documents, lower-cased."""
+    """The distinct runs of ASCII letters of all documents, lower-cased: what a keyboard of letters can type. A word with an accent gives the runs on either side of it."""
     text = normalize(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
