@@ -30,8 +30,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
 CACHE_WORDS = 600_000
-#: Pieces in a hash bucket of one length, on average, at most.
-BUCKET_ROWS = 1_000
+#: A length's pieces are dealt into BUCKETS of this many on average at least; what goes beyond fills them up to BUCKET_MOST before there are more.
+BUCKET_ROWS, BUCKET_MOST, BUCKETS = 250, 100_000, 4096
 
 # --- fixed values: how the vocabulary that WordEncoder knows cuts texts into words, as its file says ---
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -198,6 +198,11 @@ def best_two_fit(counts, capacity: int):
     return segments, bins
 
 
+def bucket_count(n: int) -> int:
+    """Into how many buckets n pieces of one length are dealt."""
+    return 1 + n // max(BUCKET_ROWS, min(BUCKET_MOST, n // BUCKETS))
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with doc_id, piece, length, ids_crc32) with sequence_id and offset added. pieces must be a written table."""
     histogram = pieces.groupBy("length").count().collect()  # at most `capacity` rows
@@ -205,7 +210,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in histogram:
         counts[r["length"]] = r["count"]
     segments, _ = best_two_fit(counts, capacity)
-    dealt = pieces.sparkSession.createDataFrame([(r["length"], 1 + r["count"] // BUCKET_ROWS) for r in histogram], "length int, _buckets long")  # at most `capacity` rows
+    dealt = pieces.sparkSession.createDataFrame([(r["length"], bucket_count(r["count"])) for r in histogram], "length int, _buckets long")  # at most `capacity` rows
     rows = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_buckets")).drop("_buckets")
     per = rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -136,6 +136,12 @@ def test_other_vocabularies_take_the_whole_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_buckets_grow_with_a_length():
+    for n in (1, 10**3, 10**6, 10**9, 10**12):
+        k = packing.bucket_count(n)
+        assert n / k <= packing.BUCKET_MOST and (k <= packing.BUCKETS + 1 or n / k >= packing.BUCKET_MOST * 0.9)
+
+
 def test_a_hot_length_is_dealt_over_buckets(docs_of, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
     rows = packing.pack_documents(docs_of(["same words"] * 90 + ["two more words here"] * 9), capacity=16).collect()
