@@ -180,24 +180,35 @@ class Window:
         self._entries: list[list[Edge]] = []
         self._spans: list[list[Edge]] = []
         self._tokens: dict[int, list[Edge]] = {}  # by binding symbol
+        self._edges: list[list[Edge]] = []
         self._ready: list[list[Edge]] = []
+        self._binder = -1  # the last binding symbol
         self._work: list[int] = []
         # a path is (score, its last edge, the path before it), at the place where it ends, in order of arrival
         self._arriving: list[list] = [[(0.0, None, None)]]
         for c in text:
             self._grow(c)
+        self._settle(range(len(text)))
         self._read(0)
 
     def add(self, c: str) -> None:
-        self._read(self._grow(c))
+        changed = self._grow(c)
+        self._settle(changed)
+        self._read(min(changed))
 
-    def _grow(self, c: str) -> int:
-        """The edges of one more character; the first place whose edges are not what they were."""
+    def _settle(self, places) -> None:
+        for s in places:
+            self._edges[s] = self._at(s)
+            self._ready[s] = sorted(self._edges[s], key=lambda e: -e.score)
+
+    def _grow(self, c: str) -> set[int]:
+        """The edges of one more character; the places whose edges are not what they were."""
         at = len(self.text)
         self.text += c
         n, text, changed = at + 1, self.text, {at}
         self._entries.append([])
         self._spans.append([])
+        self._edges.append([])
         self._ready.append([])
         self._work.append(0)
         self._arriving.append([])
@@ -216,19 +227,19 @@ class Window:
         low = max(0, n - R.SIZES[0] - self.p.latin_side - 2)
         while low and text[low - 1] == "+":
             low -= 1
-        for k in range(low, n):
+        if c in R.BINDERS:
+            self._binder = at
+        for k in range(low, self._binder + 1):
             if text[k] in R.BINDERS:
                 before, now = self._tokens.get(k, []), binder_edges(text, k, self.p)
                 if before != now:
                     self._tokens[k] = now
                     changed |= {e.start for e in set(before) ^ set(now)}
-        for s in changed:
-            self._ready[s] = sorted(self._at(s), key=lambda e: -e.score)
-        return min(changed)
+        return changed
 
     def _at(self, s: int) -> list[Edge]:
         """The edges that start at a place, of equal ones the first of the best; longest first, then best."""
-        found = [e for k in range(s + 1, min(len(self.text), s + self.p.latin_side + 1)) for e in self._tokens.get(k, ()) if e.start == s]
+        found = [e for k in range(s + 1, min(self._binder + 1, s + self.p.latin_side + 1)) for e in self._tokens.get(k, ()) if e.start == s]
         c = self.text[s]
         if c not in R.WORD:
             found.append(_plain(s, c))
@@ -236,11 +247,13 @@ class Window:
             found += own
         elif not found:
             found.append(_unknown(s, c))
-        best: dict[tuple, Edge] = {}
-        for e in found:
-            if e.key not in best or e.score > best[e.key].score:
-                best[e.key] = e
-        return sorted(best.values(), key=lambda e: (-(e.end - e.start), -e.score))
+        if self._tokens and len(found) > 1:  # a token may be found from each of its symbols
+            best: dict[tuple, Edge] = {}
+            for e in found:
+                if e.key not in best or e.score > best[e.key].score:
+                    best[e.key] = e
+            found = list(best.values())
+        return sorted(found, key=lambda e: (-(e.end - e.start), -e.score))
 
     def _read(self, first: int) -> None:
         """Paths anew from the place `first` on."""
@@ -265,8 +278,7 @@ class Window:
         return sorted(self._arriving[-1], key=lambda s: -s[0])[: self.p.beam] if self.text else []
 
     def decoded(self) -> Decoded:
-        edges = [e for s in range(len(self.text)) for e in self._at(s)]
-        return Decoded(edges, [Path(s[0], _walk(s)) for s in self.finals()], self.expanded)
+        return Decoded([e for edges in self._edges for e in edges], [Path(s[0], _walk(s)) for s in self.finals()], self.expanded)
 
 
 def decode(text: str, p: LatticeParameters) -> Decoded:
