@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from mojiweave.operators import consensus, lattice, orthography, phonetic_sessions, quality
+from mojiweave.operators import consensus, lattice, orthography, phonetic_sessions, quality, reports
 from mojiweave.plans import lattice as L
 from mojiweave.plans import phonetic_first as P
 from mojiweave.sources import export
@@ -168,10 +168,24 @@ def test_documents(spark, tmp_path):
     rows = lattice.session_frames(spark.createDataFrame([("kyouha",)], "text string"), nested=True).filter("step = 6")
     made = export.as_document(rows, "lattice", "v", lattice.parameter_row(LatticeParameters()), "text")
     body = json.loads(made.first()["json"])
-    assert {"format", "algorithmVersion", "parameters", "topPaths", "candidateEdges", "commitEvents"} <= set(body)
+    assert {"formatVersion", "algorithmVersion", "parameters", "topPaths", "candidateEdges", "commitEvents"} <= set(body)
     assert body["parameters"]["scoreWindow"] == 4.0 and body["topPaths"][0]["edges"][0]["localScore"] > 0
-    export.write_documents(made, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out"), wholetext=True).count() >= 1
+    export.write_documents(made.unionByName(made), str(tmp_path / "out"))
+    back = export.read_documents(spark, str(tmp_path / "out")).collect()
+    assert [(r.input, r.output, r.parameters.beam) for r in back] == [("kyouha", "今日は", 16)] * 2
+
+
+def test_reports_hold_the_whole_session(spark):
+    texts = spark.createDataFrame([("kyouhacommitsimasita",)], "text string")
+    at = F.lit("2026-01-01").cast("timestamp")
+    lattice_doc, phonetic_doc = (json.loads(r(texts, at=at).first()["json"]) for r in (reports.lattice_report, reports.phonetic_report))
+    consensus_doc = json.loads(reports.consensus_report(texts, lexicon(spark), at=at).first()["json"])
+    for doc in (lattice_doc, phonetic_doc, consensus_doc):
+        assert doc["generatedAtUtc"].startswith("2026-01-01T") and len(doc["frames"]) == 20 and doc["input"] == "kyouhacommitsimasita"
+    for doc, active in ((lattice_doc, "activeBestSegments"), (phonetic_doc, "activeSegments")):
+        assert "".join(x["output"] for x in doc["committedSegments"] + doc[active]) == doc["output"] == "今日はcommitしました"
+    assert "".join(x["converted"] for x in consensus_doc["finalSegments"]) == consensus_doc["converted"]
+    assert len(consensus_doc["finalBoundaries"]) == 20
 
 
 def test_lattice_edges_agree_with_the_decoder(spark):
