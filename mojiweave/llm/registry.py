@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from mojiweave.llm.chat import op1_chat
 from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
+from mojiweave.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from mojiweave.llm.line_dedup import op5_line_dedup
+from mojiweave.llm.mixing import OP13_SQL, op13_mixing
 from mojiweave.llm.near_dup import op9_minhash
 from mojiweave.llm.packing import op4_packing
 from mojiweave.llm.quality_knn import op7_quality_knn
@@ -29,9 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_mixing": op13_mixing,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op10_decontamination": OP10_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_mixing": OP13_SQL,
 }
