@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from mojiweave.llm.alignment import op11_alignment
 from mojiweave.llm.chat import op1_chat
 from mojiweave.llm.decontamination import OP10_SQL, op10_decontamination
 from mojiweave.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_mixing": op13_mixing,
     "pipeline": corpus_pipeline.run,
