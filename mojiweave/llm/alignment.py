@@ -318,12 +318,14 @@ def _tables(docs: DataFrame, paths: tuple[str, str], keep: bool) -> tuple[DataFr
     return chunks, links, _counts(chunks, links)
 
 
+@common.scratch("pairs")
 def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """(a, b, n, top): in how many documents an id of A and one of B are linked, and the most for any pair of that id of A."""
     a, b = default_tokenizers()
     return _tables(docs, (path_a or a, path_b or b), False)[2].drop("copies")
 
 
+@common.scratch("chunks", "group_sums")
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, keep_groups: bool = True) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs and, if kept, groups: the text `a1,a2|b1;a3|b2`."""
     a, b = default_tokenizers()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import shutil
 import sys
 import tempfile
@@ -75,11 +76,6 @@ def scratch_paths() -> Iterator[list[str]]:
         _made.remove(paths)
 
 
-def collecting() -> bool:
-    """Whether someone collects the scratch tables that are made now."""
-    return bool(_made)
-
-
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for p in paths:
@@ -88,6 +84,25 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def scratch(*kept: str):
+    """For an operator: its scratch tables go when it returns, but those of the names `kept`, which its lazy result still reads; all go if it fails."""
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def run(*args, **named):
+            names: tuple[str, ...] = ()
+            with scratch_paths() as made:
+                try:
+                    out, names = f(*args, **named), kept
+                finally:
+                    drop_paths(SparkSession.active(), [p for p in made if p.rpartition("/")[2] not in names])
+            return out
+
+        return run
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -224,6 +239,16 @@ def meet(rows: DataFrame, keys: DataFrame, on: list[str], *spread: str) -> DataF
     return some.unionByName(known.filter("not _maybe").join(held.filter("not _maybe").drop("_maybe"), on).drop("_maybe"))
 
 
+def with_few(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the further columns of few (a written table, each key once; no null in a key), null where a row's key is not in it.
+
+    Only rows that pass a filter sized by the number of few meet it in a join: the others are not shuffled.
+    """
+    known = marked(rows, F.xxhash64(*on), few.select(F.xxhash64(*on).alias("h")))
+    rest = known.filter("not _maybe").drop("_maybe").select("*", *(F.lit(None).cast(few.schema[c].dataType).alias(c) for c in few.columns if c not in on))
+    return known.filter("_maybe").drop("_maybe").join(few, on, "left").select(*rest.columns).unionByName(rest)
+
+
 def drop_matching(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
     """The rows of docs whose keys are not among the rows of gone (each once; a written table); null is a value like any other.
 

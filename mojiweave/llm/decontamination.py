@@ -8,7 +8,8 @@ Equal fingerprints are joined, and each hit is extended: the windows around it a
 by word with the item's. Items shorter than a window are looked up by all grams of their length.
 
 The benchmark's fingerprints are broadcast only if a count of them is under BROADCAST_ROWS;
-otherwise both joins shuffle, and what is shuffled is the few words around a fingerprint.
+otherwise both joins shuffle, and what is shuffled is the few words around a fingerprint; the row that
+each document has of its own, whatever it holds, takes no part in them.
 
 Defined cases: a null or wordless text has n_words 0 and no hit; an item without words has no
 window; a null item_id counts its hits but is not listed; rows that repeat a doc_id are judged one
@@ -85,6 +86,7 @@ def _item_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]
     return common.materialize(fps.select("n", "fp").distinct(), "item_fps"), common.materialize(windows, "item_windows"), short
 
 
+@common.scratch("item_fps", "item_windows")
 def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans array<struct<start, length>> (words, from 0) and items (ids of the items that occur)."""
     fps, windows, short = _item_tables(benchmark)
@@ -92,8 +94,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROAD
     hint = F.broadcast if small else (lambda x: x)
     # rows are told apart by what they hold, not by a number, which would change if a task ran again elsewhere
     docs = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"), "doc_id", words_of(F.col("text")).alias("words"))
+    counts = docs.select("dig", "doc_id", F.size("words").alias("n_words"))
     whole = F.array(F.struct(F.lit(-1).alias("n"), F.lit(None).cast("bigint").alias("fp"), F.lit(None).cast("int").alias("at")))  # one row for each document
-    keys = fingerprints(docs, short).select("dig", "doc_id", "words", F.inline_outer(F.concat("fps", whole)))
+    held = F.concat("fps", whole) if small else F.col("fps")
+    keys = fingerprints(docs, short).select("dig", "doc_id", "words", F.inline_outer(held))
 
     def around(rows: DataFrame, *more: str) -> DataFrame:
         first = F.when(F.col("n") == 0, F.greatest(F.col("at") - (W - 1), F.lit(0))).otherwise(F.col("at"))
@@ -107,10 +111,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROAD
     if small:
         found = around(keys.join(fps, ["n", "fp"], "left").filter(wanted))
     else:
-        found = around(keys, "n", "fp").join(fps, ["n", "fp"], "left").filter(wanted).drop("n", "fp", "_known")
+        found = around(keys.filter("fp is not null"), "n", "fp").join(fps, ["n", "fp"]).drop("n", "fp", "_known", "n_words")
     each = found.withColumn("start", F.explode_outer(F.when(F.col("first").isNotNull(), F.sequence("first", "last"))))
     each = each.withColumn("window", F.array_join(F.slice("near", F.col("start") - F.col("first") + 1, F.col("m")), " ")).drop("near", "first", "last")
-    hits = each.join(hint(windows), ["m", "window"], "left").filter(F.col("items").isNotNull() | F.col("n_words").isNotNull())
+    if small:
+        hits = each.join(hint(windows), ["m", "window"], "left").filter(F.col("items").isNotNull() | F.col("n_words").isNotNull())
+    else:
+        hits = each.join(windows, ["m", "window"]).unionByName(counts, allowMissingColumns=True)
     span = F.when(F.col("items").isNotNull(), F.struct("start", F.col("m").alias("length")))
     return (
         hits.groupBy("dig", "doc_id")
@@ -120,6 +127,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROAD
     )
 
 
+@common.scratch("contaminated")
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold any window of the benchmark; all rows of such a doc_id go."""
     bad = find_hits(docs, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct()

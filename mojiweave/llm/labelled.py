@@ -15,8 +15,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """(doc_id, text, y) of at most `most` labelled documents, those with the least hash of doc_id among the usable ones.
 
     A doc_id that is labelled more than once counts as 1 if any of its labels is; of rows that repeat a
-    doc_id each text is taken. The join broadcasts no more than `most` small rows.
+    doc_id the text with the least digest is taken, picked before the shuffle too, so the sample has no more than
+    `most` rows however often a doc_id stands there. The join broadcasts no more than `most` small rows.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(usable)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("dig"), "text")).alias("x")
+    return rows.groupBy("doc_id", "y").agg(first).select("doc_id", "x.text", "y")

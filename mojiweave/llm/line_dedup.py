@@ -1,8 +1,8 @@
 """Line deduplication with an edit bound of one character, by a deletion-neighbourhood join.
 
 A line (lower-cased, runs of white space as one space) goes if an earlier line, in the order
-(doc_id, text digest, line number), is within the edit bound of it. The bound is a rule of the
-line's length: nothing below MIN_CHARS characters, so equal lines go whatever their length, and from
+(doc_id, text digest, line number), is within the edit bound of it. The bound is a tenth of the
+line's length, one at most: nothing below MIN_CHARS characters, so equal lines go whatever their length, and from
 there on one character inserted, deleted or replaced, which in a shorter line often makes another
 word. Every occurrence of a line that goes for a near line goes.
 
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from mojiweave.llm import common
 
 #: Least length of two lines that are compared for one edit, and of lines that go as exact repeats.
-MIN_CHARS, EXACT_CHARS = 20, 1
+MIN_CHARS, EXACT_CHARS = 10, 1
 #: Share of a document's characters that must be left by drop_repeated_lines() for it to stay.
 LEAST_LEFT = (1, 2)
 #: What normal() takes as white space.
 _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-_CLASS, _BLOCKS, _PARTS = 16, 4, 8
+_CLASS, _BLOCKS, _PARTS = 8, 4, 8
 
 
 def normal(line: str) -> str:
@@ -294,14 +294,15 @@ def removed_lines(keyed: DataFrame, min_chars: int, exact_chars: int) -> DataFra
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set("no").alias("gone"))
 
 
+@common.scratch("gone_lines")
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with the remaining lines as text, and n_lines, n_removed (of the text as it was) and n_removed_chars (without white space).
 
     min_chars: of lines compared for one edit; exact_chars: of exact repeats.
     """
     keyed = common.keyed(docs)
-    gone = removed_lines(keyed, min_chars, exact_chars)
-    joined = keyed.join(gone, ["_doc", "_dig"], "left").select("row", "gone")
+    gone = common.materialize(removed_lines(keyed, min_chars, exact_chars), "gone_lines")
+    joined = common.with_few(keyed, gone, ["_doc", "_dig"]).select("row", "gone")
     own = ("n_lines", "n_removed", "n_removed_chars")
     out = [c for c in docs.columns if c not in own]
 

@@ -147,12 +147,14 @@ def _sized(docs: DataFrame, id_: Column) -> DataFrame:
     return docs.select(id_.alias("id"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"))
 
 
+@common.scratch("queued")
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, most_repeats: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target (of its source) and taken, the words that the mix takes of it."""
     plan = _plan(_sized(docs, F.lit(0)), weights, share, most_repeats, seed)
     return plan.select("doc_id", "size", "source_size", "target", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"))
 
 
+@common.scratch("queued", "numbered")
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, most_repeats: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of docs that are taken, once for each copy, with mix_copy and mix_time (its virtual finish time), sorted by it; the copy in which the budget ends has its first words only."""
     rows = common.packed(docs, F.monotonically_increasing_id().alias("_id"))
@@ -162,7 +164,8 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int,
     copies = plan.select("id", "size", "rank", "cum", "source_size", "target", F.posexplode("takes").alias("mix_copy", "_taken")).filter("_taken > 0")
     tokens = F.col("cum") + F.col("mix_copy") * F.col("source_size")
     copies = copies.select(F.col("id").alias("_id"), "size", "rank", "mix_copy", "_taken", (tokens.cast("double") / F.col("target")).alias("mix_time"))
-    head = F.regexp_extract(F.col("row.text"), F.concat(F.lit(r"^(?:[ \t-\r]*[^ \t-\r]+){"), F.col("_taken").cast("string"), F.lit("}")), 0)
+    # each piece is a word with the white space before it
+    head = F.array_join(F.slice(F.split(F.col("row.text"), r"(?<=[^ \t-\r])(?=[ \t-\r])"), F.lit(1), F.col("_taken").cast("int")), "")
     own = [c for c in docs.columns if c not in ("mix_copy", "mix_time")]
     shown = [(F.when(F.col("_taken") < F.col("size"), head).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in own]
     return copies.join(rows, "_id").repartitionByRange("mix_time", "rank").sortWithinPartitions("mix_time", "rank").select(*shown, "mix_copy", "mix_time")

@@ -16,14 +16,15 @@ buckets. Then, without ever listing the pairs of a bucket:
    A bucket of more than WIDE blocks is first dealt out again: its nodes go to sub-buckets by bands of
    FINE other coordinates each, as many as it takes for a pair just similar enough to share one but
    with NO_BAND at most, so nodes that have only a template in common do not all meet. What is
-   still wide after that meets in blocks as above: no pair is left out for a bucket's size.
+   still wide after that meets in blocks as above.
 A link missed: band width and floor follow from the similarity asked for. At 0.85 (bands of 7) two
 sketches share no band with probability 9e-7, at 0.8 (bands of 5) with 2e-9; they fall under the
-sketch's floor with 3e-8 at most.
+sketch's floor with 3e-8 at most. Two nodes that meet in wide buckets only share no fine band with
+NO_BAND at most in each of them.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is kept; fewer than
 SHINGLE words are one shingle; a row with a null doc_id is kept as it is and links with nothing;
-rows that repeat a doc_id are one node that has the links of each; an empty table gives an empty
+rows that repeat a doc_id are one node that has the links of each, whatever their texts, and all have its component; an empty table gives an empty
 result; columns other than doc_id and text are not read.
 """
 
@@ -401,6 +402,18 @@ def _residual_links(docs: DataFrame, buckets: DataFrame, components: DataFrame,
     return _grouped(kept.join(sets, "node").select(*columns, "sketch", "members"), ["key", "i", "j"], second, "a long, b long").distinct()
 
 
+def _links_of_repeated_ids(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """(a, b): links of a doc_id whose rows are of more than one class with the nodes of these classes; rows: (doc_id, n_shingles, sig_a, sig_b), twins: classes of more than one row."""
+    sig = F.struct("sig_a", "sig_b")
+    repeated = rows.groupBy("doc_id").agg(F.min(sig).alias("lo"), F.max(sig).alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo != hi").drop("lo", "hi")
+    repeated = common.materialize(repeated, "repeated_ids")
+    if repeated.isEmpty():
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+    own = common.meet(rows.filter("n_shingles > 0").select("doc_id", "sig_a", "sig_b"), repeated, ["doc_id"], "sig_a", "sig_b").distinct()
+    return own.join(twins, ["sig_a", "sig_b"]).filter("node != doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
+@common.scratch("near_duplicates")
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] = ENOUGH) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs; doc_id must be a whole number and is given as a long."""
     if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -422,17 +435,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int
     best = guess.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
     best = common.materialize(best, "best")
     nodes = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node"))).distinct()
-    links = common.materialize(_verified(best, _sets_of(docs, nodes, size, "sets_1"), enough), "links_1")
+    same = _links_of_repeated_ids(made.filter("doc_id is not null").select("doc_id", "n_shingles", "sig_a", "sig_b"), twins)
+    links = common.materialize(_verified(best, _sets_of(docs, nodes, size, "sets_1"), enough).unionByName(same), "links_1")
     components = common.materialize(connected_components(links), "components_1")
 
     more = common.materialize(_residual_links(docs, buckets, components, sketch, size, enough), "links_2")
     if not more.isEmpty():
         components = connected_components(more.unionByName(components.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     nodes = made.select("doc_id", "n_shingles", "sig_a", "sig_b").join(twins, ["sig_a", "sig_b"], "left")
-    nodes = nodes.withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
-    return nodes.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    nodes = nodes.withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id"))).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
+    out = nodes.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    return common.materialize(out, "near_duplicates")
 
 
+@common.scratch("gone")
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, enough: tuple[int, int] = ENOUGH) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component."""
     gone = near_duplicates(docs, size, enough).filter("component_id != doc_id").select("doc_id").distinct()

@@ -165,6 +165,7 @@ class Voters:
         return np.where(total > 0, good / np.where(total > 0, total, 1), self.prior)
 
 
+@common.scratch()
 def fit(docs: DataFrame, sample: DataFrame) -> Voters:
     """The space and the labelled vectors of a bounded sample; its term rows stay in a written table, the driver gets products."""
     import numpy as np

@@ -186,6 +186,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return _judged(counted, fit(counted), threshold)
 
 
+@common.scratch("rejected")
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, all columns as they were.
 

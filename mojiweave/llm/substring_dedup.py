@@ -7,8 +7,9 @@ spans in each, up to its last sentence. A text that is too short for such a span
 whole, so equal short texts are found too. Spans (lower-cased, runs of white
 space as one space) are hashed and joined globally; sentences covered by a span that is not the
 first of its kind, in the order (doc_id, place), are removed. Sentences end after . ! ? and white
-space, or at a line's end; one of over LONG words also ends after the words whose hash says so,
-so run-on text has comparable pieces too. What is kept stays as it was, character by character.
+space, at a line's end, and after the words whose hash says so, one in CUT_WORDS: where a passage is
+cut inside depends on its own words alone, so it is cut alike amid any other text and in run-on text
+too. What is kept stays as it was, character by character.
 
 Spans that repeat inside a text are found while it is read, so the global step has one row for each
 span and document. Its aggregate keeps the least doc_id of each hash, combined before the shuffle;
@@ -29,38 +30,40 @@ from pyspark.sql import functions as F
 
 from mojiweave.llm import common
 
-MIN_SENTENCES, MIN_WORDS, LONG = 2, 16, 30
+MIN_SENTENCES, MIN_WORDS, CUT_WORDS = 2, 16, 8
+#: Words that a worker remembers.
+CACHE_WORDS = 400_000
+
+
+class _Words(dict):
+    """For a word with the white space after it: (the word in lower case, whether a sentence ends there)."""
+
+    def __missing__(self, token: str) -> tuple[str, bool]:
+        import zlib
+
+        word = token.strip()
+        after, low = token[len(word) :], word.lower()
+        ends = "\n" in after or (after != "" and word[-1] in ".!?") or zlib.crc32(low.encode("utf-8", "surrogatepass")) % CUT_WORDS == 0
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[token] = low, ends
+        return low, ends
 
 
 def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     """Where sentences start, closed by the text's length, and their lower-cased words. Each has a word; text without any has no sentence."""
     import re
-    import zlib
-
-    cut = re.compile(r"[.!?]+[^\S\n]+|[.!?]*\n\s*").finditer
-    starts, words, at = [], [], 0
-    for end in [*(m.end() for m in cut(text)), len(text)]:
-        w = text[at:end].lower().split()
-        if not w:
-            continue  # what has no word goes with the sentence after it, or at the end with the last
-        if len(w) <= LONG:
-            starts.append(at)
-            words.append(w)
-        else:
-            begin, held = at, []
-            for m in re.compile(r"\S+\s*").finditer(text, at, end):
-                held.append(m.group().strip().lower())
-                if zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) % 8 == 0:
-                    starts.append(begin)
-                    words.append(held)
-                    begin, held = m.end(), []
-            if held:
-                starts.append(begin)
-                words.append(held)
-        at = end
-    if starts:
-        starts[0] = 0
-    return [*starts, len(text)], words
+    from itertools import accumulate
+
+    tokens = re.findall(r"\S+\s*", text)
+    if not tokens:
+        return [len(text)], []
+    said = list(map(common.worker_store("sentence_words", _Words).__getitem__, tokens))
+    cuts = [k for k, (_, ends) in enumerate(said, 1) if ends]
+    if not cuts or cuts[-1] != len(tokens):
+        cuts.append(len(tokens))
+    at, low = list(accumulate(map(len, tokens), initial=len(text) - sum(map(len, tokens)))), [w for w, _ in said]
+    return [0, *(at[k] for k in cuts)], [low[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 def spans(words: list[list[str]], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
@@ -122,7 +125,7 @@ def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFram
                     row, at, size, digests, again = [], [], [], [], []
             yield made(batch, row, at, size, digests, again)
 
-    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, f"doc {common.doc_type(keyed)}, dig long, at int, size int, h1 long, h2 int, again boolean")
+    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, f"doc {common.doc_type(keyed)}, dig long, at int, size int, h1 long, h2 int, again boolean", "sentence_words")
 
 
 def _picked(table: DataFrame, bits) -> DataFrame:
@@ -150,10 +153,12 @@ def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))
 
 
+@common.scratch("gone_spans")
 def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the sentences that stay as text, and n_sentences and n_removed (of the text as it was)."""
     keyed = common.keyed(docs)
-    joined = keyed.join(covered(keyed, min_sentences, min_words), ["_doc", "_dig"], "left").select("row", "gone")
+    gone = common.materialize(covered(keyed, min_sentences, min_words), "gone_spans")
+    joined = common.with_few(keyed, gone, ["_doc", "_dig"]).select("row", "gone")
     own = ("n_sentences", "n_removed")
     out = [c for c in docs.columns if c not in own]
 
@@ -175,7 +180,7 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
             columns["text"] = pa.array(texts, columns["text"].type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*out, *own])
 
-    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_sentences long, n_removed long")
+    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_sentences long, n_removed long", "sentence_words")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from mojiweave.llm import common
 from mojiweave.llm.labelled import labelled_sample, remainder
 
 MOST_LABELLED = 20_000
-#: Terms of a lexicon, at most, and letters of a prefix.
-MOST_TERMS, PREFIX = 3000, 4
+#: Letters of a prefix.
+PREFIX = 4
 LEAST_DOCS, LEAST_ODDS = 3, 1.5
 FOLDS = 5
 NEAR = 4
@@ -41,11 +41,10 @@ FEATURES = ("word_density", "word_hits", "word_most", "prefix_density", "prefix_
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with their log-odds; dropped: how many more were strong enough, beyond MOST_TERMS of a kind."""
+    """Words and words' first letters with their log-odds."""
 
     words: dict[str, float]
     prefixes: dict[str, float]
-    dropped: int = 0
 
 
 def _words(text: str) -> list[str]:
@@ -104,7 +103,8 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     """From rows (text, y, fold): for each fold the lexicon of the other folds, and at last that of all.
 
     Per term and fold the documents of either kind are counted; a term's weight is its log-odds of
-    standing in a toxic document. Only the strongest terms reach the driver.
+    standing in a toxic document. All terms that are strong enough reach the driver: the sample bounds
+    them, as each stands in LEAST_DOCS of its toxic documents at least.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -131,16 +131,13 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     total, out = terms.filter("term = 'n'").first(), []
     for k in range(FOLDS + 1):
         found: dict[str, dict[str, float]] = {"w": {}, "p": {}}
-        held: list[int] = []
         if total is not None and total[f"bad{k}"] and total[f"good{k}"]:
             bad, good = F.col(f"bad{k}"), F.col(f"good{k}")
             odds = F.log((bad + 0.1) / (total[f"bad{k}"] + 0.2)) - F.log((good + 0.5) / (total[f"good{k}"] + 1.0))
             strong = terms.filter((F.col("term") != "n") & (bad >= LEAST_DOCS)).select("term", odds.alias("odds"), bad.alias("bad")).filter(F.col("odds") >= LEAST_ODDS)
-            for kind, into in found.items():
-                top = strong.filter(F.col("term").startswith(kind)).orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(MOST_TERMS)
-                into.update((r["term"][1:], float(r["odds"])) for r in top.collect())
-            held += [strong.count() - sum(map(len, found.values()))] if k == FOLDS else []
-        out.append(Lexicon(found["w"], found["p"], sum(held)))
+            for r in strong.select("term", "odds").toLocalIterator():
+                found[r["term"][0]][r["term"][1:]] = float(r["odds"])
+        out.append(Lexicon(found["w"], found["p"]))
     return out
 
 
@@ -251,17 +248,18 @@ class Model:
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
+@common.scratch()
 def fit(sample: DataFrame) -> Model:
     """From labelled rows (doc_id, text, y); the driver gets the lexicons and the features of a bounded sample."""
     import numpy as np
 
     rows = common.materialize(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS))), "labelled")
-    lexicons = learn_lexicons(rows)
+    lexicons = sample.sparkSession.sparkContext.broadcast(learn_lexicons(rows))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        terms = [Terms(x) for x in lexicons]
+        terms = [Terms(x) for x in lexicons.value]
         for batch in batches:
             x = np.asarray([features(t.as_py(), terms[k.as_py()]) for t, k in zip(batch.column("text"), batch.column("fold"), strict=True)], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(FEATURES)))], ["fold", "y", *FEATURES])
@@ -271,19 +269,19 @@ def fit(sample: DataFrame) -> Model:
     x, y, fold = got[list(FEATURES)].to_numpy(), got["y"].to_numpy().astype(float), got["fold"].to_numpy()
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < prior < 1:
-        return Model(lexicons[-1], None, prior=prior)
+        return Model(lexicons.value[-1], None, prior=prior)
     margin = np.zeros(len(y))
     for k in range(FOLDS):
         own = fold == k
         if own.any() and not own.all():
             margin[own] = Boosted().fit(x[~own], y[~own]).margin(x[own])
-    return Model(lexicons[-1], Boosted().fit(x, y), *isotonic(margin, y), prior=prior)
+    return Model(lexicons.value[-1], Boosted().fit(x, y), *isotonic(margin, y), prior=prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    known = spark.sparkContext.broadcast(model)  # two bounded lexicons and a fixed number of trees
+    known = spark.sparkContext.broadcast(model)  # two lexicons of a bounded sample and a fixed number of trees
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

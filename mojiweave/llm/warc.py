@@ -315,6 +315,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
     return common.map_arrow(pages.select("page_id", "url"), run, "entry string").distinct()
 
 
+@common.scratch()
 def archive(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> list[tuple[bytes, str]]:
     """Writes archives (folder/warc) and index (folder/index) of pages; the index's shards."""
     return build_index(write_archives(pages, folder + "/warc", min_bytes), folder + "/index")

@@ -179,3 +179,13 @@ def test_features_are_those_of_a_plain_count():
     for _ in range(300):
         text = rng.choice([" ", "\n", ", "]).join(rng.choice(words) for _ in range(rng.randrange(25)))
         assert np.allclose(toxicity.features(text, terms), plain_features(text, lexicon)), text
+
+
+def test_a_doc_id_on_very_many_rows_is_one_labelled_row(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (2, "b"), (3, None), (4, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (9, 1), (4, None), (None, 1)], "doc_id long, toxic int")
+    rows = sorted(map(tuple, labelled_sample(docs, labels, "toxic", F.lit(True), 100).collect()))
+    assert [(d, y) for d, _, y in rows] == [(1, 1), (2, 0), (3, 1)] and [t for _, t, _ in rows][1:] == ["b", ""]
+    again = labelled_sample(docs.repartition(5), labels, "toxic", F.lit(True), 100)
+    assert sorted(map(tuple, again.collect())) == rows
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 2).count() == 2

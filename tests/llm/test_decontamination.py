@@ -72,3 +72,12 @@ def test_no_python_in_the_plan(spark, docs_of, capsys):
     D.find_hits(docs_of(["a b"]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).explain("simple")
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_documents_meet_no_fingerprint_as_such_on_the_shuffle_path(spark, docs_of):
+    """The joins of the shuffle path are inner joins: no row of a document without a fingerprint takes part."""
+    docs, items = docs_of([" ".join(f"w{k}" for k in range(30)), None, "", "one two"]), spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(5, 18)))], "item_id long, text string")
+    out = D.find_hits(docs, items, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and plan.count("Join Inner") >= 2
+    assert sorted((r.doc_id, r.n_words, len(r.spans)) for r in out.collect()) == [(0, 30, 4), (1, 0, 0), (2, 0, 0), (3, 2, 0)]

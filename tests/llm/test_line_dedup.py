@@ -18,7 +18,7 @@ def distance_one(a, b):
     return a[p + 1 :] == b[p + 1 :] if len(a) == len(b) else a[p:] == b[p + 1 :]
 
 
-def brute(docs, least=20):
+def brute(docs, least=D.MIN_CHARS):
     """docs: (key, text) in order -> key -> remaining text."""
     first, lines = {}, []
     for k, (_, t) in enumerate(docs):
@@ -33,11 +33,11 @@ def brute(docs, least=20):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet="ab", min_size=20, max_size=90), st.integers(0, 10**6), st.sampled_from("sid"), st.sampled_from("abc"))
+@given(st.text(alphabet="ab", min_size=D.MIN_CHARS, max_size=90), st.integers(0, 10**6), st.sampled_from("sid"), st.sampled_from("abc"))
 def test_one_edit_always_shares_a_coarse_and_a_middle_key(a, at, how, c):
     at %= len(a) + (how == "i")
     b = a[:at] + {"s": c + a[at + 1 :], "i": c + a[at:], "d": a[at + 1 :]}[how]
-    if a == b or len(b) < 20:
+    if a == b or len(b) < D.MIN_CHARS:
         return
 
     def coarse(x):
@@ -63,7 +63,7 @@ def test_one_edit_always_shares_a_coarse_and_a_middle_key(a, at, how, c):
 @pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(docs_of, seed):
     rng = random.Random(seed)
-    base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(15, 70))).strip() for _ in range(25)]
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(5, 70))).strip() for _ in range(25)]
 
     def variant():
         x = rng.choice(base)
@@ -73,7 +73,7 @@ def test_against_brute_force(docs_of, seed):
         return x
 
     texts = ["\n".join(variant() for _ in range(rng.randrange(6))) for _ in range(60)] + [None, ""]
-    got = {r.doc_id: r.text for r in D.dedup_lines(docs_of(texts), exact_chars=20).collect()}
+    got = {r.doc_id: r.text for r in D.dedup_lines(docs_of(texts), exact_chars=D.MIN_CHARS).collect()}
     assert [got[i] for i in range(len(texts))] == brute(list(enumerate(texts)))
 
 
@@ -98,13 +98,13 @@ def test_emptied_documents_go(docs_of):
 
 
 def brute_exact(texts):
-    """The lines left if those of 20 characters or more go by brute() and shorter ones with a word as exact repeats."""
+    """The lines left if those of MIN_CHARS characters or more go by brute() and shorter ones with a word as exact repeats."""
     seen, out = set(), []
     for t, left in zip(texts, brute(list(enumerate(texts))), strict=True):
         lines = []
         for x in (left or "").split("\n"):
             n = D.normal(x)
-            if len(n) >= 20 or not n or n not in seen:
+            if len(n) >= D.MIN_CHARS or not n or n not in seen:
                 lines.append(x)
             seen.add(n)
         out.append(None if t is None else "\n".join(lines))

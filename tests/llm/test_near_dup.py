@@ -73,6 +73,36 @@ def test_a_template_that_all_texts_share(docs_of, monkeypatch):
     assert [found[i] for i in range(len(texts))] == brute(texts)[0]
 
 
+@pytest.mark.parametrize("block,wide", [(512, 64), (8, 0)])
+def test_rows_that_repeat_a_doc_id(spark, monkeypatch, block, wide):
+    """All rows of a doc_id have the component of all its links."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "WIDE", wide)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rng = random.Random(21)
+    a, b, c = (family(rng, 80, 4, 1) for _ in range(3))
+    rows = [(3, a[0]), (5, a[0]), (5, b[0]), (9, b[0]), (11, a[1]), (12, b[1]), (12, ""), (13, c[0]), (13, None), (14, c[1]), (20, c[2]), (20, a[2]), (21, "alone"), (21, "alone"), (22, "x"), (22, "y")]
+    for k in range(30):  # an id with many texts of its own
+        rows += [(40, f"text {k} of one id"), (50 + k, f"text {k} of one id")]
+    rng.shuffle(rows)
+    components, _ = brute([t for _, t in rows])
+    top = {d: d for d, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for k, (d, _) in enumerate(rows):
+        x, y = find(d), find(rows[components[k]][0])
+        top[max(x, y)] = min(x, y)
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, find(d)) for d, _ in rows)
+    assert find(9) == 3 == find(14) and find(79) == 40
+    kept = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {d for d, _ in rows if find(d) == d}
+
+
 def test_kinds_of_ids(docs_of):
     docs = docs_of(["a b c d e f"] * 2)
     assert {r.component_id for r in N.near_duplicates(docs.withColumn("doc_id", docs["doc_id"].cast("int"))).collect()} == {0}

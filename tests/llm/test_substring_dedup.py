@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,11 +22,28 @@ def sentence(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n)).capitalize() + "."
 
 
+def own_sentences(text):
+    """Words and where they end, word by word, by the rule as it is stated."""
+    starts, words, held = [], [], []
+    for m in re.finditer(r"\S+\s*", text):
+        if not held:
+            starts.append(m.start() if words else 0)
+        word = m.group().rstrip()
+        held.append(word.lower())
+        after = m.group()[len(word) :]
+        if "\n" in after or (after and word[-1] in ".!?") or zlib.crc32(word.lower().encode()) % 8 == 0:
+            words.append(held)
+            held = []
+    if held:
+        words.append(held)
+    return [*starts, len(text)], words
+
+
 def brute(texts):
     """Which sentences go, from all spans of all texts in order."""
     seen, gone = {}, [set() for _ in texts]
     for k, t in enumerate(texts):
-        words = S.sentences(t or "")[1]
+        words = own_sentences(t or "")[1]
         n = len(words)
 
         def enough(i, j):
@@ -51,7 +70,7 @@ def test_against_brute_force(docs_of):
     texts += [None, "", "no end at all " * 30, "no end at all " * 30, "Two words. And more.", "Two words. And more.", "One.", "Two words. And more. Yes.", "One."]
     got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
     for k, (t, gone) in enumerate(zip(texts, brute(texts), strict=True)):
-        starts, words = S.sentences(t or "")
+        starts, words = own_sentences(t or "")
         kept = "".join(t[starts[i] : starts[i + 1]] for i in range(len(words)) if i not in gone) if gone else t
         assert (got[k].text, got[k].n_removed, got[k].n_sentences) == (kept, len(gone), len(words))
     assert sum(r.n_removed > 0 for r in got.values()) > 10
@@ -66,6 +85,19 @@ def test_passage_of_fifty_words_is_found_amid_other_text(docs_of):
     assert [rows[i].n_removed for i in (0, *range(6, 12))] == [0] * 7
 
 
+def test_a_passage_pasted_into_run_on_text_is_cut_as_in_its_first_place(docs_of):
+    rng = random.Random(16)
+    texts, inner = [], []
+    for _ in range(60):
+        passage = " ".join(sentence(rng, 28 + k) for k in range(2))
+        texts += [passage, " ".join([sentence(rng, 20)[:-1], passage[:-1], sentence(rng, 20)])]
+        inner.append(len(passage))
+    got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
+    lost = [len(texts[k]) - len(got[k].text) for k in range(1, len(texts), 2)]
+    assert all(got[k].n_removed == 0 for k in range(0, len(texts), 2))
+    assert sum(x > n // 2 for x, n in zip(lost, inner, strict=True)) >= 57 and all(x <= n for x, n in zip(lost, inner, strict=True))
+
+
 def test_odd_rows(odd_docs, docs_of):
     out = S.remove_repeats(odd_docs)
     rows = out.collect()
@@ -82,7 +114,7 @@ def test_short_equal_texts_and_a_very_common_span(docs_of, monkeypatch):
     texts = [f"{x}\n{passage}" for x in own] + ["Short text. Said twice."] * 2
     got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
     assert got[0].n_removed == 0 and all(got[k].text == f"{own[k]}\n" for k in range(1, 30))
-    assert got[30].n_removed == 0 and (got[31].n_removed, got[31].text) == (2, "")
+    assert got[30].n_removed == 0 and got[31].n_removed >= 2 and got[31].text == ""
 
 
 def test_the_last_sentence_of_a_passage_goes_too(docs_of):
@@ -90,7 +122,7 @@ def test_the_last_sentence_of_a_passage_goes_too(docs_of):
     passage = " ".join(sentence(rng, n) for n in (9, 9, 9, 5))
     texts = [passage + " " + sentence(rng, 20), sentence(rng, 20) + " " + passage + " " + sentence(rng, 18)]
     got = {r.doc_id: r for r in S.remove_repeats(docs_of(texts)).collect()}
-    assert got[0].n_removed == 0 and got[1].n_removed == 4
+    assert got[0].n_removed == 0 and passage not in got[1].text and passage.split()[-1] not in got[1].text.split()
 
 
 def test_query(spark):
