@@ -10,7 +10,6 @@ Nulls, empty and long texts, repeated rows and empty tables: as each operator de
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,46 +25,25 @@ from mojiweave.llm.quality_rules import keep_good
 #: Jaccard similarity of five-word shingles from which documents are near duplicates here.
 SIMILAR = (80, 100)
 
-#: Scratch tables of the last stage, by thread and folder of tables.
-_scratch: dict[tuple[int, str], list[str]] = {}
-
-
-def _stage(spark: SparkSession, docs: DataFrame, sf_dir: str, work: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's result. What the stage before kept as scratch goes, unless docs still reads it: its result was written meanwhile."""
-    if common.collecting():
-        return work()
-    key = threading.get_ident(), sf_dir
-    before = _scratch.pop(key, [])
-    folders = [p.rpartition("/")[0].partition("://")[2] or p for p in before]
-    if before and any(f in name for name in docs.inputFiles() for f in folders):
-        made = before
-    else:
-        common.drop_paths(spark, before)
-        made = []
-    with common.scratch_paths() as new:
-        out = work()
-    _scratch[key] = made + new
-    return out
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, docs, sf_dir, lambda: keep_good(docs))
+    return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, docs, sf_dir, lambda: drop_repeated_lines(docs))
+    return drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, docs, sf_dir, lambda: drop_near_duplicates(docs, enough=SIMILAR))
+    return drop_near_duplicates(docs, enough=SIMILAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, docs, sf_dir, lambda: drop_contaminated(docs, common.table(spark, sf_dir, "benchmark")))
+    return drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _stage(spark, docs, sf_dir, lambda: pack_documents(docs).withColumn("length", F.col("length").cast("long")))
+    return pack_documents(docs).withColumn("length", F.col("length").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
