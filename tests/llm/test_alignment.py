@@ -69,11 +69,10 @@ ODD = [
 
 def test_odd_texts_against_brute_force(spark, tokenizers, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
-    monkeypatch.setattr(M, "CHUNK", 500)
     rng = random.Random(5)
     texts = ODD + ["".join(rng.choice(["a", "b", " ", "  ", "\n", "é", "日", "1", "'s", ".", "▁" if rng.random() < 0.02 else "z", "THE ", " of"]) for _ in range(rng.randrange(60))) for _ in range(150)]
     rows = [*enumerate(texts), (3, "a dup"), (3, "a dup"), (None, "no id")]
-    got = M.align(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = M.align(spark.createDataFrame(rows, "doc_id long, text string"), chunk_chars=500).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, tokenizers)))
 
 
@@ -92,12 +91,28 @@ def test_query_and_counts(spark, tokenizers):
 
 
 def test_segments_are_remembered_within_bounds(tokenizers, monkeypatch):
-    monkeypatch.setattr(M, "CACHE_SEGMENTS", 5)
+    monkeypatch.setattr(M, "CACHE_CHARS", 5)
     align = M.Aligner(*M.default_tokenizers())
     for text in ("a b c d e f g h i", "one two three four five six seven", "a b one two " * 3, "x" * 100 + " y z"):
-        groups = ";".join(e[3] for e in align(text))
-        assert groups == brute([(0, text)], tokenizers)[0][-1]
-        assert len(align._known) <= 9
+        align.ready()
+        assert not align._known and not align.names
+        for _ in range(2):
+            assert align([text])[0][3] == brute([(0, text)], tokenizers)[0][-1]
+
+
+def test_the_faster_encoder_gives_the_ids_of_the_tokenizer(tokenizers):
+    """Every way to cut the vocabulary's own words, and random ones: what is learned together is what a whole text gives."""
+    align, rng = M.Aligner(*M.default_tokenizers()), random.Random(12)
+    assert align._ranks is not None
+    signs = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x250)] if chr(c) not in "×÷"]
+    own = [x.decode() for x in align.bytes_a[:50256] if x.isascii() and align._plain(x.decode())]
+    words = own + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 12))) for _ in range(8000)] + [rng.choice(own) + rng.choice(own) for _ in range(20000)] + [c * n for c in "a=-.0é" for n in range(1, 90)]
+    for k in range(0, len(words), 3000):
+        part = words[k : k + 3000]
+        found = align([" ".join(part)])[0]
+        a = tokenizers[0].encode(" " + " ".join(part), add_special_tokens=False).ids
+        assert [int(x) for g in found[3].split(";") for x in g.split("|")[0].split(",")] == a
+        assert [int(x) for g in found[3].split(";") for x in g.split("|")[1].split(",")] == tokenizers[1].encode(" ".join(part))
 
 
 def test_empty_and_odd_tables(odd_docs, docs_of):
