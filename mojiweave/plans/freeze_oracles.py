@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mojiweave.plans.lattice_oracles import PHRASES, with_all
+from mojiweave.plans.lattice_oracles import PHRASES, SINCE_EDIT, with_all
 from mojiweave.plans.oracles import _units
 from mojiweave.plans.phonetic_first import PhoneticParameters
 from mojiweave.plans.phonetic_oracles import TEXTS, segments
@@ -135,8 +135,26 @@ def session(typed: str, select: str) -> str:
     return with_all([f"typed AS ({typed})", *segments(stretches), *READS], select)
 
 
+def _keystrokes(events: str) -> str:
+    """What users' events come to, read as one session each. Nothing after a first space is ever frozen, and what
+    is odd reaches six characters far: the first three events settle what is frozen, and each later one reads as it does after a space.
+    """
+    rows = f"(SELECT user_id, event_type || ' ' AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {events})"
+    typed = f"SELECT DISTINCT string_agg(t, '' ORDER BY k) AS text FROM {rows} WHERE k <= 3 GROUP BY user_id UNION SELECT DISTINCT ' ' || event_type || ' ' FROM events"
+    later = f"(SELECT substr(text, 2) AS t, {_SAID.format('segs[2:]')} AS said FROM readings)"
+    return session(
+        typed,
+        f"""SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(coalesce(frames, 0) AS BIGINT) AS frames, coalesce(list_max(list_transform(list_filter(committed, lambda c: c.st = 'H'), lambda c: c.e)), 0) AS committed_raw_length,
+       coalesce({_SAID.format('committed')} || {_SAID.format('active')}, '') || coalesce(more, '') AS output
+FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT user_id, string_agg(t, '' ORDER BY k) FILTER (WHERE k <= 3) AS text, sum(length(t)) AS frames, string_agg(said, '' ORDER BY k) FILTER (WHERE k > 3) AS more
+  FROM {rows} JOIN {later} USING (t) GROUP BY user_id) e USING (user_id) LEFT JOIN session s ON s.text = e.text AND s.step = length(e.text)""",
+    )
+
+
 _SAID = "array_to_string(list_transform({}, lambda c: c.out), '')"
 FREEZE_ORACLES: dict[str, str] = {
+    "phonetic_keystrokes": _keystrokes("events"),
+    "stream_phonetic_sessions": _keystrokes(SINCE_EDIT),
     "phonetic_session_results": session(
         TEXTS,
         f"SELECT text, {_SAID.format('committed')} || {_SAID.format('active')} AS output, base AS committed_raw_length, coalesce(list_max(list_transform(list_filter(committed, lambda c: c.st = 'H'), lambda c: c.e)), 0) AS hard_committed_raw_length, total AS total_analyzed FROM session WHERE step = length(text) AND step > 0",

@@ -124,6 +124,9 @@ def session(typed: str, select: str, *more: str) -> str:
 
 
 _EVENTS = "SELECT DISTINCT event_type || ' ' AS text FROM events"
+#: The events that count after the last edit of a user that replaces the input: a purchase by its own text, an error by nothing; a signup adds nothing.
+SINCE_EDIT = """(SELECT * FROM (SELECT *, count(*) FILTER (WHERE event_type IN ('purchase', 'error')) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM events)
+  WHERE coalesce(later, 0) = 0 AND event_type NOT IN ('error', 'signup'))"""
 _LAST = "(SELECT * FROM session WHERE step = length(text))"
 _HASH = "CAST('0x' || substr(md5(concat_ws(chr(31), step, output, committed_output)), 1, 15) AS BIGINT)"
 
@@ -173,4 +176,9 @@ stable AS consensus_stable_frames, said || s.shown AS output, work AS expanded_e
         f"""SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(sum(length(e.text)) AS BIGINT) AS frames, CAST(sum(length(e.text)) AS BIGINT) AS committed_raw_length, string_agg(said || l.shown, '' ORDER BY ts, event_id) AS output, CAST(sum(total) AS BIGINT) AS total_expanded_edges
 FROM (SELECT *, event_type || ' ' AS text FROM events) e JOIN {_LAST} l ON l.text = e.text GROUP BY user_id""",
     ),
+    "stream_sessions": session(
+        _EVENTS,
+        f"""SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(coalesce(sum(length(e.text)), 0) AS BIGINT) AS frames, CAST(coalesce(sum(length(e.text)), 0) AS BIGINT) AS committed_raw_length, coalesce(string_agg(said || l.shown, '' ORDER BY ts, event_id), '') AS output, CAST(coalesce(sum(total), 0) AS BIGINT) AS total_expanded_edges
+FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT *, event_type || ' ' AS text FROM {SINCE_EDIT}) e USING (user_id) LEFT JOIN {_LAST} l ON l.text = e.text GROUP BY user_id""",
+    ),
 }

@@ -2,12 +2,20 @@
 
 What is frozen softly can thaw when something odd turns up nearby; what is frozen hard cannot. The
 functions are pure; the session's state is its committed segments, its input and a counter.
+
+A text is read in pieces, each up to and with a symbol that breaks words: no entry, token, kana or
+gap goes across one, so a piece's reading depends on its own characters alone, on whether the active part begins with it
+and, for what is odd in it, on whether enough characters follow. A keystroke therefore reads the
+last piece anew, and of the others only those near the place up to which the input is frozen.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 from mojiweave.operators.orthography import evidence as symbols_of
@@ -58,7 +66,7 @@ def _is(e, *, japanese: bool = True, weight: float = 0.0, size: int = 1) -> bool
 
 
 def _ends_strong(text: str, at: int) -> bool:
-    return any(_is(e, weight=5.2) and s + len(e.raw) == at for s in range(at) for e in R.entries_at(text, s))
+    return any(_is(e, weight=5.2) and s + len(e.raw) == at for s in range(max(0, at - R.SIZES[0]), at) for e in R.entries_at(text, s))
 
 
 def _starts_strong(text: str, at: int) -> bool:
@@ -75,8 +83,8 @@ class Anchor(NamedTuple):
     kind: str  # orthographic, contextual or anomaly
 
 
-def anchors(text: str, marks: list[tuple], p: PhoneticParameters) -> list[Anchor]:
-    """Latin words and tokens that do not overlap: tokens first, then by score and length."""
+def anchors(text: str, marks: list[tuple], p: PhoneticParameters, first: bool = True) -> list[Anchor]:
+    """Latin words and tokens that do not overlap: tokens first, then by score and length. first: whether text begins what is read."""
     found = [Anchor(a, b, raw, 9.0 + 0.05 * len(raw), 0.0, "orthographic") for a, b, raw, kind, _, complete, _ in marks if kind == "LatinBindingToken" and complete]
     for at in range(len(text)):
         for e in R.entries_at(text, at):
@@ -87,7 +95,7 @@ def anchors(text: str, marks: list[tuple], p: PhoneticParameters) -> list[Anchor
             rescued = False
             if len(e.raw) >= 5:
                 left, right = _ends_strong(text, at), _starts_strong(text, end)
-                rescued = left and (right or end == len(text)) or at == 0 and right
+                rescued = left and (right or end == len(text)) or first and at == 0 and right
             odd = reads <= p.english_anomaly
             if odd or rescued:
                 lexical = max(0.0, min(1.0, (e.weight - 3.5) / 3.5))
@@ -148,22 +156,62 @@ def fill(text: str, at: int, end: int, p: PhoneticParameters) -> list[Segment]:
     return out
 
 
-def resolve(text: str, p: PhoneticParameters) -> tuple[list[Segment], list[tuple]]:
-    """The segments of a text and its symbol evidence."""
+def _resolve_piece(text: str, p: PhoneticParameters, first: bool) -> tuple[list[Segment], list[tuple]]:
     marks, out, at = symbols_of(text), [], 0
-    for a in anchors(text, marks, p):
+    for a in anchors(text, marks, p, first):
         out += fill(text, at, a.start, p)
         out.append(_anchored(a))
         at = a.end
     return out + fill(text, at, len(text), p), marks
 
 
-def oddities(text: str, segments: list[Segment], marks: list[tuple], base: int, p: PhoneticParameters) -> list[Ripple]:
-    """What may shake its neighbourhood, in global places; the strongest of each place and kind."""
-    n, found = len(text), []
+def pieces_of(text: str) -> Iterator[tuple[int, str]]:
+    """(start, piece) of a text cut after each symbol that breaks words."""
+    at = 0
+    for i, c in enumerate(text):
+        if c in R.BREAKS:
+            yield at, text[at : i + 1]
+            at = i + 1
+    if at < len(text):
+        yield at, text[at:]
+
+
+def resolve(text: str, p: PhoneticParameters) -> tuple[list[Segment], list[tuple]]:
+    """The segments of a text and its symbol evidence."""
+    segments, marks = [], []
+    for at, piece in pieces_of(text):
+        r = read_piece(piece, at == 0, 0, p)
+        segments += [s._replace(start=at + s.start, end=at + s.end) for s in r.segments]
+        marks += [(at + a, at + b, *rest) for a, b, *rest in r.marks]
+    return segments, marks
+
+
+class Reading(NamedTuple):
+    """What a piece reads as, in its own places."""
+
+    segments: tuple[Segment, ...]
+    marks: tuple[tuple, ...]
+    odd: tuple[Ripple, ...]
+    output: str
+
+
+@lru_cache(maxsize=100_000)
+def read_piece(text: str, first: bool, rest: int, p: PhoneticParameters) -> Reading:
+    """A piece that begins what is read (or not) and is followed by at least `rest` more characters."""
+    segments, marks = _resolve_piece(text, p, first)
+    return Reading(tuple(segments), tuple(marks), tuple(oddities(text, segments, marks, rest, p)), "".join(s.output for s in segments))
+
+
+#: Kinds of oddities, in the order in which they are listed.
+ODD = ("PendingPhonetic", "InteriorAmbiguity", "UnknownSegment", "LowConfidenceSegment", "IncompleteBindingToken")
+
+
+def oddities(text: str, segments: list[Segment], marks: list[tuple], rest: int, p: PhoneticParameters) -> list[Ripple]:
+    """What may shake its neighbourhood; the strongest of each place and kind. rest: characters that follow."""
+    n, found = len(text) + rest, []
 
     def add(start: int, end: int, kind: str, strength: float, why: str) -> None:
-        found.append(Ripple(base + start, base + end, kind, strength, (base, base + n), why))
+        found.append(Ripple(start, end, kind, strength, (0, 0), why))
 
     latin = [s for s in segments if s.language == "English" and s.confidence >= 0.90]
     for a, b, _, kind, _ in R.units(text):
@@ -217,17 +265,40 @@ class Step(NamedTuple):
     transitions: list[tuple[int, int, str, str, str, str]]
 
 
+class Change(NamedTuple):
+    """What one keystroke changed: of the output before, `kept` characters stay, and `shown` follows them."""
+
+    step: int
+    hard_raw_length: int
+    kept: int
+    shown: str
+    analyzed: int
+    total_analyzed: int
+
+
 @dataclass
 class PhoneticSession:
+    """steps() makes whole frames; keys() only what a keystroke changed, and does not look at what it cannot have changed."""
+
     p: PhoneticParameters = field(default_factory=PhoneticParameters)
     input: str = ""
     committed: list[Segment] = field(default_factory=list)
     total: int = 0
 
+    def __post_init__(self):
+        self.cuts = [i + 1 for i, c in enumerate(self.input) if c in R.BREAKS]
+        self.n_hard = sum(s.state == HARD for s in self.committed)  # hard segments come before soft ones
+        self._sums = list(accumulate(len(s.output) for s in self.committed))
+        self._place()
+
     def update(self, text: str) -> list[Step]:
         """The steps of the characters that text adds; of all of them, marked rebuilt, if it does not continue the input."""
         return list(self.steps(text))
 
+    def restart(self) -> None:
+        self.input, self.committed, self.total = "", [], 0
+        self.__post_init__()
+
     def steps(self, text: str) -> Iterator[Step]:
         """The same, one by one."""
         text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
@@ -235,7 +306,7 @@ class PhoneticSession:
             raise ValueError(f"not allowed: {bad[0]!r}")
         again = not text.startswith(self.input)
         if again:
-            self.input, self.committed, self.total = "", [], 0
+            self.restart()
         for c in text[len(self.input) :]:
             yield self._step(c, again)
 
@@ -243,17 +314,38 @@ class PhoneticSession:
     def done(self) -> int:
         return self.committed[-1].end if self.committed else 0
 
+    @property
+    def hard(self) -> int:
+        return self.committed[self.n_hard - 1].end if self.n_hard else 0
+
+    def _pieces(self, base: int) -> Iterator[tuple[int, Reading]]:
+        """(place after base, reading) of the pieces of the input from base on."""
+        n, at, k = len(self.input), base, bisect_right(self.cuts, base)
+        while at < n:
+            end = self.cuts[k] if k < len(self.cuts) else n
+            yield at - base, read_piece(self.input[at:end], at == base, min(n - end, self.p.lookahead), self.p)
+            at, k = end, k + 1
+
+    def _odd(self, base: int, within: int | None = None) -> list[Ripple]:
+        """Oddities from base on in global places, of pieces that begin within so many characters; by kind, then place."""
+        found, n = [], len(self.input)
+        for at, r in self._pieces(base):
+            if within is not None and at > within:
+                break
+            found += [o._replace(start=base + at + o.start, end=base + at + o.end, affected=(base, n)) for o in r.odd]
+        return sorted(found, key=lambda r: max(1, ODD.index(r.kind)))
+
     def _soft_tail(self) -> int | None:
-        """Index of the first of the last soft segments; None if there is none or something hard follows."""
-        soft = [i for i, s in enumerate(self.committed) if s.state == SOFT][-self.p.segment_radius :]
-        return soft[0] if soft and all(s.state != HARD for s in self.committed[soft[0] :]) else None
+        """Index of the first of the last soft segments; None if there is none."""
+        return max(self.n_hard, len(self.committed) - self.p.segment_radius) if len(self.committed) > self.n_hard else None
 
-    def _thaw(self, why: list[Ripple]) -> bool:
+    def _thaw(self, kinds: list[str]) -> bool:
         first = self._soft_tail()
         if first is None:
             return False
-        gone, self.committed = self.committed[first:], self.committed[:first]
-        reason = "+".join(dict.fromkeys(r.kind for r in why))
+        gone = self.committed[first:]
+        del self.committed[first:]
+        reason = "+".join(dict.fromkeys(kinds))
         self._thaws.append((gone[0].start, gone[-1].end, [s.raw for s in gone], reason))
         self._moves += [(s.start, s.end, s.raw, SOFT, ACTIVE, f"context-ripple:{reason}") for s in gone]
         return True
@@ -269,70 +361,127 @@ class PhoneticSession:
         if crossing:
             best = max(crossing, key=lambda s: s.confidence)
             if best.language != "Unknown" and best.confidence >= self.p.freeze:
-                r = Ripple(boundary, boundary, "CrossBoundaryReinterpretation", 1.0, (start, end), f"{best.reason}:{best.raw}")
-                self._ripples.append(r)
-                self._thaw([r])
-
-    def _harden(self, which, why: str) -> None:
-        for i, s in enumerate(self.committed):
-            if s.state == SOFT and which(s):
-                self.committed[i] = s._replace(state=HARD)
-                self._moves.append((s.start, s.end, s.raw, SOFT, HARD, why))
-
-    def _read(self):
-        base = self.done
-        text = self.input[base:]
-        segments, marks = resolve(text, self.p)
-        self._work += len(text)
-        return base, text, segments, marks, oddities(text, segments, marks, base, self.p)
-
-    def _shaken(self, segments: list[Segment], odd: list[Ripple], base: int) -> list[Segment]:
-        out = []
-        for s in segments:
-            a, b, penalty = base + s.start, base + s.end, 0.0
-            for r in odd:
-                d = apart(a, b, r.start, r.end)
-                if d <= self.p.radius:
-                    penalty = max(penalty, min(0.70, r.strength * self.p.decay**d))
-                    self._ripples.append(r._replace(affected=(a, b), reason=f"{r.reason};distance={d}"))
-            if penalty > 0 and s.reason != "stage2-orthographic-latin-token":
-                s = s._replace(confidence=s.confidence * (1.0 - penalty), penalty=penalty)
-            out.append(s)
-        return out
-
-    def _firm(self, text: str, segments: list[Segment], odd: list[Ripple], base: int) -> list[Segment]:
-        """The leading segments that can be frozen."""
-        out = []
-        near = [r for r in odd if r.strength >= self.p.trigger]
-        for i, s in enumerate(segments):
-            if len(text) - s.end < self.p.lookahead:
-                break
-            if s.reason == "stage2-phonetic-fallback" and i + 1 < len(segments) and segments[i + 1].reason.startswith("stage2-japanese-"):
-                s = s._replace(confidence=max(s.confidence, 0.88))
-            if s.confidence < self.p.freeze or s.language == "Unknown" or any(apart(base + s.start, base + s.end, r.start, r.end) <= self.p.radius for r in near):
+                self._ripples.append(Ripple(boundary, boundary, "CrossBoundaryReinterpretation", 1.0, (start, end), f"{best.reason}:{best.raw}"))
+                self._thaw(["CrossBoundaryReinterpretation"])
+
+    def _harden(self, least: int, why: str) -> None:
+        """The soft segments that at least so many characters follow turn hard."""
+        while self.n_hard < len(self.committed) and len(self.input) - (s := self.committed[self.n_hard]).end >= least:
+            self.committed[self.n_hard] = s._replace(state=HARD)
+            self._moves.append((s.start, s.end, s.raw, SOFT, HARD, why))
+            self.n_hard += 1
+
+    def _penalty(self, a: int, b: int, odd: list[Ripple]) -> float:
+        return max((min(0.70, r.strength * self.p.decay**d) for r in odd if (d := apart(a, b, r.start, r.end)) <= self.p.radius), default=0.0)
+
+    def _shaken(self, s: Segment, odd: list[Ripple]) -> Segment:
+        penalty = self._penalty(s.start, s.end, odd)
+        if penalty > 0 and s.reason != "stage2-orthographic-latin-token":
+            s = s._replace(confidence=s.confidence * (1.0 - penalty), penalty=penalty)
+        return s
+
+    def _segments(self, base: int) -> Iterator[Segment]:
+        for at, r in self._pieces(base):
+            yield from (s._replace(start=base + at + s.start, end=base + at + s.end) for s in r.segments)
+
+    def _firm(self, base: int) -> list[Segment]:
+        """The leading segments that can be frozen; reads no further than it has to."""
+        out, n, rest = [], len(self.input), self._segments(base)
+        s = next(rest, None)
+        while s is not None and n - s.end >= self.p.lookahead:
+            following = next(rest, None)
+            odd = self._odd(base, s.end - base + self.p.radius)
+            own = self._shaken(s, odd)
+            if s.reason == "stage2-phonetic-fallback" and following is not None and following.reason.startswith("stage2-japanese-"):
+                own = own._replace(confidence=max(own.confidence, 0.88))
+            if own.confidence < self.p.freeze or s.language == "Unknown" or any(r.strength >= self.p.trigger and apart(s.start, s.end, r.start, r.end) <= self.p.radius for r in odd):
                 break
-            out.append(s._replace(start=base + s.start, end=base + s.end, state=SOFT))
+            out.append(own._replace(state=SOFT))
+            s = following
         return out
 
-    def _step(self, c: str, rebuilt: bool) -> Step:
+    def _key(self, c: str, watch) -> tuple[list[Segment], int]:
+        """Takes one character: what it froze, and the characters read. watch(base) is told each place from which segments are shaken."""
         self.input += c
-        self._thaws, self._moves, self._ripples, self._work = [], [], [], 0
+        if c in R.BREAKS:
+            self.cuts.append(len(self.input))
+        n = len(self.input)
+        self._thaws, self._moves, self._ripples = [], [], []
         self._probe()
-        self._harden(lambda s: len(self.input) - s.end >= self.p.hard_lookahead, "sufficient-lookahead-without-local-contradiction")
-        base, text, segments, marks, odd = self._read()
-        if any(s.state == SOFT for s in self.committed) and any(r.strength >= self.p.trigger and r.start - base <= self.p.radius for r in odd) and self._thaw(odd):
-            base, text, segments, marks, odd = self._read()
-        segments = self._shaken(segments, odd, base)
-        frozen = self._firm(text, segments, odd, base)
-        self.committed += frozen
-        self._moves += [(s.start, s.end, s.raw, ACTIVE, SOFT, "high-confidence-with-lookahead") for s in frozen]
+        self._harden(self.p.hard_lookahead, "sufficient-lookahead-without-local-contradiction")
+        base = self.done
+        work = n - base
+        if self._soft_tail() is not None and any(r.strength >= self.p.trigger and r.start - base <= self.p.radius for r in self._odd(base, self.p.radius)):
+            self._thaw([r.kind for r in self._odd(base)])
+            base = self.done
+            work += n - base
+        watch(base)
+        frozen = self._firm(base)
         if frozen:
-            base, text, segments, marks, odd = self._read()
-            segments = self._shaken(segments, odd, base)
-        if any(m[3] == "HardBoundary" for m in marks):
-            self._harden(lambda s: True, "hard-boundary-observed")
-        self.total += self._work
-        active = [s._replace(start=base + s.start, end=base + s.end) for s in segments]
-        said = "".join(s.output for s in self.committed)
-        hard = max((s.end for s in self.committed if s.state == HARD), default=0)
-        return Step(len(self.input), self.input, self.done, hard, said, text, R.preview(text), active, frozen, said + "".join(s.output for s in active), self._work, self.total, rebuilt, marks, self._ripples, self._thaws, self._moves)
+            self.committed += frozen
+            self._moves += [(s.start, s.end, s.raw, ACTIVE, SOFT, "high-confidence-with-lookahead") for s in frozen]
+            base = self.done
+            work += n - base
+            watch(base)
+        if self.cuts and self.cuts[-1] > base:
+            self._harden(0, "hard-boundary-observed")
+        self.total += work
+        return frozen, work
+
+    def _step(self, c: str, rebuilt: bool) -> Step:
+        active: list[Segment] = []
+
+        def watch(base: int) -> None:
+            odd = self._odd(base)
+            active[:] = [self._shaken(s, odd) for s in self._segments(base)]
+            self._ripples += [r._replace(affected=(s.start, s.end), reason=f"{r.reason};distance={d}") for s in active for r in odd if (d := apart(s.start, s.end, r.start, r.end)) <= self.p.radius]
+
+        frozen, work = self._key(c, watch)
+        base = self.done
+        text, said = self.input[base:], "".join(s.output for s in self.committed)
+        marks = [(at + a, at + b, *rest) for at, r in self._pieces(base) for a, b, *rest in r.marks]
+        return Step(len(self.input), self.input, base, self.hard, said, text, R.preview(text), active, frozen, said + "".join(s.output for s in active), work, self.total, rebuilt, marks, self._ripples, self._thaws, self._moves)
+
+    # --- only what changes ---
+
+    def saved(self) -> list:
+        """What keys() needs to go on: the hard segments are one number of characters."""
+        return [self.input, self.hard, self._sums[self.n_hard - 1] if self.n_hard else 0, [list(s) for s in self.committed[self.n_hard :]], self.total]
+
+    @classmethod
+    def loaded(cls, p: PhoneticParameters, saved: list) -> PhoneticSession:
+        text, hard, chars, soft, total = saved
+        known = [Segment(0, hard, "", "\0" * chars, "", 1.0, "", HARD)] if hard else []
+        return cls(p, text, known + [Segment(*x) for x in soft], total)
+
+    def _place(self) -> str:
+        """Notes where the last piece begins and how much is shown before it; what is shown of the active part."""
+        self._base, self._at, self._before, self._last = self.done, self.done, self._sums[-1] if self._sums else 0, ""
+        out = []
+        for at, r in self._pieces(self._base):
+            out.append(r.output)
+            self._at, self._last = self._base + at, r.output
+        self._before += sum(map(len, out)) - len(self._last)
+        if self.cuts and self.cuts[-1] == len(self.input) > self._at:
+            self._at, self._before, self._last = len(self.input), self._before + len(self._last), ""
+        return "".join(out)
+
+    def keys(self, text: str) -> Iterator[Change]:
+        """The changes that the characters of text make, one for each."""
+        for c in text:
+            low = len(self.committed) if (tail := self._soft_tail()) is None else tail
+            _, work = self._key(c, lambda base: None)
+            if self.done == self._base and not self._thaws:
+                new, n = read_piece(self.input[self._at :], self._at == self._base, 0, self.p).output, 0
+                while n < min(len(new), len(self._last)) and new[n] == self._last[n]:
+                    n += 1
+                kept, shown, self._last = self._before + n, new[n:], new
+                if c in R.BREAKS:
+                    self._at, self._before, self._last = len(self.input), self._before + len(new), ""
+            else:
+                del self._sums[low:]
+                kept = self._sums[-1] if self._sums else 0
+                for s in self.committed[low:]:
+                    self._sums.append((self._sums[-1] if self._sums else 0) + len(s.output))
+                shown = "".join(s.output for s in self.committed[low:]) + self._place()
+            yield Change(len(self.input), self.hard, kept, shown, work, self.total)

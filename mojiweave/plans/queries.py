@@ -12,7 +12,8 @@ from mojiweave.operators import consensus, dictionary, lattice, oov, orthography
 from mojiweave.sources import export
 from mojiweave.sources.fixed import STUDY_PROBES
 from mojiweave.sources.tables import document_words, kana_table, lexicon, profile_words, table
-from mojiweave.streaming.sessions import PhoneticFirst, decode_batch, results
+from mojiweave.streaming import runs
+from mojiweave.streaming.sessions import Lattice, PhoneticFirst, decode_batch, results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,6 +306,43 @@ def phonetic_keystrokes(spark, sf_dir):
     return r.select("session_id", "frames", _long("committed_raw_length"), "output")
 
 
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same keystrokes as edits: a purchase replaces the whole input by its text, an error by nothing, a signup adds nothing."""
+    kind = keystrokes(spark, sf_dir)
+    text = F.when(F.col("text").isin("error ", "signup "), "").otherwise(F.col("text"))
+    return kind.withColumn("op", F.when(F.col("text").isin("error ", "purchase "), "replace").otherwise("append")).withColumn("text", text)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
+    """The edits of all events as files that arrive in two parts, by the event's value and so out of order, the second with repeats of what
+    came before; the stream stops after the first part and goes on from its checkpoint.
+    """
+    from pyspark.sql import Window
+
+    folder, early = runs.new_folder(spark), F.col("value") < 10
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    values = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.row_number().over(order).cast("long").alias("seq"), "value")
+    keys = edits(spark, sf_dir).join(values, ["session_id", "seq"])
+    runs.deliver(keys.filter(F.coalesce(early, F.lit(False))), folder)
+    runs.catch_up(spark, folder, kind)
+    runs.deliver(keys.filter(~F.coalesce(early, F.lit(False))).unionByName(keys.filter(early).withColumn("op", F.lit("replace")).withColumn("text", F.lit("again"))), folder)
+    return results(runs.catch_up(spark, folder, kind))
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """What a stream of edits with late and repeated keystrokes comes to, stopped and restarted in the middle."""
+    r = _streamed(spark, sf_dir, Lattice())
+    return r.select("session_id", "frames", _long("committed_raw_length"), "output", F.col("total_work").alias("total_expanded_edges"))
+
+
+@query
+def stream_phonetic_sessions(spark, sf_dir):
+    """The same of phonetic-first sessions."""
+    r = _streamed(spark, sf_dir, PhoneticFirst())
+    return r.select("session_id", "frames", _long("committed_raw_length"), "output")
+
+
 @query
 def quarantined_inputs(spark, sf_dir):
     """Addresses with a character that sessions do not take, and which it is."""

@@ -2,15 +2,17 @@
 
 Input: session_id string, seq long, op string ('append' adds text, 'replace' replaces the whole
 input), text string. A session's rows are taken by seq; of rows with one seq the first to arrive
-counts. The state is what the next keystroke needs (input, how far it is committed, the run of the
-consensus or the segments that may thaw) and a log of the keystrokes. A keystroke that arrives
-after later ones is put in its place: the session is read anew from its log, and all its frames are
-emitted again under a new version. Frames are emitted, never kept, and each holds only the text that
-its keystroke committed, so their size does not grow with the session. Characters that are not
-allowed are dropped, as in an editor.
-
-An edit that does not continue the input starts a new version too: the frames of a session's last
-version, in order of step, make up its result (results()).
+counts, of those that arrive together the least by op and text. Characters that are not allowed are dropped, as in an editor.
+
+A frame is a change: of what was shown before, `kept` characters stay, and `shown` follows them, so its
+size does not grow with the session. Frames of step 0 begin a session, or begin it anew after an
+edit that does not continue the input; that starts a new version. A keystroke that arrives after
+later ones is put in its place: the session is read anew from its log, and the frames from
+there on are emitted again under a new version. results() puts frames together.
+
+State: what the next keystroke needs, and a log. The log holds the last `log_keys` keystrokes, twice as
+many at most, and what the session was before them; a keystroke from before the log gets a frame
+of step -1 and changes nothing. With ttl_ms, state that was not touched for so long is forgotten.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,37 +30,58 @@ from mojiweave.plans import phonetic_first as P
 from mojiweave.plans import reading as R
 from mojiweave.sources.fixed import LatticeParameters
 
-OUT = "session_id string, seq long, version int, step int, committed_raw_length int, committed string, active_raw string, shown string, work long, total_work long, rebuilt boolean"
+OUT = "session_id string, seq long, version int, step int, committed_raw_length int, kept int, shown string, work long, total_work long, rebuilt boolean"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
 LOG = "seq long, op string, text string"
+#: Keystrokes of a session that a late one may precede, at least.
+LOG_KEYS = 1000
 
 
 def clean(text: str | None) -> str:
     return "".join(c for c in (text or "").translate({i: i + 32 for i in range(65, 91)}) if c in R.ALLOWED)
 
 
+class _LatticeState:
+    """A lattice session without what it has said, of which only the length counts, and what is shown after that."""
+
+    def __init__(self, session: L.Session, said: int = 0, shown: str = ""):
+        self.session, self.said, self.shown = session, said, shown
+
+    @property
+    def input(self) -> str:
+        return self.session.input
+
+
 class Lattice:
-    """The evidence lattice; committed is the output of what the keystroke committed."""
+    """The evidence lattice."""
 
     def __init__(self, p: LatticeParameters | None = None):
         self.p = p or LatticeParameters()
 
     def start(self):
-        return L.Session(self.p, nested=False)
+        return _LatticeState(L.Session(self.p, nested=False))
 
-    def save(self, s: L.Session) -> list:
-        return [s.input, s.done, s.said, s.signature, s.stable, s.total]
+    def save(self, x: _LatticeState) -> list:
+        s = x.session
+        return [s.input, s.done, s.signature, s.stable, s.total, x.said, x.shown]
 
     def load(self, saved: list):
-        return L.Session(self.p, *saved, nested=False)
+        text, done, signature, stable, total, said, shown = saved
+        return _LatticeState(L.Session(self.p, text, done, "", signature, stable, total, nested=False), said, shown)
 
-    def rows(self, s: L.Session, text: str) -> Iterator[tuple]:
-        for f in s.update(text):
-            yield f.step, f.committed_raw_length, "".join(c[3] for c in f.commits), f.active_raw, f.output[len(f.committed_output) :], f.expanded_edges, f.total_expanded_edges, f.rebuilt
+    def rows(self, x: _LatticeState, text: str) -> Iterator[tuple]:
+        x.session.said = ""
+        for f in x.session.update(x.session.input + text):
+            committed, active = "".join(c[3] for c in f.commits), f.output[len(f.committed_output) :]
+            now, n = committed + active, 0
+            while n < min(len(now), len(x.shown)) and now[n] == x.shown[n]:
+                n += 1
+            yield f.step, f.committed_raw_length, x.said + n, now[n:], f.expanded_edges, f.total_expanded_edges
+            x.said, x.shown = x.said + len(committed), active
 
 
 class PhoneticFirst:
-    """The phonetic-first session; committed is the output of what has been frozen hard since the frame before, shown what may still change."""
+    """The phonetic-first session; committed is what is frozen hard."""
 
     def __init__(self, p: P.PhoneticParameters | None = None):
         self.p = p or P.PhoneticParameters()
@@ -67,73 +90,92 @@ class PhoneticFirst:
         return P.PhoneticSession(self.p)
 
     def save(self, s: P.PhoneticSession) -> list:
-        return [s.input, [list(x) for x in s.committed], s.total]
+        return s.saved()
 
     def load(self, saved: list):
-        return P.PhoneticSession(self.p, saved[0], [P.Segment(*x) for x in saved[1]], saved[2])
+        return P.PhoneticSession.loaded(self.p, saved)
 
     def rows(self, s: P.PhoneticSession, text: str) -> Iterator[tuple]:
-        def hard() -> str:
-            last = max((i for i, x in enumerate(s.committed) if x.state == P.HARD), default=-1)
-            return "".join(x.output for x in s.committed[: last + 1])
+        yield from s.keys(text)
+
 
-        before = hard()
-        if not text.startswith(s.input):
-            before = ""
-        for f in s.steps(text):
-            now = hard()
-            yield f.step, f.hard_raw_length, now[len(before) :], s.input[f.hard_raw_length :], f.output[len(now) :], f.analyzed, f.total_analyzed, f.rebuilt
-            before = now
+def _advance(kind, session, version: int, op: str, text: str):
+    """(session, version, frames without ids) after one row."""
+    text, frames, rebuilt = clean(text), [], False
+    if op == "replace":
+        if text.startswith(session.input):
+            text = text[len(session.input) :]
+        else:
+            session, version, rebuilt = kind.start(), version + 1, True
+            frames.append((0, 0, 0, "", 0, 0, True))
+    frames += [(*f, rebuilt) for f in kind.rows(session, text)]
+    return session, version, frames
 
 
-def _advance(kind, session, version: int, op: str, text: str) -> tuple[int, list[tuple]]:
-    target = clean(text) if op == "replace" else session.input + clean(text)
-    version += not target.startswith(session.input)
-    return version, list(kind.rows(session, target))
+_BEGIN = (0, 0, 0, "", 0, 0, False)
 
 
 class KeystrokeProcessor(StatefulProcessor):
-    def __init__(self, kind):
-        self._kind = kind
+    def __init__(self, kind, log_keys: int, ttl_ms: int | None):
+        self._kind, self._keep, self._ttl = kind, log_keys, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("session", "last long, version int, saved string")
-        self._log = handle.getListState("log", LOG)
+        # base: the session before the log's keystrokes and the seq of the last one in it
+        self._state = handle.getValueState("session", "last long, version int, logged int, base long, before string, saved string", self._ttl)
+        self._log = handle.getListState("log", LOG, self._ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, version, session = -1, 0, self._kind.start()
+        kind, out = self._kind, []
+        last = base = None
+        version = logged = 0
+        session = before = None
         if self._state.exists():
-            last, version, saved = self._state.get()
-            session = self._kind.load(json.loads(saved))
+            last, version, logged, base, before, saved = self._state.get()
+            session = kind.load(json.loads(saved))
         new: dict[int, tuple[str, str]] = {}
         for part in rows:
             for seq, op, text in part[["seq", "op", "text"]].itertuples(index=False):
-                new.setdefault(int(seq), (op, text))
-        late = [q for q in new if q <= last]
-        todo = new
-        if late:
-            known = {int(q): (op, text) for q, op, text in self._log.get()}
-            new = {q: x for q, x in new.items() if q not in known}
+                x = op or "", text or ""
+                new[int(seq)] = min(x, new.get(int(seq), x))
+        if session is None:
+            session = kind.start()
+            out.append((key[0], min(new), version, *_BEGIN))
+        out += [(key[0], seq, version, -1, 0, 0, "", 0, 0, False) for seq in sorted(new) if base is not None and seq <= base]
+        new = {q: x for q, x in new.items() if base is None or q > base}
+        todo, again = new, False
+        if last is not None and any(q <= last for q in new):
+            log = {int(q): (op, text) for q, op, text in self._log.get()}
+            todo = new = {q: x for q, x in new.items() if q not in log}
             if any(q <= last for q in new):
-                todo, session, version = known | new, self._kind.start(), version + 1
-            else:
-                todo = new
-        out, again = [], todo is not new
+                todo, again, version = log | new, True, version + 1
+                session = kind.load(json.loads(before)) if before else kind.start()
+                if not before:
+                    out.append((key[0], min(todo), version, *_BEGIN))
         for seq in sorted(todo):
-            version, frames = _advance(self._kind, session, version, *todo[seq])
+            session, version, frames = _advance(kind, session, version, *todo[seq])
             out += [(key[0], seq, version, *f[:-1], f[-1] or again) for f in frames]
         if new:
-            self._log.appendList([(q, op, text) for q, (op, text) in sorted(new.items())])
-        self._state.update((max([last, *new]), version, json.dumps(self._kind.save(session), ensure_ascii=False)))
+            self._log.appendList([(q, *x) for q, x in sorted(new.items())])
+            logged += len(new)
+        if logged > 2 * self._keep:
+            log = sorted((int(q), op, text) for q, op, text in self._log.get())
+            old = kind.load(json.loads(before)) if before else kind.start()
+            for _, op, text in log[: -self._keep]:
+                old = _advance(kind, old, 0, op, text)[0]
+            before, base, logged = json.dumps(kind.save(old), ensure_ascii=False), log[-self._keep - 1][0], self._keep
+            self._log.put(log[-self._keep :])
+        seen = [q for q in (last, *new) if q is not None]
+        self._state.update((max(seen) if seen else None, version, logged, base, before, json.dumps(kind.save(session), ensure_ascii=False)))
         yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
         pass
 
 
-def decode_stream(keys: DataFrame, kind=None) -> DataFrame:
+def decode_stream(keys: DataFrame, kind=None, log_keys: int = LOG_KEYS, ttl_ms: int | None = None) -> DataFrame:
     """Frames of a stream of keystrokes, of a Lattice or a PhoneticFirst. Needs the RocksDB state store provider."""
-    return keys.groupBy("session_id").transformWithStateInPandas(statefulProcessor=KeystrokeProcessor(kind or Lattice()), outputStructType=OUT, outputMode="append", timeMode="none")
+    processor = KeystrokeProcessor(kind or Lattice(), log_keys, ttl_ms)
+    return keys.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
 def decode_batch(keys: DataFrame, kind=None) -> DataFrame:
@@ -147,23 +189,33 @@ def decode_batch(keys: DataFrame, kind=None) -> DataFrame:
             for sid, seq, op, text in batch[["session_id", "seq", "op", "text"]].itertuples(index=False):
                 if sid != now or session is None:
                     now, session, last, version = sid, kind.start(), None, 0
+                    out.append((sid, int(seq), version, *_BEGIN))
                 if last is not None and seq <= last:
                     continue
                 last = seq
-                version, made = _advance(kind, session, version, op, text)
+                session, version, made = _advance(kind, session, version, op, text)
                 out += [(sid, int(seq), version, *f) for f in made]
                 if len(out) >= 10_000:
                     yield pd.DataFrame(out, columns=NAMES)
                     out = []
             yield pd.DataFrame(out, columns=NAMES)
 
-    return keys.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, OUT)
+    ordered = keys.select("session_id", "seq", F.coalesce("op", F.lit("")).alias("op"), F.coalesce("text", F.lit("")).alias("text"))
+    return ordered.repartition("session_id").sortWithinPartitions("session_id", "seq", "op", "text").mapInPandas(run, OUT)
+
+
+def current(frames: DataFrame) -> DataFrame:
+    """The frames that later versions have not taken back."""
+    later = Window.partitionBy("session_id").orderBy("version").rangeBetween(1, Window.unboundedFollowing)
+    valid = frames.filter("step >= 0").withColumn("_from", F.min("step").over(later))
+    return valid.filter("_from is null or step < _from").drop("_from")
 
 
 def results(frames: DataFrame) -> DataFrame:
-    """(session_id, frames, committed_raw_length, output, total_work) of each session's last version."""
-    latest = frames.withColumn("_v", F.max("version").over(Window.partitionBy("session_id"))).filter("version = _v")
-    last = F.max_by(F.struct("committed_raw_length", "shown", "total_work"), "step")
-    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("committed") != "", F.struct("step", "committed")))), lambda x: x["committed"])
-    own = latest.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), said.alias("said"), last.alias("last"))
-    return own.select("session_id", "frames", F.col("last.committed_raw_length").alias("committed_raw_length"), F.concat(F.array_join("said", ""), F.col("last.shown")).alias("output"), F.col("last.total_work").alias("total_work"))
+    """(session_id, frames, committed_raw_length, output, total_work) of each session as its frames leave it."""
+    after = Window.partitionBy("session_id").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
+    stays: Column = F.coalesce(F.min("kept").over(after) - F.col("kept"), F.length("shown"))
+    parts = current(frames).withColumn("_left", F.substr("shown", F.lit(1), F.greatest(stays, F.lit(0))))
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("_left") != "", F.struct("step", "_left")))), lambda x: x["_left"])
+    own = parts.groupBy("session_id").agg(F.count_if(F.col("step") > 0).alias("frames"), said.alias("said"), F.max_by(F.struct("committed_raw_length", "total_work"), "step").alias("last"))
+    return own.select("session_id", "frames", F.col("last.committed_raw_length").alias("committed_raw_length"), F.array_join("said", "").alias("output"), F.col("last.total_work").alias("total_work"))
