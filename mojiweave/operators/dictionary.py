@@ -39,16 +39,18 @@ def boundary_support(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     geometric mean; one: 0.35 of it; 0 at either end of the text.
     """
     texts = texts.select("text").distinct().filter(F.length("text") > 0)
-    found = hits(texts, lexicon).select("text", "start", "end", confidence(F.col("weight")).alias("c"))
-    left = found.groupBy("text", F.col("end").alias("position")).agg(F.max("c").alias("l"))
-    right = found.groupBy("text", F.col("start").alias("position")).agg(F.max("c").alias("r"))
-    places = texts.withColumn("position", F.explode(F.sequence(F.lit(0), F.length("text"))))
-    tails = places.filter("position > 0 and position < length(text)").select(F.col("text").alias("whole"), "position", F.substr("text", F.col("position") + 1, F.length("text")).alias("text"))
-    tails = prefix_hits(tails, lexicon).groupBy(F.col("whole").alias("text"), "position").agg((0.75 * F.max(confidence(F.col("weight")))).alias("p"))
-    joined = places.join(left, ["text", "position"], "left").join(right, ["text", "position"], "left").join(tails, ["text", "position"], "left")
-    l, r = F.coalesce("l", F.lit(0.0)), F.greatest(F.coalesce("r", F.lit(0.0)), F.coalesce("p", F.lit(0.0)))
+    sure, zero = confidence(F.col("weight")), F.lit(0.0)
+    found = hits(texts, lexicon).select("text", F.inline(F.array(F.struct(F.col("end").alias("position"), sure.alias("l"), zero.alias("r")), F.struct(F.col("start").alias("position"), zero.alias("l"), sure.alias("r")))))
+    # an entry is longer than the rest of a text that it goes on from: only the last places can have one
+    last = F.sequence(F.greatest(F.lit(1), F.length("text") - max(LENGTHS) + 1), F.length("text") - 1)
+    rests = texts.filter(F.length("text") > 1).select(F.col("text").alias("whole"), F.explode(last).alias("position")).withColumn("text", F.substr("whole", F.col("position") + 1, F.length("whole")))
+    begun = prefix_hits(rests, lexicon).select(F.col("whole").alias("text"), "position", zero.alias("l"), (0.75 * sure).alias("r"))
+    places = texts.select("text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("position"), zero.alias("l"), zero.alias("r"))
+    # what a text has at its places comes together once
+    each = places.unionByName(found).unionByName(begun).repartition("text").groupBy("text", "position").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    l, r = F.col("l"), F.col("r")
     support = F.when((F.col("position") == 0) | (F.col("position") == F.length("text")), 0.0).when((l > 0) & (r > 0), F.sqrt(l * r)).otherwise(0.35 * F.greatest(l, r))
-    return joined.select("text", "position", support.alias("support"))
+    return each.select("text", "position", support.alias("support"))
 
 
 def strong_boundaries(texts: DataFrame, lexicon: DataFrame) -> DataFrame:

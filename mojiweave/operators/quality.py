@@ -52,6 +52,7 @@ def beam_widths(frames: DataFrame) -> DataFrame:
 
 
 def spared_work(last: DataFrame, share: float = 0.80) -> DataFrame:
-    """(text, work, naive, spared) of the last steps of sessions: naive is what reading every prefix anew costs."""
+    """(text, work, naive, share, spared) of the last steps of sessions: naive is what reading every prefix anew costs, spared whether work is under a share of it."""
     n = F.length("text")
-    return last.select("text", F.col("total_analyzed").alias("work"), (n * (n + 1) / 2).cast("long").alias("naive")).withColumn("spared", F.col("work") < share * F.col("naive"))
+    both = last.select("text", F.col("total_analyzed").alias("work"), (n * (n + 1) / 2).cast("long").alias("naive"))
+    return both.withColumn("share", F.col("work") / F.col("naive")).withColumn("spared", F.col("work") < share * F.col("naive"))

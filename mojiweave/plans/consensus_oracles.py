@@ -93,7 +93,11 @@ CONSENSUS_ORACLES: dict[str, str] = {
     "consensus_frames": _SQL
     + """SELECT r.text, r.step, array_to_string(list_transform(path, lambda x: x.raw), ' | ') AS segmentation, array_to_string(list_transform(path, lambda x: x."out"), '') AS output, round(probability, 9) AS probability, round(ensemble, 9) AS ensemble, round(entropy, 9) AS entropy, n_hypotheses
 FROM ranked r JOIN (SELECT text, step, sum(CASE WHEN probability > 0 THEN -probability * log2(probability) END) AS entropy, count(*) AS n_hypotheses FROM ranked GROUP BY ALL) USING (text, step) WHERE rank = 1""",
-    "exported_consensus": f"SELECT text, 'research-v2' AS format_version, text AS input, length(text) AS final_boundaries, length(text) AS frames FROM ({TYPED})",
+    "exported_consensus": _SQL
+    + """, lines AS (SELECT text, step, string_agg(concat_ws(':', position, confirmed, is_end, support), ';' ORDER BY position) AS b FROM bounds GROUP BY ALL)
+SELECT r.text, 'research-v2' AS format_version, r.text AS input, '{"beamWidth":64,"boundaryClearThreshold":0.68,"interpretationClearThreshold":0.68,"consensusVoteThreshold":0.67,"minimumIndependentSupport":2,"stabilityWindow":4,"softmaxTemperature":1.3}' AS parameters, count(*) AS frames,
+       md5(string_agg(concat_ws('|', r.step, substr(r.text, 1, r.step), array_to_string(list_transform(path, lambda x: x.raw), ' | '), array_to_string(list_transform(path, lambda x: x."out"), ''), b), chr(10) ORDER BY r.step)) AS digest
+FROM ranked r JOIN lines USING (text, step) WHERE rank = 1 GROUP BY r.text""",
     "consensus_hypotheses": _SQL + "SELECT text, step, count(*) AS hypotheses, round(max(probability), 9) AS best, CAST(sum(len(path)) AS BIGINT) AS segments, CAST(sum(unknown) AS BIGINT) AS unknown FROM scored GROUP BY text, step",
     "consensus_boundaries": _SQL
     + "SELECT text, step, position, round(probability, 9) AS probability, round(beam, 9) AS beam, round(reverse, 9) AS reverse, round(lexical, 9) AS lexical, round(stability, 9) AS stability, support, confirmed, is_end FROM bounds",

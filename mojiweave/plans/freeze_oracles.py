@@ -159,6 +159,16 @@ FREEZE_ORACLES: dict[str, str] = {
         TEXTS,
         f"SELECT text, {_SAID.format('committed')} || {_SAID.format('active')} AS output, base AS committed_raw_length, coalesce(list_max(list_transform(list_filter(committed, lambda c: c.st = 'H'), lambda c: c.e)), 0) AS hard_committed_raw_length, total AS total_analyzed FROM session WHERE step = length(text) AND step > 0",
     ),
+    "phonetic_work": session(
+        TEXTS,
+        "SELECT text, total AS work, length(text) * (length(text) + 1) // 2 AS naive, round(total / (length(text) * (length(text) + 1) / 2), 6) AS share, total < 0.8::DOUBLE * (length(text) * (length(text) + 1) // 2) AS spared FROM session WHERE step = length(text) AND step > 0",
+    ),
+    "exported_phonetic": session(
+        PHRASES,
+        f"""SELECT text, 'phonetic-first-rcr-v2' AS format_version, text AS input, '{{"minimumLookaheadToFreeze":2,"maximumJapaneseFallbackLength":16,"englishAnomalyThreshold":0.8,"freezeConfidenceThreshold":0.86,"lowConfidenceRippleThreshold":0.86,"hardFreezeLookahead":12,"rippleSegmentRadius":2,"rippleCharacterRadius":6,"rippleDecay":0.45,"rippleTriggerThreshold":0.45}}' AS parameters,
+       count(*) AS frames, md5(string_agg(concat_ws('|', step, substr(text, 1, step), base, said, substr(text, base + 1, step - base), said || shown, work, total, 'false', segs), chr(10) ORDER BY step)) AS digest
+FROM (SELECT text, step, base, work, total, {_SAID.format('committed')} AS said, {_SAID.format('active')} AS shown, array_to_string(list_transform(active, lambda x: concat_ws(':', base + x.s, base + x.e, x.raw, x."out", x.lang, x.why)), ';') AS segs FROM session WHERE step > 0) GROUP BY text""",
+    ),
     "freeze_transitions": session(PHRASES, 'SELECT text, step, m.s AS start, m.e AS "end", m.raw AS raw, m."from" AS "from", m."to" AS "to", m.reason AS reason FROM (SELECT text, step, unnest(moves) AS m FROM session)'),
     "ripple_events": session(PHRASES, "SELECT text, step, r.s AS source_start, r.e AS source_end, r.kind AS source_kind, round(r.strength, 9) AS strength, r.a AS affected_start, r.b AS affected_end, r.reason AS reason FROM (SELECT text, step, unnest(ripples) AS r FROM session)"),
     "thaw_events": session(PHRASES, 'SELECT text, step, t.s AS start, t.e AS "end", t.raws AS raw_segments, t.reason AS reason FROM (SELECT text, step, unnest(thaws) AS t FROM session)'),

@@ -163,9 +163,10 @@ stable AS consensus_stable_frames, said || s.shown AS output, work AS expanded_e
     ),
     "exported_sessions": session(
         PHRASES,
-        f"SELECT l.text, 'evidence-lattice-v1' AS format_version, l.text AS input, CAST(n AS BIGINT) AS committed_segments, step AS frames, said || shown AS output, done AS committed_raw_length, {P.beam}::BIGINT AS beam FROM {_LAST} l JOIN (SELECT text, sum(len(commits)) AS n FROM session GROUP BY text) USING (text)",
+        """SELECT text, 'evidence-lattice-v1' AS format_version, text AS input, '{"beamWidth":16,"maxPhoneticSpan":24,"maxLatinSide":12,"consensusPathCount":8,"alternativeScoreWindow":4.0,"commitLookahead":3,"commitStabilityFrames":2,"languageSwitchPenalty":0.3}' AS parameters,
+       max_by(said || shown, step) AS output, max(done) AS committed_raw_length, count(*) AS frames, md5(string_agg(concat_ws('|', step, substr(text, 1, step), done, said, substr(text, done + 1, step - done), said || shown, work, total, 'false', commits), chr(10) ORDER BY step)) AS digest
+FROM (SELECT * EXCLUDE (commits), array_to_string(list_transform(commits, lambda c: concat_ws(':', c.s, c.e, c.raw, c."out", reason)), ';') AS commits FROM session WHERE step > 0) GROUP BY text""",
     ),
-    "exported_phonetic": f"SELECT text, 'phonetic-first-rcr-v2' AS format_version, text AS input, length(text) AS frames FROM ({PHRASES})",
     "session_work": session(PHRASES, "SELECT text, count(*) AS frames, CAST(sum(work) AS BIGINT) AS work, max(total) AS total, 0::BIGINT AS broken FROM session WHERE step > 0 GROUP BY text"),
     "session_signatures": session(PHRASES, f"SELECT text, bit_xor({_HASH}) AS signature FROM (SELECT text, step, said || shown AS output, said AS committed_output FROM session WHERE step > 0) GROUP BY text"),
     "frame_counts": session(PHRASES, "SELECT text, count(*) AS frames, length(text) AS characters FROM session WHERE step > 0 GROUP BY text"),

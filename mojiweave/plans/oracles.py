@@ -147,7 +147,7 @@ ORACLES: dict[str, str] = {
     "lexicon_hits": _with(LEX, WORDS, HITS) + 'SELECT text, start, "end", output, language, weight, evidence FROM hits',
     "lexicon_prefix_hits": _with(LEX, WORDS) + "SELECT text, raw, language FROM words JOIN lex ON starts_with(raw, text) AND length(raw) > length(text)",
     "boundary_lexical_support": _with(LEX, WORDS, HITS, "conf AS (SELECT raw, greatest(0, least(1, (weight - 3.5) / 3.5)) AS c FROM lex)", "places AS (SELECT text, unnest(range(0, length(text) + 1)) AS position FROM words)", "l AS (SELECT text, \"end\" AS position, max(c) AS l FROM hits JOIN conf USING (raw) GROUP BY ALL)", "r AS (SELECT text, start AS position, max(c) AS r FROM hits JOIN conf USING (raw) GROUP BY ALL)", "begun AS (SELECT substr(raw, 1, n) AS tail, 0.75 * max(c) AS p FROM (SELECT raw, c, unnest(range(1, length(raw))) AS n FROM conf) GROUP BY 1)", "p AS (SELECT text, position, p FROM places JOIN begun ON position > 0 AND tail = substr(text, position + 1))")
-    + "SELECT text, position, round(CASE WHEN position = 0 OR position = length(text) THEN 0 WHEN coalesce(l, 0) > 0 AND greatest(coalesce(r, 0), coalesce(p, 0)) > 0 THEN sqrt(l * greatest(coalesce(r, 0), coalesce(p, 0))) ELSE 0.35 * greatest(coalesce(l, 0), coalesce(r, 0), coalesce(p, 0)) END, 9) AS support FROM places LEFT JOIN l USING (text, position) LEFT JOIN r USING (text, position) LEFT JOIN p USING (text, position)",
+    + "SELECT text, count(*) AS places, CAST(sum(units) AS BIGINT) AS support, md5(string_agg(position || ':' || units, ',' ORDER BY position)) AS digest FROM (SELECT text, position, CAST(round(1000000000 * CASE WHEN position = 0 OR position = length(text) THEN 0 WHEN coalesce(l, 0) > 0 AND greatest(coalesce(r, 0), coalesce(p, 0)) > 0 THEN sqrt(l * greatest(coalesce(r, 0), coalesce(p, 0))) ELSE 0.35::DOUBLE * greatest(coalesce(l, 0), coalesce(r, 0), coalesce(p, 0)) END) AS BIGINT) AS units FROM places LEFT JOIN l USING (text, position) LEFT JOIN r USING (text, position) LEFT JOIN p USING (text, position)) GROUP BY text",
     "strong_boundary_semi": _with(LEX, WORDS, HITS)
     + "SELECT DISTINCT text, \"end\" AS position, 'before' AS side FROM hits WHERE language = 'Japanese' AND weight >= 5.2 UNION ALL SELECT DISTINCT text, start, 'after' FROM hits WHERE language = 'Japanese' AND weight >= 5.1 AND (evidence IN ('japanese-particle', 'japanese-verb-suffix', 'japanese-auxiliary', 'japanese-verb') OR length(raw) >= 3)",
     "ngram_profile": _with(PROFILE_WORDS, GRAMS) + "SELECT language, gram, n FROM grams",

@@ -134,6 +134,5 @@ PHONETIC_ORACLES: dict[str, str] = {
         """SELECT text, beg - 1 AS start, beg - 1 + length(token) AS "end", preview, kind FROM u3 WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.text = u3.text AND language = 'English' AND confidence >= 0.90 AND s.s <= beg - 1 AND beg - 1 + length(token) <= s.e)""",
     ),
     "phonetic_violations": f"SELECT text, length(text) AS steps, length(text) AS characters, 0::BIGINT AS broken FROM ({TEXTS})",
-    "phonetic_work": f"SELECT text, length(text) * (length(text) + 1) // 2 AS naive, true AS bounded FROM ({TEXTS})",
     "quarantined_inputs": f"SELECT page_id, url, rejected, instr(url, rejected) - 1 AS rejected_at FROM (SELECT page_id, url, regexp_extract(url, '{_BAD}') AS rejected FROM pages) WHERE rejected <> ''",
 }

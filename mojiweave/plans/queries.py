@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic, syntax
@@ -117,7 +117,10 @@ def lexicon_prefix_hits(spark, sf_dir):
 
 @query
 def boundary_lexical_support(spark, sf_dir):
-    return dictionary.boundary_support(words(spark, sf_dir), lexicon(spark)).select("text", F.col("position").cast("long").alias("position"), F.round("support", 9).alias("support"))
+    """Of each word the support of all its places, in billionths: their number, their sum and a digest of each with its place."""
+    places = dictionary.boundary_support(words(spark, sf_dir), lexicon(spark)).select("text", "position", F.round(F.col("support") * 1_000_000_000).cast("long").alias("units"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "units"))), lambda x: F.concat_ws(":", x["position"], x["units"]))
+    return places.groupBy("text").agg(F.count(F.lit(1)).alias("places"), F.sum("units").alias("support"), F.md5(F.array_join(listed, ",").cast("binary")).alias("digest"))
 
 
 @query
@@ -259,28 +262,43 @@ def export_consensus_json(spark, sf_dir):
     return reports.consensus_report(consensus_texts(spark, sf_dir), lexicon(spark), at=F.lit("2026-01-01").cast("timestamp"))
 
 
-def _read_back(documents: DataFrame, *more: str) -> DataFrame:
-    """Fields of documents, read back from their JSON."""
+def _read_back(documents: DataFrame, frame: str, fields: dict[str, str], *told: Column) -> DataFrame:
+    """Documents read back from their JSON: format, input, parameters, what is told more, the number of frames and a digest of all of them.
+
+    frame: the schema of a frame; fields: SQL of what the digest takes of a frame f, in order.
+    """
     get = lambda path: F.get_json_object("json", f"$.{path}")
-    sizes = [F.size(F.from_json(F.get_json_object("json", f"$.{x}"), "array<string>")).cast("long").alias(x) for x in more]
-    return documents.select("text", get("formatVersion").alias("format_version"), get("input").alias("input"), *sizes)
+    read = documents.select("text", "json", get("formatVersion").alias("format_version"), get("input").alias("input"), get("parameters").alias("parameters"), *told, F.from_json(get("frames"), f"array<struct<{frame}>>").alias("_f"))
+    lines = F.expr(f"array_join(transform(_f, f -> concat_ws('|', {', '.join(fields.values())})), '\n')")
+    return read.select(*(c for c in read.columns if c not in ("_f", "json")), F.size("_f").cast("long").alias("frames"), F.md5(lines.cast("binary")).alias("digest"))
 
 
 @query
 def exported_sessions(spark, sf_dir):
+    """Lattice sessions as documents, read back whole."""
+    names = ("step", "input", "committedRawLength", "committedOutput", "activeRaw", "output", "expandedEdgesThisStep", "totalExpandedEdges", "rebuilt", "commitEvents")
+    frame = "step:int,input:string,committedRawLength:int,committedOutput:string,activeRaw:string,output:string,expandedEdgesThisStep:int,totalExpandedEdges:long,rebuilt:boolean,commitEvents:array<struct<start:int,end:int,raw:string,output:string,reason:string>>"
+    fields = {n: f"f.{n}" for n in names} | {"commitEvents": "array_join(transform(f.commitEvents, c -> concat_ws(':', c.start, c.end, c.raw, c.output, c.reason)), ';')"}
     d = export_json(spark, sf_dir)
-    more = d.select("text", F.get_json_object("json", "$.output").alias("output"), F.get_json_object("json", "$.committedRawLength").cast("long").alias("committed_raw_length"), F.get_json_object("json", "$.parameters.beam").cast("long").alias("beam"))
-    return _read_back(d, "committedSegments", "frames").join(more, "text").withColumnRenamed("committedSegments", "committed_segments")
+    return _read_back(d, frame, fields, F.get_json_object("json", "$.output").alias("output"), F.get_json_object("json", "$.committedRawLength").cast("long").alias("committed_raw_length"))
 
 
 @query
 def exported_phonetic(spark, sf_dir):
-    return _read_back(export_phonetic_json(spark, sf_dir), "frames")
+    """Phonetic-first sessions as documents, read back whole."""
+    segment = "array<struct<start:int,end:int,raw:string,output:string,language:string,decisionReason:string>>"
+    names = ("step", "input", "committedRawLength", "committedOutput", "activeRaw", "output", "analyzedCharactersThisStep", "totalAnalyzedCharacters", "rebuilt")
+    frame = f"step:int,input:string,committedRawLength:int,committedOutput:string,activeRaw:string,output:string,analyzedCharactersThisStep:int,totalAnalyzedCharacters:long,rebuilt:boolean,activeSegments:{segment}"
+    fields = {n: f"f.{n}" for n in names} | {"activeSegments": "array_join(transform(f.activeSegments, s -> concat_ws(':', s.start, s.end, s.raw, s.output, s.language, s.decisionReason)), ';')"}
+    return _read_back(export_phonetic_json(spark, sf_dir), frame, fields)
 
 
 @query
 def exported_consensus(spark, sf_dir):
-    return _read_back(export_consensus_json(spark, sf_dir), "finalBoundaries", "frames").withColumnRenamed("finalBoundaries", "final_boundaries")
+    """Consensus reports as documents, read back whole."""
+    frame = "step:int,prefix:string,bestSegmentation:string,converted:string,boundaries:array<struct<position:int,confirmed:boolean,isInputEnd:boolean,independentSupport:int>>"
+    fields = {n: f"f.{n}" for n in ("step", "prefix", "bestSegmentation", "converted")} | {"boundaries": "array_join(transform(f.boundaries, b -> concat_ws(':', b.position, b.confirmed, b.isInputEnd, b.independentSupport)), ';')"}
+    return _read_back(export_consensus_json(spark, sf_dir), frame, fields)
 
 
 def keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,9 +587,9 @@ def phonetic_violations(spark, sf_dir):
 
 @query
 def phonetic_work(spark, sf_dir):
-    """Of each session, whether it read less than four fifths of what reading every prefix anew would cost."""
+    """Of each session the characters it read, its share of what reading every prefix anew would cost, and whether that is under four fifths."""
     s = phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phonetic_texts(spark, sf_dir)))
-    return quality.spared_work(s).select("text", _long("naive"), (F.col("work") <= 3 * F.col("naive")).alias("bounded"))
+    return quality.spared_work(s).select("text", _long("work"), _long("naive"), F.round("share", 6).alias("share"), "spared")
 
 
 def _edge_view(e: DataFrame) -> DataFrame:

@@ -12,17 +12,20 @@ def camel(name: str) -> str:
     return first + "".join(x.capitalize() for x in rest)
 
 
-def _renamed(kind: DataType) -> str:
+def _renamed(kind: DataType, names: dict[str, str], of: str) -> str:
     if isinstance(kind, StructType):
-        return "struct<" + ",".join(f"`{camel(f.name)}`:{_renamed(f.dataType)}" for f in kind) + ">"
+        return "struct<" + ",".join(f"`{names.get(f'{of}.{f.name}') or camel(f.name)}`:{_renamed(f.dataType, names, f.name)}" for f in kind) + ">"
     if isinstance(kind, ArrayType):
-        return f"array<{_renamed(kind.elementType)}>"
+        return f"array<{_renamed(kind.elementType, names, of)}>"
     return kind.simpleString()
 
 
-def as_document(df: DataFrame, kind: str, version: str, parameters: dict, *keys: str) -> DataFrame:
-    """keys and json: one indented document per row, camelCase, with format version, algorithm version, parameters and the row's other columns."""
-    fields = [F.col(f.name).cast(_renamed(f.dataType)).alias(camel(f.name)) for f in df.schema if f.name not in keys]
+def as_document(df: DataFrame, kind: str, version: str, parameters: dict, *keys: str, names: dict[str, str] | None = None) -> DataFrame:
+    """keys and json: one indented document per row, camelCase, with format version, algorithm version, parameters and the row's other columns.
+
+    names: the keys of fields, as `list.field`, whose names in the document differ from their own.
+    """
+    fields = [F.col(f.name).cast(_renamed(f.dataType, names or {}, f.name)).alias(camel(f.name)) for f in df.schema if f.name not in keys]
     settings = F.struct(*(F.lit(v).alias(camel(k)) for k, v in parameters.items()))
     body = F.struct(F.lit(kind).alias("formatVersion"), F.lit(version).alias("algorithmVersion"), settings.alias("parameters"), *fields)
     return df.select(*keys, F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
