@@ -1,7 +1,8 @@
 """Consensus of views on boundaries and readings, for every prefix of a text.
 
-Only the beam and the two-way scores are sequential; probabilities, the views, their agreement, the
-choice and the temporal windows are DataFrame operations over (text, step).
+Only the beam and the two-way scores are sequential, and all prefixes of a text share them;
+probabilities, the views, their agreement, the choice and the temporal windows are DataFrame operations
+over (text, step). Hypotheses and views on boundaries are written once, as several results read them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from mojiweave.operators.dictionary import boundary_support
 from mojiweave.operators.lattice import _map_texts
 from mojiweave.plans import consensus as C
+from mojiweave.sources import scratch
 
 SEGMENT = "struct<start:int,end:int,raw:string,converted:string,language:string,complete:boolean,evidence:string,lexical_score:double>"
 NAMES = ("start", "end", "raw", "converted", "language", "complete", "evidence", "lexical_score")
@@ -35,8 +37,8 @@ def hypotheses(texts: DataFrame, p: ConsensusParameters) -> DataFrame:
     """(text, step, hypothesis, score, segments, probability) of every prefix of each distinct text of letters."""
 
     def work(text: str) -> Iterator[dict]:
-        for step in range(1, len(text) + 1):
-            for k, (score, path) in enumerate(C.beam(text[:step], p.beam)):
+        for step, found in enumerate(C.beams(text, p.beam), 1):
+            for k, (score, path) in enumerate(found):
                 yield {"step": step, "hypothesis": k, "score": score, "segments": [dict(zip(NAMES, s, strict=True)) for s in path]}
 
     rows = _map_texts(texts, f"step int, hypothesis int, score double, segments array<{SEGMENT}>", work)
@@ -49,8 +51,8 @@ def two_way(texts: DataFrame) -> DataFrame:
     """(text, step, position, reverse)."""
 
     def work(text: str) -> Iterator[dict]:
-        for step in range(1, len(text) + 1):
-            for i, x in enumerate(C.through(text[:step]), 1):
+        for step, worth in enumerate(C.throughs(text), 1):
+            for i, x in enumerate(worth, 1):
                 yield {"step": step, "position": i, "reverse": x}
 
     return _map_texts(texts, "step int, position int, reverse double", work)
@@ -129,7 +131,7 @@ def analyze(texts: DataFrame, lexicon: DataFrame, p: ConsensusParameters | None
     """(frames, boundaries, segments) of the distinct texts, letters only."""
     p = p or ConsensusParameters()
     texts = texts.select("text").filter(F.col("text").rlike("^[a-z]+$")).distinct()
-    hyps = hypotheses(texts, p)
-    bounds = boundaries(hyps, texts, lexicon, p)
+    hyps = scratch.written(hypotheses(texts, p))
+    bounds = scratch.written(boundaries(hyps, texts, lexicon, p))
     rank = ranked(hyps, bounds)
     return frames(rank), bounds, segments(rank, bounds, p)

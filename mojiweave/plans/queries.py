@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic, syntax
-from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, phonetic_sessions, profile, quality, reports
-from mojiweave.sources import export
+from mojiweave.operators import consensus, dictionary, lattice, oov, orthography, phonetic_sessions, profile, quality, reports, ripples
+from mojiweave.sources import export, scratch
 from mojiweave.sources.fixed import STUDY_PROBES
 from mojiweave.sources.tables import document_words, kana_table, lexicon, profile_words, table
 from mojiweave.streaming import runs
@@ -562,7 +562,8 @@ def freeze_transitions(spark, sf_dir):
 
 @query
 def ripple_events(spark, sf_dir):
-    e = phonetic_sessions.events(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir)), "ripple_events")
+    """What shook what at each keystroke: stretches read once each, segments and oddities met in a band join."""
+    e = ripples.ripple_events(scratch.written(ripples.reads(phrases(spark, sf_dir))))
     return _rounded(e, "step", "source_start", "source_end", "affected_start", "affected_end")
 
 
@@ -574,8 +575,12 @@ def thaw_events(spark, sf_dir):
 
 @query
 def phonetic_segments(spark, sf_dir):
-    e = phonetic_sessions.events(phonetic_sessions.last_steps(phonetic_sessions.phonetic_steps(phrases(spark, sf_dir))), "segments")
-    return _rounded(e, "step", "start", "end")
+    """The active segments after the last keystroke, shaken by what is odd near them."""
+    read = ripples.reads(phrases(spark, sf_dir)).filter(F.col("step") == F.length("text"))
+    last = scratch.written(ripples.stretches(read.groupBy("text", "step").agg(F.max_by("base", "place").alias("base"))))
+    s = last.join(ripples.shaken(last.select(F.col("stretch").alias("text")).distinct()).withColumnRenamed("text", "stretch"), "stretch")
+    base, state = F.col("base"), F.lit("Active").alias("freeze_state")
+    return _rounded(s.select("text", "step", (base + F.col("start")).alias("start"), (base + F.col("end")).alias("end"), "raw", "output", "language", "confidence", F.col("reason").alias("decision_reason"), state, "context_penalty"), "step", "start", "end")
 
 
 @query

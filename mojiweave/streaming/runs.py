@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from mojiweave.sources.scratch import new_folder
 from mojiweave.streaming.sessions import decode_stream
 
+__all__ = ["catch_up", "deliver", "new_folder"]
+
 KEYS = "session_id string, seq long, op string, text string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share, from spark.checkpoint.dir; a local session without it gets a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="mojiweave-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        shared = f"file://{own}"
-    return f"{shared.rstrip('/')}/mw-{uuid.uuid4().hex}"
-
-
 def deliver(keys: DataFrame, folder: str) -> None:
     """Adds keystrokes to the files that a stream over folder reads."""
     keys.select("session_id", "seq", "op", "text").write.mode("append").parquet(f"{folder}/keys")
