@@ -23,6 +23,7 @@ WHITE = " \t\n\v\f\r"
 BATCH_BYTES = 8 << 20
 
 _made: list[list[str]] = []
+_own: list[str] = []
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -44,10 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="mojiweave-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not _own:  # a session does not take this setting while it runs
+        _own.append(tempfile.mkdtemp(prefix="mojiweave-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -73,7 +74,7 @@ def scratch_paths() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _made.remove(paths)
+        _made[:] = [x for x in _made if x is not paths]  # equal lists are not the same one
 
 
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
