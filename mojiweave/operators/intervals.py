@@ -34,3 +34,14 @@ def stab_join(left: DataFrame, points: DataFrame, keys: list[str], cell: int = 1
     at = lambda c: F.floor(c / cell)
     own = left.withColumn("_cell", F.explode(F.sequence(at(F.col("start")), at(F.col("end")))))
     return own.join(points.withColumn("_cell", at(F.col("point"))), [*keys, "_cell"]).filter("start < point and point < end").drop("_cell")
+
+
+def first_apart(ordered: Column) -> Column:
+    """Of an array of structs with start and end those that overlap none chosen before them, in the array's order."""
+    none = F.slice(ordered, F.lit(1), F.lit(0))
+
+    def take(chosen: Column, x: Column) -> Column:
+        meets = F.exists(chosen, lambda c: (x["start"] < c["end"]) & (c["start"] < x["end"]))
+        return F.when(meets, chosen).otherwise(F.array_append(chosen, x))
+
+    return F.aggregate(ordered, none, take)

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mojiweave.operators.lattice import _map_texts
+from mojiweave.functions import phonetic
+from mojiweave.operators.dictionary import strong_boundaries
+from mojiweave.operators.intervals import stab_join
 from mojiweave.plans import reading as R
+from mojiweave.sources.fixed import BINDING, HARD, NEUTRAL
+from mojiweave.sources.tables import lexicon as entries
 
-EVIDENCE = "start int, end int, raw string, kind string, confidence double, complete boolean, reason string"
+#: Confidence, completeness and reason of each kind.
+TOLD = {
+    "HardBoundary": (0.99, True, "hard-boundary-symbol"),
+    "NeutralSymbol": (0.70, True, "neutral-symbol"),
+    "LatinBindingToken": (0.97, True, "binding-symbol-joins-latin-token"),
+    "IncompleteBindingToken": (0.72, False, "binding-symbol-awaiting-right-context"),
+    "BindingSymbol": (0.55, False, "binding-symbol-without-complete-token"),
+}
 _TOKEN = R.WORD | R.BINDERS
 _SUFFIXES = ("japanese-particle", "japanese-verb-suffix", "japanese-auxiliary", "japanese-verb")
 
@@ -58,10 +69,46 @@ def evidence(text: str) -> list[tuple]:
     return [(a, b, text[a:b], *rest) for a, b, *rest in out]
 
 
-def symbol_evidence(texts: DataFrame) -> DataFrame:
-    """Evidence rows of each distinct text."""
-    names = [x.split()[0] for x in EVIDENCE.split(", ")]
-    return _map_texts(texts, EVIDENCE, lambda text: (dict(zip(names, e, strict=True)) for e in evidence(text)))
+_RUN = "[" + "".join(sorted(R.WORD)) + r"._\-+#@/:]"
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """(text, at, c, start, after, reach, token, waiting) of each symbol of each text: the run of word and binding characters that ends before it, whether a word character follows, how far a token goes, and whether it is one or may become one."""
+    symbols = [*BINDING, *HARD, *NEUTRAL, " "]
+    each = texts.select("text", F.posexplode(F.split("text", "")).alias("at", "c")).filter(F.col("c").isin(*symbols))
+    before, rest = F.substr("text", F.lit(1), F.col("at")), F.substr("text", F.col("at") + 2, F.length("text"))
+    binder, left, right = F.col("c").isin(*BINDING), before.rlike("[a-z0-9]$"), rest.rlike("^[a-z0-9]")
+    run = F.length(F.regexp_extract(before, f"{_RUN}*$", 0))
+    reach = F.length(F.when(right, F.regexp_extract(rest, f"^{_RUN}*", 0)).otherwise(F.regexp_extract(rest, "^[#+]*", 0)))
+    return each.select(
+        "text", "at", "c", F.when(binder & left, F.col("at") - run).otherwise(F.col("at")).alias("start"), right.alias("after"), (F.col("at") + 1 + reach).alias("reach"),
+        (binder & left & (right | F.col("c").isin("#", "+"))).alias("token"), (binder & left & (F.col("at") == F.length("text") - 1)).alias("waiting"),
+    )
+
+
+def _cuts(texts: DataFrame, marks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(text, at, cut) of the tokens in which a Japanese suffix begins: the leftmost strong entry with letters only up to the token's end, after letters that romaji does not read."""
+    strong = strong_boundaries(texts, lexicon).filter("side = 'after'").select("text", F.col("position").alias("point"))
+    inside = stab_join(marks.filter("token and after").select("text", "at", (F.col("at") + 1).alias("start"), F.col("reach").alias("end")), strong, ["text"])
+    own, tail = F.substr("text", F.col("start") + 1, F.col("point") - F.col("start")), F.substr("text", F.col("point") + 1, F.col("end") - F.col("point"))
+    found = inside.withColumn("own", own).filter(tail.rlike("^[a-z]+$") & F.col("own").rlike("[a-z]"))
+    found = found.filter(phonetic.coverage(F.col("own"), phonetic.units(F.col("own")))["unresolved_ratio"] >= 0.20)
+    return found.groupBy("text", "at").agg(F.min("point").alias("cut"))
+
+
+def symbol_evidence(texts: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Evidence rows of each distinct text, as evidence() gives them: a scan of symbols, a join with strong entries for suffixes, and a running maximum of ends that leaves out tokens inside others."""
+    texts = texts.select("text").filter("text is not null").distinct()
+    marks = _marks(texts)
+    cuts = _cuts(texts, marks, lexicon if lexicon is not None else entries(texts.sparkSession))
+    known = marks.join(cuts, ["text", "at"], "left").withColumn("end", F.when(F.col("token"), F.coalesce("cut", "reach")).otherwise(F.col("at") + 1))
+    earlier = Window.partitionBy("text", "token").orderBy("start", F.desc("end"), "at").rowsBetween(Window.unboundedPreceding, -1)
+    kept = known.withColumn("_far", F.max("end").over(earlier)).filter(~F.col("token") | F.col("_far").isNull() | (F.col("_far") < F.col("end")))
+    c, waits = F.col("c"), F.col("waiting") & ~F.col("token")
+    kind = F.when(c.isin(*HARD, " "), "HardBoundary").when(c.isin(*NEUTRAL), "NeutralSymbol").when(F.col("token"), "LatinBindingToken").when(waits, "IncompleteBindingToken").otherwise("BindingSymbol")
+    kept = kept.withColumn("kind", kind).withColumn("start", F.when(F.col("token") | waits, F.col("start")).otherwise(F.col("at")))
+    told = F.create_map(*(F.lit(x) for k, v in TOLD.items() for x in (k, F.struct(*(F.lit(y) for y in v)))))[F.col("kind")]
+    return kept.select("text", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("raw"), "kind", told["col1"].alias("confidence"), told["col2"].alias("complete"), told["col3"].alias("reason"))
 
 
 def binding_runs(texts: DataFrame) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic
+from mojiweave.operators.dictionary import confidence, hits, strong_boundaries
+from mojiweave.operators.intervals import first_apart
 from mojiweave.operators.lattice import _map_texts
+from mojiweave.operators.orthography import symbol_evidence
 from mojiweave.plans import phonetic_first as P
+from mojiweave.sources.tables import lexicon as entries
 
 SEGMENT = "struct<start:int,end:int,raw:string,output:string,language:string,confidence:double,decision_reason:string,freeze_state:string,context_penalty:double>"
 MARK = "struct<start:int,end:int,raw:string,kind:string,confidence:double,complete:boolean,reason:string>"
@@ -58,11 +62,30 @@ def phonetic_steps(texts: DataFrame, p: P.PhoneticParameters | None = None) -> D
     return _map_texts(texts, STEP, work)
 
 
-def anchors(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
-    """(text, start, end, raw, score, readability, kind) of the Latin words and tokens of each distinct text."""
+def anchor_candidates(texts: DataFrame, p: P.PhoneticParameters | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """(text, start, end, raw, score, readability, kind) of all that may anchor a reading of each distinct text: tokens, words that romaji reads badly, and words between strong Japanese."""
     p = p or P.PhoneticParameters()
-    names = ("start", "end", "raw", "score", "readability", "kind")
-    return _map_texts(texts, "start int, end int, raw string, score double, readability double, kind string", lambda text: (dict(zip(names, a, strict=True)) for a in P.anchors(text, P.symbols_of(text), p)))
+    lexicon = lexicon if lexicon is not None else entries(texts.sparkSession)
+    texts, size = texts.select("text").filter("text is not null").distinct(), F.length("raw")
+    tokens = symbol_evidence(texts, lexicon).filter("kind = 'LatinBindingToken' and complete")
+    tokens = tokens.select("text", "start", "end", "raw", (9.0 + 0.05 * size).alias("score"), F.lit(0.0).alias("readability"), F.lit("orthographic").alias("kind"))
+    english = lexicon.filter("language = 'English'").select("raw", "weight", phonetic.readability(phonetic.units(F.col("raw")), F.lit(0), size).alias("readability"))
+    strong = strong_boundaries(texts, lexicon)
+    before, after = (strong.filter(F.col("side") == k).select("text", F.col("position").alias(at), F.lit(True).alias(k)) for k, at in (("before", "start"), ("after", "end")))
+    found = hits(texts, english).join(before, ["text", "start"], "left").join(after, ["text", "end"], "left")
+    left, right = F.coalesce("before", F.lit(False)), F.coalesce("after", F.lit(False))
+    rescued = (size >= 5) & ((left & (right | (F.col("end") == F.length("text")))) | ((F.col("start") == 0) & right))
+    odd = F.col("readability") <= p.english_anomaly
+    score = 2.0 * confidence(F.col("weight")) + 2.5 * (1.0 - F.col("readability")) + 0.03 * size + 2.0 * rescued.cast("int")
+    found = found.filter(odd | rescued).select("text", "start", "end", "raw", score.alias("score"), "readability", F.when(odd, "anomaly").otherwise("contextual").alias("kind"))
+    return tokens.unionByName(found)
+
+
+def anchors(texts: DataFrame, p: P.PhoneticParameters | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """(text, start, end, raw, score, readability, kind) of the Latin words and tokens of each distinct text: tokens first, then by score and length, none that overlaps one before."""
+    rank = [(F.col("kind") != "orthographic").alias("a"), (-F.col("score")).alias("b"), (F.col("start") - F.col("end")).alias("c")]
+    each = anchor_candidates(texts, p, lexicon).groupBy("text").agg(F.array_sort(F.collect_list(F.struct(*rank, "start", "end", "raw", "score", "readability", "kind"))).alias("x"))
+    return each.select("text", F.inline(first_apart(F.col("x")))).drop("a", "b", "c")
 
 
 def resolved(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
