@@ -27,6 +27,8 @@ from mojiweave.llm import common
 
 PREFIX, SUFFIX, MIDDLE = MARKS = ("<P>", "<S>", "<M>")
 SEED = 7
+#: Texts whose outputs leave a worker together.
+STEP = 500
 #: Percent of texts that are transformed, and of those, of the suffix-first form.
 RATE, SPM_RATE = 100, 50
 #: Kinds of unit: the characters of class 1, and between which classes (left, right) a unit ends.
@@ -84,7 +86,7 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", seed: int = SEED, rate:
         import pyarrow as pa
 
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        for batch in batches:
+        for batch in (b.slice(k, STEP) for b in batches for k in range(0, b.num_rows, STEP)):
             row = batch.column("row")
             found = [cut(t.as_py(), k.as_py(), unit, seed, rate, spm_rate) for t, k in zip(batch.column("text"), batch.column("key"), strict=True)]
             made = zip(*found, strict=True) if found else ((),) * len(own)
@@ -95,8 +97,15 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", seed: int = SEED, rate:
 
 def restored(output: Column, form: Column) -> Column:
     """The text that an output was made of."""
-    p = F.split(output, "<[PSM]>", -1)  # an empty piece, then the three in the order of the form
-    return F.when(form == "plain", output).when(form == "psm", F.concat(p[1], p[3], p[2])).otherwise(F.concat(p[2], p[3], p[1]))
+
+    # each mark stands there once: what is between them is cut out by bytes
+    def pieces(first: str, second: str) -> tuple[Column, Column]:
+        after = F.substring_index(output, second, -1)
+        return F.substring_index(F.substring(output, 1 + len(first), 1 << 30), second, 1), F.substring_index(after, MIDDLE, 1)
+
+    middle = F.substring_index(output, MIDDLE, -1)
+    (p1, s1), (s2, p2) = pieces(PREFIX, SUFFIX), pieces(SUFFIX, PREFIX)
+    return F.when(form == "plain", output).when(form == "psm", F.concat(p1, middle, s1)).otherwise(F.concat(p2, middle, s2))
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
