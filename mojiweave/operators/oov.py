@@ -1,23 +1,26 @@
 """The out-of-vocabulary study as DataFrame operations: character models, proposals, confusion, discordance.
 
 The study's English word list is not available offline; the distinct words of `documents` take its
-place, and hash buckets take the place of its seeded shuffle. So the figures differ from the
-published ones; the method is the same.
+place, and hash buckets take the place of its seeded shuffle. The Japanese list is the study's own, and so is
+its seeded split. So the figures differ from the published ones; the method is the same.
 """
 
 from __future__ import annotations
 
+import random
 from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mojiweave.sources.fixed import ENDINGS, ENTRIES, GLUE, OOV_WORDS, PHONETIC_WORDS, STUDY_PARTICLES, STUDY_PREFIXES, STUDY_STOP
+from mojiweave.sources.fixed import DECLARED, ENDINGS, ENTRIES, GLUE, OOV_WORDS, PHONETIC_WORDS, STUDY_PARTICLES, STUDY_PREFIXES, STUDY_STOP
 
 ORDER, SMOOTH, ALPHABET = 3, 0.25, 27
 SHORTEST, LONGEST = 7, 24
-#: Buckets of the splits: English words in the first of 100 are development words; of 17, Japanese ones train in the first 11 and are tested in the last 3.
-ENGLISH_PARTS, JAPANESE_PARTS = 100, 17
+#: English words in the first of so many buckets are development words.
+ENGLISH_PARTS = 100
+#: The study's seed; of the Japanese words as it shuffles them, how many train, and how many come before those that test.
+SEED, JAPANESE_TRAIN, JAPANESE_DEV = 20261010, 55, 70
 
 
 def japanese_words(spark: SparkSession) -> DataFrame:
@@ -103,11 +106,24 @@ def bucket(word: Column, n: int) -> Column:
     return F.conv(F.substr(F.md5(word.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % n
 
 
-def split(english: DataFrame, japanese: DataFrame) -> DataFrame:
-    """(word, language, part) of the words: train, dev or test."""
-    e, j = bucket(F.col("word"), ENGLISH_PARTS), bucket(F.col("word"), JAPANESE_PARTS)
+def seeded_order(words: list[str], seed: int = SEED) -> list[str]:
+    """A list of fixed size as the study shuffles it."""
+    order = list(words)
+    random.Random(seed).shuffle(order)
+    return order
+
+
+def japanese_places(spark: SparkSession, seed: int = SEED) -> DataFrame:
+    """(word, place): the Japanese entries in the order of the seeded shuffle."""
+    return spark.createDataFrame(list(zip(seeded_order(DECLARED, seed), range(len(DECLARED)), strict=True)), "word string, place int")
+
+
+def split(english: DataFrame, seed: int = SEED) -> DataFrame:
+    """(word, language, part) of the words: train, dev or test; Japanese ones are the study's own."""
+    e, j = bucket(F.col("word"), ENGLISH_PARTS), F.col("place")
     parts = english.select("word", F.lit("English").alias("language"), F.when(e == 0, "dev").otherwise("train").alias("part"))
-    return parts.unionByName(japanese.select("word", F.lit("Japanese").alias("language"), F.when(j < 11, "train").when(j < 14, "dev").otherwise("test").alias("part")))
+    japanese = japanese_places(english.sparkSession, seed)
+    return parts.unionByName(japanese.select("word", F.lit("Japanese").alias("language"), F.when(j < JAPANESE_TRAIN, "train").when(j < JAPANESE_DEV, "dev").otherwise("test").alias("part")))
 
 
 def models(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -124,10 +140,10 @@ def tested(words: DataFrame, english: DataFrame, japanese: DataFrame, threshold:
     return scored.withColumn("either", F.col("shape") | F.col("model"))
 
 
-def negatives(parts: DataFrame) -> DataFrame:
-    """(word, ord): Japanese words of the test part in order of declaration, then those that are only phonetic."""
+def negatives(parts: DataFrame, seed: int = SEED) -> DataFrame:
+    """(word, ord): Japanese words of the test part as they were shuffled, then those that are only phonetic."""
     spark = parts.sparkSession
-    test = parts.filter("language = 'Japanese' and part = 'test'").join(japanese_words(spark), "word").select("word", F.col("ord").alias("key"))
+    test = parts.filter("language = 'Japanese' and part = 'test'").join(F.broadcast(japanese_places(spark, seed)), "word").select("word", F.col("place").alias("key"))
     rows = test.unionByName(study_words(spark).filter("language = 'Japanese'").select("word", (F.col("ord") + len(ENTRIES)).alias("key")))
     from pyspark.sql import Window
 

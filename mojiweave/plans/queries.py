@@ -391,7 +391,7 @@ def markov_likelihood(spark, sf_dir):
 
 def study(spark: SparkSession, sf_dir: str):
     """The split words, the two models' counts and the chosen threshold (one row)."""
-    parts = oov.split(oov.english_words(document_words(spark, sf_dir)), oov.japanese_words(spark))
+    parts = oov.split(oov.english_words(document_words(spark, sf_dir)))
     return parts, *oov.models(parts)
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from mojiweave.plans.oracles import _STOP, GLUED, LATIN, LEX, STUDY, WORDS, _list, _spans, _values
-from mojiweave.sources.fixed import STUDY_PARTICLES, STUDY_PREFIXES, STUDY_PROBES
+from mojiweave.sources.fixed import DECLARED, STUDY_PARTICLES, STUDY_PREFIXES, STUDY_PROBES
 
+#: The Japanese words as the study's seed shuffles them.
+_SHUFFLED = list(DECLARED)
+random.Random(20261010).shuffle(_SHUFFLED)
 _BUCKET = "CAST('0x' || substr(md5(word), 1, 8) AS BIGINT)"
 _NAMES = "(VALUES ('shape'), ('model'), ('either')) t(test)"
 
@@ -17,13 +22,14 @@ _PRE, _POST = _stream("ord")
 PARTS = [
     LEX, WORDS, STUDY,
     f"english AS (SELECT text AS word FROM words WHERE length(text) BETWEEN 3 AND 24 AND NOT list_contains({_list(_STOP)}, text))",
+    f"shuffled AS (SELECT word, place FROM {_values(list(zip(_SHUFFLED, range(len(_SHUFFLED)), strict=True)))} t(word, place))",
     f"""parts AS (
   SELECT word, 'English' AS language, CASE WHEN {_BUCKET} % 100 = 0 THEN 'dev' ELSE 'train' END AS part FROM english
   UNION ALL
-  SELECT word, 'Japanese', CASE WHEN {_BUCKET} % 17 < 11 THEN 'train' WHEN {_BUCKET} % 17 < 14 THEN 'dev' ELSE 'test' END FROM (SELECT raw AS word FROM lex WHERE language = 'Japanese')
+  SELECT word, 'Japanese', CASE WHEN place < 55 THEN 'train' WHEN place < 70 THEN 'dev' ELSE 'test' END FROM shuffled
 )""",
     """negatives AS (SELECT word, row_number() OVER (ORDER BY k) - 1 AS ord FROM (
-  SELECT p.word, l.ord AS k FROM parts p JOIN lex l ON l.raw = p.word WHERE p.language = 'Japanese' AND part = 'test' UNION ALL SELECT word, 1000 + ord FROM study WHERE language = 'Japanese'))""",
+  SELECT word, place AS k FROM parts JOIN shuffled USING (word) WHERE language = 'Japanese' AND part = 'test' UNION ALL SELECT word, 1000 + ord FROM study WHERE language = 'Japanese'))""",
     "own AS (SELECT word, language, ord FROM study WHERE language = 'English' UNION ALL SELECT word, 'Japanese', ord FROM negatives)",
     f"""streams AS (SELECT {_PRE} || word || {_POST} AS text, length({_PRE}) AS s, length({_PRE}) + length(word) AS e, language = 'English' AS positive FROM own)""",
     _spans("streams"),

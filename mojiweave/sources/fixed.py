@@ -184,6 +184,8 @@ def _entries() -> list[Entry]:
 
 
 ENTRIES: list[Entry] = _entries()
+#: The Japanese entries in the order in which they are declared.
+DECLARED: list[str] = list(dict.fromkeys(line.split()[0] for line in JAPANESE_TEXT.strip().splitlines()))
 
 
 @dataclass(frozen=True)
