@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiweave.sources.fixed import DECLARED, ENDINGS, ENTRIES, GLUE, OOV_WORDS, PHONETIC_WORDS, STUDY_PARTICLES, STUDY_PREFIXES, STUDY_STOP
+from mojiweave.sources.harness import checked_harness_words
 
 ORDER, SMOOTH, ALPHABET = 3, 0.25, 27
 SHORTEST, LONGEST = 7, 24
@@ -28,8 +29,10 @@ def japanese_words(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e.raw, i) for i, e in enumerate(e for e in ENTRIES if e.language == "Japanese")], "word string, ord int")
 
 
-def study_words(spark: SparkSession) -> DataFrame:
-    """(word, language, ord): the English words that no dictionary has, and Japanese ones that are only phonetic."""
+def study_words(spark: SparkSession, harness: str | None = None) -> DataFrame:
+    """(word, language, ord): the English words that no dictionary has, and Japanese ones that are only phonetic; from a harness file if one is given."""
+    if harness is not None:
+        return checked_harness_words(spark, harness)
     return spark.createDataFrame([(w, "English", i) for i, w in enumerate(OOV_WORDS)] + [(w, "Japanese", i) for i, w in enumerate(PHONETIC_WORDS)], "word string, language string, ord int")
 
 

@@ -460,6 +460,26 @@ def oov_document(spark, sf_dir):
     return export.as_sections({name: view(spark, sf_dir) for name, view in views.items()})
 
 
+@query
+def exported_study(spark, sf_dir):
+    """The study's document read back: a row for each row of its sections, with its whole numbers and words."""
+    rows = {
+        "splits": ("language string, part string, value double", "r.language, r.part, cast(round(r.value * 100000) as bigint)"),
+        "confusion": ("test string, positive long, positiveDetected long, negative long, negativeDetected long", "r.test, r.positive, r.positiveDetected, r.negative, r.negativeDetected"),
+        "localized": ("test string, positiveCases long, goldRecovered long, positiveSpans long, negativeCases long, negativeWithAny long, negativeSpans long", "r.test, r.positiveCases, r.goldRecovered, r.positiveSpans, r.negativeCases, r.negativeWithAny, r.negativeSpans"),
+        "gluedControls": ("n long, shape long, model long, either long", "r.n, r.shape, r.model, r.either"),
+        "discordance": ("firstOnly long, secondOnly long", "r.firstOnly, r.secondOnly"),
+        "lists": ("list string, word string, shape boolean, model boolean", "r.list, r.word, r.shape, r.model"),
+    }
+    schema = ", ".join(f"{name} array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>" for name, (kinds, _) in rows.items())
+    read = scratch.written(oov_document(spark, sf_dir)).select(F.from_json("json", schema).alias("d"))
+    out = None
+    for name, (_, line) in rows.items():
+        part = read.select(F.lit(name).alias("section"), F.explode(F.expr(f"transform(d.{name}, r -> concat_ws('|', {line}))")).alias("line"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def shape_confusion(spark, sf_dir):
     return oov.confusion(oov.study_words(spark).select("language", oov.ends_like_latin(F.col("word")).alias("predicted")))

@@ -71,3 +71,13 @@ UNION ALL SELECT 'probe', word, round(difference, 3), shape, model FROM probes J
 FROM {_NAMES} LEFT JOIN (SELECT test, t.text, positive, count(*) AS n, bool_or(p.start = s AND p."end" = e) AS gold FROM streams t JOIN spans p ON p.text = t.text JOIN long_tests l ON l.word = p.word WHERE predicted GROUP BY ALL) USING (test) GROUP BY test""",
     "glued_counts": _SQL + "SELECT count(*) AS n, count(*) FILTER (shape) AS shape, count(*) FILTER (model) AS model, count(*) FILTER (either) AS either FROM glue JOIN tests USING (word)",
 }
+
+_ROWS = {
+    ("splits", "oov_splits"): "language, part, CAST(round(value * 100000) AS BIGINT)",
+    ("confusion", "oov_confusion"): "test, positive, positive_detected, negative, negative_detected",
+    ("localized", "oov_localized"): "test, positive_cases, gold_recovered, positive_spans, negative_cases, negative_with_any, negative_spans",
+    ("gluedControls", "glued_counts"): "n, shape, model, either",
+    ("discordance", "oov_discordance"): "first_only, second_only",
+    ("lists", "oov_lists"): "list, word, shape, model",
+}
+STUDY_ORACLES["exported_study"] = " UNION ALL ".join(f"SELECT '{section}' AS section, concat_ws('|', {line}) AS line FROM ({STUDY_ORACLES[name]})" for (section, name), line in _ROWS.items())

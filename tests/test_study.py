@@ -5,7 +5,7 @@ import random
 import pytest
 
 from mojiweave.operators import oov
-from mojiweave.sources.fixed import DECLARED, ENTRIES
+from mojiweave.sources.fixed import DECLARED, ENTRIES, OOV_WORDS, PHONETIC_WORDS
 
 
 @pytest.mark.parametrize("seed", [20261010, 20261011, 20261012, 20261013, 20261014])
@@ -19,3 +19,33 @@ def test_japanese_split(spark, seed):
     assert got == {"train": set(want[:55]), "dev": set(want[55:70]), "test": set(want[70:])}
     negative = [r.word for r in oov.negatives(parts, seed).orderBy("ord").collect()]
     assert negative[:15] == want[70:] and len(negative) == 34
+
+
+def harness(english, japanese):
+    return "\n".join(
+        [
+            'var other = new[] { "notaword" };',
+            "private static readonly EvalToken[] EnOov = new[]",
+            "{",
+            *(f'    "{w}",' for w in english),
+            "}.Select(w => new EvalToken(w, w)).ToArray();",
+            "private static readonly EvalToken[] JaPhoneticOnly =",
+            "[",
+            *(f'    new("{w}", "x"),' for w in japanese),
+            "];",
+            'var more = new("after", "x");',
+        ]
+    )
+
+
+def test_words_of_a_harness_file(spark, tmp_path):
+    path = tmp_path / "Corpus.txt"
+    path.write_text(harness(OOV_WORDS, PHONETIC_WORDS), encoding="utf-8")
+    own = [tuple(r) for r in oov.study_words(spark, str(path)).collect()]
+    assert sorted(own) == sorted(tuple(r) for r in oov.study_words(spark).collect())
+    path.write_text(harness(OOV_WORDS[1:], PHONETIC_WORDS), encoding="utf-8")
+    with pytest.raises(ValueError):
+        oov.study_words(spark, str(path))
+    path.write_text("nothing of it", encoding="utf-8")
+    with pytest.raises(ValueError):
+        oov.study_words(spark, str(path))
