@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mojiweave.llm import common
 
-MIN_SENTENCES, MIN_WORDS, CUT_WORDS = 2, 16, 8
+MIN_SENTENCES, MIN_WORDS, CUT_WORDS = 2, 16, 12
 #: Words that a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -50,22 +50,36 @@ class _Words(dict):
         return low, ends
 
 
+def _tokens(text: str) -> tuple[list[str], list[tuple[str, bool]]]:
+    """The words of a text with the white space after each, and what _Words says of them."""
+    import re
+
+    tokens = re.findall(r"\S+\s*", text)
+    return tokens, list(map(common.worker_store("sentence_words", _Words).__getitem__, tokens))
+
+
+def _cuts(said: list[tuple[str, bool]]) -> list[int]:
+    """After how many words each sentence ends."""
+    cuts = [k for k, (_, ends) in enumerate(said, 1) if ends]
+    return cuts if not said or cuts[-1:] == [len(said)] else [*cuts, len(said)]
+
+
 def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     """Where sentences start, closed by the text's length, and their lower-cased words. Each has a word; text without any has no sentence."""
-    import re
     from itertools import accumulate
 
-    tokens = re.findall(r"\S+\s*", text)
+    tokens, said = _tokens(text)
     if not tokens:
         return [len(text)], []
-    said = list(map(common.worker_store("sentence_words", _Words).__getitem__, tokens))
-    cuts = [k for k, (_, ends) in enumerate(said, 1) if ends]
-    if not cuts or cuts[-1] != len(tokens):
-        cuts.append(len(tokens))
-    at, low = list(accumulate(map(len, tokens), initial=len(text) - sum(map(len, tokens)))), [w for w, _ in said]
+    cuts, low = _cuts(said), [w for w, _ in said]
+    at = list(accumulate(map(len, tokens), initial=len(text) - sum(map(len, tokens))))
     return [0, *(at[k] for k in cuts)], [low[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
+def n_sentences(text: str) -> int:
+    return len(_cuts(_tokens(text)[1]))
+
+
 def spans(words: list[list[str]], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, digest) of every span."""
     from xxhash import xxh3_128_digest
@@ -170,13 +184,13 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
             columns = {c: row.field(c) for c in out}
             for text, gone in zip(columns["text"], batch.column("gone"), strict=True):
                 text, gone = text.as_py(), gone.as_py()
-                starts, words = sentences(text or "")
                 drop = {k for g in gone or () for k in range(g["at"], g["at"] + g["size"])}
+                total.append(n_sentences(text or ""))
+                lost.append(len(drop))
                 if drop:
-                    text = "".join(text[starts[k] : starts[k + 1]] for k in range(len(words)) if k not in drop)
+                    starts = sentences(text)[0]
+                    text = "".join(text[starts[k] : starts[k + 1]] for k in range(total[-1]) if k not in drop)
                 texts.append(text)
-                total.append(len(words))
-                lost.append(len(drop))
             columns["text"] = pa.array(texts, columns["text"].type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*out, *own])
 
