@@ -395,17 +395,17 @@ def study(spark: SparkSession, sf_dir: str):
     return parts, *oov.models(parts)
 
 
-def study_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def study_tests(spark: SparkSession, sf_dir: str, held: tuple | None = None) -> DataFrame:
     """The study's words with the three tests: those no dictionary has, and Japanese ones that are held out or only phonetic."""
-    parts, e, j, threshold = study(spark, sf_dir)
+    parts, e, j, threshold = held or study(spark, sf_dir)
     own = oov.study_words(spark).filter("language = 'English'").unionByName(oov.negatives(parts).withColumn("language", F.lit("Japanese")))
     return oov.tested(own, e, j, threshold)
 
 
 @query
-def oov_splits(spark, sf_dir):
+def oov_splits(spark, sf_dir, held: tuple | None = None):
     """Words of each part of the split, and the threshold that the development words give."""
-    parts, _, _, threshold = study(spark, sf_dir)
+    parts, _, _, threshold = held or study(spark, sf_dir)
     n = parts.groupBy("language", "part").agg(F.count(F.lit(1)).cast("double").alias("value"))
     t = threshold.select(F.lit("").alias("language"), F.lit("threshold").alias("part"), F.round("threshold", 5).alias("value"))
     return n.unionByName(t)
@@ -418,16 +418,16 @@ def oov_predictions(spark, sf_dir):
 
 
 @query
-def oov_confusion(spark, sf_dir):
-    p = oov.by_test(study_tests(spark, sf_dir), "language")
+def oov_confusion(spark, sf_dir, held: tuple | None = None):
+    p = oov.by_test(study_tests(spark, sf_dir, held), "language")
     return oov.confusion(p, "test")
 
 
 @query
-def oov_lists(spark, sf_dir):
+def oov_lists(spark, sf_dir, held: tuple | None = None):
     """Words that the model misses or takes wrongly, that only one test finds, and scores of the probe words."""
-    parts, e, j, threshold = study(spark, sf_dir)
-    d, probes = study_tests(spark, sf_dir), spark.createDataFrame([(w,) for w in STUDY_PROBES], "word string")
+    parts, e, j, threshold = held or study(spark, sf_dir)
+    d, probes = study_tests(spark, sf_dir, held), spark.createDataFrame([(w,) for w in STUDY_PROBES], "word string")
     english, japanese = F.col("language") == "English", F.col("language") == "Japanese"
     lists = {"missed": english & ~F.col("model"), "false-positive": japanese & F.col("model"), "model-only": english & F.col("model") & ~F.col("shape"), "suffix-only": english & F.col("shape") & ~F.col("model")}
     named = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in lists.items())))
@@ -436,9 +436,9 @@ def oov_lists(spark, sf_dir):
 
 
 @query
-def oov_localized(spark, sf_dir):
+def oov_localized(spark, sf_dir, held: tuple | None = None):
     """Of each test, how often a word set into a stream is among the proposed spans, and what else is proposed."""
-    parts, e, j, threshold = study(spark, sf_dir)
+    parts, e, j, threshold = held or study(spark, sf_dir)
     own = oov.study_words(spark).filter("language = 'English'").select("word", "ord", F.lit(True).alias("positive")).unionByName(oov.negatives(parts).withColumn("positive", F.lit(False)))
     streams = oov.mixed_streams(own).select("text", "start", "end", "positive")
     spans = oov.tested(oov.proposed_spans(streams.select("text")), e, j, threshold)
@@ -446,18 +446,20 @@ def oov_localized(spark, sf_dir):
 
 
 @query
-def glued_counts(spark, sf_dir):
+def glued_counts(spark, sf_dir, held: tuple | None = None):
     """Japanese words glued by a particle: how many each test takes for English."""
-    parts, e, j, threshold = study(spark, sf_dir)
+    parts, e, j, threshold = held or study(spark, sf_dir)
     g = oov.tested(oov.glued(oov.negatives(parts)), e, j, threshold)
     return g.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(k).alias(k) for k in ("shape", "model", "either")))
 
 
 @query
 def oov_document(spark, sf_dir):
-    """The study as one JSON document."""
+    """The study as one JSON document; split, models and threshold are found once for all its sections."""
+    parts = scratch.written(study(spark, sf_dir)[0])
+    held = (parts, *map(scratch.written, oov.models(parts)))
     views = {"splits": oov_splits, "confusion": oov_confusion, "localized": oov_localized, "gluedControls": glued_counts, "discordance": oov_discordance, "lists": oov_lists}
-    return export.as_sections({name: view(spark, sf_dir) for name, view in views.items()})
+    return export.as_sections({name: view(spark, sf_dir, held) for name, view in views.items()})
 
 
 @query
@@ -486,8 +488,8 @@ def shape_confusion(spark, sf_dir):
 
 
 @query
-def oov_discordance(spark, sf_dir):
-    return oov.discordance(study_tests(spark, sf_dir).filter("language = 'English'").select(F.col("model").alias("first"), F.col("shape").alias("second")))
+def oov_discordance(spark, sf_dir, held: tuple | None = None):
+    return oov.discordance(study_tests(spark, sf_dir, held).filter("language = 'English'").select(F.col("model").alias("first"), F.col("shape").alias("second")))
 
 
 @query
