@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,15 @@ def arrow_schema(df_schema):
     return to_arrow_schema(df_schema)
 
 
+def in_order(texts: DataFrame) -> DataFrame:
+    """The distinct texts, those that begin alike together: what reads them one after the other need not read a beginning twice.
+
+    Texts are few bytes and much work, so they are dealt by the number of cores and not by their size.
+    """
+    each = texts.select("text").filter("text is not null").distinct()
+    return each.repartitionByRange(4 * texts.sparkSession.sparkContext.defaultParallelism, "text").sortWithinPartitions("text")
+
+
 def _map_texts(texts: DataFrame, ddl: str, work) -> DataFrame:
     """work(text) -> rows, for each distinct text; the text is the first column of each row."""
     from pyspark.sql.types import _parse_datatype_string
@@ -73,19 +83,55 @@ def _map_texts(texts: DataFrame, ddl: str, work) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return texts.select("text").filter("text is not null").distinct().mapInArrow(run, f"text string, {ddl}")
+    return in_order(texts).mapInArrow(run, f"text string, {ddl}")
+
+
+@lru_cache(maxsize=4)
+def _reader(p: LatticeParameters) -> L.Reader:
+    """A worker's reader: what it knows of places outlives a task."""
+    return L.Reader(p)
+
+
+def decode(texts: DataFrame, parameters: LatticeParameters | None = None, top: int | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """(text, rank, score, relative_score, segmentation, output, edges, expanded) of the best paths of each distinct text.
 
+    fields: which fields the edges have, all without it.
+    """
+    from pyspark.sql.types import _parse_datatype_string
 
-def decode(texts: DataFrame, parameters: LatticeParameters | None = None, top: int | None = None) -> DataFrame:
-    """(text, rank, score, relative_score, segmentation, output, edges, expanded) of the best paths of each distinct text."""
     p = parameters or LatticeParameters()
+    held = [(i, x) for i, x in enumerate(EDGE[len("struct<") : -1].split(",")) if fields is None or x.split(":")[0] in fields]
+    ddl = f"text string, rank int, score double, relative_score double, segmentation string, output string, edges array<struct<{','.join(x for _, x in held)}>>, expanded int"
+    schema, picked = arrow_schema(_parse_datatype_string(ddl)), [i for i, _ in held]
 
-    def work(text: str) -> Iterator[dict]:
-        got = L.decode(text, p)
-        for rank, row in enumerate(path_rows(got.paths[:top]), 1):
-            yield {"rank": rank, **row, "expanded": got.expanded}
+    def made(rows: list, edges: list, ends: list):
+        import pyarrow as pa
 
-    return _map_texts(texts, f"rank int, score double, relative_score double, segmentation string, output string, edges array<{EDGE}>, expanded int", work)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        parts = list(zip(*edges, strict=True)) if edges else [[]] * len(L.Edge._fields)
+        kind = schema.field("edges").type
+        values = pa.StructArray.from_arrays([pa.array(parts[i], f.type) for i, f in zip(picked, kind.value_type, strict=True)], fields=list(kind.value_type))
+        nested = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values).cast(kind)
+        plain = [pa.array(c, schema.field(n).type) for c, n in zip(columns, ("text", "rank", "score", "relative_score", "segmentation", "output", "expanded"), strict=True)]
+        return pa.RecordBatch.from_arrays([*plain[:-1], nested, plain[-1]], schema=schema)
+
+    def run(batches: Iterator) -> Iterator:
+        reader = _reader(p)
+        for batch in batches:
+            rows, edges, ends = [], [], []
+            for text in batch.column("text").to_pylist():
+                reader.read(text)
+                paths, work = reader.paths(top), reader.expanded
+                for rank, (score, path) in enumerate(paths, 1):
+                    rows.append((text, rank, score, score - paths[0].score, " | ".join([e[2] for e in path]), "".join([e[3] for e in path]), work))
+                    edges += path
+                    ends.append(len(edges))
+                if len(rows) >= 5000:
+                    yield made(rows, edges, ends)
+                    rows, edges, ends = [], [], []
+            yield made(rows, edges, ends)
+
+    return in_order(texts).mapInArrow(run, ddl)
 
 
 def session_frames(texts: DataFrame, parameters: LatticeParameters | None = None, nested: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,18 @@ def checked_paths(edges: DataFrame) -> DataFrame:
     return edges.withColumn("bad", gap | other | short)
 
 
+def counted_paths(paths: DataFrame) -> DataFrame:
+    """(text, rank, edges, broken) of paths (text, rank, edges with start, end and raw): how many edges there are, and how many checked_paths() calls bad."""
+
+    def bad(e: Column, i: Column) -> Column:
+        gap = e["start"] != F.when(i == 0, F.lit(0)).otherwise(F.get("edges", i - 1)["end"])
+        other = F.substr(F.col("text"), e["start"] + 1, e["end"] - e["start"]) != e["raw"]
+        return gap | other | ((i == F.size("edges") - 1) & (e["end"] != F.length("text")))
+
+    found = paths.select("text", "rank", "edges", F.size(F.filter("edges", bad)).cast("long").alias("broken"))
+    return found.withColumn("edges", F.size("edges").cast("long"))
+
+
 def broken_paths(edges: DataFrame) -> DataFrame:
     return checked_paths(edges).filter("bad").select("text", "rank", "place")
 

@@ -69,6 +69,32 @@ def test_kept_paths_are_those_of_a_fresh_reading():
             assert f.edges == L.candidate_edges(f.active_raw, LatticeParameters())
 
 
+def test_texts_in_order_share_what_they_begin_with():
+    p, read = LatticeParameters(), []
+    r = L.Reader(p)
+    place = r._read_place
+    r._read_place = lambda text: read.append(text) or place(text)
+    texts = sorted([*LATTICE, *fuzz(150), "a+++b", "c++", "ab" + "+" * 40 + "wakyou", "x+" * 20, "abcdefghijkl.kyouhawotukau", ""])
+    for text in [*texts, *reversed(texts)]:
+        r.read(text)
+        w = L.Window(p, text)
+        assert (r.edges(), r.paths(), r.expanded) == tuple(w.decoded()), text
+        assert r.paths(1) == w.decoded().paths[:1]
+    read.clear()
+    for n in range(200):
+        r.read(f"https://blog.example.org/en/{n:03}?utm_source=feed")
+    assert len(read) < 200 * 12
+
+
+def test_paths_are_counted_as_edges_are_checked(spark):
+    good, e = lattice.decode(spark.createDataFrame([(t,) for t in fuzz(40)], "text string"), fields=("start", "end", "raw")), "array<struct<start:int,end:int,raw:string>>"
+    odd = spark.createDataFrame([("abc", 1, [(0, 1, "a"), (2, 3, "c")]), ("abc", 2, [(0, 2, "ab")]), ("abc", 3, [(0, 1, "b"), (1, 3, "bc")]), ("abc", 4, [(1, 3, "bc")])], f"text string, rank int, edges {e}")
+    for paths in (good.select("text", "rank", "edges"), odd):
+        checked = quality.checked_paths(lattice.explode_edges(paths)).groupBy("text", "rank").agg(F.count(F.lit(1)).alias("edges"), F.count_if("bad").alias("broken"))
+        assert sorted(checked.collect()) == sorted(quality.counted_paths(paths).collect())
+    assert [r.broken for r in quality.counted_paths(odd).orderBy("rank").collect()] == [1, 1, 1, 1]
+
+
 def test_no_early_particle_commit():
     s = L.Session()
     s.update("henn")
