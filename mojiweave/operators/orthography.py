@@ -27,11 +27,10 @@ _SUFFIXES = ("japanese-particle", "japanese-verb-suffix", "japanese-auxiliary",
 def _suffix_cut(text: str, first: int, end: int) -> int:
     """Where a Japanese suffix begins inside [first, end), else end: the leftmost cut with letters on both sides, a strong entry after it and a left side that romaji does not read."""
     for cut in range(first + 1, end):
-        tail, left = text[cut:end], text[first:cut]
-        if not all(c in R.LETTERS for c in tail) or not any(c in R.LETTERS for c in left):
+        if not any(e.language == "Japanese" and e.weight >= 5.1 and (e.evidence in _SUFFIXES or len(e.raw) >= 3) for e in R.entries_at(text, cut)):
             continue
-        strong = any(e.language == "Japanese" and e.weight >= 5.1 and (e.evidence in _SUFFIXES or len(e.raw) >= 3) for e in R.entries_at(text, cut))
-        if strong and R.unresolved(left) >= 0.20:
+        tail, left = text[cut:end], text[first:cut]
+        if all(c in R.LETTERS for c in tail) and any(c in R.LETTERS for c in left) and R.unresolved(left) >= 0.20:
             return cut
     return end
 

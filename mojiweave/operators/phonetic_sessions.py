@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from mojiweave.functions import phonetic
 from mojiweave.operators.dictionary import confidence, hits, strong_boundaries
 from mojiweave.operators.intervals import first_apart
-from mojiweave.operators.lattice import _map_texts
+from mojiweave.operators.lattice import _map_texts, arrow_schema, in_order
 from mojiweave.operators.orthography import symbol_evidence
 from mojiweave.plans import phonetic_first as P
 from mojiweave.sources.tables import lexicon as entries
@@ -62,6 +63,72 @@ def phonetic_steps(texts: DataFrame, p: P.PhoneticParameters | None = None) -> D
     return _map_texts(texts, STEP, work)
 
 
+#: What checked_steps() reads.
+CHECKED = ("step", "input", "committed_raw_length", "hard_committed_raw_length", "committed_output", "active_raw", "segments", "frozen", "output", "freeze_transitions")
+
+
+def bare_steps(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
+    """The columns CHECKED of phonetic_steps, segments as they are before they are shaken."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    p = p or P.PhoneticParameters()
+    ddl = "text string, " + ", ".join(x for x in STEP.replace(", ", "\n").splitlines() if x.split()[0] in CHECKED)
+    schema, places = arrow_schema(_parse_datatype_string(ddl)), [NAMES.index(x) for x in CHECKED]
+
+    def column(values: tuple, kind):
+        import pyarrow as pa
+
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        flat = [x for v in values for x in v]
+        parts, own = list(zip(*flat, strict=True)) or [[]] * kind.value_type.num_fields, list(kind.value_type)
+        ends = pa.array(accumulate(map(len, values), initial=0), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(parts, own, strict=True)], fields=own)).cast(kind)
+
+    def made(rows: list):
+        import pyarrow as pa
+
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator) -> Iterator:
+        typing = P.Typing(p, bare=True)
+        for batch in batches:
+            rows: list = []
+            for text in batch.column("text").to_pylist():
+                typing.type(text)
+                rows += ((text, *(s[i] for i in places)) for s in typing.steps())
+                if len(rows) >= 2000:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
+
+    return in_order(texts).mapInArrow(run, ddl)
+
+
+def results(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
+    """(text, output, committed_raw_length, hard_committed_raw_length, total_analyzed) of each distinct text after its last keystroke, as last_steps() has them: the steps before are not made."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    p = p or P.PhoneticParameters()
+    ddl = "text string, output string, committed_raw_length int, hard_committed_raw_length int, total_analyzed long"
+    schema = arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        typing = P.Typing(p)
+        for batch in batches:
+            rows = []
+            for text in filter(None, batch.column("text").to_pylist()):
+                s = typing.type(text)
+                rows.append((text, typing.output(), s.done, s.hard, s.total))
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return in_order(texts).mapInArrow(run, ddl)
+
+
 def anchor_candidates(texts: DataFrame, p: P.PhoneticParameters | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(text, start, end, raw, score, readability, kind) of all that may anchor a reading of each distinct text: tokens, words that romaji reads badly, and words between strong Japanese."""
     p = p or P.PhoneticParameters()

@@ -95,6 +95,31 @@ def test_paths_are_counted_as_edges_are_checked(spark):
     assert [r.broken for r in quality.counted_paths(odd).orderBy("rank").collect()] == [1, 1, 1, 1]
 
 
+def test_sessions_in_order_are_typed_once_for_what_they_begin_with(spark):
+    p, texts = P.PhoneticParameters(), sorted([*PHONETIC, *LATTICE, *fuzz(200), "kyouhaq", "harucommit"])
+    typing, typed = P.Typing(p, bare=True), []
+    for text in [*texts, *reversed(texts)]:
+        s, whole = typing.type(text), P.PhoneticSession(p).update(text)
+        last = whole[-1]
+        assert (typing.output(), s.done, s.hard, s.total) == (last.output, last.committed_raw_length, last.hard_raw_length, last.total_analyzed), text
+        plain = [x._replace(segments=[(y.start, y.end, y.raw, y.output) for y in x.segments], preview="", marks=[], ripples=[]) for x in whole]
+        assert [x._replace(segments=[(y.start, y.end, y.raw, y.output) for y in x.segments]) for x in typing.steps()] == plain
+    step = P.PhoneticSession._key
+    try:
+        P.PhoneticSession._key = lambda self, c, watch: typed.append(c) or step(self, c, watch)
+        for n in range(100):
+            typing.type(f"https://blog.example.org/en/{n:03}")
+    finally:
+        P.PhoneticSession._key = step
+    assert len(typed) < 28 + 100 * 3
+    df = spark.createDataFrame([(t,) for t in [*texts, ""]], "text string")
+    steps = phonetic_sessions.phonetic_steps(df).cache()
+    names = ("text", "output", "committed_raw_length", "hard_committed_raw_length", "total_analyzed")
+    assert sorted(phonetic_sessions.results(df).collect()) == sorted(phonetic_sessions.last_steps(steps).select(*names).collect())
+    checked = [x.groupBy("text").agg(F.count(F.lit(1)), F.max(F.length("input")), F.count_if("bad")) for x in map(phonetic_sessions.checked_steps, (steps, phonetic_sessions.bare_steps(df)))]
+    assert sorted(checked[0].collect()) == sorted(checked[1].collect())
+
+
 def test_no_early_particle_commit():
     s = L.Session()
     s.update("henn")
