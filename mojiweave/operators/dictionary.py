@@ -45,9 +45,12 @@ def boundary_support(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     last = F.sequence(F.greatest(F.lit(1), F.length("text") - max(LENGTHS) + 1), F.length("text") - 1)
     rests = texts.filter(F.length("text") > 1).select(F.col("text").alias("whole"), F.explode(last).alias("position")).withColumn("text", F.substr("whole", F.col("position") + 1, F.length("whole")))
     begun = prefix_hits(rests, lexicon).select(F.col("whole").alias("text"), "position", zero.alias("l"), (0.75 * sure).alias("r"))
-    places = texts.select("text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("position"), zero.alias("l"), zero.alias("r"))
-    # what a text has at its places comes together once
-    each = places.unionByName(found).unionByName(begun).repartition("text").groupBy("text", "position").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # what a text has at its places comes together as one small list; places are made after that, and are in no shuffle
+    held = found.unionByName(begun).groupBy("text").agg(F.collect_list(F.struct("position", "l", "r")).alias("held"))
+    each = texts.join(held, "text", "left").select("text", "held", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("position"))
+    own = each.select("text", "position", F.filter("held", lambda h: h["position"] == F.col("position")).alias("own"))
+    best = lambda side: F.coalesce(F.array_max(F.transform("own", lambda h: h[side])), F.lit(0.0))
+    each = own.select("text", "position", best("l").alias("l"), best("r").alias("r"))
     l, r = F.col("l"), F.col("r")
     support = F.when((F.col("position") == 0) | (F.col("position") == F.length("text")), 0.0).when((l > 0) & (r > 0), F.sqrt(l * r)).otherwise(0.35 * F.greatest(l, r))
     return each.select("text", "position", support.alias("support"))

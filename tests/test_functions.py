@@ -63,6 +63,28 @@ def test_boundary_support_ends(spark):
     assert got[0] == 0 and got[6] == 0 and got[4] > 0.6 and got[2] < got[4]
 
 
+def test_boundary_support_of_every_place(spark):
+    words = ["kyouha", "kyouhacommitsi", "a", "wa", "node", "commi", "simasit", "hahaha", "zzzz", "nihongowotuka"]
+    texts, entries = spark.createDataFrame([(w,) for w in words], "text string"), lexicon(spark)
+    places = dictionary.boundary_support(texts, entries)
+    sure = {r.raw: max(0.0, min(1.0, (r.weight - 3.5) / 3.5)) for r in entries.collect()}
+    for r in places.collect():
+        w, at = r.text, r.position
+        left = max((s for e, s in sure.items() if w[:at].endswith(e)), default=0.0)
+        right = max([s for e, s in sure.items() if w[at:].startswith(e)] + [0.75 * s for e, s in sure.items() if 0 < at < len(w) and e.startswith(w[at:]) and len(e) > len(w) - at], default=0.0)
+        want = 0.0 if at in (0, len(w)) else (left * right) ** 0.5 if left > 0 and right > 0 else 0.35 * max(left, right)
+        assert abs(r.support - want) < 1e-12, r
+    assert places.count() == sum(len(w) + 1 for w in words)
+
+
+def test_boundary_query_has_a_row_for_each_place(spark):
+    from mojiweave.plans.queries import QUERIES
+    from mojiweave.plans.sql import ORACLES
+
+    assert QUERIES["boundary_lexical_support"](spark, "/root/testdata/sf0.001").columns == ["text", "position", "support"]
+    assert "string_agg(position" not in ORACLES["boundary_lexical_support"]
+
+
 def test_study(spark):
     words = spark.createDataFrame([(w,) for w in OOV_WORDS], "word string")
     japanese, english = oov.gram_counts(oov.japanese_words(spark)), oov.gram_counts(words)
