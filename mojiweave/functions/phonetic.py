@@ -77,6 +77,16 @@ def coverage(text: Column, found: Column) -> Column:
     )
 
 
+def unresolved(text: Column) -> Column:
+    """coverage()'s unresolved_ratio without the units: what no token takes stays, and what may become one at the end is a suffix of that."""
+    letters = lambda c: F.length(F.regexp_replace(c, "[^a-z]", "")).cast("double")
+    rest = F.regexp_replace(text, TOKEN, "_")
+    open_ = F.length(F.regexp_extract(rest, rf"(?:{'|'.join(PREFIXES)})\z", 0)).cast("double")
+    total, left = letters(text), letters(rest)
+    share = F.coalesce(F.try_divide(total - left, total), F.lit(0.0)), F.coalesce(F.try_divide(open_, total), F.lit(0.0))
+    return F.when(total == 0, 0.0).otherwise(F.least(F.greatest(1.0 - share[0] - 0.35 * share[1], F.lit(0.0)), F.lit(1.0)))
+
+
 def readability(found: Column, start: Column, end: Column) -> Column:
     """Mean confidence over the characters of [start, end), symbols left out; 0 if nothing is left."""
     def overlap(u: Column) -> Column:

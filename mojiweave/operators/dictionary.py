@@ -21,6 +21,11 @@ def hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return cut.join(F.broadcast(lexicon), "raw").withColumn("end", F.col("start") + F.col("n")).drop("n")
 
 
+def dealt(texts: DataFrame) -> DataFrame:
+    """The distinct texts: few bytes and much work, so they are dealt by the number of cores and not by their size."""
+    return texts.select("text").filter("text is not null").distinct().repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "text")
+
+
 def prefix_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """texts (text, ...) with the entries that begin with the whole text and are longer."""
     longest = max(LENGTHS)
@@ -56,10 +61,20 @@ def boundary_support(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return each.select("text", "position", support.alias("support"))
 
 
+def ends_strong() -> Column:
+    """Whether an entry (raw, language, weight) is strong Japanese before a boundary."""
+    return (F.col("language") == "Japanese") & (F.col("weight") >= 5.2)
+
+
+def starts_strong() -> Column:
+    """Whether an entry (raw, language, weight, evidence) is strong Japanese after a boundary."""
+    kinds = ["japanese-particle", "japanese-verb-suffix", "japanese-auxiliary", "japanese-verb"]
+    return (F.col("language") == "Japanese") & (F.col("weight") >= 5.1) & (F.col("evidence").isin(*kinds) | (F.length("raw") >= 3))
+
+
 def strong_boundaries(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Rows (text, position) after which strong Japanese starts, or before which it ends, with side."""
-    found = hits(texts.select("text").distinct(), lexicon).filter("language = 'Japanese'")
-    before = found.filter("weight >= 5.2").select("text", F.col("end").alias("position"), F.lit("before").alias("side"))
-    kinds = ["japanese-particle", "japanese-verb-suffix", "japanese-auxiliary", "japanese-verb"]
-    after = found.filter((F.col("weight") >= 5.1) & (F.col("evidence").isin(*kinds) | (F.length("raw") >= 3))).select("text", F.col("start").alias("position"), F.lit("after").alias("side"))
+    found = hits(texts.select("text").distinct(), lexicon)
+    before = found.filter(ends_strong()).select("text", F.col("end").alias("position"), F.lit("before").alias("side"))
+    after = found.filter(starts_strong()).select("text", F.col("start").alias("position"), F.lit("after").alias("side"))
     return before.unionByName(after).distinct()

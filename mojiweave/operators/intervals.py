@@ -36,9 +36,9 @@ def stab_join(left: DataFrame, points: DataFrame, keys: list[str], cell: int = 1
     return own.join(points.withColumn("_cell", at(F.col("point"))), [*keys, "_cell"]).filter("start < point and point < end").drop("_cell")
 
 
-def first_apart(ordered: Column) -> Column:
-    """Of an array of structs with start and end those that overlap none chosen before them, in the array's order."""
-    none = F.slice(ordered, F.lit(1), F.lit(0))
+def first_apart(ordered: Column, kind: str | None = None) -> Column:
+    """Of an array of structs with start and end those that overlap none chosen before them, in the array's order. kind: the array's type; without it the array is made twice."""
+    none = F.array().cast(kind) if kind else F.slice(ordered, F.lit(1), F.lit(0))
 
     def take(chosen: Column, x: Column) -> Column:
         meets = F.exists(chosen, lambda c: (x["start"] < c["end"]) & (c["start"] < x["end"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic
@@ -71,7 +71,7 @@ def evidence(text: str) -> list[tuple]:
 _RUN = "[" + "".join(sorted(R.WORD)) + r"._\-+#@/:]"
 
 
-def _marks(texts: DataFrame) -> DataFrame:
+def marks(texts: DataFrame) -> DataFrame:
     """(text, at, c, start, after, reach, token, waiting) of each symbol of each text: the run of word and binding characters that ends before it, whether a word character follows, how far a token goes, and whether it is one or may become one."""
     symbols = [*BINDING, *HARD, *NEUTRAL, " "]
     each = texts.select("text", F.posexplode(F.split("text", "")).alias("at", "c")).filter(F.col("c").isin(*symbols))
@@ -85,22 +85,26 @@ def _marks(texts: DataFrame) -> DataFrame:
     )
 
 
+def is_cut(own: Column, tail: Column) -> Column:
+    """Whether a suffix begins between what a token has after its symbol and its tail: letters on both sides, the left ones not read by romaji."""
+    return tail.rlike("^[a-z]+$") & own.rlike("[a-z]") & (phonetic.unresolved(own) >= 0.20)
+
+
 def _cuts(texts: DataFrame, marks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(text, at, cut) of the tokens in which a Japanese suffix begins: the leftmost strong entry with letters only up to the token's end, after letters that romaji does not read."""
     strong = strong_boundaries(texts, lexicon).filter("side = 'after'").select("text", F.col("position").alias("point"))
     inside = stab_join(marks.filter("token and after").select("text", "at", (F.col("at") + 1).alias("start"), F.col("reach").alias("end")), strong, ["text"])
     own, tail = F.substr("text", F.col("start") + 1, F.col("point") - F.col("start")), F.substr("text", F.col("point") + 1, F.col("end") - F.col("point"))
-    found = inside.withColumn("own", own).filter(tail.rlike("^[a-z]+$") & F.col("own").rlike("[a-z]"))
-    found = found.filter(phonetic.coverage(F.col("own"), phonetic.units(F.col("own")))["unresolved_ratio"] >= 0.20)
+    found = inside.withColumn("own", own).withColumn("tail", tail).filter(is_cut(F.col("own"), F.col("tail")))
     return found.groupBy("text", "at").agg(F.min("point").alias("cut"))
 
 
 def symbol_evidence(texts: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Evidence rows of each distinct text, as evidence() gives them: a scan of symbols, a join with strong entries for suffixes, and a running maximum of ends that leaves out tokens inside others."""
     texts = texts.select("text").filter("text is not null").distinct()
-    marks = _marks(texts)
-    cuts = _cuts(texts, marks, lexicon if lexicon is not None else entries(texts.sparkSession))
-    known = marks.join(cuts, ["text", "at"], "left").withColumn("end", F.when(F.col("token"), F.coalesce("cut", "reach")).otherwise(F.col("at") + 1))
+    found = marks(texts)
+    cuts = _cuts(texts, found, lexicon if lexicon is not None else entries(texts.sparkSession))
+    known = found.join(cuts, ["text", "at"], "left").withColumn("end", F.when(F.col("token"), F.coalesce("cut", "reach")).otherwise(F.col("at") + 1))
     earlier = Window.partitionBy("text", "token").orderBy("start", F.desc("end"), "at").rowsBetween(Window.unboundedPreceding, -1)
     kept = known.withColumn("_far", F.max("end").over(earlier)).filter(~F.col("token") | F.col("_far").isNull() | (F.col("_far") < F.col("end")))
     c, waits = F.col("c"), F.col("waiting") & ~F.col("token")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mojiweave.functions import phonetic
-from mojiweave.operators.dictionary import confidence, hits, strong_boundaries
+from mojiweave.operators.dictionary import confidence, dealt, ends_strong, hits, starts_strong
 from mojiweave.operators.intervals import first_apart
 from mojiweave.operators.lattice import _map_texts, arrow_schema, in_order
-from mojiweave.operators.orthography import symbol_evidence
+from mojiweave.operators.orthography import is_cut, marks
 from mojiweave.plans import phonetic_first as P
 from mojiweave.sources.tables import lexicon as entries
 
@@ -130,29 +130,61 @@ def results(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFram
 
 
 def anchor_candidates(texts: DataFrame, p: P.PhoneticParameters | None = None, lexicon: DataFrame | None = None) -> DataFrame:
-    """(text, start, end, raw, score, readability, kind) of all that may anchor a reading of each distinct text: tokens, words that romaji reads badly, and words between strong Japanese."""
+    """(text, found array<struct<start, end, raw, score, readability, kind>>) of all that may anchor a reading of each distinct text: tokens, words that romaji reads badly, and words between strong Japanese.
+
+    A text's entries and symbols come together once, as two small lists; all else looks at these.
+    """
     p = p or P.PhoneticParameters()
     lexicon = lexicon if lexicon is not None else entries(texts.sparkSession)
-    texts, size = texts.select("text").filter("text is not null").distinct(), F.length("raw")
-    tokens = symbol_evidence(texts, lexicon).filter("kind = 'LatinBindingToken' and complete")
-    tokens = tokens.select("text", "start", "end", "raw", (9.0 + 0.05 * size).alias("score"), F.lit(0.0).alias("readability"), F.lit("orthographic").alias("kind"))
-    english = lexicon.filter("language = 'English'").select("raw", "weight", phonetic.readability(phonetic.units(F.col("raw")), F.lit(0), size).alias("readability"))
-    strong = strong_boundaries(texts, lexicon)
-    before, after = (strong.filter(F.col("side") == k).select("text", F.col("position").alias(at), F.lit(True).alias(k)) for k, at in (("before", "start"), ("after", "end")))
-    found = hits(texts, english).join(before, ["text", "start"], "left").join(after, ["text", "end"], "left")
-    left, right = F.coalesce("before", F.lit(False)), F.coalesce("after", F.lit(False))
-    rescued = (size >= 5) & ((left & (right | (F.col("end") == F.length("text")))) | ((F.col("start") == 0) & right))
-    odd = F.col("readability") <= p.english_anomaly
-    score = 2.0 * confidence(F.col("weight")) + 2.5 * (1.0 - F.col("readability")) + 0.03 * size + 2.0 * rescued.cast("int")
-    found = found.filter(odd | rescued).select("text", "start", "end", "raw", score.alias("score"), "readability", F.when(odd, "anomaly").otherwise("contextual").alias("kind"))
-    return tokens.unionByName(found)
+    size, japanese = F.length("raw"), F.col("language") == "Japanese"
+    reads = phonetic.readability(phonetic.units(F.col("raw")), F.lit(0), size)
+    known = lexicon.select("raw", "weight", (~japanese).alias("latin"), F.when(~japanese, reads).alias("readability"), ends_strong().alias("ends"), starts_strong().alias("starts"))
+    texts = dealt(texts)
+    hit = hits(texts, known.filter("latin or ends or starts")).select("text", F.struct("start", "end", *known.columns).alias("hit"), F.lit(None).alias("mark"))
+    mark = marks(texts).filter("token").select("text", F.lit(None).alias("hit"), F.struct("at", "start", "after", "reach").alias("mark"))
+    held = hit.unionByName(mark).groupBy("text").agg(F.collect_list("hit").alias("hits"), F.collect_list("mark").alias("marks"))
+    held = held.withColumns({"before": F.transform(F.filter("hits", lambda h: h["ends"]), lambda h: h["end"]), "after": F.transform(F.filter("hits", lambda h: h["starts"]), lambda h: h["start"])})
+    text = F.col("text")
+
+    def token(m: Column) -> Column:
+        own = lambda a: F.substr(text, m["at"] + 2, a - m["at"] - 1)
+        tail = lambda a: F.substr(text, a + 1, m["reach"] - a)
+        cuts = F.filter("after", lambda a: m["after"] & (m["at"] + 1 < a) & (a < m["reach"]) & is_cut(own(a), tail(a)))
+        return F.struct(m["at"].alias("at"), m["start"].alias("start"), F.coalesce(F.array_min(cuts), m["reach"]).alias("end"))
+
+    held = held.withColumn("tokens", F.transform("marks", token))
+
+    def inside(t: Column) -> Column:
+        first = lambda o: (o["start"] < t["start"]) | ((o["start"] == t["start"]) & ((o["end"] > t["end"]) | ((o["end"] == t["end"]) & (o["at"] < t["at"]))))
+        return F.exists("tokens", lambda o: first(o) & (o["end"] >= t["end"]))
+
+    def anchor(start: Column, end: Column, raw: Column, score: Column, readability: Column, kind: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), raw.alias("raw"), score.alias("score"), readability.alias("readability"), kind.alias("kind"))
+
+    def of_token(t: Column) -> Column:
+        n = t["end"] - t["start"]
+        return anchor(t["start"], t["end"], F.substr(text, t["start"] + 1, n), 9.0 + 0.05 * n, F.lit(0.0), F.lit("orthographic"))
+
+    def rescued(h: Column) -> Column:
+        left, right = F.array_contains("before", h["start"]), F.array_contains("after", h["end"])
+        return (F.length(h["raw"]) >= 5) & ((left & (right | (h["end"] == F.length(text)))) | ((h["start"] == 0) & right))
+
+    def of_word(h: Column) -> Column:
+        odd = h["readability"] <= p.english_anomaly
+        score = 2.0 * confidence(h["weight"]) + 2.5 * (1.0 - h["readability"]) + 0.03 * F.length(h["raw"]) + 2.0 * rescued(h).cast("int")
+        return anchor(h["start"], h["end"], h["raw"], score, h["readability"], F.when(odd, "anomaly").otherwise("contextual"))
+
+    tokens = F.transform(F.filter("tokens", lambda t: ~inside(t)), of_token)
+    words = F.transform(F.filter("hits", lambda h: h["latin"] & ((h["readability"] <= p.english_anomaly) | rescued(h))), of_word)
+    return held.select("text", F.concat(tokens, words).alias("found"))
 
 
 def anchors(texts: DataFrame, p: P.PhoneticParameters | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(text, start, end, raw, score, readability, kind) of the Latin words and tokens of each distinct text: tokens first, then by score and length, none that overlaps one before."""
-    rank = [(F.col("kind") != "orthographic").alias("a"), (-F.col("score")).alias("b"), (F.col("start") - F.col("end")).alias("c")]
-    each = anchor_candidates(texts, p, lexicon).groupBy("text").agg(F.array_sort(F.collect_list(F.struct(*rank, "start", "end", "raw", "score", "readability", "kind"))).alias("x"))
-    return each.select("text", F.inline(first_apart(F.col("x")))).drop("a", "b", "c")
+    names = ("start", "end", "raw", "score", "readability", "kind")
+    ranked = F.transform("found", lambda f: F.struct((f["kind"] != "orthographic").alias("a"), (-f["score"]).alias("b"), (f["start"] - f["end"]).alias("c"), *(f[n].alias(n) for n in names)))
+    each = anchor_candidates(texts, p, lexicon).select("text", F.array_sort(ranked).alias("x"))
+    return each.select("text", F.inline(first_apart(F.col("x"), each.schema["x"].dataType.simpleString()))).drop("a", "b", "c")
 
 
 def resolved(texts: DataFrame, p: P.PhoneticParameters | None = None) -> DataFrame:
