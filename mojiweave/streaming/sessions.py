@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,15 +42,32 @@ def clean(text: str | None) -> str:
     return "".join(c for c in (text or "").translate({i: i + 32 for i in range(65, 91)}) if c in R.ALLOWED)
 
 
+#: What a worker remembers: states, each with a text typed on it, and the longest of them (more recur seldom).
+KNOWN, LONGEST = 50_000, 96
+
+
+@lru_cache(maxsize=8)
+def _known(kind: str, p) -> dict:
+    """What texts do to states that recur: (state, text) -> frames and the state after, all counted from the state's own beginning. Lives as long as the worker."""
+    return {}
+
+
+def _remember(known: dict, key: tuple, value: tuple) -> tuple:
+    if len(known) >= KNOWN:
+        known.clear()
+    known[key] = value
+    return value
+
+
 class _LatticeState:
-    """A lattice session without what it has said, of which only the length counts, and what is shown after that."""
+    """A lattice session without what it has said, of which only the length counts; open: the input that is not committed, the consensus so far, and what is shown of it.
 
-    def __init__(self, session: L.Session, said: int = 0, shown: str = ""):
-        self.session, self.said, self.shown = session, said, shown
+    live: the session itself, unless the last text was one that is known.
+    """
 
-    @property
-    def input(self) -> str:
-        return self.session.input
+    def __init__(self, text: str, done: int, total: int, said: int, open_: tuple):
+        self.input, self.done, self.total, self.said, self.open = text, done, total, said, open_
+        self.live: L.Session | None = None
 
 
 class Lattice:
@@ -59,25 +77,55 @@ class Lattice:
         self.p = p or LatticeParameters()
 
     def start(self):
-        return _LatticeState(L.Session(self.p, nested=False))
+        return _LatticeState("", 0, 0, 0, ("", "", 0, ""))
 
     def save(self, x: _LatticeState) -> list:
-        s = x.session
-        return [s.input, s.done, s.signature, s.stable, s.total, x.said, x.shown]
+        _, signature, stable, shown = x.open
+        return [x.input, x.done, signature, stable, x.total, x.said, shown]
 
     def load(self, saved: list):
         text, done, signature, stable, total, said, shown = saved
-        return _LatticeState(L.Session(self.p, text, done, "", signature, stable, total, nested=False), said, shown)
+        return _LatticeState(text, done, total, said, (text[done:], signature, stable, shown))
+
+    def _typed(self, x: _LatticeState, text: str) -> tuple:
+        """Frames and the state after, counted from where x's open part begins."""
+        active, signature, stable, shown = x.open
+        s = x.live = x.live or L.Session(self.p, active, 0, "", signature, stable, 0, nested=False)
+        begin, total, said, frames = s.done, s.total, 0, []
+        s.said = ""
+        for f in s.update(s.input + text):
+            committed, rest = "".join(c[3] for c in f.commits), f.output[len(f.committed_output) :]
+            now, n = committed + rest, 0
+            while n < min(len(now), len(shown)) and now[n] == shown[n]:
+                n += 1
+            frames.append((f.step - begin, f.committed_raw_length - begin, said + n, now[n:], f.expanded_edges, f.total_expanded_edges - total))
+            said, shown = said + len(committed), rest
+        return tuple(frames), (s.input[s.done :], s.signature, s.stable, shown), s.done - begin, s.total - total, said
 
     def rows(self, x: _LatticeState, text: str) -> Iterator[tuple]:
-        x.session.said = ""
-        for f in x.session.update(x.session.input + text):
-            committed, active = "".join(c[3] for c in f.commits), f.output[len(f.committed_output) :]
-            now, n = committed + active, 0
-            while n < min(len(now), len(x.shown)) and now[n] == x.shown[n]:
-                n += 1
-            yield f.step, f.committed_raw_length, x.said + n, now[n:], f.expanded_edges, f.total_expanded_edges
-            x.said, x.shown = x.said + len(committed), active
+        known, key = _known("lattice", self.p), (x.open, text)
+        got = known.get(key)
+        if got is not None:
+            x.live = None
+        elif len(x.open[0]) + len(text) > LONGEST:
+            got = self._typed(x, text)
+        else:
+            got = _remember(known, key, self._typed(x, text))
+        frames, open_, done, total, said = got
+        for f in frames:
+            yield x.done + f[0], x.done + f[1], x.said + f[2], f[3], f[4], x.total + f[5]
+        x.input, x.open, x.done, x.total, x.said = x.input + text, open_, x.done + done, x.total + total, x.said + said
+
+
+class _PhoneticState:
+    """A phonetic-first session of which the hard part is one number of characters; open: the input after it and its soft segments, in places of their own, or what a settled session depends on.
+
+    live: the session itself, unless the last text was one that is known.
+    """
+
+    def __init__(self, text: str, hard: int, chars: int, total: int, open_: tuple, before: int = 0):
+        self.input, self.hard, self.chars, self.total, self.open, self.before = text, hard, chars, total, open_, before
+        self.live: P.PhoneticSession | None = None
 
 
 class PhoneticFirst:
@@ -87,16 +135,67 @@ class PhoneticFirst:
         self.p = p or P.PhoneticParameters()
 
     def start(self):
-        return P.PhoneticSession(self.p)
+        return _PhoneticState("", 0, 0, 0, ("", ()))
 
-    def save(self, s: P.PhoneticSession) -> list:
-        return s.saved()
+    def save(self, x: _PhoneticState) -> list:
+        soft = x.open[1] if len(x.open) == 2 else ()
+        return [x.input, x.hard, x.chars, [[x.hard + a, x.hard + b, *rest] for a, b, *rest in soft], x.total]
 
     def load(self, saved: list):
-        return P.PhoneticSession.loaded(self.p, saved)
-
-    def rows(self, s: P.PhoneticSession, text: str) -> Iterator[tuple]:
-        yield from s.keys(text)
+        text, hard, chars, soft, total = saved
+        return _PhoneticState(text, hard, chars, total, (text[hard:], tuple((a - hard, b - hard, *rest) for a, b, *rest in soft)))
+
+    def _session(self, x: _PhoneticState) -> P.PhoneticSession:
+        if x.live is None:
+            soft = x.open[1] if len(x.open) == 2 else ()
+            x.live = P.PhoneticSession.loaded(self.p, [x.input[x.hard :], 0, 0, soft, 0])
+        return x.live
+
+    def _after(self, s: P.PhoneticSession) -> tuple:
+        if (settled := s.settled) is not None:
+            return settled
+        at = s.hard
+        return s.input[at:], tuple((a - at, b - at, *rest) for a, b, *rest in s.committed[s.n_hard :])
+
+    def _typed(self, x: _PhoneticState, text: str) -> tuple:
+        """Frames and the state after, counted from where x's open part begins."""
+        s = self._session(x)
+        _, at, chars, _, total = s.saved()
+        frames = tuple((f[0] - at, f[1] - at, f[2] - chars, f[3], f[4], f[5] - total) for f in s.keys(text))
+        _, hard, after, _, sum_ = s.saved()
+        return frames, self._after(s), hard - at, after - chars, sum_ - total, s.shown_before - after
+
+    def _settled(self, x: _PhoneticState, text: str) -> tuple:
+        """The same of a settled session: (kept, shown) of each keystroke and the state after, counted from where the last piece is shown."""
+        s = self._session(x)
+        before = s.shown_before
+        frames = tuple((f[2] - before, f[3]) for f in s.keys(text))
+        return frames, self._after(s), s.shown_before - before
+
+    def rows(self, x: _PhoneticState, text: str) -> Iterator[tuple]:
+        settled = len(x.open) == 3
+        known, key = _known("phonetic", self.p), (x.open, text)
+        got = known.get(key)
+        if got is not None:
+            x.live = None
+        else:
+            got = (self._settled if settled else self._typed)(x, text)
+            if len(x.open[0]) + len(text) <= LONGEST and (not settled or len(got[1]) == 3):
+                _remember(known, key, got)
+        if settled:
+            frames, open_, moved = got
+            n, hard, total = len(x.input), x.hard, x.total
+            for kept, shown in frames:
+                n += 1
+                total += n - hard
+                yield n, hard, x.chars + x.before + kept, shown, n - hard, total
+            x.open, x.total, x.before = open_, total, x.before + moved
+        else:
+            frames, open_, hard, chars, total, before = got
+            for f in frames:
+                yield x.hard + f[0], x.hard + f[1], x.chars + f[2], f[3], f[4], x.total + f[5]
+            x.open, x.hard, x.chars, x.total, x.before = open_, x.hard + hard, x.chars + chars, x.total + total, before
+        x.input += text
 
 
 def _advance(kind, session, version: int, op: str, text: str):
@@ -178,6 +277,12 @@ def decode_stream(keys: DataFrame, kind=None, log_keys: int = LOG_KEYS, ttl_ms:
     return keys.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
+def _in_turn(keys: DataFrame) -> DataFrame:
+    """Keystrokes with each session's together and in order; few bytes and much work, so they are dealt by the number of cores."""
+    ordered = keys.select("session_id", "seq", F.coalesce("op", F.lit("")).alias("op"), F.coalesce("text", F.lit("")).alias("text"))
+    return ordered.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism, "session_id").sortWithinPartitions("session_id", "seq", "op", "text")
+
+
 def decode_batch(keys: DataFrame, kind=None) -> DataFrame:
     """The same frames of a finished table of keystrokes; a session's rows are read in order from sorted partitions."""
     kind = kind or Lattice()
@@ -200,8 +305,47 @@ def decode_batch(keys: DataFrame, kind=None) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=NAMES)
 
-    ordered = keys.select("session_id", "seq", F.coalesce("op", F.lit("")).alias("op"), F.coalesce("text", F.lit("")).alias("text"))
-    return ordered.repartition("session_id").sortWithinPartitions("session_id", "seq", "op", "text").mapInPandas(run, OUT)
+    return _in_turn(keys).mapInPandas(run, OUT)
+
+
+def batch_results(keys: DataFrame, kind=None) -> DataFrame:
+    """results(decode_batch(keys, kind)) without its frames: a session's keystrokes are put together as they are read."""
+    kind = kind or Lattice()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = pa.schema([("session_id", pa.string()), ("frames", pa.int64()), ("committed_raw_length", pa.int32()), ("output", pa.string()), ("total_work", pa.int64())])
+        now, session, last, shown, told, out = None, None, None, "", (0, 0, 0), []
+
+        def made(rows: list):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], schema=kinds)
+
+        for batch in batches:
+            for sid, seq, op, text in zip(*(batch.column(c).to_pylist() for c in ("session_id", "seq", "op", "text")), strict=True):
+                if sid != now or session is None:
+                    if session is not None:
+                        out.append((now, told[0], told[1], shown, told[2]))
+                    now, session, last, shown, told = sid, kind.start(), None, "", (0, 0, 0)
+                    if len(out) >= 5_000:
+                        yield made(out)
+                        out = []
+                if last is not None and seq <= last:
+                    continue
+                last = seq
+                session, _, frames = _advance(kind, session, 0, op, text)
+                if not frames:
+                    continue
+                least = min(f[2] for f in frames)
+                tail = shown[least:]
+                for f in frames:
+                    tail = tail[: f[2] - least] + f[3]
+                shown, told = shown[:least] + tail, (frames[-1][0], frames[-1][1], frames[-1][5])
+        if session is not None:
+            out.append((now, told[0], told[1], shown, told[2]))
+        yield made(out)
+
+    return _in_turn(keys).mapInArrow(run, "session_id string, frames long, committed_raw_length int, output string, total_work long")
 
 
 def current(frames: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from mojiweave.plans import lattice as L
 from mojiweave.plans import phonetic_first as P
 from mojiweave.sources.fixed import ENTRIES
 from mojiweave.streaming import runs
-from mojiweave.streaming.sessions import Lattice, PhoneticFirst, decode_batch, decode_stream, results
+from mojiweave.streaming.sessions import Lattice, PhoneticFirst, batch_results, decode_batch, decode_stream, results
 
 SCHEMA = "session_id string, seq long, op string, text string"
 ROWS = [("a", i, "append", c) for i, c in enumerate("kyouhacommitsimasita")] + [("b", 0, "append", "node"), ("b", 1, "append", ".js=wo"), ("b", 2, "replace", "kyou"), ("b", 2, "zappend", "zzz"), ("b", 3, "append", "ha!")]
@@ -149,3 +149,40 @@ def test_a_session_takes_time_in_proportion_to_its_length(text):
 
     took(500)
     assert took(8000) < 4 * 3 * took(2000) + 0.5
+
+
+@KINDS
+def test_batch_results_are_those_of_the_frames(spark, kind):
+    rng, words = random.Random(11), ["view ", "click ", "purchase ", "kyouha", "commit", "n", "", ".js", "wotukau ", "A b!"]
+    rows = [(str(s), q, "replace" if rng.random() < 0.08 else "append", rng.choice(words)) for s in range(40) for q in range(30)] + [("0", 3, "append", "zz"), ("e", 0, None, None)]
+    keys = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, batch_results(keys, kind).collect())) == sorted(map(tuple, results(decode_batch(keys, kind)).collect()))
+
+
+@KINDS
+def test_states_that_recur_are_read_once(kind, monkeypatch):
+    """Frames do not depend on what a worker remembers, nor on saving and loading in between; known texts are not typed again."""
+    from mojiweave.streaming import sessions
+
+    rng, words = random.Random(5), ["view ", "click ", "purchase ", "signup ", "kyouhacommit", "wo", "x-y ", "c++"]
+    runs_ = [[rng.choice(words) for _ in range(40)] for _ in range(25)]
+
+    def frames(longest, reload=False):
+        monkeypatch.setattr(sessions, "LONGEST", longest)
+        sessions._known.cache_clear()
+        out = []
+        for texts in runs_:
+            x = kind.start()
+            for i, t in enumerate(texts):
+                out += list(kind.rows(x, t))
+                if reload and i % 7 == 3:
+                    x = kind.load(json.loads(json.dumps(kind.save(x))))
+        return out
+
+    want = frames(-1)  # nothing is remembered
+    assert frames(sessions.LONGEST if sessions.LONGEST > 0 else 96) == frames(96, True) == want
+    x, y = kind.start(), kind.start()
+    for z in (x, y):
+        for _ in range(30):
+            list(kind.rows(z, "view "))
+    assert y.live is None
