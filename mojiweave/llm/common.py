@@ -240,6 +240,14 @@ def meet(rows: DataFrame, keys: DataFrame, on: list[str], *spread: str) -> DataF
     return some.unionByName(known.filter("not _maybe").join(held.filter("not _maybe").drop("_maybe"), on).drop("_maybe"))
 
 
+def meet_marked(rows: DataFrame, keys: DataFrame, on: list[str], *spread: str) -> DataFrame:
+    """meet() of rows and keys that hold _maybe, the answer of one filter of the hot keys' values: one join, in which a key that is not hot has one part."""
+    parts = F.when(F.col("_maybe"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = keys.withColumn("_salt", F.explode(parts)).drop("_maybe")
+    salt = F.when(F.col("_maybe"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.withColumn("_salt", salt).drop("_maybe").join(dealt, [*on, "_salt"]).drop("_salt")
+
+
 def with_few(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     """rows with the further columns of few (a written table, each key once; no null in a key), null where a row's key is not in it.
 

@@ -23,7 +23,9 @@ are equal or not: none loses a span to the other, and all lose what an earlier d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate, compress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,51 +35,70 @@ from mojiweave.llm import common
 MIN_SENTENCES, MIN_WORDS, CUT_WORDS = 2, 16, 12
 #: Words that a worker remembers.
 CACHE_WORDS = 400_000
+#: What workers keep from task to task.
+STORES = ("sentence_ends", "sentence_words")
 
 
-class _Words(dict):
-    """For a word with the white space after it: (the word in lower case, whether a sentence ends there)."""
+class _Ends(dict):
+    """For a word with the white space after it: whether a sentence ends there."""
 
-    def __missing__(self, token: str) -> tuple[str, bool]:
+    def __missing__(self, token: str) -> bool:
         import zlib
 
         word = token.strip()
-        after, low = token[len(word) :], word.lower()
-        ends = "\n" in after or (after != "" and word[-1] in ".!?") or zlib.crc32(low.encode("utf-8", "surrogatepass")) % CUT_WORDS == 0
+        after = token[len(word) :]
+        ends = "\n" in after or (after != "" and word[-1] in ".!?") or zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % CUT_WORDS == 0
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[token] = low, ends
-        return low, ends
+        self[token] = ends
+        return ends
 
 
-def _tokens(text: str) -> tuple[list[str], list[tuple[str, bool]]]:
-    """The words of a text with the white space after each, and what _Words says of them."""
-    import re
+class _Low(dict):
+    """For a word with the white space after it: the word in lower case."""
 
-    tokens = re.findall(r"\S+\s*", text)
-    return tokens, list(map(common.worker_store("sentence_words", _Words).__getitem__, tokens))
+    def __missing__(self, token: str) -> str:
+        low = token.strip().lower()
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[token] = low
+        return low
 
 
-def _cuts(said: list[tuple[str, bool]]) -> list[int]:
-    """After how many words each sentence ends."""
-    cuts = [k for k, (_, ends) in enumerate(said, 1) if ends]
-    return cuts if not said or cuts[-1:] == [len(said)] else [*cuts, len(said)]
+_TOKEN = re.compile(r"\S+\s*")
 
 
-def sentences(text: str) -> tuple[list[int], list[list[str]]]:
-    """Where sentences start, closed by the text's length, and their lower-cased words. Each has a word; text without any has no sentence."""
-    from itertools import accumulate
+def _tokens(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text with the white space after each, and after how many words each sentence ends."""
+    tokens = _TOKEN.findall(text)
+    n = len(tokens)
+    cuts = list(compress(range(1, n + 1), map(common.worker_store("sentence_ends", _Ends).__getitem__, tokens)))
+    if n and cuts[-1:] != [n]:
+        cuts.append(n)
+    return tokens, cuts
+
 
-    tokens, said = _tokens(text)
+def _starts(text: str, tokens: list[str], cuts: list[int]) -> list[int]:
+    """Where sentences start, closed by the text's length; a text without a word has its length only."""
     if not tokens:
-        return [len(text)], []
-    cuts, low = _cuts(said), [w for w, _ in said]
+        return [len(text)]
     at = list(accumulate(map(len, tokens), initial=len(text) - sum(map(len, tokens))))
-    return [0, *(at[k] for k in cuts)], [low[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+    return [0, *map(at.__getitem__, cuts)]
+
+
+def sentences(text: str) -> tuple[list[int], list[list[str]]]:
+    """Where sentences start, closed by the text's length, and their lower-cased words. Each has a word; text without any has no sentence."""
+    tokens, cuts = _tokens(text)
+    return _starts(text, tokens, cuts), _words(tokens, cuts)
+
+
+def _words(tokens: list[str], cuts: list[int]) -> list[list[str]]:
+    low = list(map(common.worker_store("sentence_words", _Low).__getitem__, tokens))
+    return [low[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 def n_sentences(text: str) -> int:
-    return len(_cuts(_tokens(text)[1]))
+    return len(_tokens(text)[1])
 
 
 def spans(words: list[list[str]], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
@@ -127,7 +148,7 @@ def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFram
             row, at, size, digests, again = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 seen: set[bytes] = set()
-                for a, n, d in spans(sentences(text.as_py() or "")[1], min_sentences, min_words):
+                for a, n, d in spans(_words(*_tokens(text.as_py() or "")), min_sentences, min_words):
                     row.append(i)
                     at.append(a)
                     size.append(n)
@@ -139,20 +160,22 @@ def span_table(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFram
                     row, at, size, digests, again = [], [], [], [], []
             yield made(batch, row, at, size, digests, again)
 
-    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, f"doc {common.doc_type(keyed)}, dig long, at int, size int, h1 long, h2 int, again boolean", "sentence_words")
+    return common.map_arrow(keyed.select("_doc", "_dig", "text"), run, f"doc {common.doc_type(keyed)}, dig long, at int, size int, h1 long, h2 int, again boolean", *STORES)
 
 
-def _picked(table: DataFrame, bits) -> DataFrame:
-    """The rows whose h1 passes the filter."""
+def _picked(table: DataFrame, hot, bits=None) -> DataFrame:
+    """The rows whose h1 passes the filter `bits` (all without one), with _maybe: whether it passes `hot`."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        test = common.key_test(bits.value)
+        common_one, test = common.key_test(hot.value), bits and common.key_test(bits.value)
         for batch in batches:
-            yield batch.filter(pa.array(test(batch.column("h1").to_numpy())))
+            if test:
+                batch = batch.filter(pa.array(test(batch.column("h1").to_numpy())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(common_one(batch.column("h1").to_numpy()))], [*batch.schema.names, "_maybe"])
 
-    return common.map_arrow(table, run, table.schema)
+    return common.map_arrow(table, run, common.ddl(table) + ", _maybe boolean")
 
 
 def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
@@ -161,8 +184,10 @@ def covered(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     firsts = table.filter("not again")
     repeated = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("copies")).filter("lead != last").drop("last")
     repeated = common.materialize(repeated, "repeated_spans")
-    bits = keyed.sparkSession.sparkContext.broadcast(common.key_bits(repeated, F.col("h1")))
-    later = common.meet(_picked(firsts.select("doc", "dig", "at", "size", "h1", "h2"), bits), repeated, ["h1", "h2"], "doc", "dig").filter("doc != lead")
+    sc, very = keyed.sparkSession.sparkContext, F.col("copies") >= common.HOT_ROWS
+    bits, hot = (sc.broadcast(common.key_bits(k, F.col("h1"))) for k in (repeated, repeated.filter(very)))
+    rows = _picked(firsts.select("doc", "dig", "at", "size", "h1", "h2"), hot, bits)
+    later = common.meet_marked(rows, _picked(repeated.drop("copies"), hot), ["h1", "h2"], "doc", "dig").filter("doc != lead")
     gone = later.select("doc", "dig", "at", "size").unionByName(table.filter("again").select("doc", "dig", "at", "size"))
     return gone.groupBy(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))
 
@@ -185,16 +210,17 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
             for text, gone in zip(columns["text"], batch.column("gone"), strict=True):
                 text, gone = text.as_py(), gone.as_py()
                 drop = {k for g in gone or () for k in range(g["at"], g["at"] + g["size"])}
-                total.append(n_sentences(text or ""))
+                tokens, cuts = _tokens(text or "")
+                total.append(len(cuts))
                 lost.append(len(drop))
                 if drop:
-                    starts = sentences(text)[0]
+                    starts = _starts(text, tokens, cuts)
                     text = "".join(text[starts[k] : starts[k + 1]] for k in range(total[-1]) if k not in drop)
                 texts.append(text)
             columns["text"] = pa.array(texts, columns["text"].type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*out, *own])
 
-    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_sentences long, n_removed long", "sentence_words")
+    return common.map_arrow(joined, run, common.ddl(docs, *own) + ", n_sentences long, n_removed long", *STORES)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

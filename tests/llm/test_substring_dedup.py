@@ -135,3 +135,14 @@ def test_query(spark):
     got = {r.doc_id: r for r in out.collect()}
     for (i, _), gone in zip(docs, brute([t for _, t in docs]), strict=True):
         assert got[i].n_removed == len(gone)
+
+
+def test_common_spans_are_marked_where_they_are_picked(spark, monkeypatch):
+    """Spans that very many documents share are dealt over parts by a mark that their rows already hold; no row is joined with a filter for it."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    shared = " ".join(f"word{i}" for i in range(20)) + ". " + " ".join(f"more{i}" for i in range(20)) + ". "
+    docs = spark.createDataFrame([(i, shared + f"tail {i} here") for i in range(30)] + [(99, "a text of its own")], "doc_id long, text string")
+    with common.scratch_paths():
+        gone = S.covered(common.keyed(docs), S.MIN_SENTENCES, S.MIN_WORDS)
+        assert "_chunk" not in gone._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r._doc for r in gone.collect()) == list(range(1, 30))
