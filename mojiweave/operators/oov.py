@@ -132,8 +132,13 @@ def split(english: DataFrame, seed: int = SEED) -> DataFrame:
 def models(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gram counts of both languages' training words, and one row (recall, threshold) from the development words."""
     e, j = (gram_counts(parts.filter((F.col("part") == "train") & (F.col("language") == k))) for k in ("English", "Japanese"))
+    return e, j, threshold(parts, e, j)
+
+
+def threshold(parts: DataFrame, english: DataFrame, japanese: DataFrame) -> DataFrame:
+    """choose_threshold() of the development words under the two models' gram counts."""
     dev = parts.filter("part = 'dev'")
-    return e, j, choose_threshold(differences(dev, e, j).join(dev.select("word", "language"), "word"))
+    return choose_threshold(differences(dev, english, japanese).join(dev.select("word", "language"), "word"))
 
 
 def tested(words: DataFrame, english: DataFrame, japanese: DataFrame, threshold: DataFrame) -> DataFrame:

@@ -49,3 +49,14 @@ def test_words_of_a_harness_file(spark, tmp_path):
     path.write_text("nothing of it", encoding="utf-8")
     with pytest.raises(ValueError):
         oov.study_words(spark, str(path))
+
+
+def test_the_study_reads_documents_once(spark):
+    """Split, models and threshold are written tables: no view of the study reads documents or counts grams again."""
+    from mojiweave.plans import queries
+
+    held = queries.study(spark, "/root/testdata/sf0.001")
+    for name in ("oov_lists", "oov_confusion"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001", held)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan
+    assert all("Aggregate" not in d._jdf.queryExecution().optimizedPlan().toString() for d in held)
