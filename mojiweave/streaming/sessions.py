@@ -10,7 +10,7 @@ edit that does not continue the input; that starts a new version. A keystroke th
 later ones is put in its place: the session is read anew from its log, and the frames from
 there on are emitted again under a new version. results() puts frames together.
 
-State: what the next keystroke needs, and a log. The log holds the last `log_keys` keystrokes, twice as
+State: for each session, what the next keystroke needs, and a log. The log holds the last `log_keys` keystrokes, twice as
 many at most, and what the session was before them; a keystroke from before the log gets a frame
 of step -1 and changes nothing. With ttl_ms, state that was not touched for so long is forgotten.
 """
@@ -21,6 +21,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,13 +34,25 @@ from mojiweave.sources.fixed import LatticeParameters
 
 OUT = "session_id string, seq long, version int, step int, committed_raw_length int, kept int, shown string, work long, total_work long, rebuilt boolean"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
-LOG = "seq long, op string, text string"
+#: A block of the log: keystrokes that came together, as JSON of [seq, op, text], BLOCK_KEYS of them at most. What state costs, it costs for each row.
+LOG = "keys string"
+BLOCK_KEYS = 500
+#: Sessions that share a bucket come to Python together, and so do their frames: what a group costs, it costs once for all of them.
+BUCKETS = 1024
 #: Keystrokes of a session that a late one may precede, at least.
 LOG_KEYS = 1000
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def clean(text: str | None) -> str:
-    return "".join(c for c in (text or "").translate({i: i + 32 for i in range(65, 91)}) if c in R.ALLOWED)
+    return "".join([c for c in (text or "").translate(_LOWER) if c in R.ALLOWED])
+
+
+def _frame_table(frames: list[tuple]) -> pd.DataFrame:
+    """Frames with typed columns, so that pandas need not look at each value."""
+    types = object, "int64", "int32", "int32", "int32", "int32", object, "int64", "int64", "bool"
+    columns = zip(*frames, strict=True) if frames else [()] * len(NAMES)
+    return pd.DataFrame({n: np.array(c, t) for n, c, t in zip(NAMES, columns, types, strict=True)})
 
 
 #: What a worker remembers: states, each with a text typed on it, and the longest of them (more recur seldom).
@@ -215,66 +228,89 @@ _BEGIN = (0, 0, 0, "", 0, 0, False)
 
 
 class KeystrokeProcessor(StatefulProcessor):
+    """Of the sessions of a bucket: each has its own entries in maps of state, so a bucket is never read or written whole."""
+
     def __init__(self, kind, log_keys: int, ttl_ms: int | None):
         self._kind, self._keep, self._ttl = kind, log_keys, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # base: the session before the log's keystrokes and the seq of the last one in it
-        self._state = handle.getValueState("session", "last long, version int, logged int, base long, before string, saved string", self._ttl)
-        self._log = handle.getListState("log", LOG, self._ttl)
+        # base: the session before the log's keystrokes and the seq of the last one in it; the log is the blocks from first to before next
+        self._state = handle.getMapState("session", "session string", "last long, version int, logged int, first long, next long, base long, before string, saved string", self._ttl)
+        self._log = handle.getMapState("log", "session string, block long", LOG, self._ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        typed: dict[str, dict[int, tuple[str, str]]] = {}
+        for part in rows:
+            for sid, seq, op, text in zip(*(part[c].tolist() for c in ("session_id", "seq", "op", "text")), strict=True):
+                new, q, x = typed.setdefault(sid, {}), int(seq), (op or "", text or "")
+                new[q] = min(x, new.get(q, x))
+        out = []
+        while typed:
+            out += self._frames(*typed.popitem())
+            if len(out) >= 10_000 or not typed:
+                yield _frame_table(out)
+                out = []
+
+    def _frames(self, sid: str, new: dict[int, tuple[str, str]]) -> list[tuple]:
+        """The frames of what a session was sent."""
         kind, out = self._kind, []
-        last = base = None
-        version = logged = 0
-        session = before = None
-        if self._state.exists():
-            last, version, logged, base, before, saved = self._state.get()
+        last = base = before = None
+        version = logged = first = end = 0
+        if (held := self._state.getValue((sid,))) is not None:
+            last, version, logged, first, end, base, before, saved = held
             session = kind.load(json.loads(saved))
-        new: dict[int, tuple[str, str]] = {}
-        for part in rows:
-            for seq, op, text in part[["seq", "op", "text"]].itertuples(index=False):
-                x = op or "", text or ""
-                new[int(seq)] = min(x, new.get(int(seq), x))
-        if session is None:
+        else:
             session = kind.start()
-            out.append((key[0], min(new), version, *_BEGIN))
-        out += [(key[0], seq, version, -1, 0, 0, "", 0, 0, False) for seq in sorted(new) if base is not None and seq <= base]
+            out.append((sid, min(new), version, *_BEGIN))
+        out += [(sid, seq, version, -1, 0, 0, "", 0, 0, False) for seq in sorted(new) if base is not None and seq <= base]
         new = {q: x for q, x in new.items() if base is None or q > base}
         todo, again = new, False
         if last is not None and any(q <= last for q in new):
-            log = {int(q): (op, text) for q, op, text in self._log.get()}
+            log = self._logged(sid, first, end)
             todo = new = {q: x for q, x in new.items() if q not in log}
             if any(q <= last for q in new):
                 todo, again, version = log | new, True, version + 1
                 session = kind.load(json.loads(before)) if before else kind.start()
                 if not before:
-                    out.append((key[0], min(todo), version, *_BEGIN))
+                    out.append((sid, min(todo), version, *_BEGIN))
         for seq in sorted(todo):
             session, version, frames = _advance(kind, session, version, *todo[seq])
-            out += [(key[0], seq, version, *f[:-1], f[-1] or again) for f in frames]
-        if new:
-            self._log.appendList([(q, *x) for q, x in sorted(new.items())])
-            logged += len(new)
+            out += [(sid, seq, version, *f[:-1], f[-1] or again) for f in frames]
+        end = self._write(sid, end, sorted(new.items()))
+        logged += len(new)
         if logged > 2 * self._keep:
-            log = sorted((int(q), op, text) for q, op, text in self._log.get())
+            log = sorted(self._logged(sid, first, end).items())
             old = kind.load(json.loads(before)) if before else kind.start()
-            for _, op, text in log[: -self._keep]:
-                old = _advance(kind, old, 0, op, text)[0]
+            for _, x in log[: -self._keep]:
+                old = _advance(kind, old, 0, *x)[0]
             before, base, logged = json.dumps(kind.save(old), ensure_ascii=False), log[-self._keep - 1][0], self._keep
-            self._log.put(log[-self._keep :])
+            for block in range(first, end):
+                self._log.removeKey((sid, block))
+            first, end = end, self._write(sid, end, log[-self._keep :])
         seen = [q for q in (last, *new) if q is not None]
-        self._state.update((max(seen) if seen else None, version, logged, base, before, json.dumps(kind.save(session), ensure_ascii=False)))
-        yield pd.DataFrame(out, columns=NAMES)
+        self._state.updateValue((sid,), (max(seen) if seen else None, version, logged, first, end, base, before, json.dumps(kind.save(session), ensure_ascii=False)))
+        return out
+
+    def _write(self, sid: str, block: int, keys: list[tuple]) -> int:
+        """Writes keystrokes as blocks of the log, from `block` on; the number after the last."""
+        for i in range(0, len(keys), BLOCK_KEYS):
+            self._log.updateValue((sid, block), (json.dumps([(q, *x) for q, x in keys[i : i + BLOCK_KEYS]], ensure_ascii=False),))
+            block += 1
+        return block
+
+    def _logged(self, sid: str, first: int, end: int) -> dict[int, tuple[str, str]]:
+        blocks = (self._log.getValue((sid, i)) for i in range(first, end))
+        return {q: (op, text) for b in blocks if b is not None for q, op, text in json.loads(b[0])}
 
     def close(self) -> None:
         pass
 
 
-def decode_stream(keys: DataFrame, kind=None, log_keys: int = LOG_KEYS, ttl_ms: int | None = None) -> DataFrame:
-    """Frames of a stream of keystrokes, of a Lattice or a PhoneticFirst. Needs the RocksDB state store provider."""
+def decode_stream(keys: DataFrame, kind=None, log_keys: int = LOG_KEYS, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Frames of a stream of keystrokes, of a Lattice or a PhoneticFirst. Needs the RocksDB state store provider; buckets stay the same for a checkpoint."""
     processor = KeystrokeProcessor(kind or Lattice(), log_keys, ttl_ms)
-    return keys.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
+    dealt = keys.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
 def _in_turn(keys: DataFrame) -> DataFrame:
@@ -350,14 +386,15 @@ def batch_results(keys: DataFrame, kind=None) -> DataFrame:
 
 def current(frames: DataFrame) -> DataFrame:
     """The frames that later versions have not taken back."""
-    later = Window.partitionBy("session_id").orderBy("version").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("session_id").orderBy(F.desc("version")).rangeBetween(Window.unboundedPreceding, -1)
     valid = frames.filter("step >= 0").withColumn("_from", F.min("step").over(later))
     return valid.filter("_from is null or step < _from").drop("_from")
 
 
 def results(frames: DataFrame) -> DataFrame:
     """(session_id, frames, committed_raw_length, output, total_work) of each session as its frames leave it."""
-    after = Window.partitionBy("session_id").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
+    # from the last on: a frame that only grows is folded once, one that only shrinks anew for each row
+    after = Window.partitionBy("session_id").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     stays: Column = F.coalesce(F.min("kept").over(after) - F.col("kept"), F.length("shown"))
     parts = current(frames).withColumn("_left", F.substr("shown", F.lit(1), F.greatest(stays, F.lit(0))))
     said = F.transform(F.array_sort(F.collect_list(F.when(F.col("_left") != "", F.struct("step", "_left")))), lambda x: x["_left"])

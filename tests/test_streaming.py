@@ -4,13 +4,14 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from mojiweave.plans import lattice as L
 from mojiweave.plans import phonetic_first as P
 from mojiweave.sources.fixed import ENTRIES
 from mojiweave.streaming import runs
-from mojiweave.streaming.sessions import Lattice, PhoneticFirst, batch_results, decode_batch, decode_stream, results
+from mojiweave.streaming.sessions import KeystrokeProcessor, Lattice, PhoneticFirst, batch_results, decode_batch, decode_stream, results
 
 SCHEMA = "session_id string, seq long, op string, text string"
 ROWS = [("a", i, "append", c) for i, c in enumerate("kyouhacommitsimasita")] + [("b", 0, "append", "node"), ("b", 1, "append", ".js=wo"), ("b", 2, "replace", "kyou"), ("b", 2, "zappend", "zzz"), ("b", 3, "append", "ha!")]
@@ -186,3 +187,50 @@ def test_states_that_recur_are_read_once(kind, monkeypatch):
         for _ in range(30):
             list(kind.rows(z, "view "))
     assert y.live is None
+
+
+class _Map:
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key], self.writes = value, self.writes + 1
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, key, value, ttl):
+        return self.maps.setdefault(name, _Map())
+
+
+@KINDS
+def test_what_state_and_frames_cost_does_not_grow_with_keystrokes(kind):
+    """Sessions of a bucket that come together give one table of frames; each has one write of its state, and one of its log for all its keystrokes."""
+    handle, processor = _Handle(), KeystrokeProcessor(kind, log_keys=40, ttl_ms=None)
+    processor.init(handle)
+    rows = [(s, i, "append", "ha") for i in range(60) for s in ("a", "b", None)]
+    first, late = ([r for r in rows if (r[1] < 50 and r[1] % 10 != 0) == early] for early in (True, False))
+    for n, part in enumerate((first, late), 1):
+        tables = list(processor.handleInputRows((7,), iter([pd.DataFrame(part[i : i + 70], columns=["session_id", "seq", "op", "text"]) for i in range(0, len(part), 70)]), None))
+        assert len(tables) == 1 and set(tables[0].session_id) == {"a", "b", None}
+        assert [handle.maps[x].writes for x in ("session", "log")] == [3 * n, 3 * n]
+    ends = {s: (f.step, f.version) for s, f in zip(tables[0].session_id, tables[0].itertuples(), strict=True)}
+    assert ends == {s: (120, 1) for s in ("a", "b", None)}
+    list(processor.handleInputRows((7,), iter([pd.DataFrame([("a", i, "append", "ha") for i in range(60, 90)], columns=["session_id", "seq", "op", "text"])]), None))
+    assert len([k for k in handle.maps["log"].held if k[0] == "a"]) == 1 and handle.maps["session"].held[("a",)][2] == 40  # the log was cut
+
+
+@KINDS
+def test_one_bucket_and_a_session_without_a_name(spark, tmp_path, kind):
+    rows = [*ROWS, (None, 0, "append", "kyou"), (None, 1, "append", "ha")]
+    whole = sorted(map(repr, map(tuple, decode_batch(spark.createDataFrame(rows, SCHEMA), kind).collect())))
+    frames = streamed(spark, tmp_path, (rows[:7], rows[7:22], rows[22:]), kind, buckets=1)
+    assert sorted(map(repr, map(tuple, frames.collect()))) == whole
