@@ -61,6 +61,34 @@ def kana(text: Column) -> Column:
     return F.when(converts(text), F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[b-df-hj-mp-tv-z]$"), "っ").otherwise(F.try_element_at(known, t))), ""))
 
 
+def leading(text: Column) -> Column:
+    """The tokens that a text begins with, up to what none takes."""
+    return F.regexp_extract_all(F.regexp_extract(text, rf"^(?>{TOKEN})*+", 0), F.lit(TOKEN), F.lit(0))
+
+
+def doubles(token: Column) -> Column:
+    """Whether a token is a doubled consonant's first half."""
+    return token.rlike("^[b-df-hj-mp-tv-z]$")
+
+
+def said(tokens: Column) -> Column:
+    """The kana of each token."""
+    known = _kana_map()
+    return F.transform(tokens, lambda t: F.when(doubles(t), "っ").otherwise(F.try_element_at(known, t)))
+
+
+def beginnings(text: Column, tokens: Column, shown: Column, k: Column) -> Column:
+    """array<struct<n, kana>>: the beginnings of a text that convert and end after k of its leading tokens, or after an n more; null elements for those that do not.
+
+    No syllable begins another, so a beginning is cut into tokens as the whole is; only an n at its end stands for itself
+    there, and a doubled consonant has its second half or is none. All arguments are columns of the table, or they are made anew for each k.
+    """
+    n, now = F.length(F.array_join(F.slice(tokens, F.lit(1), k), "")), F.array_join(F.slice(shown, F.lit(1), k), "")
+    whole = (k > 0) & ~F.coalesce(doubles(F.get(tokens, k - 1)), F.lit(False))
+    more = (F.substr(text, n + 1, F.lit(1)) == "n") & F.coalesce(F.get(tokens, k) != "n", F.lit(True))
+    return F.array(F.when(whole, F.struct(n.alias("n"), now.alias("kana"))), F.when(more, F.struct((n + 1).alias("n"), F.concat(now, F.lit("ん")).alias("kana"))))
+
+
 def _letters(found: Column, kinds: tuple[str, ...]) -> Column:
     return F.aggregate(F.filter(found, lambda u: u["kind"].isin(*kinds)), F.lit(0), lambda n, u: n + F.length(u["raw"])).cast("double")
 

@@ -14,10 +14,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mojiweave.functions.phonetic import converts, kana
+from mojiweave.functions.phonetic import beginnings, converts, leading, said
 from mojiweave.functions.syntax import char_class, char_set
-from mojiweave.operators.dictionary import hits
-from mojiweave.operators.profile import advantage, scores
+from mojiweave.operators.dictionary import dealt, hits
+from mojiweave.operators.profile import BOUND, advantage, place_leans, scores, span_lean
 from mojiweave.plans import lattice as L
 from mojiweave.sources.fixed import BINDING, LatticeParameters
 
@@ -166,21 +166,27 @@ def lexical_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame
     return hits(texts.select("text").distinct(), entries).select("text", "start", "end", "raw", "output", "language", kind.alias("kind"), "local_score", "evidence")
 
 
-def letter_spans(texts: DataFrame, longest: int) -> DataFrame:
-    """(text, start, end, raw) of all spans of letters of the distinct texts, of at most `longest`."""
-    starts = texts.select("text").distinct().filter(F.length("text") > 0).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
-    run = F.regexp_extract(F.substr("text", F.col("start") + 1, F.lit(longest)), "^[a-z]+", 0)
-    ends = starts.withColumn("run", run).filter(F.length("run") > 0).withColumn("n", F.explode(F.sequence(F.lit(1), F.length("run"))))
-    return ends.select("text", "start", (F.col("start") + F.col("n")).alias("end"), F.substr("run", F.lit(1), F.col("n")).alias("raw"))
+def phonetic_spans(texts: DataFrame, parameters: LatticeParameters | None = None, *more: str) -> DataFrame:
+    """(text, start, n, output) of all spans of letters that convert to kana, of `phonetic_span` letters at most.
+
+    texts: distinct; more: array columns with an element for each place, of which a span gets the part from its start on. What
+    starts at a place is read once, whatever its length.
+    """
+    longest = (parameters or LatticeParameters()).phonetic_span
+    at = lambda i: F.struct(i.alias("start"), F.regexp_extract(F.substr("text", i + 1, F.lit(longest)), "^[a-z]+", 0).alias("run"), *(F.slice(c, i + 1, F.lit(longest)).alias(c) for c in more))
+    starts = texts.filter(F.length("text") > 0).select("text", F.inline(F.transform(F.sequence(F.lit(0), F.length("text") - 1), at))).filter(F.length("run") > 0)
+    read = starts.select("text", "start", "run", *more, leading(F.col("run")).alias("_t")).filter((F.size("_t") > 0) | F.startswith("run", F.lit("n")))
+    each = read.select(*read.columns, said(F.col("_t")).alias("_k")).select("*", F.explode(F.sequence(F.lit(0), F.size("_t"))).alias("_n"))
+    spans = each.select("text", "start", *more, F.explode(beginnings(*map(F.col, ("run", "_t", "_k", "_n")))).alias("_s")).filter("_s is not null")
+    return spans.select("text", "start", F.col("_s.n").alias("n"), F.col("_s.kana").alias("output"), *more)
 
 
 def phonetic_edges(texts: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
-    """The same of all spans that convert to kana; each distinct span is converted and scored once."""
-    spans = letter_spans(texts, (parameters or LatticeParameters()).phonetic_span)
-    read = spans.filter(converts(F.col("raw"))).select("raw").distinct().withColumn("output", kana(F.col("raw")))
-    priced = scores(read.withColumnRenamed("raw", "word"), profile_words).withColumnRenamed("word", "raw")
-    score = F.length("raw") - 0.55 + 0.42 * advantage(F.col("japanese"), F.col("english"))
-    return spans.join(priced, "raw").select("text", "start", "end", "raw", "output", F.lit("Japanese").alias("language"), F.lit("JapanesePhonetic").alias("kind"), score.alias("local_score"), F.lit("phonetic-lattice").alias("evidence"))
+    """The same of all spans that convert to kana; grams are priced once for each place of a text, and neither places nor spans are in a shuffle."""
+    spans = phonetic_spans(place_leans(dealt(texts), profile_words), parameters, "leans")
+    lean, n = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), span_lean(F.col("leans"), F.col("n")))), F.col("n")
+    raw = F.substr("text", F.col("start") + 1, n)
+    return spans.select("text", "start", (F.col("start") + n).alias("end"), raw.alias("raw"), "output", F.lit("Japanese").alias("language"), F.lit("JapanesePhonetic").alias("kind"), (n - 0.55 + 0.42 * lean).alias("local_score"), F.lit("phonetic-lattice").alias("evidence"))
 
 
 def _letters(text: Column) -> Column:

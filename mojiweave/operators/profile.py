@@ -46,5 +46,44 @@ def scores(words: DataFrame, profile_words: DataFrame) -> DataFrame:
     return words.join(scored, "word", "left").withColumns({k: F.coalesce(k, F.lit(NO_LETTERS)) for k in ("japanese", "english")})
 
 
+def leans(profile_words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, lean) of the profile's grams: the log-likelihood in Japanese less that in English; and one row (unseen), that of any other."""
+    grams = profile(profile_words)
+    of = {k: F.coalesce(F.sum(F.when(F.col("language") == k, F.col("n"))), F.lit(0)) for k in ("Japanese", "English")}
+    below = totals(grams).agg(*(F.max(F.when(F.col("language") == k, F.col("total") + SMOOTH * F.col("vocabulary"))).alias(f"below_{k}") for k in of))
+    lean = lambda ja, en: F.log((ja + SMOOTH) / F.col("below_Japanese")) - F.log((en + SMOOTH) / F.col("below_English"))
+    seen = grams.groupBy("gram").agg(*(n.alias(k) for k, n in of.items())).crossJoin(F.broadcast(below))
+    return seen.select("gram", lean(F.col("Japanese"), F.col("English")).alias("lean")), below.select(lean(F.lit(0), F.lit(0)).alias("unseen"))
+
+
+def place_leans(texts: DataFrame, profile_words: DataFrame) -> DataFrame:
+    """(text, leans) of texts, each on one row: what each place adds to the lean of a span.
+
+    pair, triple: the grams that begin there; head: those of a span of two or more that starts there; tail: that ends with it;
+    alone: those of the place by itself. So a span's lean is a sum over its places, and no span meets the profile.
+    """
+    seen, unseen = leans(profile_words)
+    places = texts.select("text").filter(F.length("text") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
+    cut = lambda n, before=0: F.substr("text", F.col("at") + (1 - before), F.lit(n))
+    begin, end = F.lit("^"), F.lit("$")
+    grams = {"pair": cut(2), "triple": cut(3), "h2": F.concat(begin, cut(1)), "h3": F.concat(begin, cut(2)), "t2": F.concat(cut(1), end), "t3": F.concat(F.when(F.col("at") > 0, cut(2, 1)).otherwise(""), end), "one": F.concat(begin, cut(1), end)}
+    for name, gram in grams.items():
+        places = places.withColumn("gram", gram).join(F.broadcast(seen.withColumnRenamed("lean", name)), "gram", "left").drop("gram")
+    places = places.crossJoin(F.broadcast(unseen))
+    g = {name: F.coalesce(name, "unseen") for name in grams}
+    parts = {"pair": g["pair"], "triple": g["triple"], "head": g["h2"] + g["h3"], "tail": g["t2"] + g["t3"], "alone": g["h2"] + g["t2"] + g["one"]}
+    # a text's places come together as one list, in the order of the first field
+    return places.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", *(c.alias(k) for k, c in parts.items())))).alias("leans"))
+
+
+def span_lean(places: Column, n: Column) -> Column:
+    """Mean lean over the grams of the span of the first n of some places (of place_leans)."""
+    def over(k: int, name: str) -> Column:
+        return F.aggregate(F.slice(places, F.lit(1), F.greatest(n - k, F.lit(0))), F.lit(0.0), lambda s, x: s + x[name])
+
+    longer = F.get(places, F.lit(0))["head"] + over(1, "pair") + over(2, "triple") + F.get(places, n - 1)["tail"]
+    return F.when(n == 1, F.get(places, F.lit(0))["alone"]).otherwise(longer) / (2 * n + 1)
+
+
 def advantage(own: Column, other: Column) -> Column:
     return F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), own - other))

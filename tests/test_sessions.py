@@ -258,3 +258,19 @@ def test_all_edges_agree_with_the_decoder(spark):
     rows = lattice.candidate_edges(df, lexicon(spark), profile_words(spark)).select("text", "start", "end", "output", "language", "kind", F.round("local_score", 9), "evidence").collect()
     expected = {(t, e.start, e.end, e.output, e.language, e.kind, round(e.score, 9), e.evidence) for t in texts for e in L.candidate_edges(t, LatticeParameters())}
     assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
+
+
+def test_spans_are_read_from_their_start_and_priced_without_a_join_on_them(spark):
+    """What starts at a place is cut into tokens once: its beginnings are those that convert by themselves; no span is in a shuffle."""
+    import re
+
+    from mojiweave.functions import phonetic
+    from mojiweave.sources.tables import profile_words
+
+    texts = ["kyouhacommit", "nn", "nna", "nnn", "nyk", "nya", "kka", "kkk", "anna", "a.bcn+kan", "n", "konnnichiha", "xtu", "abcdefghijklmnopqrstuvwxyz", "ka" * 20, "", "...", "sshanmmann"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {tuple(r) for r in lattice.phonetic_spans(df).select("text", "start", "n", "output").collect()}
+    cut = spark.createDataFrame([(t, i, n, t[i : i + n]) for t in texts for i in range(len(t)) for n in range(1, min(24, len(t) - i) + 1) if re.fullmatch("[a-z]+", t[i : i + n])], "text string, start int, n int, raw string")
+    assert got == {(r.text, r.start, r.n, r.k) for r in cut.withColumn("k", phonetic.kana(F.col("raw"))).collect() if r.k is not None}
+    plan = lattice.phonetic_edges(df, profile_words(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(raw#" not in "".join(x for x in plan.splitlines() if "Join" in x)
