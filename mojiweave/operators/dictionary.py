@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mojiweave.sources.fixed import ENTRIES
+from mojiweave.sources.scratch import written
 
 LENGTHS = sorted({len(e.raw) for e in ENTRIES})
+#: Characters of a part of texts, about: what a task holds of their places and edges does not grow with the number of texts.
+PART = 1 << 17
 
 
 def hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -21,9 +24,17 @@ def hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return cut.join(F.broadcast(lexicon), "raw").withColumn("end", F.col("start") + F.col("n")).drop("n")
 
 
+def counted(texts: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct texts as a written table, and in how many parts to deal them: few bytes are much work, so each core has some, and more texts make more parts."""
+    each = written(texts.select("text").filter("text is not null").distinct())
+    characters = each.agg(F.sum(F.length("text"))).first()[0] or 0
+    return each, max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-characters // PART))
+
+
 def dealt(texts: DataFrame) -> DataFrame:
-    """The distinct texts: few bytes and much work, so they are dealt by the number of cores and not by their size."""
-    return texts.select("text").filter("text is not null").distinct().repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "text")
+    """The distinct texts, dealt by their characters and the number of cores."""
+    each, parts = counted(texts)
+    return each.repartition(parts, "text")
 
 
 def prefix_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mojiweave.functions.phonetic import beginnings, converts, leading, said
 from mojiweave.functions.syntax import char_class, char_set
-from mojiweave.operators.dictionary import dealt, hits
+from mojiweave.operators.dictionary import counted, dealt, hits
 from mojiweave.operators.profile import BOUND, advantage, place_leans, scores, span_lean
 from mojiweave.plans import lattice as L
 from mojiweave.sources.fixed import BINDING, LatticeParameters
@@ -153,17 +153,25 @@ def session_results(texts: DataFrame, parameters: LatticeParameters | None = Non
     return _map_texts(texts, "output string, committed_raw_length int, committed_output string, total_expanded_edges long, n_commits int", work)
 
 
-def lexical_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame) -> DataFrame:
-    """(text, start, end, raw, output, language, kind, local_score, evidence) of dictionary entries."""
+def _entries(lexicon: DataFrame, profile_words: DataFrame) -> DataFrame:
+    """The entries with the kind and local_score of their edges."""
     priced = scores(lexicon.select(F.col("raw").alias("word")), profile_words).withColumnRenamed("word", "raw")
     ja = F.col("language") == "Japanese"
     n = F.length("raw").cast("double")
     short = F.when((n < 5) & converts(F.col("raw")), 2.35).otherwise(0.0)
     japanese = n - 0.45 + F.when(F.col("evidence") == "japanese-particle", 0.45).otherwise(0.95) + 0.10 * F.col("weight") + 0.35 * advantage(F.col("japanese"), F.col("english"))
     english = n - 0.45 + F.when(n >= 5, 1.80).otherwise(0.20) + 0.10 * F.col("weight") + 0.50 * advantage(F.col("english"), F.col("japanese")) - short
-    entries = lexicon.join(F.broadcast(priced), "raw").withColumn("local_score", F.when(ja, japanese).otherwise(english))
     kind = F.when(ja, "JapaneseLexical").otherwise("EnglishLexical")
-    return hits(texts.select("text").distinct(), entries).select("text", "start", "end", "raw", "output", "language", kind.alias("kind"), "local_score", "evidence")
+    return lexicon.join(F.broadcast(priced), "raw").withColumns({"local_score": F.when(ja, japanese).otherwise(english), "kind": kind})
+
+
+def _lexical(each: DataFrame, entries: DataFrame) -> DataFrame:
+    return hits(each, entries).select("text", "start", "end", "raw", "output", "language", "kind", "local_score", "evidence")
+
+
+def lexical_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame) -> DataFrame:
+    """(text, start, end, raw, output, language, kind, local_score, evidence) of dictionary entries."""
+    return _lexical(texts.select("text").distinct(), _entries(lexicon, profile_words))
 
 
 def phonetic_spans(texts: DataFrame, parameters: LatticeParameters | None = None, *more: str) -> DataFrame:
@@ -183,7 +191,11 @@ def phonetic_spans(texts: DataFrame, parameters: LatticeParameters | None = None
 
 def phonetic_edges(texts: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
     """The same of all spans that convert to kana; grams are priced once for each place of a text, and neither places nor spans are in a shuffle."""
-    spans = phonetic_spans(place_leans(dealt(texts), profile_words), parameters, "leans")
+    return _phonetic(dealt(texts), profile_words, parameters)
+
+
+def _phonetic(each: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None) -> DataFrame:
+    spans = phonetic_spans(place_leans(each, profile_words), parameters, "leans")
     lean, n = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), span_lean(F.col("leans"), F.col("n")))), F.col("n")
     raw = F.substr("text", F.col("start") + 1, n)
     return spans.select("text", "start", (F.col("start") + n).alias("end"), raw.alias("raw"), "output", F.lit("Japanese").alias("language"), F.lit("JapanesePhonetic").alias("kind"), (n - 0.55 + 0.42 * lean).alias("local_score"), F.lit("phonetic-lattice").alias("evidence"))
@@ -196,67 +208,88 @@ def _letters(text: Column) -> Column:
 def structural_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
     """The same of Latin tokens around each binding symbol: word characters on both sides, or a closing # or +.
 
-    A symbol makes at most latin_side squared spans. Their parts are scored once per distinct run of letters.
+    A symbol makes at most latin_side squared spans. The letters around it are priced once for each place, and neither symbols nor spans are in a shuffle.
     """
+    return _structural(dealt(texts), lexicon, profile_words, parameters)
+
+
+def _structural(each: DataFrame, lexicon: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None) -> DataFrame:
     side = (parameters or LatticeParameters()).latin_side
-    chars = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("at", "c")).filter(F.col("c").isin(*BINDING))
-    left = F.length(F.regexp_extract(F.substr("text", F.lit(1), F.col("at")), f"[a-z0-9]{{0,{side}}}$", 0))
-    right = F.length(F.regexp_extract(F.substr("text", F.col("at") + 2, F.lit(side)), "^[a-z0-9]*", 0))
-    plus = F.when(F.col("c") == "+", F.length(F.regexp_extract(F.substr("text", F.col("at") + 2, F.length("text")), r"^\+*", 0))).otherwise(0)
-    marked = chars.withColumn("l", left).withColumn("r", right).withColumn("p", plus).filter((F.col("l") > 0) & ((F.col("r") > 0) | F.col("c").isin("#", "+")))
-    ends = F.when(F.col("r") > 0, F.sequence(F.col("at") + 2, F.col("at") + 1 + F.col("r"))).otherwise(F.array(F.col("at") + 1 + F.col("p")))
-    spans = marked.select("text", F.explode(F.sequence(F.col("at") - F.col("l"), F.col("at") - 1)).alias("start"), ends.alias("ends")).select("text", "start", F.explode("ends").alias("end")).distinct()
-    spans = spans.withColumn("raw", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))).filter(F.col("raw").rlike("[a-z]"))
-    cut = f"[{char_set(BINDING)}]"
-    head = F.regexp_extract("raw", f"^(.*?){cut}", 1)
-    parts = {"span": F.col("raw"), "head": head, "tail": F.substr("raw", F.length(head) + 2, F.length("raw"))}
-    spans = spans.withColumns({f"_{k}": _letters(v) for k, v in parts.items()}).withColumn("head", head)
-    words = spans.select(F.explode(F.array(*(f"_{k}" for k in parts))).alias("word")).distinct()
-    priced = scores(words, profile_words).select("word", advantage(F.col("english"), F.col("japanese")).alias("lean"))
-    for k in parts:
-        spans = spans.join(priced.select(F.col("word").alias(f"_{k}"), F.col("lean").alias(f"lean_{k}")), f"_{k}")
-    follows = hits(texts.select("text").distinct(), lexicon).filter("language = 'Japanese' and weight >= 5.1").select("text", F.col("start").alias("end"), F.lit(1.80).alias("bonus")).distinct()
-    n, h = F.length("raw"), F.length("head")
-    light = F.when(F.col("head").rlike("^[a-z]*$"), F.when(h <= 2, 2.60).when(h == 3, 0.45).otherwise(0.0)).otherwise(0.0)
-    binders = n - F.length(F.regexp_replace("raw", cut, ""))
-    score = n - 0.65 + 1.75 + 0.55 * binders + 0.25 * F.col("lean_span") + 0.95 * F.col("lean_head") + 0.65 * F.col("lean_tail") + F.coalesce("bonus", F.lit(0.0)) - light - 0.35 * F.greatest(F.lit(0), n - 12)
-    return spans.join(follows, ["text", "end"], "left").select("text", "start", "end", "raw", F.col("raw").alias("output"), F.lit("English").alias("language"), F.lit("LatinStructural").alias("kind"), score.alias("local_score"), F.lit("orthographic-lattice").alias("evidence"))
+    at, left, right, leans = F.col("at"), F.col("left"), F.col("right"), F.col("leans")
+    chars = each.select("text", F.posexplode(F.split("text", "")).alias("at", "c")).filter(F.col("c").isin(*BINDING))
+    around = {"left": F.regexp_extract(F.substr("text", F.lit(1), at), f"[a-z0-9]{{0,{side}}}$", 0), "right": F.regexp_extract(F.substr("text", at + 2, F.lit(side)), "^[a-z0-9]*", 0)}
+    plus = F.when(F.col("c") == "+", F.length(F.regexp_extract(F.substr("text", at + 2, F.length("text")), r"^\+*", 0))).otherwise(0)
+    marked = chars.withColumns({**around, "plus": plus}).filter((F.length("left") > 0) & ((F.length("right") > 0) | F.col("c").isin("#", "+")))
+    # a span has letters of the left side's end and of the right side's beginning: a part of both sides' letters
+    marked = marked.select("text", at.alias("symbol"), "left", "right", "plus", F.concat(_letters(left), _letters(right)).alias("both"))
+    priced = place_leans(marked, profile_words, "both", ("text", "symbol", "left", "right", "plus"))
+    # one row: what lifts a span that it follows
+    strong = lexicon.filter("language = 'Japanese' and weight >= 5.1").agg(F.collect_set("raw").alias("strong"))
+    lean = lambda first, n: F.when(n > 0, F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), -span_lean(F.slice(leans, first, F.greatest(n, F.lit(1))), n)))).otherwise(0.0)
+    m = F.length(_letters(left))
+    # both are columns of the table, or their letters are cut out anew for each span
+    sides = priced.crossJoin(F.broadcast(strong)).withColumn("strong", F.filter("strong", lambda x: F.contains("text", x)))
+    sides = sides.select("*", m.alias("m"), F.transform(F.sequence(F.lit(1), F.length(left)), lambda k: F.length(_letters(F.substr(left, F.length(left) - k + 1, k)))).alias("heads"))
+    sides = sides.select("*", F.when(F.length(right) > 0, F.transform(F.sequence(F.lit(1), F.length(right)), lambda k: F.length(_letters(F.substr(right, F.lit(1), k))))).otherwise(F.array(F.lit(0))).alias("tails"))
+    m, closing = F.col("m"), F.when(F.length(right) > 0, 2).otherwise(F.col("plus") + 1)
+    starts = F.transform("heads", lambda h, i: F.struct((F.col("symbol") - 1 - i).alias("start"), h.alias("h"), lean(m - h + 1, h).alias("lean_head")))
+    followed = lambda end: F.exists("strong", lambda x: F.substr("text", end + 1, F.length(x)) == x)
+    ends = F.transform("tails", lambda t, i: F.struct((F.col("symbol") + closing + i).alias("end"), t.alias("t"), lean(m + 1, t).alias("lean_tail"), followed(F.col("symbol") + closing + i).alias("followed")))
+    sides = sides.select("text", "symbol", "plus", "leans", "m", starts.alias("starts"), ends.alias("ends"))
+    # the first symbol of a span tells whose it is, so no span comes twice
+    spans = sides.select("text", "symbol", "plus", "leans", "m", "ends", F.inline("starts")).select("text", "symbol", "plus", "leans", "m", "start", "h", "lean_head", F.inline("ends"))
+    spans = spans.filter(F.col("h") + F.col("t") > 0).withColumn("lean_span", lean(m - F.col("h") + 1, F.col("h") + F.col("t")))
+    n, head, bonus = F.col("end") - F.col("start"), F.col("symbol") - F.col("start"), F.when(F.col("followed"), 1.80).otherwise(0.0)
+    light = F.when(F.col("h") == head, F.when(head <= 2, 2.60).when(head == 3, 0.45).otherwise(0.0)).otherwise(0.0)
+    score = n - 0.65 + 1.75 + 0.55 * (F.col("plus") + 1) + 0.25 * F.col("lean_span") + 0.95 * F.col("lean_head") + 0.65 * F.col("lean_tail") + bonus - light - 0.35 * F.greatest(F.lit(0), n - 12)
+    raw = F.substr("text", F.col("start") + 1, n)
+    return spans.select("text", "start", "end", raw.alias("raw"), raw.alias("output"), F.lit("English").alias("language"), F.lit("LatinStructural").alias("kind"), score.alias("local_score"), F.lit("orthographic-lattice").alias("evidence"))
 
 
 def symbol_edges(texts: DataFrame) -> DataFrame:
     """The same of symbols, and of characters that are neither symbol nor word."""
+    return _symbols(texts.select("text").distinct())
+
+
+def _symbols(each: DataFrame) -> DataFrame:
     c = F.col("raw")
     kind = char_class(c)
     named = F.when(kind == "hard", "HardBoundary").when(kind == "binding", "BindingSymbol").when(kind == "neutral", "NeutralSymbol").otherwise("Unknown")
     score = F.when(kind == "hard", 1.0).when(kind == "binding", 0.10).when(kind == "neutral", 0.45).otherwise(-3.2)
     why = F.when(kind == "hard", "hard-boundary").when(kind == "binding", "standalone-binding-symbol").when(kind == "neutral", "neutral-symbol").otherwise("unknown-character")
-    rows = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter((F.length(c) > 0) & (kind != "word"))
+    rows = each.select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter((F.length(c) > 0) & (kind != "word"))
     return rows.select("text", "start", (F.col("start") + 1).alias("end"), "raw", c.alias("output"), F.lit("Unknown").alias("language"), named.alias("kind"), score.alias("local_score"), why.alias("evidence"))
 
 
-def _lone_characters(texts: DataFrame) -> DataFrame:
-    """The edge of each word character by itself."""
-    rows = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter(F.col("raw").rlike("^[a-z0-9]$"))
+def _lone_characters(each: DataFrame) -> DataFrame:
+    """The edge of each word character of distinct texts by itself."""
+    rows = each.select("text", F.posexplode(F.split("text", "")).alias("start", "raw")).filter(F.col("raw").rlike("^[a-z0-9]$"))
     return rows.select("text", "start", (F.col("start") + 1).alias("end"), "raw", F.col("raw").alias("output"), F.lit("Unknown").alias("language"), F.lit("Unknown").alias("kind"), F.lit(-3.2).alias("local_score"), F.lit("unknown-character").alias("evidence"))
 
 
 def unknown_edges(texts: DataFrame, others: DataFrame) -> DataFrame:
     """The same of word characters at which none of the other edges starts."""
-    return _lone_characters(texts).join(others.select("text", "start").distinct(), ["text", "start"], "left_anti")
+    return _lone_characters(texts.select("text").distinct()).join(others.select("text", "start").distinct(), ["text", "start"], "left_anti")
 
 
 def candidate_edges(texts: DataFrame, lexicon: DataFrame, profile_words: DataFrame, parameters: LatticeParameters | None = None) -> DataFrame:
-    """All edges of the distinct texts, of equal ones the best, with their order in the text: start, longest, best."""
-    named = lexical_edges(texts, lexicon, profile_words).unionByName(phonetic_edges(texts, profile_words, parameters)).unionByName(structural_edges(texts, lexicon, profile_words, parameters))
-    certain = named.unionByName(symbol_edges(texts)).withColumn("_alone", F.lit(False))
-    # a text's edges come together once: all three windows are over them
-    rows = certain.unionByName(_lone_characters(texts).withColumn("_alone", F.lit(True))).repartition("text")
+    """All edges of the distinct texts, of equal ones the best, with their order in the text: start, longest, best.
+
+    A part has so many characters of texts, so what a task sorts does not grow with their number.
+    """
+    each, parts = counted(texts)
+    each = each.repartition(parts, "text")
+    # only entries can make equal edges
+    alike = Window.partitionBy("raw", "output", "language").orderBy(F.desc("local_score"))
+    entries = _entries(lexicon, profile_words).withColumn("_r", F.row_number().over(alike)).filter("_r = 1").drop("_r")
+    certain = _lexical(each, entries).unionByName(_phonetic(each, profile_words, parameters)).unionByName(_structural(each, lexicon, profile_words, parameters)).unionByName(_symbols(each))
+    rows = certain.withColumn("_alone", F.lit(False)).unionByName(_lone_characters(each).withColumn("_alone", F.lit(True)))
+    # a text's edges come together once and are sorted once: both windows are over them in that order
+    order = ["start", F.desc(F.col("end") - F.col("start")), F.desc("local_score"), "kind", "output"]
+    rows = rows.repartition(parts, "text").sortWithinPartitions("text", *order)
     held = F.count_if(~F.col("_alone")).over(Window.partitionBy("text", "start"))
-    rows = rows.withColumn("_held", held).filter("not _alone or _held = 0").drop("_alone", "_held")
-    same = Window.partitionBy("text", "start", "end", "output", "language", "kind").orderBy(F.desc("local_score"))
-    best = rows.withColumn("_r", F.row_number().over(same)).filter("_r = 1").drop("_r")
-    order = Window.partitionBy("text").orderBy("start", F.desc(F.col("end") - F.col("start")), F.desc("local_score"), "kind", "output")
-    return best.withColumn("place", F.row_number().over(order))
+    best = rows.withColumn("_held", held).filter("not _alone or _held = 0").drop("_alone", "_held")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy(*order)))
 
 
 def explode_edges(decoded: DataFrame) -> DataFrame:

@@ -56,15 +56,15 @@ def leans(profile_words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen.select("gram", lean(F.col("Japanese"), F.col("English")).alias("lean")), below.select(lean(F.lit(0), F.lit(0)).alias("unseen"))
 
 
-def place_leans(texts: DataFrame, profile_words: DataFrame) -> DataFrame:
-    """(text, leans) of texts, each on one row: what each place adds to the lean of a span.
+def place_leans(texts: DataFrame, profile_words: DataFrame, word: str = "text", keys: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(keys, leans) of words, each on the one row of its keys: what each place adds to the lean of a span. Empty words have no row.
 
     pair, triple: the grams that begin there; head: those of a span of two or more that starts there; tail: that ends with it;
     alone: those of the place by itself. So a span's lean is a sum over its places, and no span meets the profile.
     """
     seen, unseen = leans(profile_words)
-    places = texts.select("text").filter(F.length("text") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
-    cut = lambda n, before=0: F.substr("text", F.col("at") + (1 - before), F.lit(n))
+    places = texts.select(*dict.fromkeys((*keys, word))).filter(F.length(word) > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.length(word) - 1)))
+    cut = lambda n, before=0: F.substr(word, F.col("at") + (1 - before), F.lit(n))
     begin, end = F.lit("^"), F.lit("$")
     grams = {"pair": cut(2), "triple": cut(3), "h2": F.concat(begin, cut(1)), "h3": F.concat(begin, cut(2)), "t2": F.concat(cut(1), end), "t3": F.concat(F.when(F.col("at") > 0, cut(2, 1)).otherwise(""), end), "one": F.concat(begin, cut(1), end)}
     for name, gram in grams.items():
@@ -72,8 +72,8 @@ def place_leans(texts: DataFrame, profile_words: DataFrame) -> DataFrame:
     places = places.crossJoin(F.broadcast(unseen))
     g = {name: F.coalesce(name, "unseen") for name in grams}
     parts = {"pair": g["pair"], "triple": g["triple"], "head": g["h2"] + g["h3"], "tail": g["t2"] + g["t3"], "alone": g["h2"] + g["t2"] + g["one"]}
-    # a text's places come together as one list, in the order of the first field
-    return places.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", *(c.alias(k) for k, c in parts.items())))).alias("leans"))
+    # a word's places come together as one list, in the order of the first field
+    return places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", *(c.alias(k) for k, c in parts.items())))).alias("leans"))
 
 
 def span_lean(places: Column, n: Column) -> Column:

@@ -274,3 +274,27 @@ def test_spans_are_read_from_their_start_and_priced_without_a_join_on_them(spark
     assert got == {(r.text, r.start, r.n, r.k) for r in cut.withColumn("k", phonetic.kana(F.col("raw"))).collect() if r.k is not None}
     plan = lattice.phonetic_edges(df, profile_words(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "(raw#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_latin_spans_are_priced_without_a_join_on_them(spark):
+    """Each span comes once, with the letters of both sides; only grams and one row of entries are joined."""
+    from mojiweave.sources.tables import profile_words
+
+    texts = ["node.jswotukau", "c++wo", "c#", "a1.2b.c3", "1.2", "v2.0", "x+y+", "x+++", "a.b.c", "abcdefghijklmnop.qrstuvwxyzabcdef", "9a8b7.6c5d4no", "a-", "-a", ".", "", "a_b@c/d"]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts]], "text string")
+    edges = lattice.structural_edges(df, lexicon(spark), profile_words(spark))
+    got = sorted(tuple(r) for r in edges.select("text", "start", "end", "raw", "output", F.round("local_score", 9)).collect())
+    assert got == sorted((t, e.start, e.end, e.raw, e.output, round(e.score, 9)) for t in texts for e in L.candidate_edges(t, LatticeParameters()) if e.kind == "LatinStructural")
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join" in x and "gram#" not in x and "Join Cross" not in x] == []
+
+
+def test_what_a_part_of_edges_holds_does_not_grow_with_the_texts(spark, monkeypatch):
+    from mojiweave.operators import dictionary
+    from mojiweave.sources.tables import profile_words
+
+    texts = [f"kyouha{'abcdefghij'[i % 10]}{i}.js" for i in range(240)]
+    monkeypatch.setattr(dictionary, "PART", 64, raising=False)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    held = lattice.candidate_edges(df, lexicon(spark), profile_words(spark)).select(F.spark_partition_id().alias("part"), "text").distinct().groupBy("part").agg(F.count("text").alias("n")).collect()
+    assert sum(r.n for r in held) == len(texts) and max(r.n for r in held) <= 24
